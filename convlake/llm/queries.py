@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convlake.llm import langid, packing, sharding, simhash, urlfilter
+from convlake.llm import langid, packing, sharding, simhash, substrings, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,12 +31,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_url_filter": op3_url_filter, "op5_best_fit_packing": op5_best_fit_packing, "op6_simhash": op6_simhash, "op8_language_id": op8_language_id, "op10_sharding": op10_sharding}
+    return {"op3_url_filter": op3_url_filter, "op5_best_fit_packing": op5_best_fit_packing, "op6_simhash": op6_simhash, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_sharding": op10_sharding}
 
 
 OP3_SQL = r"""

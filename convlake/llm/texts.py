@@ -22,12 +22,13 @@ BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column (null counts as empty) and the n + 1 offsets of its rows."""
+    """The bytes of a string or binary column (null counts as empty) and the n + 1 offsets of its rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    wide = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()
+    column = column.cast(wide)
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if wide == pa.large_binary() else "")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
