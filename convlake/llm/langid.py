@@ -176,3 +176,17 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     model = learn(docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"))))
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` in a learned language, columns as they are.
+
+    Rejected are null texts, texts without a letter, and texts whose share of
+    n-grams known to the best language is below ``least_score``.  If no language
+    can be learned, only the first two are.
+    """
+    model = learn(docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"))))
+    if not model.languages:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    judged = predict(docs, model, "__lang_pred", "__lang_score")
+    return judged.filter((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= least_score)).drop("__lang_pred", "__lang_score")

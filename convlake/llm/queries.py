@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from convlake.llm import langid, packing, sharding, simhash, substrings, urlfilter
+from convlake.llm import covertree, decontaminate, langid, licenses, packing, secrets, sharding, simhash, substrings, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.Scanner(spark).find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("nth").cast("long").alias("nth"), "kind", F.length("secret").cast("long").alias("n_chars"), F.sha2("secret", 256).alias("secret_sha256"), "score")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return covertree.top_k(vectors.filter("vec_id % 100 = 0"), vectors)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -27,6 +42,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -40,8 +59,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_url_filter": op3_url_filter, "op5_best_fit_packing": op5_best_fit_packing, "op6_simhash": op6_simhash, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_sharding": op10_sharding}
+    import corpus_pipeline
 
+    return {"pipeline": corpus_pipeline.run, "op1_decontamination": op1_decontamination, "op2_secret_scan": op2_secret_scan, "op3_url_filter": op3_url_filter, "op4_exact_top_k": op4_exact_top_k, "op5_best_fit_packing": op5_best_fit_packing, "op6_simhash": op6_simhash, "op7_license_scan": op7_license_scan, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_sharding": op10_sharding}
+
+
+OP1_SQL = r"""
+WITH w AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), s AS (
+  SELECT DISTINCT side, id, array_to_string(w[k:k + 4], ' ') AS shingle
+  FROM (SELECT side, id, w, unnest(generate_series(1, len(w) - 4)) AS k FROM w WHERE len(w) >= 5)
+), n AS (SELECT id, count(*) AS n_item FROM s WHERE side = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, any_value(n_item) AS n_item, count(*) AS n_shared, count(*) / any_value(n_item) AS containment
+FROM s d JOIN s i ON d.shingle = i.shingle AND d.side = 'd' AND i.side = 'i' JOIN n ON n.id = i.id
+GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(n_item)
+"""
 
 OP3_SQL = r"""
 WITH u AS (
@@ -61,5 +96,20 @@ GROUP BY page_id, host, path
 """
 
 
+OP4_SQL = r"""
+WITH v AS (
+  SELECT vec_id, len(embedding) AS n, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.n = c.n AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p
+) WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL}
+    """SQL of the queries that it can express; the others are tested against brute force."""
+    return {"op1_decontamination": OP1_SQL, "op3_url_filter": OP3_SQL, "op4_exact_top_k": OP4_SQL}

@@ -65,16 +65,16 @@ def fingerprints(data: np.ndarray, at: np.ndarray, n: int = WORDS, seed: int = S
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, mark (64-bit hash of id and text) and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 fp = fingerprints(*text_bytes(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(fp.view(np.int64))], names=["doc_id", "mark", "fp"])
 
-    docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), "text")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, fp long")
 
 
 def forest(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +172,16 @@ def links(nodes: DataFrame, radius: int = RADIUS, size: int | None = None) -> Da
     return dealt.groupBy("g", "h").applyInPandas(run, "src long, dst long")
 
 
+def roots_of(table: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, root (one fingerprint of its component) and least (its smallest doc_id) of every distinct fingerprint."""
+    nodes = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    edges = materialize(links(nodes, radius), "links")
+    joined = components(edges)
+    release(edges)
+    roots = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    return materialize(roots, "roots")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``.
 
@@ -183,12 +193,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     and text are ignored, whatever their names.
     """
     table = materialize(fingerprint_table(docs), "fingerprints")
-    nodes = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    edges = materialize(links(nodes, radius), "links")
-    joined = components(edges)
-    release(edges)
-    roots = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    roots = materialize(roots, "roots")
+    roots = roots_of(table, radius)
     names = materialize(roots.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     classes = materialize(roots.join(names, "root").select("fp", "component_id"), "classes")
     return table.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each component, with the columns as they are: that of the smallest doc_id.
+
+    Rows with a null doc_id come last; among rows with the same doc_id and
+    different texts one is kept by a hash, of repeated rows one.
+    """
+    table = materialize(fingerprint_table(docs), "fingerprints")
+    roots = roots_of(table, radius)
+    rows = table.join(roots.select("fp", "root"), "fp")
+    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark")).alias("kept"))
+    kept = materialize(kept.select(F.col("kept.mark").alias("__kept")), "kept")
+    return docs.withColumn("__mark", F.xxhash64("doc_id", "text")).join(kept, F.col("__mark") == F.col("__kept"), "left_semi").dropDuplicates(["__mark"]).drop("__mark")
