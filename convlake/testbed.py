@@ -122,6 +122,6 @@ PLAIN = "conv AS (SELECT * FROM conv0)"
 
 def with_views(sql: str, tagged: bool = False) -> str:
     """A query over conv, msg, notes and captures as one statement."""
-    head = f"WITH {SQL}, {TAGGED if tagged else PLAIN}"
+    head = f"WITH RECURSIVE {SQL}, {TAGGED if tagged else PLAIN}"
     sql = sql.strip()
     return f"{head}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"{head} {sql}"
