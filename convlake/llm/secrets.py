@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlake.shared import materialize
@@ -27,13 +27,15 @@ MASK = "[SECRET]"
 BEFORE, AFTER = 48, 24
 
 # Names of secrets, shapes of known tokens.
-_NAME = r"(?:api|access|secret|private|auth|account|encryption)[_-]?key|client[_-]?secret|secret|token|passw(?:or)?d|passphrase|pwd|credentials?|bearer"
-_ASSIGN = rf"(?i:{_NAME})[\"']?\s{{0,4}}(?::=|=>|=|:|\s)\s{{0,4}}[\"']?"
+_NAME = r"key|secret|token|p(?:assw(?:or)?d|assphrase|wd)|credentials?|bearer"
+_ASSIGN = rf"(?=[kstpcbKSTPCB])(?i:(?:{_NAME})[\"']?\s{{0,4}}(?::=|=>|=|:)|bearer\s)\s{{0,4}}[\"']?"
 _KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|xox[abprs]-[0-9A-Za-z-]{10,255}|[srp]k_(?:live|test)_[0-9A-Za-z]{16,255}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{8,4096}\.[0-9A-Za-z_-]{8,4096}\.[0-9A-Za-z_-]{8,4096}"
 _BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[0-9A-Za-z+/=\s]{0,8192}-----END [A-Z ]{0,24}PRIVATE KEY-----)?"
 _VALUE = r"[^\s\"'`<>,;(){}\[\]|]{8,512}"
 _BARE = r"(?<![0-9A-Za-z+/_.-])(?=[A-Za-z+/_.-]{0,48}[0-9])[0-9A-Za-z+/_.-]{16,512}={0,2}"
 CANDIDATE = rf"{_BLOCK}|(?:{_ASSIGN})(?=[^\s\"'`<>,;(){{}}\[\]|]{{0,64}}[0-9!@#$%^&*]){_VALUE}|(?<![0-9A-Za-z])(?:{_KNOWN})|{_BARE}"
+#: Strings of which every candidate holds one (or a digit): tried before the expression, which costs more.
+HINTS = ("=", ":", "bearer", "-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "k_live_", "k_test_", "AIza", "eyJ")
 LEAD = rf"^(?:{_ASSIGN})(?=[^\s\"'`]{{8}})"
 # Words that are common in identifiers and prose.
 DICTIONARY = (
@@ -132,6 +134,12 @@ def forest_sql(debug: str, inputs: list[str]) -> str:
     return "(" + " + ".join(tree([x for x in t if x.strip()]) for t in trees) + f") / {len(trees)}"
 
 
+def may_match(text: Column) -> Column:
+    """Whether a text has a candidate."""
+    hint = reduce(lambda a, b: a | b, [F.contains(text, F.lit(h)) for h in HINTS if h != "bearer"], text.rlike("[0-9]"))
+    return (hint | text.rlike("(?i)bearer")) & text.rlike(CANDIDATE)
+
+
 class Scanner:
     """A trained scanner; ``threshold`` is the least share of trees that call a candidate a secret."""
 
@@ -161,16 +169,17 @@ class Scanner:
         secrets are findings of their own; no rows: no rows.  Columns other than
         doc_id and text are ignored, whatever their names.
         """
-        rows = docs.select("doc_id", "text").filter(F.col("text").rlike(CANDIDATE))
-        rows = rows.select("doc_id", F.expr(self.verdicts()).alias("found")).select("doc_id", F.posexplode("found").alias("nth", "x")).filter(F.col("x.score") >= self.threshold)
+        found = F.when(may_match(F.col("text")), F.expr(self.verdicts()))
+        # the outer form: a plain explode would have its array's size tested first, and so the array made twice
+        rows = docs.select("doc_id", found.alias("found")).select("doc_id", F.posexplode_outer("found").alias("nth", "x")).filter(F.col("x.score") >= self.threshold)
         kind = F.when(F.col("x.value").startswith("-----BEGIN"), "private_key").when(F.col("x.value").rlike(f"^(?:{_KNOWN})"), "known_token").when(F.col("x.lead") != "", "assigned").otherwise("bare")
         return rows.select("doc_id", "nth", kind.alias("kind"), F.col("x.value").alias("secret"), F.col("x.score").alias("score"))
 
     def mask(self, docs: DataFrame, mask: str = MASK) -> DataFrame:
         """``docs`` with each secret in ``text`` replaced; every row and column stays, n_chars (if there) is counted anew."""
         # what follows the last candidate is the last part of the split
-        masked = f"CASE WHEN text rlike {literal(CANDIDATE)} THEN concat(array_join(transform({self.verdicts()}, x -> concat(x.before, CASE WHEN x.score >= {self.threshold} THEN concat(x.lead, {literal(mask)}) ELSE x.match END)), ''), element_at(split(text, {literal(CANDIDATE)}, -1), -1)) ELSE text END"
-        out = docs.withColumn("text", F.expr(masked))
+        masked = f"concat(array_join(transform({self.verdicts()}, x -> concat(x.before, CASE WHEN x.score >= {self.threshold} THEN concat(x.lead, {literal(mask)}) ELSE x.match END)), ''), element_at(split(text, {literal(CANDIDATE)}, -1), -1))"
+        out = docs.withColumn("text", F.when(may_match(F.col("text")), F.expr(masked)).otherwise(F.col("text")))
         if "n_chars" in docs.columns:
             out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
         return out
