@@ -8,6 +8,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from convlake.schemas import CAPTURE_EDGES
 
@@ -34,7 +35,7 @@ def contract_problems(envelopes: DataFrame, dimension: DataFrame) -> DataFrame:
     return rows.withColumn("problem", problem).drop("latest_version", "kinds", "body_limit")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 

@@ -276,13 +276,13 @@ def export_manifest(spark: SparkSession, sf: str) -> DataFrame:
 def _damaged(spark: SparkSession, sf: str) -> DataFrame:
     c, m = _tables(spark, sf)
     n = B.notes(spark, sf)
-    cr, mr, nr = package.conversation_records(c), package.message_records(c, m), package.note_records(n)
+    cr, mr, nr = (materialize(df, "records") for df in (package.conversation_records(c), package.message_records(c, m), package.note_records(n)))
     num = F.substring_index("stable_id", ":", -1).cast("long")
     wrong = F.create_map(F.lit("source"), F.lit("elsewhere"), F.lit("source_conversation_id"), F.col("source_record_id"))
     cr = cr.withColumn("title", F.when(num % 9 == 2, " ").otherwise(F.col("title"))).withColumn("source_metadata", F.when(num % 8 == 3, wrong).otherwise(F.col("source_metadata")))
     mr = mr.filter(num % 97 != 5)
-    p = package.provenance(c, m, n).withColumn("path", F.when(F.col("stable_id").rlike("^imported_conversation:[0-9]*1$"), "elsewhere.jsonl").otherwise(F.col("path")))
-    return package.validate(cr, mr, nr, p, package.manifest(c, m, n))
+    p = materialize(package.provenance(c, m, n), "provenance").withColumn("path", F.when(F.col("stable_id").rlike("^imported_conversation:[0-9]*1$"), "elsewhere.jsonl").otherwise(F.col("path")))
+    return package.validate(cr, mr, nr, p, materialize(package.manifest(c, m, n), "manifest"))
 
 
 @query("""
@@ -306,7 +306,8 @@ def validator_findings(spark: SparkSession, sf: str) -> DataFrame:
 def validator_status(spark: SparkSession, sf: str) -> DataFrame:
     c, m = _tables(spark, sf)
     n = B.notes(spark, sf)
-    return package.status(package.validate(package.conversation_records(c), package.message_records(c, m), package.note_records(n), package.provenance(c, m, n), package.manifest(c, m, n)))
+    parts = (package.conversation_records(c), package.message_records(c, m), package.note_records(n), package.provenance(c, m, n), package.manifest(c, m, n))
+    return package.status(package.validate(*(materialize(df, "package") for df in parts)))
 
 
 def _iso(c: str) -> str:

@@ -57,7 +57,7 @@ def to_gemini(conversations: DataFrame, messages: DataFrame) -> DataFrame:
 def to_session_logs(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """One file for each conversation, one line for each message."""
     rows = _with_messages(conversations, messages, "claude_code")
-    line = F.transform("m", lambda x: F.to_json(F.struct(x["role"].alias("type"), F.col("source_conversation_id").alias("sessionId"), x["source_message_id"].alias("uuid"), T.iso(x["created_at_unix"]).alias("timestamp"), F.struct(x["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), x["content"].alias("text"))).alias("content")).alias("message"))))
+    line = F.transform("m", lambda x: F.to_json(F.struct(F.when(x["role"] == "assistant", "assistant").otherwise("user").alias("type"), F.col("source_conversation_id").alias("sessionId"), x["source_message_id"].alias("uuid"), T.iso(x["created_at_unix"]).alias("timestamp"), F.struct(x["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), x["content"].alias("text"))).alias("content")).alias("message"))))
     return rows.select(F.concat(F.lit("claude_code/"), "source_conversation_id", F.lit(".jsonl")).alias("path"), F.array_join(line, "\n").alias("content"))
 
 

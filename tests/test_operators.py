@@ -1,0 +1,179 @@
+import random
+import re
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
+from convlake.functions import text as T
+from convlake.operators import capture, chunks, components, context, ledger, notes, package, ranking, search, similarity
+from convlake.plans import records
+from convlake.plans.catalog import QUERIES
+from convlake.schemas import THREAD_STOPWORDS
+
+
+def one(spark, column, **values):
+    df = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'double' if isinstance(v, float) else 'string'}" for k, v in values.items()))
+    return df.select(column).first()[0]
+
+
+def closure(nodes, pairs):
+    label = {n: n for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    return label
+
+
+def test_components_match_closure(spark):
+    r = random.Random(3)
+    edges = [(r.randint(0, 80), r.randint(0, 80)) for _ in range(60)] + [(i, i + 1) for i in range(200, 260)] + [(300, 300 + i) for i in range(1, 40)] + [(5, 5), (None, 3)]
+    got = {x["node"]: x["component"] for x in components.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    real = [(a, b) for a, b in edges if a is not None and a != b]
+    assert got == closure({x for e in real for x in e}, real)
+    assert components.components(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
+def test_threads_match_all_pairs(spark):
+    for seed in range(3):
+        r = random.Random(seed)
+        words = ["alpha", "beta", "gamma", "delta", "the", "x", "rho", "tau", "phi"]
+        rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 4))), float(r.randint(0, 40) * 50_000) if r.random() < 0.8 else None) for i in range(40)]
+        bag = {i: {w for w in t.split() if len(w) >= 2 and w not in THREAD_STOPWORDS} for i, t, _ in rows}
+        at = {i: a for i, _, a in rows}
+        near = lambda a, b: at[a] is not None and at[b] is not None and abs(at[a] - at[b]) <= 48 * 3600
+        pairs = [(a, b) for a, b in combinations(bag, 2) if len(bag[a] & bag[b]) >= 2 or (bag[a] & bag[b] and near(a, b))]
+        got = {x["id"]: x["thread"] for x in similarity.thread_members(spark.createDataFrame(rows, "id long, title string, created_at_unix double")).collect()}
+        want = closure(bag, pairs)
+        assert got == {i: c for i, c in want.items() if any(i in p for p in pairs)}
+
+
+def test_stems_are_porters():
+    # Examples printed with the algorithm's definition.
+    for word, want in {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit", "vietnamization": "vietnam", "triplicate": "triplic", "hopeful": "hope", "revival": "reviv", "adoption": "adopt", "probate": "probat", "rate": "rate", "controll": "control"}.items():
+        assert search.stem(word) == want, word
+
+
+def test_search_phrases_stems_and_incremental_index(spark):
+    docs = spark.createDataFrame([("n", 1, "The Quick brown fox"), ("n", 2, "quick the fox, brown"), ("m", 3, "Résumé running"), ("n", 4, None)], "kind string, id long, content string")
+    postings, lengths = search.index(docs)
+    hits = lambda p, q: sorted(r["id"] for r in search.search(p, lengths, q).collect())
+    assert hits(postings, "quick fox") == [1, 2] and hits(postings, "quick-brown") == [1] and hits(postings, 'resume "') == [3] and hits(postings, " ") == []
+    assert hits(search.with_stems(postings), search.stem("runs")) == [3]
+    more = spark.createDataFrame([("n", 1, "again"), ("n", 9, "fox")], "kind string, id long, content string")
+    p2, l2 = search.add_to_index(postings, lengths, more)
+    assert l2.count() == 5 and p2.filter("term = 'again'").count() == 0
+    p3, _ = search.remove_from_index(p2, l2, spark.createDataFrame([("n", 9)], "kind string, id long"))
+    assert p3.filter("id = 9").count() == 0
+    mark = one(spark, search.snippet(F.col("c"), [["fox"]], 3), c="one two three fox, four five")
+    assert mark == "…three <mark>fox</mark>, four…"
+
+
+def test_saved_index_reads_the_terms_parts(spark, tmp_path):
+    docs = spark.createDataFrame([("n", i, f"word{i} common") for i in range(30)], "kind string, id long, content string")
+    search.save_index(*search.index(docs), str(tmp_path))
+    postings, lengths = search.load_index(spark, str(tmp_path), "word7 common")
+    assert {r["term"] for r in postings.collect()} == {"word7", "common"}
+    assert [r["id"] for r in search.search(postings, lengths, "word7 common").collect()] == [7]
+
+
+def test_global_index(spark):
+    df = spark.range(500).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(50)))
+    got = [(r["k"], r["id"]) for r in ranking.global_index(df, ["k", "id"]).orderBy("position").collect()]
+    assert got == sorted(got)
+    assert sorted(r["position"] for r in ranking.global_index(df, ["k", "id"]).collect()) == list(range(500))
+
+
+def test_text_functions(spark):
+    c = F.col("c")
+    assert one(spark, T.normalize_tags(c), c=" A, b  B ,,a,\tC") == "a, b b, c"
+    assert one(spark, T.auto_tag(c), c="How do I Cook, rice") == "cook"
+    assert one(spark, T.remove_tag(c, F.lit("B")), c="a, b, c") == "a, c" and one(spark, T.add_tag(c, F.lit("A")), c="a, b") == "a, b"
+    assert one(spark, T.safe_name(c), c="a/b: c?") == "a_b_ c_" and one(spark, T.slug(c), c="Ab - Cd!") == "ab-cd"
+    assert one(spark, T.cut_at_line(c, 20, "[x]"), c="0123456789ab\ncdefghijklmnop") == "0123456789ab[x]"
+    assert one(spark, T.cut_at_line(c, 20, "[x]"), c="01\n3456789abcdefghijklmnop") == "01\n3456789abcdefg[x]"
+    assert one(spark, T.iso(c), c=1704067200.5) == "2024-01-01T00:00:00Z"
+    for age, want in ((-5.0, "just now"), (30.0, "just now"), (300.0, "5m ago"), (7200.0, "2h ago"), (86400.0 * 3, "3d ago"), (86400.0 * 800, "2y ago")):
+        assert one(spark, T.relative(F.lit(1e9) - c, F.lit(1e9)), c=age) == want
+    assert one(spark, T.date_range(c, c + 86400 * 8), c=1709251200.0) == "Mar 1 — Mar 9, 2024"
+    assert one(spark, T.html_text(c), c="<p>a</p><p>b</p>") == "a\nb"
+    assert one(spark, T.stable_number(c, "memory"), c="memory:12") == 12 and one(spark, T.stable_number(c, "memory"), c="memory:x") is None
+
+
+def test_chunks_cover_their_text():
+    r = random.Random(0)
+    for _ in range(60):
+        parts = []
+        for _ in range(r.randint(1, 8)):
+            kind = r.choice("phc")
+            words = " ".join("w" * r.randint(1, 9) + r.choice(["", ".", "!"]) for _ in range(r.choice([3, 60, 700])))
+            parts.append({"p": words, "h": "# " + words[:50], "c": "```\n" + words + "\n```"}[kind])
+        text = "\n\n".join(parts)
+        got = chunks.chunks_of(text)
+        assert all(0 < len(c.text) <= chunks.MOST for c in got)
+        assert re.sub(r"\s", "", "".join(c.text for c in got)) == re.sub(r"\s", "", text)
+        if got[0].kind != "code":
+            assert len(got[0].text) <= chunks.FIRST
+    assert chunks.chunks_of("") == [] == chunks.chunks_of(None)
+    assert [(c.kind, c.text, c.start) for c in chunks.chunks_of("# T\n\na\nb\n```\nx\n```\ny")] == [("heading", "# T", 0), ("paragraph", "a\nb", 5), ("code", "```\nx\n```", 9), ("paragraph", "y", 19)]
+
+
+def test_capture_hash_and_life_cycle(spark):
+    rows = [(1, "browser", "1", "selection", "é x \n", None, 61.0, 5.0), (2, "browser", "1", "selection", "é x", "", 119.0, 4.0), (3, "browser", "1", "selection", "other", "u", 61.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, adapter_id string, adapter_version string, payload_kind string, body_text string, source_url string, captured_at_unix double, received_at_unix double")
+    h = {r["id"]: r["content_hash"] for r in capture.hashed(df).collect()}
+    assert h[1] == h[2] != h[3]
+    assert sorted(r["id"] for r in capture.first_of_each(capture.hashed(df)).collect()) == [2, 3]
+    commands = [(1, 1, "triage"), (1, 2, "triage"), (1, 3, "promote"), (1, 4, "reject"), (2, 1, "quarantine"), (2, 2, "promote"), (2, 3, "triage")]
+    got = capture.replay(spark.createDataFrame([(c, n, a, float(n), "me", None) for c, n, a in commands], "capture_id long, command_id long, action string, at_unix double, decided_by string, reason string"))
+    assert sorted((r["capture_id"], r["status"], r["n_applied"], r["n_rejected"]) for r in got.collect()) == [(1, "promoted", 2, 2), (2, "triaged", 2, 1)]
+
+
+def test_streams_agree_with_batch(spark, sf):
+    stream = {tuple(r) for r in QUERIES["stream_capture_lifecycle"](spark, sf).collect()}
+    batch = {tuple(r) for r in QUERIES["capture_lifecycle"](spark, sf).collect()}
+    assert {(a, b, int(c), int(d)) for a, b, c, d in stream} == {(a, b, int(c), int(d)) for a, b, c, d in batch}
+    closed = {(r["user_id"], r["n"]) for r in QUERIES["stream_activity_sessions"](spark, sf).select("user_id", "n").collect()}
+    assert closed and closed <= {(r["user_id"], r["n"]) for r in QUERIES["activity_sessions"](spark, sf).collect()}
+
+
+def test_topic_replies_and_model_hook(spark):
+    known = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    reply = "noise\nTOPIC: Cars\nIDS: 1, 2, 99\nCONFIDENCE: High\nTOPIC: Lone\nIDS: 3\nCONFIDENCE: low"
+    got = context.topic_reply(spark.createDataFrame([("s", reply)], "scan_id string, reply string"), known).collect()
+    assert [(r["topic"], r["ids"], r["confidence"]) for r in got] == [("Cars", [1, 2], "high")]
+    rows = spark.createDataFrame([(1, "abc")], "k long, prompt string")
+    assert context.complete(rows, "prompt", "out", lambda texts: [t.upper() for t in texts]).first()["out"] == "ABC"
+
+
+def test_refresh_replaces_only_the_marked_part(spark):
+    f = lambda auto: f"mine\n{notes.BEGIN}\n{auto}\n{notes.END}\nmine too"
+    old = spark.createDataFrame([("a", f("1")), ("b", "no marks"), ("c", f("1")), ("d", f("2"))], "path string, content string")
+    fresh = spark.createDataFrame([("a", "other " + f("2")), ("b", f("2")), ("d", f("2"))], "path string, content string")
+    assert [tuple(r) for r in notes.refreshed(old, fresh).collect()] == [("a", f("2"))]
+
+
+def test_package_round_trip(spark, sf, tmp_path):
+    from convlake import testbed as B
+
+    c, m, n = B.conversations(spark, sf), B.messages(spark, sf), B.notes(spark, sf)
+    package.write_package(str(tmp_path), c, m, n)
+    lines = spark.read.text(f"{tmp_path}/messages").select(F.col("provider"), F.lit("x").alias("path"), F.col("value").alias("line"))
+    back, bad = package.read_lines(lines, "stable_id string, content string")
+    assert back.count() == m.count() and bad.count() == 0
+    assert package.read_lines(spark.createDataFrame([("p", "{"), ("p", "[1]"), ("p", " ")], "path string, line string"), "a string")[1].count() == 2
+
+
+def test_damage_is_found(spark, sf):
+    codes = {r["code"] for r in records._damaged(spark, sf).select("code").distinct().collect()}
+    assert {"conversation_title_missing", "conversation_source_metadata_mismatch", "provenance_canonical_path_mismatch"} <= codes
+
+
+def test_outcomes(spark):
+    rows = [(0, 0, 0, False, "failed"), (1, 0, 1, True, "partial"), (0, 0, 2, True, "failed"), (1, 1, 0, True, "success"), (0, 3, 0, True, "duplicate_only"), (0, 0, 0, True, "failed")]
+    df = spark.createDataFrame(rows, "i int, s int, f int, r boolean, w string")
+    assert df.filter(ledger.outcome(F.col("i"), F.col("s"), F.col("f"), F.col("r")) != F.col("w")).count() == 0
