@@ -73,7 +73,7 @@ def digests(scans: DataFrame, conversations: DataFrame, messages: DataFrame, now
     topic = scans.select("scan_id", F.explode("clusters").alias("c")).select(F.concat_ws(":", "scan_id", "c.topic").alias("group_id"), F.col("c.topic").alias("topic_label"), F.explode("c.ids").alias("stable_id"))
     groups = topic.withColumn("id", T.stable_number(F.col("stable_id"), "imported_conversation"))
     labels = groups.select("group_id", "topic_label").distinct()
-    return distillation(groups.select("group_id", "id"), conversations, messages, now, model).withColumn("group_id", F.substring_index(F.regexp_replace("distillation_id", "^distillation:", ""), "\u0000", 1)).join(labels, "group_id").select(F.concat(F.lit("digest:"), "group_id").alias("digest_id"), "topic_label", "source_conversation_ids", F.col("source_titles").alias("titles"), F.col("distillation_text").alias("digest_text"), "generation_timestamp")
+    return distillation(groups.select("group_id", "id"), conversations, messages, now, model).withColumn("group_id", F.regexp_replace("distillation_id", "^distillation:", "")).join(labels, "group_id").select(F.concat(F.lit("digest:"), "group_id").alias("digest_id"), "topic_label", "source_conversation_ids", F.col("source_titles").alias("titles"), F.col("distillation_text").alias("digest_text"), "generation_timestamp")
 
 
 def summaries(conversations: DataFrame, messages: DataFrame, now: str, model: Callable[[list[str]], list[str]] | None = None) -> DataFrame:

@@ -225,3 +225,10 @@ def read_lines(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     bad = finding(rows, F.col("j").isNull(), "jsonl_parse_error", "E", "path").unionByName(finding(rows, F.col("j").isNotNull() & ~F.col("line").rlike(r"^\s*\{"), "jsonl_record_invalid_type", "E", "path"))
     good = rows.filter(F.col("j").isNotNull() & F.col("line").rlike(r"^\s*\{")).select("path", F.from_json("line", schema).alias("r")).select("path", "r.*")
     return good, bad
+
+
+def download_markdown(conversations: DataFrame, messages: DataFrame, attached: DataFrame) -> DataFrame:
+    """Id and the Markdown of each conversation with a table of its attachments (conversation_id, name, size_bytes) at the end."""
+    line = F.concat(F.lit("| "), F.replace("name", F.lit("|"), F.lit("\\|")), F.lit(" | "), F.col("size_bytes").cast("string"), F.lit(" |"))
+    tables = attached.groupBy(F.col("conversation_id").alias("id")).agg(F.concat(F.lit("\n## Attachments\n\n| File | Bytes |\n| --- | --- |\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\n")).alias("table"))
+    return conversation_markdown(conversations, messages).join(tables, "id", "left").select("id", F.concat("markdown", F.coalesce("table", F.lit(""))).alias("markdown"))

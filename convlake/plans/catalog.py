@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convlake.plans import core, meaning, records, streams  # noqa: F401
+from convlake.plans import core, meaning, more, records, streams  # noqa: F401
 from convlake.plans.registry import ORACLES, QUERIES, Query
 
 

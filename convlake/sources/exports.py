@@ -403,3 +403,13 @@ def import_warnings(conversations: DataFrame) -> DataFrame:
     """For each provider, fallback titles, conversations without a time, messages without one."""
     missing = F.size(F.filter("messages", lambda m: m["created_at"].isNull()))
     return conversations.groupBy("provider").agg(F.count_if(F.col("title") == UNTITLED).alias("untitled"), F.count_if(F.col("created_at").isNull()).alias("conversations_without_time"), F.sum(missing).alias("messages_without_time"))
+
+
+def file_outcomes(files: DataFrame, parsed: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(path, status, n): imported if a file brings a conversation that the ledger lacks, duplicate if none is new, failed if it has none."""
+    key = [F.col("provider").alias("source"), "source_conversation_id"]
+    seen = parsed.select("path", *key)
+    new = seen.join(ledger.select("source", "source_conversation_id"), ["source", "source_conversation_id"], "left_anti").groupBy("path").agg(F.count("*").alias("n_new"))
+    counts = files.select("path").join(seen.groupBy("path").agg(F.count("*").alias("n")), "path", "left").join(new, "path", "left")
+    status = F.when(F.col("n").isNull(), "failed").when(F.col("n_new") > 0, "imported").otherwise("duplicate")
+    return counts.select("path", status.alias("status"), F.coalesce("n", F.lit(0)).alias("n"))
