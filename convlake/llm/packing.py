@@ -35,9 +35,9 @@ CAPACITY = 1024
 END_ID = 2
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Distinct runs of text whose ids a Python worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 150_000
 #: Bytes of text that are encoded at once.
-SLICE = 6 << 20
+SLICE = 2 << 20
 #: Pieces of one length are numbered in so many independent cells.
 CELLS = 64
 
