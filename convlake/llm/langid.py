@@ -25,8 +25,10 @@ from convlake.shared import materialize
 N = 4
 #: Documents of a language that are learned from, about: of more, a sample by hash.
 PER_LANGUAGE = 3000
-#: An n-gram enters a language's filter if this share of its sample has it, and two documents at least.
-SHARE = 0.004
+#: An n-gram enters a language's filter if this share of its sample has it, and two documents at least (one, in a sample of fewer than ``FEW``).
+SHARE, FEW = 0.004, 20
+#: Learned languages up to which their sampling rates are broadcast.
+LANGUAGES = 4096
 #: Positions of the table, as a power of two, and probes of an n-gram.
 BITS, PROBES = 20, 2
 #: Rows with a score below this are not taken for a text in any learned language.
@@ -109,12 +111,15 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, share: float = SHAR
     """Filters from text and lang of the rows of ``docs``; null texts and langs teach nothing.
 
     Of a language with more than ``per_language`` documents, about so many are
-    taken, by a hash of the doc_id; the driver gets no more n-grams than frequent
+    taken, by a hash of the doc_id.  The table has a bit for each lang value, so
+    these should be languages, some thousands at most; the driver gets no more n-grams than frequent
     ones of such samples (at most mean n-grams of a document / ``share`` for each
     language).  No usable rows: a model without languages.
     """
     rows = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), per_language / F.col("count")).alias("rate"))
+    counts = materialize(rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), per_language / F.col("count")).alias("rate")), "languages")
+    if counts.count() <= LANGUAGES:
+        counts = F.broadcast(counts)  # beyond that both sides are plain exchanges, of which Spark splits the large partitions
     sample = rows.join(counts, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +145,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, share: float = SHAR
                 yield pa.RecordBatch.from_arrays([pa.array(known.tolist(), pa.string()), pa.nulls(len(known), pa.int64()), pa.array(np.bincount(lang, minlength=len(known)))], names=["lang", "gram", "n"])
 
     found = materialize(sample.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    least = found.filter("gram is null").select("lang", F.greatest(F.lit(2.0), F.col("n") * share).alias("least"))
+    least = found.filter("gram is null").select("lang", F.when(F.col("n") < FEW, 1.0).otherwise(F.greatest(F.lit(2.0), F.col("n") * share)).alias("least"))
     kept = found.filter("gram is not null").join(F.broadcast(least), "lang").filter("n >= least").select("lang", "gram").toPandas()
     languages = tuple(sorted(r["lang"] for r in least.select("lang").collect()))
     table = np.zeros((1 << BITS, -(-len(languages) // 8)), np.uint8)

@@ -87,6 +87,8 @@ def test_language_id_edges(spark):
     got = {(r["doc_id"], r["lang_pred"]) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")).collect()}
     assert {(200, "und"), (201, "und"), (202, "und"), (None, "aa"), (203, "zz"), (204, "zz")} <= got
     assert all(p in ("aa", "zz") for d, p in got if d not in (200, 201, 202))
+    few = spark.createDataFrame([(1, "alpha beta", "aa"), (3, "zorro jazz", "zz"), (4, "zorro", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(few).collect()} == {1: "aa", 3: "zz", 4: "zz"}
     none = spark.createDataFrame([(1, "text", None), (2, None, "en")], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in langid.identify(none).collect()} == {"und"}
     assert langid.identify(none.limit(0)).collect() == []
