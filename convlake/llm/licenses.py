@@ -1,16 +1,18 @@
 """License scanning with ordered signature rules, in DataFrame functions only.
 
 A text is reduced to its words (A-Z lower-cased, runs of ASCII letters and digits
-and of non-ASCII characters, one blank between two).  Stretches around license
-keywords are cut out, equal ones once; each rule whose keyword stands in a stretch
-is tried there.  Of overlapping detections, one that lies inside the interval of
-a rule of higher priority (earlier in the list) is suppressed.
+and of non-ASCII characters, one blank between two).  This word text is looked at
+in pieces that overlap by more than two matches; each rule whose keyword stands in
+a piece is tried there at all its places, and a detection belongs to the piece in
+whose own part it starts.  One that lies inside the interval of a rule of higher
+priority (earlier in the list) is suppressed.
 
 Three base phrases are found everywhere, by consecutive words.
 """
 
 from __future__ import annotations
 
+from re import _parser
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -20,8 +22,8 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Words of context before and after a keyword.
-BEFORE, AFTER = 10, 60
+#: Characters of a piece that are its own.
+PIECE = 1024
 KEYWORDS = "licen[cs]e|licen[cs]ed|licen[cs]es|licen[cs]ing|copyright|copyrighted|copyleft|spdx|creative|cc|cc0|gpl|lgpl|agpl|gplv2|gplv3|unlicense|wtfpl|proprietary|patent|warranty|redistribution|permission|rights|public"
 
 
@@ -138,6 +140,11 @@ def rules() -> list[Rule]:
     return [*versioned, *creative, *(Rule(*s) for s in SIGNATURES[:8]), *named, *(Rule(*s) for s in SIGNATURES[8:])]
 
 
+def reach() -> int:
+    """More characters than any match of a rule has, with what it looks at on both sides."""
+    return max(_parser.parse(r.regex).getwidth()[1] for r in rules()) + 4
+
+
 def word_text(text: Column) -> Column:
     """The words of a text, one blank before, between and after them."""
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -171,14 +178,22 @@ def scan(docs: DataFrame) -> DataFrame:
     firsts = [F.when(size(k) > 0, _words(F.element_at(f"p{k}", 1))) for k in range(len(BASE))]
     lasts = [F.when(size(k) > 0, F.col("n_words") - _words(F.element_at(f"p{k}", -1)) - len(BASE[k][0].split())) for k in range(len(BASE))]
     base = F.filter(F.array(*(F.when(size(k) > 0, F.lit(label)) for k, (_, label) in enumerate(BASE))), lambda x: x.isNotNull())
-    table = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(r.label).alias("label"), F.lit(f" {r.keyword} " if r.keyword == "cc" else r.keyword).alias("keyword"), F.lit(f"(?<= )(?:{r.regex})(?= )").alias("regex"), F.lit(r.weight).alias("weight")) for n, r in enumerate(rules())))
-    windows = F.array_distinct(F.regexp_extract_all("w", F.lit(rf"(?:(?<= )[^ ]+ ){{0,{BEFORE}}}(?<= )(?:{KEYWORDS})(?: [^ ]+){{0,{AFTER}}}(?= )"), F.lit(0)))
-    rows = rows.select("doc_id", "n_words", sum((size(k) for k in range(len(BASE))), F.lit(0)).cast("long").alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), base.alias("base"), windows.alias("windows"))
-    # one evaluation for each stretch: where the rules with a keyword in it match first
-    hits = """transform(coalesce(windows, array()), y -> transform(
-        filter(transform(filter(rules, r -> contains(concat(' ', y, ' '), r.keyword)), r -> struct(r.n AS n, r.label AS label, r.weight AS weight, regexp_instr(concat(' ', y, ' '), r.regex) AS s, length(regexp_extract(concat(' ', y, ' '), r.regex, 0)) AS size)), h -> h.s > 0),
-        h -> struct(h.n, h.label, h.weight, h.s, h.s + h.size AS e)))"""
-    kept = "flatten(transform(hits, y -> filter(y, a -> not exists(y, b -> b.n < a.n and b.s <= a.s and b.e >= a.e))))"
+    by_keyword = {}
+    for n, r in enumerate(rules()):
+        by_keyword.setdefault(f" {r.keyword} " if r.keyword == "cc" else r.keyword, []).append(F.struct(F.lit(n).alias("n"), F.lit(r.label).alias("label"), F.lit(f"(?<= )(?:{r.regex})(?= )").alias("regex"), F.lit(r.weight).alias("weight")))
+    table = F.array(*(F.struct(F.lit(k).alias("keyword"), F.array(*found).alias("rules")) for k, found in by_keyword.items()))
+    # a piece is preceded and followed by what a match that touches its own part can reach
+    side = reach()
+    pieces = F.regexp_extract_all("w", F.lit(rf"(?s)(?=(.{{1,{PIECE + 2 * side}}}))(?:.{{{PIECE}}}|.+)"), F.lit(1))
+    rows = rows.select("doc_id", "n_words", sum((size(k) for k in range(len(BASE))), F.lit(0)).cast("long").alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), base.alias("base"), pieces.alias("pieces"))
+    # the matches of a rule and what lies between them, then their places
+    tried = """transform(filter(flatten(transform(filter(rules, k -> contains(y, k.keyword)), k -> k.rules)), r -> y rlike r.regex),
+        r -> struct(r.n, r.label, r.weight, regexp_extract_all(y, r.regex, 0) AS found, split(y, r.regex, -1) AS parts))"""
+    hits = f"""transform(coalesce(pieces, array()), y -> flatten(transform({tried}, r -> transform(r.found, (m, i) ->
+        struct(r.n, r.label, r.weight, length(array_join(slice(r.parts, 1, i + 1), '')) + length(array_join(slice(r.found, 1, i), '')) AS s, length(m) AS size)))))"""
+    hits = f"transform({hits}, y -> transform(y, h -> struct(h.n, h.label, h.weight, h.s, h.s + h.size AS e)))"
+    own = f"filter(y, a -> (p = 0 or a.s >= {side}) and a.s < {PIECE + side})"
+    kept = f"flatten(transform(hits, (y, p) -> filter({own}, a -> not exists(y, b -> b.n < a.n and b.s <= a.s and b.e >= a.e))))"
     rows = rows.withColumn("rules", table).withColumn("hits", F.expr(hits)).withColumn("kept", F.expr(kept))
     labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("kept", lambda x: x["label"]))))
     score = F.greatest(F.when(F.col("n_base") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("kept", lambda x: x["weight"])), F.lit(0.0)))

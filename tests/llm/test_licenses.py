@@ -49,3 +49,34 @@ def test_rules_and_suppression(spark):
     assert {t: got[i] for i, t in rows} == want
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert len(licenses.rules()) > 300
+
+
+def brute_rules(text):
+    """Labels and score by all rules over the whole word text."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    w = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", f" {low} ")
+    hits = [(n, r.label, r.weight, *m.span()) for n, r in enumerate(licenses.rules()) for m in re.finditer(f"(?<= )(?:{r.regex})(?= )", w)]
+    kept = [a for a in hits if not any(b[0] < a[0] and b[3] <= a[3] and b[4] >= a[4] for b in hits)]
+    base = [label for phrase, label in licenses.BASE if f" {phrase} " in w]
+    return ",".join(sorted({*base, *(a[1] for a in kept)})), max([1.0 for _ in base] + [a[2] for a in kept], default=0.0)
+
+
+def assert_rules(spark, texts):
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(t[-200:], got[i]) for i, t in enumerate(texts)] == [(t[-200:], brute_rules(t)) for t in texts]
+
+
+def test_signatures_at_all_distances_behind_a_keyword(spark):
+    signs = ["released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy", "Apache License, Version 2.0 or later", "Redistribution and use in source and binary forms, with or without modification", "creative commons attribution share alike 4.0", "dedicated to the public domain"]
+    assert_rules(spark, [f"copyright holder {'word ' * k}{s}" for s in signs for k in range(81)])
+
+
+def test_all_places_of_a_rule_and_edges_of_pieces(spark):
+    once = "licensed under the gnu gpl version 2"
+    texts = [f"{once} and then gpl 2", f"gpl license. {once}", f"cc by nc 4.0 {'x ' * 900} cc by nc", "cc by nc 4.0, " * 400]
+    step = licenses.PIECE
+    texts += ["license " + "é" * (step * k + d) + f" {once} or any later version, public domain" for k in (1, 2) for d in range(-260, 260, 7)]
+    r = random.Random(5)
+    bits = "license licensed under the terms of gnu gpl lgpl lesser general public version v 2 1 0 3 or any later mit apache software cc by nc sa creative commons attribution in to domain dedicated 4 word é".split()
+    texts += [" ".join(r.choice(bits) for _ in range(r.randint(200, 1500))) for _ in range(40)]
+    assert_rules(spark, texts)
