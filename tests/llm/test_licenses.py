@@ -1,5 +1,6 @@
 import random
 import re
+from re import _parser
 
 from convlake.llm import licenses
 
@@ -80,3 +81,35 @@ def test_all_places_of_a_rule_and_edges_of_pieces(spark):
     bits = "license licensed under the terms of gnu gpl lgpl lesser general public version v 2 1 0 3 or any later mit apache software cc by nc sa creative commons attribution in to domain dedicated 4 word é".split()
     texts += [" ".join(r.choice(bits) for _ in range(r.randint(200, 1500))) for _ in range(40)]
     assert_rules(spark, texts)
+
+
+def samples(tree, pick):
+    """A text that a parsed expression matches; ``pick`` chooses a branch or a number of repeats."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            kind, x = arg[0]
+            out += chr(x if str(kind) == "LITERAL" else x[0])
+        elif name == "BRANCH":
+            out += samples(pick(arg[1]), pick)
+        elif name == "SUBPATTERN":
+            out += samples(arg[-1], pick)
+        elif name == "MAX_REPEAT":
+            out += "".join(samples(arg[2], pick) for _ in range(pick(range(arg[0], arg[1] + 1))))
+        else:
+            assert name == "ASSERT_NOT"
+    return out
+
+
+def test_each_rule_alone_in_a_text(spark):
+    r = random.Random(7)
+    texts = ["BSD 3-Clause", "Apache 2.0", "MPL 2.0", "under the same terms as Perl itself", "The Software shall be used for Good, not Evil", "ASL 2.0", "GNU Library General Public License"]
+    for rule in licenses.rules():
+        made = {samples(_parser.parse(rule.regex), pick) for pick in (lambda x: x[0], lambda x: x[-1], r.choice, r.choice)}
+        assert all(re.fullmatch(rule.regex, t) and rule.keyword in t for t in made)
+        texts += sorted(made)
+    assert all(brute_rules(t)[0] for t in texts)
+    assert_rules(spark, texts)
