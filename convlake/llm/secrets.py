@@ -29,11 +29,16 @@ BEFORE, AFTER = 48, 24
 # Names of secrets, shapes of known tokens.
 _NAME = r"key|secret|token|p(?:assw(?:or)?d|assphrase|wd)|credentials?|bearer"
 _ASSIGN = rf"(?=[kstpcbKSTPCB])(?i:(?:{_NAME})[\"']?\s{{0,4}}(?::=|=>|=|:)|bearer\s)\s{{0,4}}[\"']?"
-_KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|xox[abprs]-[0-9A-Za-z-]{10,255}|[srp]k_(?:live|test)_[0-9A-Za-z]{16,255}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{8,4096}\.[0-9A-Za-z_-]{8,4096}\.[0-9A-Za-z_-]{8,4096}"
-_BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[0-9A-Za-z+/=\s]{0,8192}-----END [A-Z ]{0,24}PRIVATE KEY-----)?"
-_VALUE = r"[^\s\"'`<>,;(){}\[\]|]{8,512}"
-_BARE = r"(?<![0-9A-Za-z+/_.-])(?=[A-Za-z+/_.-]{0,48}[0-9])[0-9A-Za-z+/_.-]{16,512}={0,2}"
-CANDIDATE = rf"{_BLOCK}|(?:{_ASSIGN})(?=[^\s\"'`<>,;(){{}}\[\]|]{{0,64}}[0-9!@#$%^&*]){_VALUE}|(?<![0-9A-Za-z])(?:{_KNOWN})|{_BARE}"
+# an eyJ soon behind another in one run of characters can only fail as that one did
+_KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}+|xox[abprs]-[0-9A-Za-z-]{10,}+|[srp]k_(?:live|test)_[0-9A-Za-z]{16,}+|AIza[0-9A-Za-z_-]{35}|(?<!(?<![0-9A-Za-z])eyJ[0-9A-Za-z_-]{0,200})eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+"
+_LINE = r"[A-Z ]{0,24}PRIVATE KEY-----"
+# to the END line, over whatever is no other BEGIN line
+_BLOCK = rf"-----BEGIN {_LINE}(?:(?:[^-]++|-(?!----(?:BEGIN|END) {_LINE}))*+-----END {_LINE})?"
+_VALUE = r"[^\s\"'`<>,;(){}\[\]|]{8,}+"
+# a digit or sign anywhere in the value
+_SIGN = r"(?=[^\s\"'`<>,;(){}\[\]|0-9!@#$%^&*]*+[0-9!@#$%^&*])"
+_BARE = r"(?<![0-9A-Za-z+/_.-])(?=[A-Za-z+/_.-]*+[0-9])[0-9A-Za-z+/_.-]{16,}+={0,2}"
+CANDIDATE = rf"{_BLOCK}|(?:{_ASSIGN})(?:{_BLOCK}|{_SIGN}{_VALUE})|(?<![0-9A-Za-z])(?:{_KNOWN})|{_BARE}"
 #: Strings of which every candidate holds one (or a digit): tried before the expression, which costs more.
 HINTS = ("=", ":", "bearer", "-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "k_live_", "k_test_", "AIza", "eyJ")
 LEAD = rf"^(?:{_ASSIGN})(?=[^\s\"'`]{{8}})"
