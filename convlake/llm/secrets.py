@@ -30,7 +30,7 @@ BEFORE, AFTER = 48, 24
 _NAME = r"key|secret|token|p(?:assw(?:or)?d|assphrase|wd)|credentials?|bearer"
 _ASSIGN = rf"(?=[kstpcbKSTPCB])(?i:(?:{_NAME})[\"']?\s{{0,4}}(?::=|=>|=|:)|bearer\s)\s{{0,4}}[\"']?"
 # an eyJ soon behind another in one run of characters can only fail as that one did
-_KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}+|xox[abprs]-[0-9A-Za-z-]{10,}+|[srp]k_(?:live|test)_[0-9A-Za-z]{16,}+|AIza[0-9A-Za-z_-]{35}|(?<!(?<![0-9A-Za-z])eyJ[0-9A-Za-z_-]{0,200})eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+"
+_KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}+|xox[abprs]-[0-9A-Za-z-]{10,}+|[srp]k_(?:live|test)_[0-9A-Za-z]{16,}+|AIza[0-9A-Za-z_-]{35}|(?=eyJ)(?<!(?<![0-9A-Za-z])eyJ[0-9A-Za-z_-]{0,200})eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+"
 _LINE = r"[A-Z ]{0,24}PRIVATE KEY-----"
 # to the END line, over whatever is no other BEGIN line
 _BLOCK = rf"-----BEGIN {_LINE}(?:(?:[^-]++|-(?!----(?:BEGIN|END) {_LINE}))*+-----END {_LINE})?"
