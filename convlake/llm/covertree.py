@@ -1,19 +1,21 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Vectors are dealt by a hash of their id into blocks of bounded size, data and
-queries alike, and a cover tree is built over each block once.  Every query block
-meets every data block (a stated query set against all rows, in blocks): both
-trees are descended together, and a pair of nodes is pruned when the largest inner
-product that their covering radii allow is below the worst k-th score among the
-queries of the node.  The k best of each pair of blocks are then reduced to the k
-best of each query.
-
-Equal vectors of a block are one point of its tree; of their ids only the k + 1
-smallest can be among the k best of a query.
+Data and queries are indexed together: centres far from each other, chosen from a
+bounded sample, cut both into blocks of vectors that are near each other, and a
+cover tree is built over each block once.  The summaries of the blocks (centre,
+covering radius, longest vector) bound the inner products of every pair of blocks.
+Each query block first meets the blocks that promise most; the k-th scores found
+there are carried along, so that a pair of blocks whose bound is below the worst
+of them is pruned before anything of it is shuffled.  Inside a pair both trees are
+descended together, and a pair of nodes is pruned in the same way.
+
+Equal vectors are one point; of their ids only the k + 1 smallest can be among the
+k best of a query.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,40 +24,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convlake.shared import materialize
+from convlake.shared import materialize, release
 
 K, SCALE = 10, 1024
 #: Vectors of a data block and of a query block, about.
 DATA_BLOCK, QUERY_BLOCK = 4096, 512
-#: A node with so few points has no children.
-LEAF = 32
+#: Vectors that the centres of the blocks are chosen from, and the most centres.
+SAMPLE, CELLS = 8192, 1024
+#: Blocks of data that a query block meets first.
+FIRST = 2
+#: A node covers within BASE**level; one with so few points has no children.
+BASE, LEAF = 1.3, 8
+#: Bytes of query block summaries that one pass over the data block summaries takes along.
+PASS_BYTES = 64 << 20
+#: Points whose distances are computed at once while a tree grows; nodes that a query group opens at once.
+BATCH, OPEN = 64, 64
+
+LOWEST, NO_ID = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 class CoverTree:
     """Nodes in pre-order over points reordered so that a node's points are one slice.
 
-    A node of level i covers its points within radius 2**i of its centre, and its
-    children, of level i - 1, have centres more than 2**(i - 1) apart.
+    A node of level i covers its points within radius BASE**i of its centre, which
+    is also the centre of its first child (nesting); its children, of level i - 1
+    or lower, have centres more than BASE**(i - 1) apart (separation).
     """
 
     def __init__(self, points: np.ndarray):
+        self.points = points
+        self.square = (points**2).sum(1)
+        self.whole = bool(len(points)) and 4 * float(self.square.max(initial=0)) < 2**52
         self.order = np.arange(len(points))
         self.centre: list[int] = []
         self.radius: list[float] = []
         self.first: list[int] = []
         self.last: list[int] = []
         self.children: list[list[int]] = []
-        self.points = points
         if len(points):
-            distance = self.distances(0, np.arange(len(points)))
-            self.grow(0, np.arange(len(points)), distance, int(np.ceil(np.log2(max(distance.max(), 1)))), 0)
-
-    def distances(self, centre: int, rows: np.ndarray) -> np.ndarray:
-        return np.sqrt(((self.points[rows] - self.points[centre]) ** 2).sum(1))
-
-    def grow(self, centre: int, rows: np.ndarray, distance: np.ndarray, level: int, at: int) -> None:
-        """Build the subtrees below a list of pending nodes; no recursion, so that depth is free."""
-        pending = [(centre, rows, distance, level, at, -1)]
+            self.grow(0, np.arange(len(points)), self.distances(np.array([0]), np.arange(len(points)))[0])
+
+    def distances(self, centres: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Distances of centres (rows of the result) to points; without cancellation where squares can round."""
+        if self.whole:
+            square = self.square[centres, None] + self.square[None, rows] - 2 * (self.points[centres] @ self.points[rows].T)
+            return np.sqrt(np.maximum(square, 0))
+        return np.stack([np.sqrt(((self.points[rows] - self.points[c]) ** 2).sum(1)) for c in centres])
+
+    def net(self, centre: int, rows: np.ndarray, distance: np.ndarray, reach: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(centre, points, distances) of parts: each point is with the first centre within reach, the node's own first."""
+        near = distance <= reach
+        parts = [(centre, rows[near], distance[near])]
+        rest = rows[~near]
+        while len(rest):
+            some = self.distances(rest[:BATCH], rest)
+            free = np.ones(len(rest), bool)
+            for i in range(len(some)):
+                if free[i]:
+                    own = free & (some[i] <= reach)
+                    parts.append((int(rest[i]), rest[own], some[i][own]))
+                    free &= ~own
+            rest = rest[free]
+        return parts
+
+    def grow(self, centre: int, rows: np.ndarray, distance: np.ndarray) -> None:
+        """Build the nodes below a centre; a list of pending nodes in place of recursion, so that depth is free."""
+        pending = [(centre, rows, distance, math.inf, 0, -1)]
         while pending:
             centre, rows, distance, level, at, parent = pending.pop()
             node = len(self.centre)
@@ -69,57 +103,36 @@ class CoverTree:
                 self.children[parent].append(node)
             if len(rows) <= LEAF or not self.radius[-1]:
                 continue
-            level = min(level, int(np.ceil(np.log2(self.radius[-1]))))
-            parts, reach = [], 2.0 ** (level - 1)
-            rest, left = rows, distance
-            new = centre
-            while len(rest):
-                near = left <= reach
-                parts.append((new, rest[near], left[near]))
-                rest = rest[~near]
-                if len(rest):
-                    new = int(rest[0])
-                    left = self.distances(new, rest)
-            # points far from each other leave one-point nodes: they are kept together as a leaf of this node
-            single = [p for p in parts if len(p[1]) == 1]
-            if len(single) > 1:
-                lone = np.array([p[0] for p in single])
-                parts = [p for p in parts if len(p[1]) > 1]
-                to = self.distances(centre, lone)
-                if parts:
-                    parts.append((centre, lone, to))
-                else:
-                    continue
-            for c, r, d in parts:
-                pending.append((c, r, d, level - 1, at, node))
-                at += len(r)
+            level = min(level, math.ceil(math.log(self.radius[-1], BASE)))
+            for part in self.net(centre, rows, distance, BASE ** (level - 1)):
+                pending.append((*part, level - 1, at, node))
+                at += len(part[1])
 
     def packed(self) -> dict[str, np.ndarray]:
-        return {"order": self.order, "centre": np.array(self.centre, np.int64), "radius": np.array(self.radius), "first": np.array(self.first, np.int64), "last": np.array(self.last, np.int64), "child": np.array([c for x in self.children for c in x], np.int64), "upto": np.cumsum([len(x) for x in self.children], dtype=np.int64)}
+        length = np.sqrt(self.square)
+        longest = [length[self.order[a:b]].max() for a, b in zip(self.first, self.last, strict=True)]
+        return {"order": self.order, "centre": np.array(self.centre, np.int64), "radius": np.array(self.radius, np.float64), "longest": np.array(longest, np.float64), "first": np.array(self.first, np.int64), "last": np.array(self.last, np.int64), "child": np.array([c for x in self.children for c in x], np.int64), "upto": np.cumsum([0, *(len(x) for x in self.children)], dtype=np.int64)}
 
 
-FIELDS = ("order", "centre", "radius", "first", "last", "child", "upto")
+FIELDS = ("order", "centre", "radius", "longest", "first", "last", "child", "upto", "ids", "times", "at")
+FLOATS = ("radius", "longest")
+BLOCK = "dims int, block string, n int, middle array<double>, reach double, long double, width int, points binary, " + ", ".join(f"{f} binary" for f in FIELDS)
 
 
-def block_row(ids: np.ndarray, vectors: np.ndarray, keep: int | None) -> dict[str, object]:
-    """A block with its tree; of equal vectors, one point and (with ``keep``) the smallest ids."""
-    points, point = np.unique(vectors, axis=0, return_inverse=True) if vectors.shape[1] else (vectors[:1], np.zeros(len(vectors), np.int64))
-    point = point.ravel()
-    order = np.lexsort((ids, point))
-    point, ids = point[order], ids[order]
-    if keep is not None:
-        start = np.searchsorted(point, np.arange(len(points)))
-        near = np.arange(len(point)) - start[point] < keep
-        point, ids = point[near], ids[near]
+def block_row(dims: int, name: str, points: np.ndarray, ids: list[list[int]], times: list[list[int]]) -> dict[str, object]:
+    """A block with its tree: distinct points, and for each the ids that have it and how often."""
     tree = CoverTree(points.astype(np.float64)).packed()
-    at = np.append(np.searchsorted(point, np.arange(len(points))), len(point))
-    return {"points": points.astype(np.int64).tobytes(), "ids": ids.astype(np.int64).tobytes(), "at": at.astype(np.int64).tobytes(), **{f: tree[f].tobytes() for f in FIELDS}}
+    at = np.cumsum([0, *map(len, ids)], dtype=np.int64)
+    flat = {"ids": np.array([i for x in ids for i in x], np.int64), "times": np.array([t for x in times for t in x], np.int64), "at": at}
+    width = np.dtype(np.int16 if not points.size or np.abs(points).max() < 2**15 else np.int64)
+    top = {"middle": points[tree["centre"][0]].astype(float).tolist(), "reach": float(tree["radius"][0]), "long": float(tree["longest"][0])}
+    return {"dims": dims, "block": name, "n": int(at[-1]), **top, "width": width.itemsize, "points": points.astype(width).tobytes(), **{f: x.tobytes() for f, x in {**tree, **flat}.items()}}
 
 
-def unpack(row: dict[str, bytes], dims: int) -> dict[str, np.ndarray]:
-    out = {f: np.frombuffer(row[f], np.float64 if f == "radius" else np.int64) for f in (*FIELDS, "ids", "at")}
-    out["points"] = np.frombuffer(row["points"], np.int64).reshape(-1, dims) if dims else np.zeros((1, 0), np.int64)
-    return out
+def unpack(row: dict[str, object]) -> dict[str, np.ndarray]:
+    out = {f: np.frombuffer(row[f], np.float64 if f in FLOATS else np.int64) for f in FIELDS}
+    flat = np.frombuffer(row["points"], f"i{row['width']}").astype(np.int64)
+    return {**out, "points": flat.reshape(len(out["at"]) - 1, row["dims"])}
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,84 +142,228 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def search(q: dict[str, np.ndarray], d: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, vector id, score): for each query the k best vectors of a data block, but for its own id."""
-    n = len(q["ids"])
-    scores = np.full((n, k), np.iinfo(np.int64).min)
-    found = np.full((n, k), np.iinfo(np.int64).max)
-    by_point = np.repeat(np.arange(len(q["at"]) - 1), np.diff(q["at"]))
-    worst = np.full(len(q["at"]) - 1, -np.inf)
-    qf, df = q["points"].astype(np.float64), d["points"].astype(np.float64)
-    q_long, d_long = np.sqrt((qf**2).sum(1)), np.sqrt((df**2).sum(1))
-    q_kids = np.split(q["child"], q["upto"][:-1])
-    d_kids = np.split(d["child"], d["upto"][:-1])
-    slack = 1 + 1e-9
-
-    def bounds(a: int, nodes: np.ndarray) -> np.ndarray:
-        c, r = q["centre"][a], q["radius"][a]
-        m, s = d["centre"][nodes], d["radius"][nodes]
-        return df[m] @ qf[c] + (r * d_long[m] + s * q_long[c] + r * s) * slack + 1e-6 + 1e-12 * q_long[c] * d_long[m]
-
-    def base(a: int, b: int) -> None:
-        """All queries of a node against all points of a node."""
-        qp = q["order"][q["first"][a] : q["last"][a]]
-        dp = d["order"][d["first"][b] : d["last"][b]]
-        at = d["at"]
-        size = at[dp + 1] - at[dp]
-        of = np.repeat(np.arange(len(dp)), size)
-        ids = d["ids"][np.repeat(at[dp], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-        got = products(q["points"][qp], d["points"][dp])
-        for j, p in enumerate(qp.tolist()):
-            line = got[j][of]
-            for i in range(q["at"][p], q["at"][p + 1]):
-                fit = (line >= scores[i, -1]) & (ids != q["ids"][i])
-                if not fit.any():
-                    continue
-                s, v = np.concatenate([scores[i], line[fit]]), np.concatenate([found[i], ids[fit]])
-                best = np.lexsort((v, ~s))[:k]
-                scores[i], found[i] = s[best], v[best]
-            low = scores[q["at"][p] : q["at"][p + 1], -1].min()
-            worst[p] = low if low > np.iinfo(np.int64).min else -np.inf
-
-    if n and len(d["ids"]):
-        stack = [(0, 0, float(bounds(0, np.array([0]))[0]))]
+def bound(dot: np.ndarray, q: tuple, d: tuple) -> np.ndarray:
+    """Largest inner product that two balls allow; each is (length of the centre, radius, longest vector).
+
+    By the radii, or by the lengths and the distance that the radii leave between
+    two vectors (2 qd = qq + dd - |q - d|^2), whichever is less.
+    """
+    (ql, qr, qm), (dl, dr, dm) = q, d
+    ball = dot + qr * dl + dr * ql + qr * dr
+    gap = np.maximum(np.sqrt(np.maximum(ql**2 + dl**2 - 2 * dot, 0)) - qr - dr, 0)
+    by_length = (qm**2 + dm**2) * (0.5 + 1e-9) - gap**2 / 2
+    least = np.where(qr + dr > 0, np.minimum(ball, by_length), ball)
+    return least + 1e-6 + 1e-9 * (ql + qr) * (dl + dr)
+
+
+class Search:
+    """The k best of a data block for each query of a query block; ``products`` counts inner products, bounds included."""
+
+    def __init__(self, q: dict[str, np.ndarray], d: dict[str, np.ndarray], k: int, known: np.ndarray | None = None):
+        self.q, self.d, self.k = q, d, k
+        self.of = np.repeat(np.arange(len(q["at"]) - 1), np.diff(q["at"]))  # the point of each query
+        n = len(q["ids"])
+        self.scores, self.found = np.full((n, k), LOWEST), np.full((n, k), NO_ID)
+        self.worst = np.full(n, -np.inf) if known is None else known.astype(np.float64)
+        self.qf, self.df = q["points"].astype(np.float64), d["points"].astype(np.float64)
+        self.ql, self.dl = np.sqrt((self.qf**2).sum(1)), np.sqrt((self.df**2).sum(1))
+        self.inner = np.diff(d["upto"]) > 0
+        self.products = 0
+        if n and len(d["ids"]):
+            self.descend()
+
+    def bounds(self, a: int, nodes: np.ndarray) -> np.ndarray:
+        c, m = self.q["centre"][a], self.d["centre"][nodes]
+        self.products += len(nodes)
+        return bound(self.df[m] @ self.qf[c], (self.ql[c], self.q["radius"][a], self.q["longest"][a]), (self.dl[m], self.d["radius"][nodes], self.d["longest"][nodes]))
+
+    def queries(self, a: int) -> np.ndarray:
+        """Queries of a node."""
+        points = self.q["order"][self.q["first"][a] : self.q["last"][a]]
+        return spread(self.q["at"], points)[0]
+
+    def kids(self, nodes: np.ndarray) -> np.ndarray:
+        return self.d["child"][spread(self.d["upto"], nodes)[0]]
+
+    def descend(self) -> None:
+        stack = [(0, np.array([0]))]
         while stack:
-            a, b, bound = stack.pop()
-            # the worst k-th score of the node's queries
-            if bound < worst[q["order"][q["first"][a] : q["last"][a]]].min():
+            a, nodes = stack.pop()
+            rows = self.queries(a)
+            worst = self.worst[rows].min()
+            values = self.bounds(a, nodes)
+            nodes, values = nodes[values >= worst], values[values >= worst]
+            children = self.q["child"][self.q["upto"][a] : self.q["upto"][a + 1]]
+            if not len(children):
+                self.group(a, rows, nodes, values)
+                continue
+            # the wider side is opened first, but nothing is as long as nothing could be pruned
+            while worst > -np.inf and len(wide := np.flatnonzero(self.inner[nodes] & (self.d["radius"][nodes] > self.q["radius"][a]))):
+                opened = self.kids(nodes[wide])
+                opened = opened[self.bounds(a, opened) >= worst]
+                nodes = np.concatenate([np.delete(nodes, wide), opened])
+            if len(nodes):
+                stack += [(int(c), nodes) for c in children]
+
+    def group(self, a: int, rows: np.ndarray, nodes: np.ndarray, values: np.ndarray) -> None:
+        """The most promising nodes first, until none can improve on the worst k-th score of the group."""
+        few = 1
+        while len(nodes):
+            fit = values >= self.worst[rows].min()
+            nodes, values = nodes[fit], values[fit]
+            few = min(2 * few, OPEN)
+            best = np.argsort(-values, kind="stable")[:few]
+            top = nodes[best]
+            nodes, values = np.delete(nodes, best), np.delete(values, best)
+            self.compare(rows, top[~self.inner[top]])
+            opened = self.kids(top[self.inner[top]])
+            nodes, values = np.concatenate([nodes, opened]), np.concatenate([values, self.bounds(a, opened)])
+
+    def compare(self, rows: np.ndarray, leaves: np.ndarray) -> None:
+        """All queries of a group against all points of leaves."""
+        points = self.d["order"][spread_ranges(self.d["first"][leaves], self.d["last"][leaves])]
+        if not len(points):
+            return
+        place, of = spread(self.d["at"], points)
+        ids, times = self.d["ids"][place], self.d["times"][place]
+        got = products(self.q["points"][self.of[rows]], self.d["points"][points])
+        self.products += got.size
+        for j, i in enumerate(rows.tolist()):
+            line = got[j][of]
+            fit = np.flatnonzero((line >= self.worst[i]) & (ids != self.q["ids"][i]))
+            if not len(fit):
                 continue
-            if not len(d_kids[b]) and (not len(q_kids[a])):
-                base(a, b)
-            elif len(d_kids[b]) and (not len(q_kids[a]) or d["radius"][b] >= q["radius"][a]):
-                values = bounds(a, d_kids[b])
-                for i in np.argsort(values, kind="stable"):
-                    stack.append((a, int(d_kids[b][i]), float(values[i])))
-            else:
-                for c in q_kids[a]:
-                    stack.append((int(c), b, float(bounds(int(c), np.array([b]))[0])))
-    real = found < np.iinfo(np.int64).max
-    return np.repeat(q["ids"], k)[real.ravel()], found[real], scores[real]
-
-
-def scaled(vectors: DataFrame, block: int, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, dims, block and the integer vector of every usable row."""
+            fit = np.repeat(fit, times[fit])
+            s, v = np.concatenate([self.scores[i], line[fit]]), np.concatenate([self.found[i], ids[fit]])
+            order = np.lexsort((v, ~s))[: self.k]
+            self.scores[i], self.found[i] = s[order], v[order]
+            if self.found[i, -1] != NO_ID:
+                self.worst[i] = max(self.worst[i], self.scores[i, -1])
+
+    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query in its block, query id, vector id, score) of what was found."""
+        at, nth = np.nonzero(self.found != NO_ID)
+        return at, self.q["ids"][at], self.found[at, nth], self.scores[at, nth]
+
+
+def spread_ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    size = last - first
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def spread(at: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places at[i] to at[i + 1] of each i of ``pick``, and the place in ``pick`` that each belongs to."""
+    return spread_ranges(at[pick], at[pick + 1]), np.repeat(np.arange(len(pick)), at[pick + 1] - at[pick])
+
+
+# --- blocks -------------------------------------------------------------------
+
+
+def scaled(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """vec_id, dims and the integer vector of every usable row."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda c: c.cast("double")).alias("x"))
     finite = ~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & finite)
-    n = max(1, -(-rows.count() // block))
-    return rows.select("vec_id", F.size("x").alias("dims"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), F.transform("x", lambda c: F.floor(F.lit(SCALE) * c)).alias("vector"))
+    return rows.select("vec_id", F.size("x").alias("dims"), F.transform("x", lambda c: F.floor(F.lit(SCALE) * c)).alias("vector"))
+
 
+def distinct_points(rows: DataFrame, k: int) -> DataFrame:
+    """dims, vector, ids: of equal vectors one row, with the k + 1 smallest ids and how often each has it (k at most)."""
+    counted = rows.groupBy("dims", "vector", "vec_id").agg(F.least(F.count("*"), F.lit(k)).alias("n"))
+    order = Window.partitionBy("dims", "vector").orderBy("vec_id")
+    near = counted.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1)
+    return near.groupBy("dims", "vector").agg(F.array_sort(F.collect_list(F.struct("vec_id", "n"))).alias("ids"))
 
-BLOCK = "dims int, block int, points binary, ids binary, at binary, " + ", ".join(f"{f} binary" for f in FIELDS)
 
+def far_apart(points: np.ndarray, n: int) -> np.ndarray:
+    """``n`` points (at most), each the farthest from those before it."""
+    away, out = np.full(len(points), np.inf), [0]
+    while len(out) < n:
+        away = np.minimum(away, ((points - points[out[-1]]) ** 2).sum(1))
+        if not away.max() > 0:
+            break
+        out.append(int(away.argmax()))
+    return points[out]
 
-def blocks(rows: DataFrame, keep: int | None) -> DataFrame:
+
+def in_blocks(points: DataFrame, centres: dict[int, np.ndarray], size: int) -> DataFrame:
+    """``points`` with ``block``: its nearest centre, and a part where a centre has more than ``size`` points."""
+    sent = points.sparkSession.sparkContext.broadcast(centres)  # at most CELLS vectors of a length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, cell = batch.column("dims").to_numpy(), np.zeros(batch.num_rows, np.int32)
+            for n in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == n)
+                near = sent.value.get(n)
+                if n and near is not None:
+                    x = batch.column("vector").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n).astype(np.float64)
+                    cell[rows] = np.argmin((near**2).sum(1)[None, :] - 2 * x @ near.T, axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
+    dealt = materialize(points.mapInArrow(run, schema + ", cell int"), "celled")
+    parts = dealt.groupBy("dims", "cell").agg(F.ceil(F.count("*") / size).alias("parts"))
+    # one row for each length and centre
+    part = F.pmod(F.xxhash64("vector", "ids"), F.col("parts")).cast("string")
+    return dealt.join(parts, ["dims", "cell"]).withColumn("block", F.concat_ws("/", F.col("dims").cast("string"), F.col("cell").cast("string"), part)).drop("cell", "parts")
+
+
+def with_trees(points: DataFrame) -> DataFrame:
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        dims, block = key
+        dims, name = key
         vectors = np.stack(pdf["vector"].to_numpy()).reshape(len(pdf), dims) if dims else np.zeros((len(pdf), 0), np.int64)
-        return pd.DataFrame([{"dims": dims, "block": block, **block_row(pdf["vec_id"].to_numpy(np.int64), vectors.astype(np.int64), keep)}])
+        ids, times = ([[x[f] for x in row] for row in pdf["ids"]] for f in ("vec_id", "n"))
+        return pd.DataFrame([block_row(dims, name, vectors.astype(np.int64), ids, times)])
+
+    return points.groupBy("dims", "block").applyInPandas(run, BLOCK)
+
+
+def block_bounds(left: DataFrame, right: DataFrame) -> DataFrame:
+    """q_block, block, bound, n of every query block and data block of one length, from their summaries alone."""
+    spark = left.sparkSession
+    heads = left.select("dims", "block", "middle", "reach", "long")
+    total = heads.agg(F.sum(F.col("dims") * 8 + 64)).first()[0] or 0
+    passes, out = max(1, -(-total // PASS_BYTES)), None
+    for p in range(passes):
+        some = heads.filter(F.pmod(F.xxhash64("block"), F.lit(passes)) == p).toPandas()
+        by_dims = {int(n): (g["block"].to_numpy(), np.stack(g["middle"].to_numpy()).reshape(len(g), n), g["reach"].to_numpy(), g["long"].to_numpy()) for n, g in some.groupby("dims")}
+        sent = spark.sparkContext.broadcast(by_dims)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["dims"] not in sent.value:
+                        continue
+                    names, middle, reach, long = sent.value[row["dims"]]
+                    own = np.array(row["middle"], np.float64)
+                    values = bound(middle @ own, (np.sqrt((middle**2).sum(1)), reach, long), (np.sqrt((own**2).sum()), row["reach"], row["long"]))
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([row["block"]] * len(names)), pa.array(values), pa.array([row["n"]] * len(names), pa.int32())], names=["q_block", "block", "bound", "n"])
+
+        part = right.select("dims", "block", "middle", "reach", "long", "n").mapInArrow(run, "q_block string, block string, bound double, n int")
+        out = part if out is None else out.union(part)
+    return out
+
 
-    return rows.groupBy("dims", "block").applyInPandas(run, BLOCK)
+HITS = "q_block string, at int, query_id long, vec_id long, score long"
+
+
+def meet(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """Hits of the given pairs of blocks; ``known`` has the k-th score of each query of the block so far, or is null."""
+    fields = [c for c in left.columns if c not in ("dims", "n", "middle", "reach", "long")]
+    mine = left.select(*(F.col(c).alias(f"q_{c}") for c in fields))
+    theirs = right.select("dims", *fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {name: batch.column(name)[r].as_py() for name in batch.schema.names}
+                q = unpack({"dims": row["dims"], **{c: row[f"q_{c}"] for c in fields}})
+                known = None if row["known"] is None else np.array([-np.inf if s is None else s for s in row["known"]])
+                at, *found = Search(q, unpack(row), k, known).hits()
+                yield pa.RecordBatch.from_arrays([pa.array([row["q_block"]] * len(at), pa.string()), pa.array(at, pa.int32()), *(pa.array(x) for x in found)], names=["q_block", "at", "query_id", "vec_id", "score"])
+
+    return pairs.join(mine, "q_block").join(theirs, "block").mapInArrow(run, HITS)
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -216,25 +373,34 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, id_col: str = "vec
     that are null, hold null or non-finite components or have no id take no part;
     only vectors of equal length meet (those of length 0 score 0).  Rows with the
     same id are candidates of their own; of equal queries (id and vector) one is
-    answered.  Fewer candidates than k: all.  Inner products are 64-bit integers.
-    No queries or no vectors: no rows.  Other columns are ignored, whatever their
-    names.
-    """
-    left = materialize(blocks(scaled(queries, query_block, id_col, vector_col).distinct(), None), "query-blocks")
-    right = materialize(blocks(scaled(vectors, data_block, id_col, vector_col), k + 1), "data-blocks")
-    left = left.select("dims", *(F.col(c).alias(f"q_{c}") for c in left.columns if c != "dims"))
-    # every query block is sent to each data block of its length
-    places = right.select("dims", "block")
-    pairs = left.join(places, "dims").join(right, ["dims", "block"]).repartition("q_block", "block")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {name: batch.column(name)[r].as_py() for name in batch.schema.names}
-                q = unpack({f: row[f"q_{f}"] for f in (*FIELDS, "ids", "at", "points")}, row["dims"])
-                found = search(q, unpack(row, row["dims"]), k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+    answered, different queries with one id share its k places.  Fewer candidates
+    than k: all.  Inner products are 64-bit integers.  No queries or no vectors:
+    no rows.  Other columns are ignored, whatever their names.
 
-    best = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    Blocks are cut by the nearest of at most ``CELLS`` centres, and below that by
+    a hash.  The bounds of all pairs of blocks are a table of their own.
+    """
+    asked = scaled(queries, id_col, vector_col).distinct().select("dims", "vector", F.array(F.struct("vec_id", F.lit(1).cast("long").alias("n"))).alias("ids"))
+    points = materialize(distinct_points(scaled(vectors, id_col, vector_col), k), "points")
+    n = points.count()
+    # a bounded sample, by hash
+    sample = points.select("dims", "vector").orderBy(F.xxhash64("vector")).limit(SAMPLE).toPandas()
+    cells = lambda dims, m: max(1, min(CELLS, m // 4, (PASS_BYTES // (8 * max(dims, 1))), -(-n // data_block)))
+    centres = {int(d): far_apart(np.stack(g["vector"].to_numpy()).astype(np.float64), cells(d, len(g))) for d, g in sample.groupby("dims") if d}
+    left = materialize(with_trees(in_blocks(asked, centres, query_block)), "query-blocks")
+    right = materialize(with_trees(in_blocks(points, centres, data_block)), "data-blocks")
+    release(points)
+
+    nth = Window.partitionBy("q_block").orderBy(F.desc("bound"), "block")
+    pairs = materialize(block_bounds(left, right).withColumn("nth", F.row_number().over(nth)), "block-pairs")
+    first = materialize(meet(pairs.filter(F.col("nth") <= FIRST).select("q_block", "block", F.lit(None).cast("array<double>").alias("known")), left, right, k), "first-hits")
+    # the k-th score of each query so far: of different queries in one place none is lost
+    best = Window.partitionBy("q_block", "at").orderBy(F.desc("score"), "vec_id")
+    kth = first.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") == k).select("q_block", "at", F.col("score").cast("double").alias("score"))
+    known = kth.groupBy("q_block").agg(F.map_from_entries(F.collect_list(F.struct("at", "score"))).alias("by"))
+    known = left.select(F.col("block").alias("q_block"), "n").join(known, "q_block", "left").select("q_block", F.expr("transform(sequence(0, n - 1), i -> by[i])").alias("known"))
+    known = known.withColumn("worst", F.when(F.exists("known", lambda s: s.isNull()), float("-inf")).otherwise(F.array_min("known")))
+    rest = pairs.filter(F.col("nth") > FIRST).join(known, "q_block").filter(F.col("bound") >= F.col("worst")).select("q_block", "block", "known")
+    hits = first.union(meet(rest, left, right, k)).select("query_id", "vec_id", "score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

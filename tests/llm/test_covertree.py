@@ -38,14 +38,52 @@ def test_large_components_stay_exact(spark):
     assert run(spark, vectors[:4], vectors) == brute(vectors[:4], vectors)
 
 
-def test_tree_covers_its_points_and_prunes():
+def test_repeated_ids_and_one_very_common_vector(spark):
+    r = np.random.default_rng(9)
+    same = r.normal(size=4).tolist()
+    vectors = [(i, same) for i in range(300)] + [(7, same)] * 20 + [(i, r.normal(size=4).tolist()) for i in range(400, 500)]
+    queries = [v for v in vectors if v[0] in (0, 7, 20, 450)]
+    assert run(spark, queries, vectors, data_block=60, query_block=2) == brute(queries, vectors)
+
+
+def test_tree_covers_separates_and_nests():
     r = np.random.default_rng(0)
-    points = np.concatenate([r.normal(size=(1500, 3)) * 5 + c for c in ((0, 0, 0), (900, 0, 0), (0, 900, 400))])
-    tree = covertree.CoverTree(points)
-    assert sorted(tree.order.tolist()) == list(range(len(points)))
-    for node, centre in enumerate(tree.centre):
-        own = tree.order[tree.first[node] : tree.last[node]]
-        assert np.sqrt(((points[own] - points[centre]) ** 2).sum(1)).max() <= tree.radius[node] + 1e-9
-        if tree.children[node]:
-            inside = [(tree.first[c], tree.last[c]) for c in tree.children[node]]
-            assert min(inside)[0] == tree.first[node] and max(inside)[1] == tree.last[node] and sum(b - a for a, b in inside) == len(own)
+    for points in (np.concatenate([r.normal(size=(500, 3)) * 5 + c for c in ((0, 0, 0), (900, 0, 0), (0, 900, 400))]), r.normal(size=(700, 40)), np.repeat(r.integers(-3, 3, (5, 2)), 50, 0).astype(float)):
+        tree = covertree.CoverTree(points)
+        assert sorted(tree.order.tolist()) == list(range(len(points)))
+        for node, centre in enumerate(tree.centre):
+            own = tree.order[tree.first[node] : tree.last[node]]
+            assert np.sqrt(((points[own] - points[centre]) ** 2).sum(1)).max() <= tree.radius[node] + 1e-6
+            if tree.children[node]:
+                kids = tree.children[node]
+                inside = sorted((tree.first[c], tree.last[c]) for c in kids)
+                assert inside[0][0] == tree.first[node] and inside[-1][1] == tree.last[node] and sum(b - a for a, b in inside) == len(own)
+                centres = points[[tree.centre[c] for c in kids]]
+                apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2))[~np.eye(len(kids), dtype=bool)]
+                assert centre in [tree.centre[c] for c in kids]
+                assert apart.min() > max(tree.radius[c] for c in kids) - 1e-6
+            else:
+                assert len(own) <= covertree.LEAF or not tree.radius[node]
+
+
+def rows_of(points):
+    return covertree.unpack(covertree.block_row(points.shape[1], "b", points, [[i] for i in range(len(points))], [[1]] * len(points)))
+
+
+def test_pruning_saves_products_on_clustered_data():
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(60, 32))
+    centres *= 1024 / np.sqrt((centres**2).sum(1, keepdims=True))
+    data = np.floor(np.repeat(centres, 40, 0) + r.normal(size=(2400, 32)) * 8).astype(np.int64)
+    asked = data[::10]
+    search = covertree.Search(rows_of(asked), rows_of(data), 10)
+    assert search.products < len(asked) * len(data) / 5
+    exact = np.sort(asked @ data.T, 1)[:, ::-1]
+    at, _, found, score = search.hits()
+    for i in range(0, len(asked), 7):
+        # a query's own id is no candidate, so one of its own place's scores is missing
+        want = sorted((asked[i] @ data.T)[np.arange(len(data)) != i], reverse=True)[:10]
+        assert score[at == i].tolist() == want
+    # with k-th scores known beforehand even less is computed
+    again = covertree.Search(rows_of(asked), rows_of(data), 10, exact[:, 10].astype(float))
+    assert again.products < search.products
