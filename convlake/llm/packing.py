@@ -38,10 +38,12 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 REMEMBERED = 150_000
 #: Bytes of text that are encoded at once.
 SLICE = 2 << 20
-#: Pieces of one length are numbered in so many independent cells.
-CELLS = 64
+#: Pieces of one length are numbered in independent cells of about so many.
+CELL = 50_000
+#: Cells (length, cell, first rank: 20 bytes) that are broadcast; more are joined by a shuffle.
+BROADCAST_CELLS = 200_000
 
-PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+PIECE_FIELDS = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
 
 
 # --- lengths to sequences ---------------------------------------------------
@@ -176,7 +178,9 @@ class Encoder:
     """Token ids of whole texts; runs of text that occur again are encoded once.
 
     The ids of remembered runs lie in one array; a dictionary gives their places.
-    Runs beyond the bound of the memory are encoded each time they are met.
+    Runs beyond the bound of the memory are encoded each time they are met.  The
+    tokenizer is used as its file says: where the string of an added token stands
+    in a text, it gives that token.  Such a string is never cut.
     """
 
     def __init__(self, path: str):
@@ -184,7 +188,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.encode() for t in added if t.content]
+        # tokens that take blanks or words beside them along: texts that hold one are encoded whole
+        self.greedy = [t.content.encode() for t in added if t.content and (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[bytes, int] = {}
         self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -199,6 +206,8 @@ class Encoder:
         texts = [k.decode("utf-8", "replace") for k in keys]
         cores = [t[1:] if t[:1] == " " else t for t in texts]
         plain = np.array([c.split() == [c] for c in cores], bool)
+        if self.added:
+            plain &= np.array([not any(a in k for a in self.added) for k in keys], bool)
         lines = np.flatnonzero(plain)
         joined = ["\n".join(texts[i] for i in lines[a : a + 500]) + "\n" for a in range(0, len(lines), 500)]
         single = np.flatnonzero(~plain)
@@ -213,9 +222,23 @@ class Encoder:
         start[single] = len(flat) + np.cumsum(size[single]) - size[single]
         return np.concatenate([flat, *more]), start, size
 
+    def apart(self, data: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """``starts`` but for those inside the string of an added token (inside its whole row, if the token is greedy)."""
+        blob, inside = data.tobytes(), None
+        for token in self.added:
+            i = blob.find(token)
+            while i >= 0:
+                row = int(np.searchsorted(at, i, "right")) - 1
+                if i + len(token) <= at[row + 1]:
+                    inside = np.zeros(len(data), bool) if inside is None else inside
+                    a, b = (at[row], at[row + 1]) if token in self.greedy else (i, i + len(token))
+                    inside[a + 1 : b] = True
+                i = blob.find(token, i + 1)
+        return starts if inside is None else starts[~inside[starts]]
+
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after the other, and their n + 1 offsets."""
-        starts = run_starts(data, at)
+        starts = self.apart(data, at, run_starts(data, at))
         bounds = np.append(starts, len(data)).astype(np.int64)
         runs = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pc.dictionary_encode(runs)
@@ -251,48 +274,72 @@ def cut_pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int,
         for part in slices(batch, most=SLICE):
             flat, to = encoder.encode(*text_bytes(part.column("text")))
             ends = np.array([end_id], np.uint32)
-            rows: list[tuple[int | None, int, int, int, int]] = []
-            for row, doc in enumerate(part.column("doc_id").to_pylist()):
+            rows: list[tuple[int, int, int, int, int]] = []
+            for row in range(part.num_rows):
                 ids = np.concatenate([flat[to[row] : to[row + 1]], ends])
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    rows.append((doc, k, a, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes())))
+                    rows.append((row, k, a, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes())))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=PIECES.names)
+            docs = part.column("doc_id").take(pa.array(columns[0], pa.int64()))
+            own = [pa.array(c, t) for c, t in zip(columns[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([docs, *own], names=["doc_id", *(f.name for f in PIECE_FIELDS)])
 
 
 def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces; only documents longer than a sequence are cut."""
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: cut_pieces(batches, tokenizer, capacity, end_id), PIECES)
+    docs = docs.select("doc_id", "text")
+    return docs.mapInArrow(lambda batches: cut_pieces(batches, tokenizer, capacity, end_id), T.StructType([docs.schema["doc_id"], *PIECE_FIELDS]))
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces of all ``docs`` (doc_id, text) with their sequence_id and offset.
+def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``pieces`` with their rank among those of their length, from 0, by cell, doc_id, piece and crc.
 
-    A null or empty text is its end id alone.  Rows with null or repeated doc_id
-    are packed as documents of their own.  Every document's last pieces are full
-    sequences; the first takes the remainder.  No documents: no rows.  Columns
-    other than doc_id and text are ignored, whatever their names.
+    The cells of a length grow in number with its pieces, so that no task takes a
+    length whole; only the cells' own counts are added up in order.
     """
-    pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id), "pieces")
-    cell = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(CELLS)).cast("int")
-    pieces = pieces.withColumn("cell", cell)
-    # at most capacity x CELLS rows: small enough for the driver and a broadcast at any input size
-    counts = pieces.groupBy("length", "cell").count().toPandas().sort_values(["length", "cell"])
-    totals = counts.groupby("length")["count"].sum()
-    spark = docs.sparkSession
-    counts["first"] = counts.groupby("length")["count"].cumsum() - counts["count"]
-    firsts = spark.createDataFrame(list(counts[["length", "cell", "first"]].itertuples(index=False, name=None)), "length long, cell int, first long")
-    rows = plan_rows(plan({int(k): int(v) for k, v in totals.items()}, capacity))
-    target = spark.createDataFrame([(s, [(a, b, q, o) for t, a, b, q, o in group]) for s, group in grouped(rows)], "length long, ranges array<struct<low:long,high:long,sequence:long,at:long>>")
+    spark = pieces.sparkSession
+    fan = spark.createDataFrame([(n, -(-c // CELL)) for n, c in counts.items()], "length long, cells long")  # one row for each length
+    pieces = pieces.join(F.broadcast(fan), "length").withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("cells"))).drop("cells")
+    before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = pieces.groupBy("length", "cell").count().select("length", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    if sum(-(-c // CELL) for c in counts.values()) <= BROADCAST_CELLS:
+        firsts = F.broadcast(firsts)
     inside = Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("n", F.row_number().over(inside) - 1).join(F.broadcast(firsts), ["length", "cell"]).withColumn("rank", F.col("first") + F.col("n"))
-    placed = ranked.join(F.broadcast(target), "length").withColumn("to", F.expr("element_at(filter(ranges, r -> r.low <= rank and rank < r.high), 1)"))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("to.sequence") + F.col("rank") - F.col("to.low")).alias("sequence_id"), F.col("to.at").alias("offset"))
+    return pieces.withColumn("n", F.row_number().over(inside) - 1).join(firsts, ["length", "cell"]).withColumn("rank", F.col("first") + F.col("n")).drop("cell", "n", "first")
+
+
+def place(batches: Iterator[pa.RecordBatch], rows: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sequence and offset of pieces from length and rank; ``rows`` is ordered by both."""
+    lengths = np.unique(rows[:, 0])
+    at = np.append(np.searchsorted(rows[:, 0], lengths), len(rows))
+    for batch in batches:
+        length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
+        to = np.zeros(batch.num_rows, np.int64)
+        for n in np.unique(length).tolist():
+            own = np.flatnonzero(length == n)
+            k = int(np.searchsorted(lengths, n))
+            to[own] = at[k] + np.searchsorted(rows[at[k] : at[k + 1], 1], rank[own], "right") - 1
+        sequence = rows[to, 3] + rank - rows[to, 1]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(rows[to, 4])], names=[*names, "sequence_id", "offset"])
+
 
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """Pieces of all ``docs`` (doc_id, text) with their sequence_id and offset.
 
-def grouped(rows: list[tuple]) -> list[tuple[int, list[tuple]]]:
-    out: dict[int, list[tuple]] = {}
-    for r in rows:
-        out.setdefault(r[0], []).append(r)
-    return list(out.items())
+    A null or empty text is its end id alone.  A text of any length is encoded
+    whole and then cut: its last pieces are full sequences, the first takes the
+    remainder.  Rows with null or repeated doc_id (of any type that can be
+    ordered) are packed as documents of their own; pieces that tie in length and
+    id are alike.  No documents: no rows.  Columns other than doc_id and text are
+    ignored, whatever their names.
+    """
+    pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id), "pieces")
+    # at most ``capacity`` counts
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    names = pieces.columns
+    rows = np.array(sorted(plan_rows(plan(counts, capacity))), np.int64).reshape(-1, 5)
+    # its size follows the patterns of the lengths, not the number of pieces
+    sent = docs.sparkSession.sparkContext.broadcast(rows)
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked(pieces, counts).select(*names, "rank").mapInArrow(lambda batches: place(batches, sent.value, names), schema)

@@ -3,10 +3,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from convlake.llm import packing, sharding, urlfilter
+from convlake.llm.texts import text_bytes
 
 
 def brute_judge(url):
@@ -70,13 +73,13 @@ def test_plan_equals_one_by_one_packing():
 
 
 TEXTS = [None, "", " ", "a  b\n\nc d.e 's it's don't   x\u00a0y \u3000z", "é à b  c <|endoftext|> 12,3 .. a..b\t\nq", "x \ny\n z \r\n w\x1c d e \x85 f’s\x00", "word " * 3000, "word " * 3000, "\ud7ff😀 z", "a\n" * 1024]
+TEXTS += ["word <|endoftext|> end", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "x\n<|endoftext|>\ny", " <|endoftext|> ", "cut <|endof text|> <|endoftext", "|> z", "q  <|endoftext|>\u3000r.<|endoftext|>!"]
 
 
 def test_packing_round_trip(spark):
     rows = [(i, t, "s") for i, t in enumerate(TEXTS)] + [(4, TEXTS[4], "again"), (None, "null id", "s")]
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, sequence_id string")).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = []
     for i, t, _ in rows:
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
@@ -92,6 +95,20 @@ def test_packing_round_trip(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_runs_equal_whole_texts_with_added_tokens():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encoder, r = Tokenizer.from_file(path), packing.Encoder(path), random.Random(2)
+    for _ in range(60):
+        texts = ["".join(r.choice(["<|endoftext|>", " ", "\n", "ab", "é", ".", "<|", "|>", "endoftext", "7", "'s", "\t"]) for _ in range(r.randint(0, 30))) for _ in range(20)]
+        ids, to = encoder.encode(*text_bytes(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(to, to[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_string_ids_are_packed(spark):
+    got = packing.pack(spark.createDataFrame([("a", "x y"), ("b", None), (None, "z")], "doc_id string, text string")).collect()
+    assert {r["doc_id"] for r in got} == {"a", "b", None} and len({r["offset"] for r in got}) == 3
+
+
 def test_minimax_cuts_are_optimal():
     def best(sizes, k):
         reach = {0: [0]}
@@ -126,6 +143,16 @@ def test_shards(spark):
     assert sharding.assign_shards(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_capacity_is_that_of_the_texts_themselves(spark):
+    r = random.Random(6)
+    for shards in (1, 3, 8):
+        texts = ["".join(r.choice("xyz") for _ in range(r.randint(0, 4))) for _ in range(400)] + ["long " * r.randint(1, 90) for _ in range(30)] + [None] * 9 + ["hot" * 50] * 40
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        sizes = [x["n"] for x in df.groupBy("text").agg(F.expr("sum(octet_length(coalesce(text, '')) + 1) AS n"), F.expr("xxhash64(text) AS h")).orderBy("h").collect()]
+        got = sharding.assign_shards(df, shards).groupBy("shard").sum("size").collect()
+        assert max(x["sum(size)"] for x in got) == sharding.minimax_cuts(np.array(sizes), shards)[0]
+
+
 def test_shards_are_near_equal(spark, sf):
     got = sharding.assign_shards(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")).groupBy("shard").sum("size").toPandas()
     assert len(got) == 8 and got["sum(size)"].max() < 1.25 * got["sum(size)"].mean()
