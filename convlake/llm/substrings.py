@@ -12,8 +12,10 @@ bucket.  Neighbouring windows with the same q-gram form one span, a row.
    suffixes of their bytes are sorted by the bucket identifiers of later offsets
    (8, 16, 32, 64 and 100 bytes deep), each pass using the identifiers of the one
    before and leaving buckets of one suffix alone.
-4. A bucket with more different spans than a task should hold is refined in one
-   step to its full depth instead: its windows become rows, and step 2 ends it.
+4. A bucket with more different spans than a task should hold is refined in the
+   same way by the cluster: its windows become rows with the identifiers of their
+   q-grams, and each round makes the identifier of twice the depth from those of a
+   window's two halves and leaves buckets of one window alone.
 
 All keys are hashed; minima are pre-aggregated and joined back, both sides as
 plain exchanges, so that the rows of a hot key may be split.
@@ -23,12 +25,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from convlake.llm.langid import mix
 from convlake.llm.texts import slices, text_bytes
@@ -37,9 +41,11 @@ from convlake.shared import materialize, release
 #: Bytes of a string whose repeats go, and of the q-gram that names its bucket.
 LENGTH, Q = 100, 24
 #: Different spans of a bucket that are refined in one task.
-TOGETHER = 16_384
-#: Bytes of spans that are refined at once.
-CHUNK = 4 << 20
+TOGETHER = 2048
+#: Bytes of spans that are refined at once, but for a bucket with more.
+CHUNK = 1 << 20
+#: Bits of a place that hold the number of its windows; the others hold its first byte.
+WINDOW_BITS = 16
 NO_ID = 2**63 - 1
 
 _CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -96,9 +102,13 @@ def spans(data: np.ndarray, at: np.ndarray, length: int = LENGTH, q: int = Q) ->
     return h[anchor[start]], p[start], np.diff(np.append(start, len(p))), np.searchsorted(at, p[start], "right") - 1
 
 
-def pack_place(start: np.ndarray, mark: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """First byte, mark of the text (24 bits) and number of windows (7 bits) in one number, ordered by the first byte."""
-    return start << 31 | mark << 7 | n
+def pack_place(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """First byte and number of windows of a span in one number, ordered by the first byte."""
+    return start << WINDOW_BITS | n
+
+
+def start_of(place: Column) -> Column:
+    return F.shiftright(place, WINDOW_BITS)
 
 
 def span_rows(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterator[pa.RecordBatch]:
@@ -110,7 +120,7 @@ def span_rows(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterato
             digest = xxhash.xxh3_64_intdigest
             same = np.fromiter((digest(blob[a:b]) for a, b in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)), np.uint64, len(start))
             doc, mark = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "mark"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), same.view(np.int64), doc[row], pack_place(start - at[row], mark[row], n))], names=["bucket", "same", "doc", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), same.view(np.int64), doc[row], mark[row], pack_place(start - at[row], n))], names=["bucket", "same", "doc", "mark", "place"])
 
 
 def window_buckets(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -172,12 +182,18 @@ def refined(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     if not table.num_rows:
         return
     data, at = text_bytes(table.column("bytes"))
-    doc, place = table.column("doc").to_numpy(), table.column("place").to_numpy()
-    n = place & 127
+    doc, mark, place = (table.column(c).to_numpy() for c in ("doc", "mark", "place"))
+    n = place & (1 << WINDOW_BITS) - 1
     row = np.repeat(np.arange(len(n)), n)
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     kind = window_buckets(data, at[row] + step, length)
-    owner, start = doc[row], (place[row] >> 31) + step
+    # one number for both columns of a document, in their order
+    by_doc = np.lexsort((mark, doc))
+    other = np.ones(len(n), bool)
+    other[1:] = (doc[by_doc][1:] != doc[by_doc][:-1]) | (mark[by_doc][1:] != mark[by_doc][:-1])
+    owner = np.empty(len(n), np.int64)
+    owner[by_doc] = np.cumsum(other)
+    owner, start = owner[row], (place[row] >> WINDOW_BITS) + step
     order = np.lexsort((start, owner, kind))
     lead = order[places(kind[order])]
     again = np.zeros(len(order), bool)
@@ -190,70 +206,108 @@ def refined(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     new[1:] = (row[hit][1:] != row[hit][:-1]) | (start[hit][1:] != start[hit][:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(hit)) - 1
-    mark = place[row[hit[first]]] >> 7 & 0xFFFFFF
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (owner[hit[first]], mark, start[hit[first]], start[hit[last]] + length)], names=["doc", "mark", "start", "stop"])
+    of = row[hit[first]]
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[of], mark[of], start[hit[first]], start[hit[last]] + length)], names=["doc", "mark", "start", "stop"])
 
 
 STRETCH = "doc long, mark long, start long, stop long"
-SPAN = "bucket long, same long, doc long, place long"
+SPAN = "bucket long, same long, doc long, mark long, place long"
 
 
 def later_copies(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """The first of each kind of equal spans (bucket, same), and the stretches of all others."""
-    firsts = materialize(rows.groupBy("bucket", "same").agg(F.min(F.struct("doc", "place")).alias("first")).select("bucket", "same", "first.*"), "firsts")
-    lead = firsts.select("bucket", "same", F.col("doc").alias("lead_doc"), F.shiftright("place", 31).alias("lead_start"))
-    start = F.shiftright("place", 31)
-    others = rows.join(lead, ["bucket", "same"]).filter((F.col("doc") != F.col("lead_doc")) | (start != F.col("lead_start")))
-    return firsts, others.select("doc", F.shiftright("place", 7).bitwiseAND(0xFFFFFF).alias("mark"), start.alias("start"), (start + F.col("place").bitwiseAND(127) + (length - 1)).alias("stop"))
+    firsts = materialize(rows.groupBy("bucket", "same").agg(F.min(F.struct("doc", "mark", "place")).alias("first")).select("bucket", "same", "first.*"), "firsts")
+    lead = firsts.select("bucket", "same", F.col("doc").alias("lead_doc"), F.col("mark").alias("lead_mark"), start_of("place").alias("lead_start"))
+    start = start_of("place")
+    others = rows.join(lead, ["bucket", "same"]).filter((F.col("doc") != F.col("lead_doc")) | (F.col("mark") != F.col("lead_mark")) | (start != F.col("lead_start")))
+    return firsts, others.select("doc", "mark", start.alias("start"), (start + F.col("place").bitwiseAND((1 << WINDOW_BITS) - 1) + (length - 1)).alias("stop"))
+
+
+def gram_offsets(length: int, q: int) -> list[int]:
+    """Offsets of the q-grams that cover a window: one behind the other, the last at the window's end."""
+    return [*range(0, length - q, q), length - q]
+
+
+def refined_rows(windows: DataFrame, grams: int) -> DataFrame:
+    """Windows of hot buckets (rows with the identifiers ``g`` of their q-grams) that are equal to others: bucket and same name each kind.
+
+    Depth doubles from round to round: an identifier is made from those of the two
+    halves, and only windows that share theirs with another go on.
+    """
+    made = [windows]
+    while grams > 1:
+        halves = [f"xxhash64(g[{k}], g[{k + 1}])" if k + 1 < grams else f"g[{k}]" for k in range(0, grams, 2)]
+        grams = len(halves)
+        deeper = windows.withColumn("g", F.expr(f"array({', '.join(halves)})")).withColumn("bucket", F.xxhash64("bucket", "g")).withColumn("same", F.xxhash64("same", F.reverse("g")))
+        many = deeper.groupBy("bucket", "same").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", "same")
+        windows = materialize(deeper.join(many, ["bucket", "same"]), "windows")
+        release(made.pop())
+        made.append(windows)
+    return windows
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, together: int = TOGETHER) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``kept`` (binary) of every row of ``docs``.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier:
-    in a smaller doc_id, or earlier in the same document.  Null texts are empty; a
-    null doc_id counts as the largest.  A row that is repeated starts nowhere
-    earlier than its twin, so both are judged alike.  No rows: no rows.  Columns
-    other than doc_id and text are ignored, whatever their names.
+    in a smaller doc_id, or earlier in the same document.  Texts of any length are
+    taken whole.  Null texts are empty; a null doc_id counts as the largest, and
+    different texts with one doc_id (or none) are ordered by a 64-bit hash.  A row
+    that is repeated starts nowhere earlier than its twin, so both are judged
+    alike.  No rows: no rows.  Columns other than doc_id and text are ignored,
+    whatever their names.  doc_id must be an integer, q less than length, and
+    length - q at most 127: others raise ValueError.
     """
-    rows = docs.select("doc_id", "text").withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "mark": F.xxhash64("text").bitwiseAND(0xFFFFFF)})
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise ValueError("doc_id must be an integer")
+    if not 1 <= q < length or length - q > 127:
+        raise ValueError("q must be less than length, and length - q at most 127")
+    rows = docs.select("doc_id", "text").withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "mark": F.xxhash64("text")})
     found = materialize(rows.select("doc", "mark", "text").mapInArrow(lambda b: span_rows(b, length, q), SPAN), "spans")
     repeated = materialize(found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "buckets")
     shared = materialize(found.join(repeated, "bucket"), "shared-spans")
     release(found)
+    release(repeated)
     firsts, copies = later_copies(shared, length)
     stretches = [materialize(copies, "copies")]
+    release(shared)
 
     kinds = materialize(firsts.groupBy("bucket").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
-    todo = firsts.join(kinds, "bucket").select("doc", F.shiftright("place", 7).bitwiseAND(0xFFFFFF).alias("mark"), F.struct("bucket", (F.col("kinds") > together).alias("hot"), "place").alias("span"))
+    todo = firsts.join(kinds, "bucket").select("doc", "mark", F.struct("bucket", (F.col("kinds") > together).alias("hot"), "place").alias("span"))
     per_doc = todo.groupBy("doc", "mark").agg(F.collect_list("span").alias("spans"))
+    offsets = gram_offsets(length, q)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bytes of each span; of hot buckets, hashes of each window."""
+        """Bytes of each span; of hot buckets, the identifiers of the q-grams of each window."""
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for part in slices(batch):
                 out: list[tuple] = []
-                for doc, text, wanted in zip(*(part.column(c).to_pylist() for c in ("doc", "text", "spans")), strict=True):
+                for doc, mark, text, wanted in zip(*(part.column(c).to_pylist() for c in ("doc", "mark", "text", "spans")), strict=True):
                     raw = text.encode()
                     for s in wanted:
-                        start, n = s["place"] >> 31, s["place"] & 127
+                        start, n = s["place"] >> WINDOW_BITS, s["place"] & (1 << WINDOW_BITS) - 1
                         if not s["hot"]:
-                            out.append((s["bucket"], None, doc, s["place"], raw[start : start + n + length - 1]))
+                            out.append((s["bucket"], doc, mark, s["place"], raw[start : start + n + length - 1], None))
                             continue
                         for k in range(start, start + n):
-                            h = xxhash.xxh3_128_intdigest(raw[k : k + length])
-                            out.append((signed(h >> 64), signed(h & (2**64 - 1)), doc, k << 31 | s["place"] & 0x7FFFFF80 | 1, None))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 5
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "same", "doc", "place", "bytes"])
-
-    pieces = materialize(rows.select("doc", "mark", "text").join(per_doc, ["doc", "mark"]).select("doc", "text", "spans").mapInArrow(cut, SPAN + ", bytes binary"), "span-bytes")
-    cold = pieces.filter("same is null").select("bucket", "doc", "place", "bytes")
+                            out.append((s["bucket"], doc, mark, k << WINDOW_BITS | 1, None, [signed(digest(raw[k + o : k + o + q])) for o in offsets]))
+                columns = list(zip(*out, strict=True)) if out else [[]] * 6
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "doc", "mark", "place", "bytes", "g"])
+
+    pieces = materialize(rows.select("doc", "mark", "text").join(per_doc, ["doc", "mark"]).select("doc", "mark", "text", "spans").mapInArrow(cut, "bucket long, doc long, mark long, place long, bytes binary, g array<long>"), "span-bytes")
+    any_hot = not kinds.filter(F.col("kinds") > together).isEmpty()
+    release(firsts)
+    release(kinds)
+    cold = pieces.filter("g is null").select("bucket", "doc", "mark", "place", "bytes")
     stretches.append(materialize(cold.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: refine(b, length), STRETCH), "refined"))
-    windows = pieces.filter("same is not null").select("bucket", "same", "doc", "place")
-    stretches.append(later_copies(windows, length)[1])
+    if any_hot:
+        hot = materialize(pieces.filter("g is not null").select("bucket", F.lit(0).cast("long").alias("same"), "doc", "mark", "place", "g"), "windows")
+        stretches.append(later_copies(refined_rows(hot, len(offsets)).drop("g"), length)[1])
+    release(pieces)
 
-    gone = stretches[0].union(stretches[1]).union(stretches[2])
+    gone = reduce(DataFrame.union, stretches)
     gone = gone.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     schema = docs.select("doc_id").schema
     kind = schema["doc_id"].dataType.simpleString()

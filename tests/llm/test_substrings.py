@@ -2,13 +2,15 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from convlake.llm import substrings
 
 
-def brute(rows, length):
+def brute(rows, length, marks={}):
     raw = [(t or "").encode() for _, t in rows]
-    key = [substrings.NO_ID if d is None else d for d, _ in rows]
+    mark = {b: i for i, b in enumerate(sorted(set(raw), key=lambda b: marks.get(b, 0)))}
+    key = [(substrings.NO_ID if d is None else d, mark[b]) for (d, _), b in zip(rows, raw)]
     first = {}
     for r, b in enumerate(raw):
         for p in range(len(b) - length + 1):
@@ -55,6 +57,24 @@ def test_hot_buckets_and_other_lengths(spark):
     rows = corpus(7)
     assert run(spark, rows, together=1) == brute(rows, 100)
     assert run(spark, rows, length=40, q=9) == brute(rows, 40)
+    assert run(spark, rows, length=40, q=9, together=2) == brute(rows, 40)
+    assert run(spark, rows, length=140, q=24) == brute(rows, 140)
+
+
+def test_parameters_that_do_not_fit_are_refused(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    for kw in ({"length": 200}, {"length": 24}, {"q": 0}):
+        with pytest.raises(ValueError):
+            substrings.remove_repeats(df, **kw)
+    with pytest.raises(ValueError):
+        substrings.remove_repeats(df.withColumn("doc_id", df["doc_id"].cast("string")))
+
+
+def test_very_long_texts(spark):
+    r = random.Random(8)
+    long = "".join(r.choice("abcdefgh ") for _ in range(150_000))
+    rows = [(1, long), (2, "new " + long[70_000:90_000] + " end"), (3, "z" * 50_000), (None, long[:500])]
+    assert run(spark, rows) == brute(rows, 100)
 
 
 def test_no_rows(spark):
@@ -62,8 +82,10 @@ def test_no_rows(spark):
 
 
 def test_same_id_with_different_texts(spark):
-    rows = [(1, "q" * 50 + "shared words " * 12), (1, "other " + "shared words " * 12), (0, "shared words " * 9)]
-    assert run(spark, rows) == brute(rows, 100)
+    header = "the same header of all the texts without an id, which is longer than one hundred bytes, as some headers are; "
+    rows = [(1, "q" * 50 + "shared words " * 12), (1, "other " + "shared words " * 12), (0, "shared words " * 9)] + [(None, header + f"text {i}") for i in range(5)]
+    marks = {r["text"].encode(): r["m"] for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "xxhash64(text) AS m").collect()}
+    assert run(spark, rows) == brute(rows, 100, marks) == run(spark, rows, together=1)
 
 
 def test_window_buckets_tell_windows_apart():
