@@ -7,16 +7,18 @@ from convlake.llm import decontaminate
 
 
 def brute(docs, items, t=0.8):
-    def grams(text):
+    def words(text):
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
 
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
     out = set()
     for d, text in docs:
-        has = grams(text)
+        has = {n: grams(words(text), n) for n in range(1, 6)}
+        has = set().union(*has.values())
         for i, item in items:
-            g = grams(item)
+            w = words(item)
+            g = grams(w, min(len(w), 5)) if w else set()
             if g and len(g & has) >= t * len(g):
                 out.add(repr((d, i, len(g), len(g & has))))
     return sorted(out)
@@ -76,4 +78,20 @@ def test_bands_keep_their_promise():
     for similarity in (0.11, 0.3, 0.5, 0.8, 1.0):
         count, width = decontaminate.bands(similarity)
         assert (1 - similarity**width) ** count <= 1.1e-6 and count * width <= decontaminate.SIGNATURE
-    assert decontaminate.bands(0.05) is None
+    assert decontaminate.bands(0.03) is None
+
+
+def test_short_items_are_looked_for_whole(spark):
+    items = [(1, "Alpha"), (2, "beta gamma"), (3, "one two, three four"), (4, "...")]
+    docs = [(1, "x ALPHA y"), (2, "beta x gamma"), (3, "a beta-gamma b one two three four"), (4, "alphabet betagamma"), (5, None)]
+    assert run(spark, docs, items) == brute(docs, items)
+    assert {eval(r)[1] for r in run(spark, docs, items, least_words=2)} == {2, 3}
+
+
+def test_many_sets_with_one_common_shingle(spark):
+    """Items and documents that all share shingles, in size classes that signatures can't tell apart."""
+    r = random.Random(8)
+    common = "shared by all of them here"
+    items = [(i, f"{common} w{i} x{i}") for i in range(60)]
+    docs = [(d, " . ".join([common] + [f"{common} w{k} x{k}" for k in r.sample(range(80), r.choice([1, 3, 60]))])) for d in range(40)]
+    assert run(spark, docs, items) == brute(docs, items)
