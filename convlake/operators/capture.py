@@ -41,10 +41,11 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 
 def nfc(envelopes: DataFrame, column: str = "body_text") -> DataFrame:
-    """the column in NFC; only texts with combining characters leave the JVM."""
+    """the column in NFC; only the texts with combining characters are sent to Python."""
     marked = F.coalesce(F.col(column).rlike(r"[\p{M}ᄀ-ᇿ゙゚̀-̓ΩKÅ]"), F.lit(False))
-    plain = envelopes.filter(~marked)
-    return plain.unionByName(envelopes.filter(marked).withColumn(column, _nfc(F.col(column))))
+    # one evaluation for every row, with null where there is nothing to do
+    normal = _nfc(F.when(marked, F.col(column)))
+    return envelopes.withColumn(column, F.coalesce(normal, F.col(column)))
 
 
 def json_string(c: Column) -> Column:
@@ -75,11 +76,11 @@ def hashed(envelopes: DataFrame) -> DataFrame:
 def first_of_each(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One capture for each content hash, the first received; hashes of ``known`` (content_hash) are left out.
 
-    The first is found by a pre-aggregated minimum of time and id, not by sorting
-    all copies of a hash in one place.
+    The first is found by a pre-aggregated minimum of time and id, which takes its
+    row along: rows are hashed once, and copies do not meet in one place.
     """
-    first = rows.groupBy("content_hash").agg(F.min(F.struct("received_at_unix", "id")).alias("first")).select(F.col("content_hash").alias("h"), F.col("first.id").alias("first_id"))
-    kept = rows.join(first, (F.col("content_hash") == F.col("h")) & (F.col("id") == F.col("first_id"))).drop("h", "first_id")
+    order = F.struct("received_at_unix", "id")
+    kept = rows.groupBy("content_hash").agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
     return kept if known is None else kept.join(known.select("content_hash").distinct(), "content_hash", "left_anti")
 
 

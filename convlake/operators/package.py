@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convlake.functions import text as T
 from convlake.schemas import IMPORTED_LANE, NATIVE, NATIVE_LANE
+from convlake.shared import materialize
 
 VERSION = "1"
 
@@ -94,8 +95,10 @@ def note_markdown(notes: DataFrame) -> DataFrame:
 # --- rules ---------------------------------------------------------------------
 
 
-def finding(df: DataFrame, when: Column, code: str, severity: str, key: str = "stable_id") -> DataFrame:
-    return df.filter(F.coalesce(when, F.lit(False))).select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col(key).cast("string").alias("stable_id"))
+def broken(df: DataFrame, rules: list[tuple], key: str = "stable_id") -> DataFrame:
+    """One pass over a table: a row for each rule (condition, code, severity and, if not the row's own, key) that a row breaks."""
+    found = (F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col(*own or (key,)).cast("string").alias("stable_id"))) for when, code, severity, *own in rules)
+    return df.select(F.explode(F.array_compact(F.array(*found))).alias("f")).select("f.*")
 
 
 def blank(c: str | Column) -> Column:
@@ -106,111 +109,143 @@ def meta(key: str) -> Column:
     return F.try_element_at("source_metadata", F.lit(key))
 
 
-def identity_conflicts(records: DataFrame) -> DataFrame:
-    """Records whose provider and source id are those of another record too, as one finding for each record."""
-    many = records.filter(~blank("source_record_id")).groupBy("source_provider", "source_record_id").agg(F.count_distinct("stable_id").alias("n")).filter("n > 1").drop("n")
-    return records.join(many, ["source_provider", "source_record_id"], "left_semi")
+def slim_records(conversations: DataFrame, messages: DataFrame, notes: DataFrame) -> DataFrame:
+    """What rules compare between records, of all three kinds: identity, owner, place and times."""
+    own = ("stable_id", "source_lane", "source_provider", "source_record_id")
+    none = lambda kind: F.lit(None).cast(kind)
+    last = F.coalesce(F.nullif(F.col("updated_at_unix"), F.lit(0.0)), F.col("created_at_unix"))
+    c = conversations.select(F.lit("conversation").alias("kind"), *own, none("string").alias("owner"), none("int").alias("sequence_index"), F.least("created_at_unix", last).alias("first_unix"), F.greatest("created_at_unix", last).alias("last_unix"))
+    m = messages.select(F.lit("message").alias("kind"), *own, F.col("conversation_stable_id").alias("owner"), F.col("sequence_index").cast("int").alias("sequence_index"), F.col("created_at_unix").alias("first_unix"), F.col("created_at_unix").alias("last_unix"))
+    n = notes.select(F.lit("note").alias("kind"), *own, none("string").alias("owner"), none("int").alias("sequence_index"), F.col("timestamp_unix").alias("first_unix"), F.col("timestamp_unix").alias("last_unix"))
+    return c.unionByName(m).unionByName(n)
 
 
 def validate(conversations: DataFrame, messages: DataFrame, notes: DataFrame, provenance_: DataFrame, manifest_: DataFrame) -> DataFrame:
-    """Every broken rule of a package as (code, severity, stable_id); severity is E or W."""
-    out = []
-    common = [(conversations, "conversation", "imported_conversation", IMPORTED_LANE), (messages, "message", "imported_message", IMPORTED_LANE)]
-    for df, what, kind, lane in common:
-        out += [
-            finding(df, ~F.coalesce(F.col("stable_id").rlike(f"^{kind}:[0-9]+$"), F.lit(False)), f"{what}_stable_id_invalid", "E"),
-            finding(df, ~F.coalesce(F.col("source_lane") == lane, F.lit(False)), f"{what}_lane_invalid", "E"),
-            finding(df, F.col("path").isNotNull() & ~F.contains("path", F.concat(F.lit("/"), "source_provider", F.lit("/"))), f"{what}_provider_path_mismatch", "E") if "path" in df.columns else None,
-            finding(identity_conflicts(df) if what == "conversation" else df.join(df.filter(~blank("source_record_id")).groupBy("conversation_stable_id", "source_record_id").agg(F.count_distinct("stable_id").alias("n")).filter("n > 1").drop("n"), ["conversation_stable_id", "source_record_id"], "left_semi"), F.lit(True), f"{what}_source_identity_conflict", "E"),
-            finding(df, F.col("source_metadata").isNull() | (F.size("source_metadata") == 0), f"{what}_source_metadata_missing", "W"),
+    """Every broken rule of a package as (code, severity, stable_id); severity is E or W.
+
+    Each record table is read once for all rules of its rows, and once for the slim
+    table that the rules between records are made from.
+    """
+    # The codes of the rules.
+    slim = materialize(slim_records(conversations, messages, notes), "package-records")
+    # how many records have an identity: a source id within its provider, of messages within their conversation
+    place = F.when(F.col("kind") == "conversation", F.col("source_provider")).otherwise(F.col("owner"))
+    shared = slim.filter(F.col("kind").isin("conversation", "message") & ~blank("source_record_id")).groupBy("kind", place.alias("place"), "source_record_id").agg(F.count_distinct("stable_id").alias("n")).filter("n > 1")
+    shared = materialize(shared.select("kind", "place", "source_record_id", F.lit(True).alias("shared")), "shared-identities")
+    # messages of a conversation are numbered 0 to n - 1: counted by number first, so that no task takes a conversation whole
+    numbers = slim.filter("kind = 'message'").groupBy("owner", "sequence_index").agg(F.count("*").alias("n"))
+    numbers = numbers.groupBy("owner").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.min("sequence_index").alias("low"), F.max("sequence_index").alias("high"), F.max(F.col("sequence_index").isNull()).alias("without"))
+    in_order = ~F.col("without") & (F.col("most") == 1) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1)
+    numbers = materialize(numbers.select("owner", F.coalesce(in_order, F.lit(False)).alias("in_order")), "message-numbers")
+    known = materialize(slim.groupBy("stable_id").agg(F.count("*").alias("n"), *(F.min_by(x, F.struct("kind", "source_lane", "source_provider", "source_record_id")).alias(f"own_{x}") for x in ("source_lane", "source_provider", "source_record_id"))), "known-records")
+
+    no_meta = F.col("source_metadata").isNull() | (F.size("source_metadata") == 0)
+    wrong = lambda key, own: ~blank(meta(key)) & (meta(key) != F.coalesce(own, F.lit("")))
+    fields = [(blank(f), "field_missing_or_blank", "E") for f in ("stable_id", "source_lane", "source_provider", "source_record_id")]
+
+    def common(df: DataFrame, what: str, kind: str, lane: str) -> list[tuple]:
+        rules = [
+            (~F.coalesce(F.col("stable_id").rlike(f"^{kind}:[0-9]+$"), F.lit(False)), f"{what}_stable_id_invalid", "E"),
+            (~F.coalesce(F.col("source_lane") == lane, F.lit(False)), f"{what}_lane_invalid", "E"),
+            (no_meta, f"{what}_source_metadata_missing", "W"),
         ]
-    c, m, n, p = conversations, messages, notes, provenance_
-    out += [
-        finding(c, blank(meta("source")), "conversation_source_missing", "W"),
-        finding(c, ~blank(meta("source")) & (meta("source") != F.col("source_provider")), "conversation_source_metadata_mismatch", "E"),
-        finding(c, blank(meta("source_conversation_id")), "conversation_source_id_missing", "W"),
-        finding(c, ~blank(meta("source_conversation_id")) & (meta("source_conversation_id") != F.coalesce("source_record_id", F.lit(""))), "conversation_source_id_mismatch", "E"),
-        finding(c, F.col("created_at_unix").isNull(), "conversation_timestamp_missing", "W"),
-        finding(c, F.col("updated_at_unix").isNull(), "conversation_updated_timestamp_missing", "W"),
-        finding(c, blank("title"), "conversation_title_missing", "W"),
-        finding(m, blank(meta("source_message_id")), "message_source_id_missing", "W"),
-        finding(m, ~blank(meta("source_message_id")) & (meta("source_message_id") != F.coalesce("source_record_id", F.lit(""))), "message_source_id_mismatch", "E"),
-        finding(m, blank(meta("conversation_source_id")), "message_conversation_source_id_missing", "W"),
-        finding(m, F.col("created_at_unix").isNull(), "message_timestamp_missing", "W"),
-    ]
-    owner = c.select(F.col("stable_id").alias("conversation_stable_id"), F.col("source_provider").alias("owner_provider"), F.col("source_record_id").alias("owner_record")).dropDuplicates(["conversation_stable_id"])
-    owned = m.join(owner, "conversation_stable_id", "left")
-    out += [
-        finding(owned, F.col("owner_provider").isNull(), "message_conversation_reference_missing", "E"),
-        finding(owned, F.col("owner_provider") != F.col("source_provider"), "message_provider_mismatch", "E"),
-        finding(owned, ~blank(meta("conversation_source_id")) & (meta("conversation_source_id") != F.col("owner_record")), "message_conversation_source_id_mismatch", "E"),
-    ]
-    order = Window.partitionBy("conversation_stable_id").orderBy("sequence_index", "stable_id")
-    gaps = m.withColumn("k", F.row_number().over(order) - 1).filter(F.coalesce(F.col("sequence_index") != F.col("k"), F.lit(True))).select("conversation_stable_id").distinct()
-    out += [
-        finding(gaps, F.lit(True), "message_sequence_invalid", "E", "conversation_stable_id"),
-        finding(c.join(m.select(F.col("conversation_stable_id").alias("stable_id")).distinct(), "stable_id", "left_anti"), F.lit(True), "conversation_has_no_messages", "W"),
-        finding(n, ~F.coalesce(F.col("stable_id").rlike("^memory:[0-9]+$"), F.lit(False)), "native_stable_id_invalid", "E"),
-        finding(n, ~F.coalesce(F.col("source_lane") == NATIVE_LANE, F.lit(False)), "native_lane_invalid", "E"),
-        finding(n, F.concat(F.lit("memory:"), F.coalesce("source_record_id", F.lit(""))) != F.col("stable_id"), "native_source_id_mismatch", "E"),
-        finding(n, F.col("source_metadata").isNull() | (F.size("source_metadata") == 0), "native_source_metadata_missing", "W"),
-        finding(n, blank(meta("role")), "native_role_missing", "W"),
-        finding(n, ~blank(meta("role")) & (meta("role") != F.coalesce("role", F.lit(""))), "native_role_mismatch", "E"),
-        finding(n, meta("tags").isNull(), "native_tags_missing", "W"),
-        finding(n, F.col("timestamp_unix").isNull(), "native_timestamp_missing", "W"),
-    ]
-    records = c.select("stable_id", "source_lane", "source_provider", "source_record_id").unionByName(m.select("stable_id", "source_lane", "source_provider", "source_record_id")).unionByName(n.select("stable_id", "source_lane", "source_provider", "source_record_id"))
-    for df in (c, m, n):
-        out += [finding(df, blank(f), "field_missing_or_blank", "E") for f in ("stable_id", "source_lane", "source_provider", "source_record_id")]
-    out.append(finding(m, F.col("sequence_index").isNull() | (F.col("sequence_index") < 0), "field_invalid_integer", "E"))
-    many = records.groupBy("stable_id").agg(F.count("*").alias("n")).filter("n > 1")
-    out.append(finding(many, F.lit(True), "canonical_stable_id_duplicate", "E"))
-    known = records.dropDuplicates(["stable_id"])
-    canonical = p.filter("unit_type = 'canonical'").join(known.select("stable_id", *(F.col(x).alias(f"own_{x}") for x in ("source_lane", "source_provider", "source_record_id"))), "stable_id", "left")
+        if "path" in df.columns and what != "native":
+            rules.append((F.col("path").isNotNull() & ~F.contains("path", F.concat(F.lit("/"), "source_provider", F.lit("/"))), f"{what}_provider_path_mismatch", "E"))
+        return [*rules, *fields]
+
+    mine = shared.filter("kind = 'conversation'").select(F.col("place").alias("source_provider"), "source_record_id", "shared")
+    c = conversations.join(mine, ["source_provider", "source_record_id"], "left").join(numbers.withColumnRenamed("owner", "stable_id"), "stable_id", "left")
+    out = [broken(c, [
+        *common(conversations, "conversation", "imported_conversation", IMPORTED_LANE),
+        (F.col("shared"), "conversation_source_identity_conflict", "E"),
+        (blank(meta("source")), "conversation_source_missing", "W"),
+        (wrong("source", F.col("source_provider")), "conversation_source_metadata_mismatch", "E"),
+        (blank(meta("source_conversation_id")), "conversation_source_id_missing", "W"),
+        (wrong("source_conversation_id", F.col("source_record_id")), "conversation_source_id_mismatch", "E"),
+        (F.col("created_at_unix").isNull(), "conversation_timestamp_missing", "W"),
+        (F.col("updated_at_unix").isNull(), "conversation_updated_timestamp_missing", "W"),
+        (blank("title"), "conversation_title_missing", "W"),
+        (F.col("in_order").isNull(), "conversation_has_no_messages", "W"),
+    ])]
+    mine = shared.filter("kind = 'message'").select(F.col("place").alias("conversation_stable_id"), "source_record_id", "shared")
+    # of conversations with one id, the owner is the first by its fields
+    owner = slim.filter("kind = 'conversation'").groupBy(F.col("stable_id").alias("conversation_stable_id")).agg(F.min(F.struct("source_provider", "source_record_id")).alias("owner"))
+    m = messages.join(mine, ["conversation_stable_id", "source_record_id"], "left").join(owner, "conversation_stable_id", "left")
+    out.append(broken(m, [
+        *common(messages, "message", "imported_message", IMPORTED_LANE),
+        (F.col("shared"), "message_source_identity_conflict", "E"),
+        (F.col("sequence_index").isNull() | (F.col("sequence_index") < 0), "field_invalid_integer", "E"),
+        (blank(meta("source_message_id")), "message_source_id_missing", "W"),
+        (wrong("source_message_id", F.col("source_record_id")), "message_source_id_mismatch", "E"),
+        (blank(meta("conversation_source_id")), "message_conversation_source_id_missing", "W"),
+        (F.col("created_at_unix").isNull(), "message_timestamp_missing", "W"),
+        (F.col("owner").isNull(), "message_conversation_reference_missing", "E"),
+        (F.col("owner.source_provider") != F.col("source_provider"), "message_provider_mismatch", "E"),
+        (F.col("owner").isNotNull() & ~blank(meta("conversation_source_id")) & (meta("conversation_source_id") != F.col("owner.source_record_id")), "message_conversation_source_id_mismatch", "E"),
+    ]))
+    out.append(broken(numbers, [(~F.col("in_order"), "message_sequence_invalid", "E")], "owner"))
+    out.append(broken(notes, [
+        *common(notes, "native", "memory", NATIVE_LANE),
+        (F.concat(F.lit("memory:"), F.coalesce("source_record_id", F.lit(""))) != F.col("stable_id"), "native_source_id_mismatch", "E"),
+        (blank(meta("role")), "native_role_missing", "W"),
+        (wrong("role", F.col("role")), "native_role_mismatch", "E"),
+        (meta("tags").isNull(), "native_tags_missing", "W"),
+        (F.col("timestamp_unix").isNull(), "native_timestamp_missing", "W"),
+    ]))
+    # a unit and the record that it is of, or is derived from; records without a canonical unit come with neither
+    of = F.when(F.col("unit_type") == "derived", meta("canonical_stable_id")).when(F.col("unit_type") == "canonical", F.col("stable_id"))
+    units = provenance_.withColumn("of", of)
+    canonical, derived, there = F.col("unit_type") == "canonical", F.col("unit_type") == "derived", F.col("n").isNotNull()
     expected = F.when(F.col("stable_id").startswith("memory:"), "native/memory_entries.jsonl").otherwise(F.concat(F.lit("providers/"), "source_provider", F.when(F.col("stable_id").startswith("imported_message:"), "/messages.jsonl").otherwise("/conversations.jsonl")))
-    derived = p.filter("unit_type = 'derived'").withColumn("of", meta("canonical_stable_id")).join(known.select(F.col("stable_id").alias("of"), F.lit(True).alias("found")), "of", "left")
-    out += [
-        finding(p.groupBy("stable_id").agg(F.count("*").alias("n")), F.col("n") > 1, "provenance_stable_id_duplicate", "E"),
-        finding(p, blank("path"), "provenance_path_missing", "E"),
-        finding(p, F.col("source_metadata").isNull() | (F.size("source_metadata") == 0), "provenance_source_metadata_missing", "W"),
-        finding(p, ~F.coalesce(F.col("unit_type").isin("canonical", "derived"), F.lit(False)), "provenance_unit_type_invalid", "E"),
-        finding(canonical, F.col("own_source_lane").isNull(), "provenance_canonical_reference_missing", "E"),
-        finding(canonical, F.col("own_source_lane").isNotNull() & ~blank("path") & (F.col("path") != expected), "provenance_canonical_path_mismatch", "E"),
-        finding(canonical, F.col("own_source_lane").isNotNull() & ((F.col("own_source_lane") != F.col("source_lane")) | (F.col("own_source_provider") != F.col("source_provider")) | (F.col("own_source_record_id") != F.col("source_record_id"))), "provenance_identity_mismatch", "E"),
-        finding(derived, blank("of"), "provenance_derived_reference_invalid", "E"),
-        finding(derived, ~blank("of") & F.col("found").isNull(), "provenance_derived_reference_missing", "E"),
-        finding(known.join(p.filter("unit_type = 'canonical'").select("stable_id"), "stable_id", "left_anti"), F.lit(True), "provenance_index_missing", "E"),
-    ]
-    out.append(manifest_findings(c, m, n, p, manifest_))
-    return reduce(DataFrame.unionByName, [x for x in out if x is not None])
-
-
-def manifest_findings(c: DataFrame, m: DataFrame, n: DataFrame, p: DataFrame, manifest_: DataFrame) -> DataFrame:
+    differs = reduce(lambda a, b: a | b, [F.col(f"own_{x}") != F.col(x) for x in ("source_lane", "source_provider", "source_record_id")])
+    out.append(broken(units.join(known.withColumnRenamed("stable_id", "of"), "of", "left"), [
+        (blank("path"), "provenance_path_missing", "E"),
+        (no_meta, "provenance_source_metadata_missing", "W"),
+        (~F.coalesce(canonical | derived, F.lit(False)), "provenance_unit_type_invalid", "E"),
+        (canonical & ~there, "provenance_canonical_reference_missing", "E"),
+        (canonical & there & ~blank("path") & (F.col("path") != expected), "provenance_canonical_path_mismatch", "E"),
+        (canonical & there & differs, "provenance_identity_mismatch", "E"),
+        (derived & blank("of"), "provenance_derived_reference_invalid", "E"),
+        (derived & ~blank("of") & ~there, "provenance_derived_reference_missing", "E"),
+    ]))
+    counted = provenance_.groupBy("stable_id").agg(F.count("*").alias("units"), F.count_if(canonical).alias("canonical"))
+    both = known.select("stable_id", F.col("n").alias("records")).join(counted, "stable_id", "full")
+    out.append(broken(both, [
+        (F.col("records") > 1, "canonical_stable_id_duplicate", "E"),
+        (F.col("units") > 1, "provenance_stable_id_duplicate", "E"),
+        (F.col("records").isNotNull() & (F.coalesce("canonical", F.lit(0)) == 0), "provenance_index_missing", "E"),
+    ]))
+    out.append(manifest_findings(slim, provenance_, manifest_))
+    return reduce(DataFrame.unionByName, out)
+
+
+def manifest_findings(slim: DataFrame, provenance_: DataFrame, manifest_: DataFrame) -> DataFrame:
     """Rules of the manifest: its fields, and what they say against the records (one row each)."""
-    fact = lambda df, name: df.agg(F.count("*").alias(name))
-    at = lambda df, c: df.agg(F.min(c).alias("lo"), F.max(c).alias("hi"))
-    span = at(c.select(F.col("created_at_unix").alias("t")).union(c.select(F.coalesce(F.nullif(F.col("updated_at_unix"), F.lit(0.0)), F.col("created_at_unix")))).union(m.select("created_at_unix")).union(n.select("timestamp_unix")), "t")
-    both = c.select("source_lane", "source_provider").unionByName(n.select("source_lane", "source_provider")).agg(F.array_sort(F.collect_set("source_lane")).alias("lanes"), F.array_sort(F.collect_set("source_provider")).alias("provs"))
-    facts = reduce(lambda a, b: a.join(b, F.lit(True)), [fact(c, "n_c"), fact(m, "n_m"), fact(n, "n_n"), fact(p, "n_p"), span, both])
+    laned = F.col("kind") != "message"
+    facts = slim.agg(
+        *(F.count_if(F.col("kind") == kind).alias(name) for kind, name in (("conversation", "n_c"), ("message", "n_m"), ("note", "n_n"))),
+        F.min("first_unix").alias("lo"), F.max("last_unix").alias("hi"),
+        F.array_sort(F.collect_set(F.when(laned, F.col("source_lane")))).alias("lanes"), F.array_sort(F.collect_set(F.when(laned, F.col("source_provider")))).alias("provs"),
+    )
+    facts = facts.join(provenance_.agg(F.count("*").alias("n_p")), F.lit(True))
     row = facts.join(manifest_.limit(1).withColumn("there", F.lit(True)), F.lit(True), "left").withColumn("stable_id", F.lit(None).cast("string"))
     there = F.col("there").isNotNull()
     fields = ("package_version", "conversation_count", "message_count", "native_count", "provenance_count", "source_lanes", "source_providers", "includes_markdown")
     counts = (("conversation_count", "n_c"), ("message_count", "n_m"), ("native_count", "n_n"), ("provenance_count", "n_p"))
-    out = [finding(row, ~there, "manifest_missing", "E")]
-    out += [finding(row, there & F.col(f).isNull(), "manifest_missing_count" if f.endswith("_count") else "manifest_missing_field", "E") for f in fields]
-    out += [finding(row, there & (F.col(f) < 0), "manifest_invalid_count", "E") for f, _ in counts]
-    out += [finding(row, there & (F.col(f) != F.col(real)), "manifest_count_mismatch", "E") for f, real in counts]
-    out += [
-        finding(row, there & (F.col("package_version") != VERSION), "unsupported_package_version", "E"),
-        finding(row, there & F.exists("source_providers", lambda x: blank(x)), "manifest_invalid_list_value", "E"),
-        finding(row, there & (F.array_sort("source_lanes") != F.col("lanes")), "manifest_source_lanes_mismatch", "E"),
-        finding(row, there & (F.array_sort("source_providers") != F.col("provs")), "manifest_source_providers_mismatch", "E"),
-        finding(row, there & (F.col("min_unix") > F.col("max_unix")), "manifest_invalid_time_range", "E"),
-        finding(row, there & (F.col("min_unix").isNull() | F.col("max_unix").isNull()) & F.col("lo").isNotNull(), "manifest_time_range_missing", "W"),
-        finding(row, there & (F.col("min_unix") != F.col("lo")), "manifest_min_time_range_mismatch", "E"),
-        finding(row, there & (F.col("max_unix") != F.col("hi")), "manifest_max_time_range_mismatch", "E"),
-    ]
-    return reduce(DataFrame.unionByName, out)
+    return broken(row, [
+        (~there, "manifest_missing", "E"),
+        *((there & F.col(f).isNull(), "manifest_missing_count" if f.endswith("_count") else "manifest_missing_field", "E") for f in fields),
+        *((there & (F.col(f) < 0), "manifest_invalid_count", "E") for f, _ in counts),
+        *((there & (F.col(f) != F.col(real)), "manifest_count_mismatch", "E") for f, real in counts),
+        (there & (F.col("package_version") != VERSION), "unsupported_package_version", "E"),
+        (there & F.exists("source_providers", lambda x: blank(x)), "manifest_invalid_list_value", "E"),
+        (there & (F.array_sort("source_lanes") != F.col("lanes")), "manifest_source_lanes_mismatch", "E"),
+        (there & (F.array_sort("source_providers") != F.col("provs")), "manifest_source_providers_mismatch", "E"),
+        (there & (F.col("min_unix") > F.col("max_unix")), "manifest_invalid_time_range", "E"),
+        (there & (F.col("min_unix").isNull() | F.col("max_unix").isNull()) & F.col("lo").isNotNull(), "manifest_time_range_missing", "W"),
+        (there & (F.col("min_unix") != F.col("lo")), "manifest_min_time_range_mismatch", "E"),
+        (there & (F.col("max_unix") != F.col("hi")), "manifest_max_time_range_mismatch", "E"),
+    ])
 
 
 def status(findings: DataFrame) -> DataFrame:
@@ -222,8 +257,9 @@ def status(findings: DataFrame) -> DataFrame:
 def read_lines(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     """JSON lines (path, line) of a package read back: records with their path, and findings on lines that are none."""
     rows = lines.filter(~blank("line")).withColumn("j", F.try_parse_json("line"))
-    bad = finding(rows, F.col("j").isNull(), "jsonl_parse_error", "E", "path").unionByName(finding(rows, F.col("j").isNotNull() & ~F.col("line").rlike(r"^\s*\{"), "jsonl_record_invalid_type", "E", "path"))
-    good = rows.filter(F.col("j").isNotNull() & F.col("line").rlike(r"^\s*\{")).select("path", F.from_json("line", schema).alias("r")).select("path", "r.*")
+    record = F.col("line").rlike(r"^\s*\{")
+    bad = broken(rows, [(F.col("j").isNull(), "jsonl_parse_error", "E"), (F.col("j").isNotNull() & ~record, "jsonl_record_invalid_type", "E")], "path")
+    good = rows.filter(F.col("j").isNotNull() & record).select("path", F.from_json("line", schema).alias("r")).select("path", "r.*")
     return good, bad
 
 

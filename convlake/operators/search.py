@@ -1,7 +1,7 @@
 """Ranked full-text search over messages and notes.
 
-The index is a table of postings, one row for each term and document, and one of
-document lengths.  A query joins its few terms with the postings; only the k best
+The index is a table of postings, one row for each stem and document, and one of
+document lengths.  A query joins its few stems with the postings; only the k best
 documents are joined back to their texts.
 """
 
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convlake.shared import materialize
+
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
 # Latin letters with a mark, and their bare form, by Unicode decomposition.
@@ -31,14 +33,14 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(fold(c), F.lit(TOKEN), F.lit(0))
 
 
-def query_terms(text: str) -> list[list[str]]:
-    """Each blank-separated term as the tokens of its phrase; quotes and terms without tokens are dropped."""
+def query_terms(text: str, stemmed: bool = False) -> list[list[str]]:
+    """Each blank-separated term as the tokens (or stems) of its phrase; quotes and terms without tokens are dropped."""
     out = []
     for term in text.split():
         folded = "".join(dict(_MARKED).get(ch, ch) for ch in term.replace('"', "").lower())
         words = re.findall(r"[^\W_]+", folded)
         if words:
-            out.append(words)
+            out.append([stem(w) for w in words] if stemmed else words)
     return out
 
 
@@ -107,28 +109,36 @@ def stem(word: str) -> str:
     return w[:-1] if measure(w) > 1 and double(w) and w.endswith("l") else w
 
 
-def with_stems(postings: DataFrame) -> DataFrame:
-    """Postings whose terms are stems; stemming runs once over the distinct vocabulary."""
+def stems_of(terms: DataFrame) -> DataFrame:
+    """term, stem of the distinct terms of a table: T1, once for each word of the vocabulary."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(stem=b["term"].map(stem))
 
-    stems = postings.select("term").distinct().mapInPandas(run, "term string, stem string")
-    joined = postings.join(stems, "term").drop("term").withColumnRenamed("stem", "term")
-    return joined.groupBy("term", "kind", "id").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return terms.select("term").distinct().mapInPandas(run, "term string, stem string")
+
 
+def index(docs: DataFrame, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Postings (term, kind, id, tf, positions) and lengths (kind, id, length) of docs (kind, id, content).
 
-def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, kind, id, tf, positions) and lengths (kind, id, length) of docs (kind, id, content)."""
-    words = docs.select("kind", "id", tokens(F.col("content")).alias("words"))
-    postings = words.select("kind", "id", F.posexplode("words").alias("at", "term")).groupBy("term", "kind", "id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
-    return postings, words.select("kind", "id", F.size("words").alias("length"))
+    Terms are stems, or words as they are.  The texts are read once: the postings of
+    words are written to the shared folder, lengths and stems are made from them.
+    """
+    words = docs.select("kind", "id", F.posexplode_outer(tokens(F.col("content"))).alias("at", "term"))
+    # a document without tokens keeps one row without a term
+    rows = materialize(words.groupBy("term", "kind", "id").agg(F.count("at").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions")), "postings")
+    lengths = rows.groupBy("kind", "id").agg(F.sum("tf").cast("int").alias("length"))
+    postings = rows.filter("term is not null")
+    if stemmed:
+        joined = postings.join(stems_of(postings), "term").drop("term").withColumnRenamed("stem", "term")
+        postings = joined.groupBy("term", "kind", "id").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return postings, lengths
 
 
-def add_to_index(postings: DataFrame, lengths: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def add_to_index(postings: DataFrame, lengths: DataFrame, docs: DataFrame, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
     """T4: the index with the documents that it lacks."""
-    more = index(docs.join(lengths.select("kind", "id"), ["kind", "id"], "left_anti"))
+    more = index(docs.join(lengths.select("kind", "id"), ["kind", "id"], "left_anti"), stemmed)
     return postings.unionByName(more[0]), lengths.unionByName(more[1])
 
 
@@ -151,12 +161,12 @@ def matches(postings: DataFrame, phrases: list[list[str]]) -> DataFrame:
     return found.join(whole, ["kind", "id"])
 
 
-def search(postings: DataFrame, lengths: DataFrame, text: str) -> DataFrame:
+def search(postings: DataFrame, lengths: DataFrame, text: str, stemmed: bool = True) -> DataFrame:
     """T5: kind, id, score of every document that matches all terms; each kind is scored by its own statistics."""
-    phrases = query_terms(text)
+    phrases = query_terms(text, stemmed)
     if not phrases:
         return lengths.select("kind", "id", F.lit(0.0).alias("score")).limit(0)
-    found = matches(postings, phrases)
+    found = materialize(matches(postings, phrases), "found")
     size = lengths.groupBy("kind").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
     have = found.groupBy("kind", "phrase").agg(F.count("*").alias("n_have"))
     # one row for each kind and phrase
@@ -179,9 +189,15 @@ def ranked(hits: DataFrame, docs: DataFrame, sort: str = "relevance", limit: int
     return best.orderBy(order, "kind", "id").limit(limit)
 
 
-def snippet(content: Column, phrases: list[list[str]], most: int = 40) -> Column:
-    """A stretch of at most ``most`` tokens around the first hit, hits marked, with ellipses where it is cut."""
-    words = sorted({w for p in phrases for w in p})
+def word_forms(docs: DataFrame, text: str) -> list[str]:
+    """The words of docs (content) whose stems a query has; as many as it has forms in use."""
+    wanted = sorted({w for p in query_terms(text, stemmed=True) for w in p})
+    terms = docs.select(F.explode(tokens(F.col("content"))).alias("term"))
+    return sorted(r["term"] for r in stems_of(terms).filter(F.col("stem").isin(wanted)).select("term").collect())
+
+
+def snippet(content: Column, words: list[str], most: int = 40) -> Column:
+    """A stretch of at most ``most`` tokens around the first of the words, these marked, with ellipses where it is cut."""
     pieces = F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(rf"{TOKEN}[^\p{{L}}\p{{N}}]*"), F.lit(0))
     bare = lambda x: fold(F.regexp_extract(x, TOKEN, 0))
     first = F.array_position(F.transform(pieces, lambda x: bare(x).isin(*words)), True)
@@ -201,9 +217,9 @@ def save_index(postings: DataFrame, lengths: DataFrame, path: str, parts: int =
     lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
 
-def load_index(spark: SparkSession, path: str, text: str, parts: int = 64) -> tuple[DataFrame, DataFrame]:
+def load_index(spark: SparkSession, path: str, text: str, parts: int = 64, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
     """The part of a saved index that a query needs."""
-    words = sorted({w for p in query_terms(text) for w in p})
+    words = sorted({w for p in query_terms(text, stemmed) for w in p})
     hashed = spark.createDataFrame([(w,) for w in words] or [("",)], "term string").select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part"))
     chosen = [r["part"] for r in hashed.distinct().collect()]  # as many as the query has words
     postings = spark.read.parquet(f"{path}/postings").filter(F.col("part").isin(chosen) & F.col("term").isin(words)).drop("part")

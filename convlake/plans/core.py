@@ -11,21 +11,35 @@ from convlake.operators import browse, rollups, search
 from convlake.plans.registry import query
 
 SEARCH = "than and"
-_SEARCH_SQL = """
+#: The words that share a stem with those of the queries, by the published steps of the stemmer.
+_FORMS = {"than": "than(s|ful|fuls|ness|nesses)?", "and": "and(s|e|es|ed|ing|ings|ful|fuls|ness|nesses)?", "thing": "thing(s|e|es|ed|ing|ings|ful|fuls|ness|nesses)?"}
+
+
+def _search_sql(terms: list[str]) -> str:
+    """Ranked search for the documents that have all terms, in SQL."""
+    n = range(len(terms))
+    found = " AND ".join(f"f{k} > 0" for k in n)
+    counts = ", ".join(f"len(list_filter(w, lambda x: regexp_full_match(x, '{_FORMS[t]}'))) AS f{k}" for k, t in enumerate(terms))
+    score = " + ".join(f"greatest(1e-6, ln((n - n_all + 0.5) / (n_all + 0.5))) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * length / mean))" for k in n)
+    return rf"""
 WITH docs AS (SELECT 'message' AS kind, id, content, created_at_unix AS t FROM msg UNION ALL SELECT 'note', id, content, timestamp_unix FROM notes),
-w AS (SELECT kind, id, t, regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}]+') AS w FROM docs),
-t AS (SELECT kind, id, t, len(w) AS length, len(list_filter(w, lambda x: x = 'than')) AS f1, len(list_filter(w, lambda x: x = 'and')) AS f2 FROM w),
+w AS (SELECT kind, id, t, content, regexp_extract_all(strip_accents(lower(content)), '[\p{{L}}\p{{N}}]+') AS w FROM docs),
+t AS (SELECT kind, id, t, content, len(w) AS length, {counts} FROM w),
 s AS (SELECT kind, count(*) AS n, avg(length) AS mean FROM t GROUP BY kind),
-m AS (SELECT kind, count(*) FILTER (WHERE f1 > 0 AND f2 > 0) AS n12 FROM t GROUP BY kind),
-h AS (SELECT t.kind, t.id, t.t,
-    greatest(1e-6, ln((n - n12 + 0.5) / (n12 + 0.5))) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * length / mean))
-  + greatest(1e-6, ln((n - n12 + 0.5) / (n12 + 0.5))) * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * length / mean)) AS score
-  FROM t JOIN s ON t.kind = s.kind JOIN m ON m.kind = t.kind WHERE f1 > 0 AND f2 > 0)
+m AS (SELECT kind, count(*) FILTER (WHERE {found}) AS n_all FROM t GROUP BY kind),
+h AS (SELECT t.kind, t.id, t.t, t.content, {score} AS score FROM t JOIN s ON t.kind = s.kind JOIN m ON m.kind = t.kind WHERE {found})
 """
 
 
+_SEARCH_SQL = _search_sql(["than", "and"])
+
+
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return search.documents_of(B.messages(spark, sf), B.notes(spark, sf))
+
+
 def _hits(spark: SparkSession, sf: str, text: str = SEARCH) -> tuple[DataFrame, DataFrame]:
-    docs = search.documents_of(B.messages(spark, sf), B.notes(spark, sf))
+    docs = _documents(spark, sf)
     return search.search(*search.index(docs), text), docs
 
 
@@ -50,7 +64,7 @@ WITH w AS (SELECT 'message' AS kind, id, unnest(regexp_extract_all(strip_accents
 p AS (SELECT term, kind, id, count(*) AS tf FROM w GROUP BY ALL)
 SELECT term, kind, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY term, kind""")
 def index_postings(spark: SparkSession, sf: str) -> DataFrame:
-    postings, _ = search.index(search.documents_of(B.messages(spark, sf), B.notes(spark, sf)))
+    postings, _ = search.index(_documents(spark, sf), stemmed=False)
     return postings.groupBy("term", "kind").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
@@ -58,22 +72,25 @@ def index_postings(spark: SparkSession, sf: str) -> DataFrame:
 WITH w AS (SELECT id, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(content)), '[\p{L}\p{N}]+'), ' ') || ' ' AS w FROM msg)
 SELECT id FROM w WHERE contains(w, ' of the ') AND contains(w, ' and ')""")
 def search_phrase(spark: SparkSession, sf: str) -> DataFrame:
-    docs = search.documents_of(B.messages(spark, sf), B.notes(spark, sf)).filter("kind = 'message'")
-    return search.search(*search.index(docs), "of-the and").select("id")
+    docs = _documents(spark, sf).filter("kind = 'message'")
+    return search.search(*search.index(docs, stemmed=False), "of-the and", stemmed=False).select("id")
 
 
-@query()
+@query(_search_sql(["thing"]) + "SELECT kind, id, round(score, 6) AS score FROM h ORDER BY round(score, 9) DESC, kind, id LIMIT 50")
 def search_stemmed(spark: SparkSession, sf: str) -> DataFrame:
-    docs = search.documents_of(B.messages(spark, sf), B.notes(spark, sf))
-    postings, lengths = search.index(docs)
-    return search.ranked(search.search(search.with_stems(postings), lengths, search.stem("things")), docs).select("kind", "id", F.round("score", 6).alias("score"))
+    return search.ranked(*_hits(spark, sf, "things")).select("kind", "id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(_SEARCH_SQL + rf"""
+, b AS (SELECT kind, id, regexp_extract_all(content, '[\p{{L}}\p{{N}}]+[^\p{{L}}\p{{N}}]*') AS p FROM (SELECT * FROM h ORDER BY round(score, 9) DESC, kind, id LIMIT 50)),
+c AS (SELECT *, list_transform(p, lambda x: regexp_full_match(strip_accents(lower(regexp_extract(x, '[\p{{L}}\p{{N}}]+'))), '{_FORMS["than"]}|{_FORMS["and"]}')) AS hit FROM b),
+d AS (SELECT *, greatest(1, list_position(hit, true) - 20) AS start FROM c),
+e AS (SELECT *, list_transform(list_zip(p, hit)[start:start + 39], lambda x: CASE WHEN x[2] THEN regexp_replace(x[1], '^([\p{{L}}\p{{N}}]+)', '<mark>\1</mark>') ELSE x[1] END) AS shown FROM d)
+SELECT kind, id, CASE WHEN start > 1 THEN '…' ELSE '' END || rtrim(array_to_string(shown, '')) || CASE WHEN len(p) > start + 39 THEN '…' ELSE '' END AS snippet FROM e""")
 def snippets(spark: SparkSession, sf: str) -> DataFrame:
     hits, docs = _hits(spark, sf)
-    best = search.ranked(hits, docs)
-    return best.join(docs.select("kind", "id", "content"), ["kind", "id"]).select("kind", "id", search.snippet(F.col("content"), search.query_terms(SEARCH)).alias("snippet"))
+    best = search.ranked(hits, docs).join(docs.select("kind", "id", "content"), ["kind", "id"])
+    return best.select("kind", "id", search.snippet(F.col("content"), search.word_forms(best, SEARCH)).alias("snippet"))
 
 
 @query("SELECT id, source, title FROM conv WHERE contains(lower(title), 'than') OR id IN (SELECT conversation_id FROM msg WHERE contains(lower(content), 'than'))")
@@ -197,12 +214,12 @@ def tag_autotag(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""
-WITH p AS (SELECT doc_id, unnest(string_split(t, ',')) AS x, generate_subscripts(string_split(t, ','), 1) AS n FROM (SELECT doc_id, upper(source) || ',  ' || source || ' ,, ' || left(text, 80) AS t FROM documents)),
+WITH p AS (SELECT doc_id, unnest(string_split(t, ',')) AS x, generate_subscripts(string_split(t, ','), 1) AS n FROM (SELECT doc_id, upper(source) || ',  ' || source || ' ,, ' || text AS t FROM documents)),
 q AS (SELECT doc_id, left(trim(regexp_replace(lower(x), '\s+', ' ', 'g')), 64) AS x, n FROM p),
 d AS (SELECT doc_id, x, min(n) AS n FROM q WHERE x <> '' GROUP BY ALL)
 SELECT doc_id, string_agg(x, ', ' ORDER BY n) AS tags FROM d GROUP BY doc_id""")
 def tag_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.concat(F.upper("source"), F.lit(",  "), "source", F.lit(" ,, "), F.substring("text", 1, 80))
+    raw = F.concat(F.upper("source"), F.lit(",  "), "source", F.lit(" ,, "), "text")
     return B.table(spark, sf, "documents").select("doc_id", T.normalize_tags(raw).alias("tags"))
 
 

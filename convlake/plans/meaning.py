@@ -130,4 +130,4 @@ def lineage_links(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def lineage_signals(spark: SparkSession, sf: str) -> DataFrame:
     rows = similarity.described(B.conversations(spark, sf), B.messages(spark, sf))
-    return similarity.lineage(similarity.newest_others(rows, rows.filter("id % 10 = 1"))).select("source_conversation_id", "target_conversation_id", "relation_type", "confidence", F.array_join("signals", "; ").alias("signals"))
+    return similarity.lineage(similarity.newest_others(rows, rows)).select("source_conversation_id", "target_conversation_id", "relation_type", "confidence", F.array_join("signals", "; ").alias("signals"))

@@ -45,7 +45,7 @@ def import_conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT source AS provider, count(DISTINCT CASE WHEN source = 'claude_code' THEN id ELSE id // 20 END) AS n FROM conv GROUP BY source")
 def import_detection(spark: SparkSession, sf: str) -> DataFrame:
-    files = writers.export_files(*_tables(spark, sf)).unionByName(B.table(spark, sf, "documents").filter("doc_id % 50 = 0").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content")))
+    files = writers.export_files(*_tables(spark, sf)).unionByName(B.table(spark, sf, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content")))
     return exports.detect(files).filter("provider is not null").groupBy("provider").agg(F.count("*").alias("n"))
 
 
@@ -149,9 +149,9 @@ def multi_transcript(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _replies(spark: SparkSession, sf: str) -> DataFrame:
-    text = T.squeeze(F.substring("content", 1, 300))
+    text = T.squeeze(F.col("content"))
     m = B.messages(spark, sf).groupBy("conversation_id").agg(F.min_by(text, "sequence_index").alias("summary"), F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("sequence_index", text.alias("t"))))), lambda x: x["t"]).alias("decisions"), F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("sequence_index", text.alias("t"))))), lambda x: x["t"]).alias("open_loops"))
-    body = F.to_json(F.struct("summary", F.slice("decisions", 1, 2).alias("decisions"), "open_loops"))
+    body = F.to_json(F.struct("summary", "decisions", "open_loops"))
     return m.select("conversation_id", F.when(F.col("conversation_id") % 9 == 4, "no object").otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```"))).alias("reply"))
 
 
@@ -160,8 +160,8 @@ def _artifacts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ARTIFACT_SQL = r"""
-WITH x AS (SELECT conversation_id, sequence_index AS s, role, trim(regexp_replace(left(content, 300), '\s+', ' ', 'g')) AS t FROM msg),
-l AS (SELECT conversation_id, arg_min(t, s) AS summary, (list(t ORDER BY s) FILTER (WHERE role = 'assistant'))[1:2] AS decisions, list(t ORDER BY s) FILTER (WHERE role = 'user') AS loops FROM x GROUP BY 1),
+WITH x AS (SELECT conversation_id, sequence_index AS s, role, trim(regexp_replace(content, '\s+', ' ', 'g')) AS t FROM msg),
+l AS (SELECT conversation_id, arg_min(t, s) AS summary, list(t ORDER BY s) FILTER (WHERE role = 'assistant') AS decisions, list(t ORDER BY s) FILTER (WHERE role = 'user') AS loops FROM x GROUP BY 1),
 i AS (SELECT conversation_id, 'summary' AS artifact_type, [summary] AS items FROM l UNION ALL SELECT conversation_id, 'decisions', decisions FROM l UNION ALL SELECT conversation_id, 'open_loops', loops FROM l),
 a AS (SELECT conversation_id, artifact_type, items, CASE WHEN len(items) = 1 THEN items[1] ELSE array_to_string(list_transform(items, lambda z: '- ' || z), chr(10)) END AS content_text FROM i WHERE conversation_id % 9 <> 4 AND len(list_filter(coalesce(items, []), lambda z: z <> '')) > 0)
 """
@@ -363,7 +363,7 @@ _HASH = r"sha256('[' || to_json(adapter_id) || ',' || to_json(payload_kind) || '
 
 @query(f"WITH h AS (SELECT id, received_at_unix, {_HASH} AS content_hash FROM captures) SELECT arg_min(id, (received_at_unix, id)) AS id, content_hash FROM h GROUP BY content_hash")
 def capture_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return capture.first_of_each(capture.hashed(B.captures(spark, sf))).select("id", "content_hash")
+    return capture.first_of_each(capture.hashed(B.captures(spark, sf)).select("id", "content_hash", "received_at_unix")).drop("received_at_unix")
 
 
 @query("""

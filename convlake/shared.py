@@ -2,8 +2,8 @@
 
 Lineage is cut by writing a table and reading it again, so that a lost executor
 costs a re-read and not a recomputation.  The folder is the session's
-``spark.checkpoint.dir``; only where that is unset (tests, one machine) a folder
-of our own is used.
+``spark.checkpoint.dir``; where that is unset, only a session on one machine
+(master ``local``) may use a folder of its own.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def folder(spark: SparkSession) -> str:
     """URI of a shared folder for intermediate tables."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return base.rstrip("/") + "/convlake"
 

@@ -55,12 +55,12 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("doc_id % 10 = 3")
+    d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("id"),
         F.timestamp_seconds(F.lit(T0) + 1800 * F.col("doc_id")).alias("timestamp"),
         F.lit("user").alias("role"),
-        F.substring("text", 1, 2000).alias("content"),
+        F.col("text").alias("content"),
         F.concat_ws(", ", "source", "lang").alias("tags"),
         (F.col("doc_id") % 5 == 0).alias("is_starred"),
         F.lit(None).cast("long").alias("captured_via_id"),
@@ -106,8 +106,8 @@ msg AS (
   FROM conversations
 ),
 notes AS (
-  SELECT doc_id AS id, to_timestamp({T0} + 1800 * doc_id) AS timestamp, CAST({T0} + 1800 * doc_id AS DOUBLE) AS timestamp_unix, 'user' AS role, left(text, 2000) AS content, source || ', ' || lang AS tags, doc_id % 5 = 0 AS is_starred
-  FROM documents WHERE doc_id % 10 = 3
+  SELECT doc_id AS id, to_timestamp({T0} + 1800 * doc_id) AS timestamp, CAST({T0} + 1800 * doc_id AS DOUBLE) AS timestamp_unix, 'user' AS role, text AS content, source || ', ' || lang AS tags, doc_id % 5 = 0 AS is_starred
+  FROM documents
 ),
 captures AS (
   SELECT doc_id AS id, (['browser', 'cli', 'mail'])[length(text) % 3 + 1] AS adapter_id, '1' AS adapter_version, (['selection', 'text', 'message'])[length(text) % 3 + 1] AS payload_kind,

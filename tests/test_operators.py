@@ -9,6 +9,7 @@ from convlake.operators import capture, chunks, components, context, ledger, not
 from convlake.plans import records
 from convlake.plans.catalog import QUERIES
 from convlake.schemas import THREAD_STOPWORDS
+from convlake.shared import materialize
 
 
 def one(spark, column, **values):
@@ -63,13 +64,18 @@ def test_search_phrases_stems_and_incremental_index(spark):
     postings, lengths = search.index(docs)
     hits = lambda p, q: sorted(r["id"] for r in search.search(p, lengths, q).collect())
     assert hits(postings, "quick fox") == [1, 2] and hits(postings, "quick-brown") == [1] and hits(postings, 'resume "') == [3] and hits(postings, " ") == []
-    assert hits(search.with_stems(postings), search.stem("runs")) == [3]
+    assert hits(postings, "runs") == [3] and hits(postings, "runner") == [] and hits(postings, "foxes quickly") == []
+    plain, _ = search.index(docs, stemmed=False)
+    assert sorted(r["id"] for r in search.search(plain, lengths, "running", stemmed=False).collect()) == [3]
+    assert search.search(plain, lengths, "runs", stemmed=False).count() == 0
+    assert {r["id"]: r["length"] for r in lengths.collect()} == {1: 4, 2: 4, 3: 2, 4: 0}
+    assert search.word_forms(docs, "runs foxes") == ["fox", "running"]
     more = spark.createDataFrame([("n", 1, "again"), ("n", 9, "fox")], "kind string, id long, content string")
     p2, l2 = search.add_to_index(postings, lengths, more)
-    assert l2.count() == 5 and p2.filter("term = 'again'").count() == 0
+    assert l2.count() == 5 and p2.filter("term = 'again'").count() == 0 and p2.filter("id = 9").collect()[0]["term"] == "fox"
     p3, _ = search.remove_from_index(p2, l2, spark.createDataFrame([("n", 9)], "kind string, id long"))
     assert p3.filter("id = 9").count() == 0
-    mark = one(spark, search.snippet(F.col("c"), [["fox"]], 3), c="one two three fox, four five")
+    mark = one(spark, search.snippet(F.col("c"), ["fox"], 3), c="one two three fox, four five")
     assert mark == "…three <mark>fox</mark>, four…"
 
 
@@ -177,3 +183,47 @@ def test_outcomes(spark):
     rows = [(0, 0, 0, False, "failed"), (1, 0, 1, True, "partial"), (0, 0, 2, True, "failed"), (1, 1, 0, True, "success"), (0, 3, 0, True, "duplicate_only"), (0, 0, 0, True, "failed")]
     df = spark.createDataFrame(rows, "i int, s int, f int, r boolean, w string")
     assert df.filter(ledger.outcome(F.col("i"), F.col("s"), F.col("f"), F.col("r")) != F.col("w")).count() == 0
+
+
+def test_every_rule_of_a_package_fires(spark):
+    """A valid package, then one damage for each rule: each is found where it was done."""
+    n = 40
+    c = spark.range(1, n + 1).selectExpr("id", "'claude' AS source", "concat('c-', id) AS source_conversation_id", "concat('t ', id) AS title", "cast(100 + id AS double) AS created_at_unix", "cast(200 + id AS double) AS updated_at_unix")
+    m = spark.range(2, 2 * n + 2).selectExpr("id", "id div 2 AS conversation_id", "concat('m-', id) AS source_message_id", "'user' AS role", "'x' AS content", "cast(id % 2 AS int) AS sequence_index", "cast(150 + id AS double) AS created_at_unix")
+    notes = spark.range(1, n + 1).selectExpr("id", "timestamp_seconds(1000 + id) AS timestamp", "'user' AS role", "'x' AS content", "'a' AS tags", "false AS is_starred", "cast(null AS long) AS captured_via_id")
+    cr, mr, nr, p, man = (materialize(df, "t") for df in (package.conversation_records(c), package.message_records(c, m), package.note_records(notes), package.provenance(c, m, notes), package.manifest(c, m, notes)))
+    assert package.status(package.validate(cr, mr, nr, p, man)).collect()[0]["status"] == "valid"
+
+    def damage(df, kind, *changes):
+        """(code, number, column, SQL of the new value)"""
+        out = df.withColumn("__n", F.col("stable_id"))
+        for _, k, column, value in changes:
+            out = out.withColumn(column, F.when(F.col("__n") == f"{kind}:{k}", F.expr(value)).otherwise(F.col(column)))
+        return out.drop("__n")
+
+    def meta(key, value):
+        return f"map_concat(map_filter(source_metadata, (k, v) -> k <> '{key}'), map('{key}', '{value}'))"
+
+    conv = [("conversation_lane_invalid", 1, "source_lane", "'other'"), ("field_missing_or_blank", 2, "source_record_id", "' '"), ("conversation_source_identity_conflict", 3, "source_record_id", "'c-4'"), ("conversation_source_identity_conflict", 4, "title", "title"), ("conversation_source_metadata_missing", 5, "source_metadata", "null"), ("conversation_source_missing", 6, "source_metadata", meta("source", "")), ("conversation_source_metadata_mismatch", 7, "source_metadata", meta("source", "grok")), ("conversation_source_id_missing", 8, "source_metadata", meta("source_conversation_id", "")), ("conversation_source_id_mismatch", 9, "source_metadata", meta("source_conversation_id", "zz")), ("conversation_timestamp_missing", 10, "created_at_unix", "null"), ("conversation_updated_timestamp_missing", 11, "updated_at_unix", "null"), ("conversation_title_missing", 12, "title", "' '"), ("conversation_stable_id_invalid", 13, "stable_id", "'imported_conversation:x'")]
+    mess = [("message_lane_invalid", 2, "source_lane", "'other'"), ("message_conversation_reference_missing", 4, "conversation_stable_id", "'imported_conversation:999'"), ("message_provider_mismatch", 6, "source_provider", "'grok'"), ("message_source_identity_conflict", 8, "source_record_id", "'m-9'"), ("message_source_metadata_missing", 10, "source_metadata", "map()"), ("message_source_id_missing", 12, "source_metadata", meta("source_message_id", "")), ("message_source_id_mismatch", 14, "source_metadata", meta("source_message_id", "zz")), ("message_conversation_source_id_missing", 16, "source_metadata", meta("conversation_source_id", "")), ("message_conversation_source_id_mismatch", 18, "source_metadata", meta("conversation_source_id", "zz")), ("message_timestamp_missing", 20, "created_at_unix", "null"), ("field_invalid_integer", 22, "sequence_index", "-1"), ("message_stable_id_invalid", 28, "stable_id", "'imported_message:x'"), ("field_missing_or_blank", 30, "source_provider", "null")]
+    note = [("native_lane_invalid", 1, "source_lane", "'other'"), ("native_source_id_mismatch", 2, "source_record_id", "'77'"), ("native_source_metadata_missing", 3, "source_metadata", "null"), ("native_role_missing", 4, "source_metadata", meta("role", "")), ("native_role_mismatch", 5, "source_metadata", meta("role", "bot")), ("native_tags_missing", 6, "source_metadata", "map_filter(source_metadata, (k, v) -> k <> 'tags')"), ("native_timestamp_missing", 7, "timestamp_unix", "null"), ("native_stable_id_invalid", 8, "stable_id", "'memory:x'")]
+    prov = [("provenance_path_missing", "memory:10", "path", "''"), ("provenance_source_metadata_missing", "memory:11", "source_metadata", "null"), ("provenance_unit_type_invalid", "memory:12", "unit_type", "'other'"), ("provenance_index_missing", "memory:12", "path", "path"), ("provenance_canonical_path_mismatch", "memory:13", "path", "'elsewhere'"), ("provenance_identity_mismatch", "memory:14", "source_provider", "'grok'"), ("provenance_canonical_reference_missing", "memory:8", "path", "path"), ("provenance_derived_reference_missing", "derived:markdown:memory:15", "source_metadata", "map('canonical_stable_id', 'memory:999')"), ("provenance_derived_reference_invalid", "derived:markdown:memory:16", "source_metadata", "map('derived_kind', 'markdown')")]
+    bad_c, bad_m, bad_n = damage(cr, "imported_conversation", *conv), damage(mr, "imported_message", *mess), damage(nr, "memory", *note)
+    bad_p = p.withColumn("__n", F.col("stable_id"))
+    for _, key, column, value in prov:
+        bad_p = bad_p.withColumn(column, F.when(F.col("__n") == key, F.expr(value)).otherwise(F.col(column)))
+    bad_p = bad_p.drop("__n").unionByName(p.filter("stable_id = 'memory:17'"))
+    bad_c = bad_c.unionByName(cr.filter("stable_id = 'imported_conversation:20'"))
+    bad_m = bad_m.filter("stable_id not in ('imported_message:40', 'imported_message:41', 'imported_message:42')")
+    got = {(r["code"], r["stable_id"]) for r in package.validate(*(materialize(df, "t") for df in (bad_c, bad_m, bad_n, bad_p)), man).collect()}
+    moved = {"imported_conversation:13": "imported_conversation:x", "imported_message:28": "imported_message:x", "memory:8": "memory:x"}
+    want = {(code, moved.get(f"{kind}:{k}", f"{kind}:{k}")) for kind, changes in (("imported_conversation", conv), ("imported_message", mess), ("memory", note)) for code, k, *_ in changes}
+    want |= {(code, key) for code, key, *_ in prov} | {("provenance_stable_id_duplicate", "memory:17"), ("canonical_stable_id_duplicate", "imported_conversation:20"), ("conversation_has_no_messages", "imported_conversation:20"), ("message_sequence_invalid", "imported_conversation:21"), ("manifest_count_mismatch", None)}
+    assert want - got == set()
+    # what was not damaged is not found
+    assert not {s for _, s in got if s in {f"imported_conversation:{k}" for k in range(22, 40)} | {f"memory:{k}" for k in range(18, 40)}}
+    one_row = lambda **kw: man.select(*(F.expr(kw[x]).alias(x) if x in kw else F.col(x) for x in man.columns))
+    codes = lambda row: {r["code"] for r in package.validate(cr, mr, nr, p, row).collect()}
+    assert codes(man.limit(0)) == {"manifest_missing"}
+    assert codes(one_row(package_version="'0'", message_count="cast(-1 as long)", source_lanes="array('x')", source_providers="array('claude', ' ')", min_unix="1e9d", max_unix="1d")) == {"unsupported_package_version", "manifest_invalid_count", "manifest_count_mismatch", "manifest_source_lanes_mismatch", "manifest_source_providers_mismatch", "manifest_invalid_list_value", "manifest_invalid_time_range", "manifest_min_time_range_mismatch", "manifest_max_time_range_mismatch"}
+    assert codes(one_row(native_count="cast(null as long)", includes_markdown="cast(null as boolean)", min_unix="cast(null as double)")) == {"manifest_missing_count", "manifest_missing_field", "manifest_time_range_missing"}
