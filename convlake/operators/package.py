@@ -263,8 +263,41 @@ def read_lines(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def download_markdown(conversations: DataFrame, messages: DataFrame, attached: DataFrame) -> DataFrame:
-    """Id and the Markdown of each conversation with a table of its attachments (conversation_id, name, size_bytes) at the end."""
-    line = F.concat(F.lit("| "), F.replace("name", F.lit("|"), F.lit("\\|")), F.lit(" | "), F.col("size_bytes").cast("string"), F.lit(" |"))
-    tables = attached.groupBy(F.col("conversation_id").alias("id")).agg(F.concat(F.lit("\n## Attachments\n\n| File | Bytes |\n| --- | --- |\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\n")).alias("table"))
-    return conversation_markdown(conversations, messages).join(tables, "id", "left").select("id", F.concat("markdown", F.coalesce("table", F.lit(""))).alias("markdown"))
+def marker_name(c: Column) -> Column:
+    """the last part of a file's name for a link: other characters than letters, digits, - _ . as one underscore, 80 at most."""
+    bare = F.regexp_replace(F.substring_index(c, "/", -1), r"[^\p{L}\p{N}_.-]|_+", "_")
+    bare = F.regexp_replace(F.regexp_replace(bare, "_+", "_"), r"^[._]+", "")
+    return F.coalesce(F.nullif(F.substring(bare, 1, 80), F.lit("")), F.lit("unnamed_file"))
+
+
+def download_markdown(conversations: DataFrame, messages: DataFrame, conversation_files: DataFrame, message_files: DataFrame, stems: DataFrame | None = None, exporter: str = "convlake") -> DataFrame:
+    """Id, filename and the Markdown of each conversation as it is downloaded.
+
+    conversation_files and message_files: conversation_id or message_id, asset_id,
+    original_filename, sha256, mime_type, attached_at_unix.  stems (id, stem) names
+    the folder of the files that links point to; else it is made from the title.
+    """
+    by_time = lambda row: F.struct(F.coalesce("attached_at_unix", F.lit(0.0)).alias("at"), "asset_id", row.alias("row"))
+    joined = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["row"]), "\n")
+    mime = F.coalesce("mime_type", F.lit("application/octet-stream"))
+    link = lambda *name: F.concat(F.lit("[["), "stem", F.lit(".assets/"), *name, F.substring("sha256", 1, 12), F.lit("-"), marker_name(F.col("original_filename")), F.lit("]]"))
+    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("Untitled conversation"))
+    safe = F.trim(F.substring(F.regexp_replace(title, r"[^0-9A-Za-z \-_.]", ""), 1, 60))
+    rows = conversations.withColumn("own", F.coalesce(F.nullif(safe, F.lit("")), F.lit("conversation")))
+    rows = rows.withColumn("stem", F.col("own")) if stems is None else rows.join(stems, "id", "left").withColumn("stem", F.coalesce("stem", "own"))
+    named = rows.select(F.col("id").alias("conversation_id"), "stem")
+
+    listed = F.concat(F.lit("| "), link(), F.lit(" | "), mime, F.lit(" | "), "sha256", F.lit(" | conversation |"))
+    tables = conversation_files.join(named, "conversation_id").groupBy(F.col("conversation_id").alias("id")).agg(F.concat(F.lit("## Attachments\n\n| File | Type | SHA256 | Placement |\n|---|---|---|---|\n"), joined(by_time(listed)), F.lit("\n\n")).alias("table"))
+    placed = message_files.join(messages.select(F.col("id").alias("message_id"), "conversation_id", "sequence_index"), "message_id").join(named, "conversation_id")
+    bullet = F.concat(F.lit("- "), link(F.format_string("msg-%03d-", F.col("sequence_index"))), F.lit(" · "), mime, F.lit(" · "), "sha256")
+    files = placed.groupBy("message_id").agg(F.concat(F.lit("#### Attachments\n\n"), joined(by_time(bullet)), F.lit("\n\n")).alias("files"))
+
+    stamp = F.coalesce(F.concat(F.lit("*"), T.iso(F.col("created_at_unix")), F.lit("*\n")), F.lit(""))
+    role = F.coalesce(F.nullif(T.capitalized(F.col("role")), F.lit("")), F.lit("Unknown"))
+    part = F.concat(F.lit("### "), role, F.lit("\n"), stamp, F.lit("\n"), F.coalesce("content", F.lit("")), F.lit("\n\n"), F.coalesce("files", F.lit("")), F.lit("---\n"))
+    said = messages.join(files, messages["id"] == files["message_id"], "left").groupBy(F.col("conversation_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence_index", messages["id"].alias("m"), part.alias("part")))), lambda x: x["part"]), "\n").alias("parts"), F.count("*").alias("n"))
+    time = lambda c: F.coalesce(T.iso(F.col(c)), F.lit("N/A"))
+    head = F.concat(F.lit("# "), title, F.lit("\n\n**Provider:** "), "source", F.lit("\n**Created:** "), time("created_at_unix"), F.lit("\n**Updated:** "), time("updated_at_unix"), F.lit("\n**Messages:** "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(f"\n**Exported from:** {exporter}\n\n"))
+    whole = F.concat(head, F.coalesce("table", F.lit("")), F.lit("---\n"), F.coalesce(F.concat(F.lit("\n"), "parts"), F.lit("")))
+    return rows.join(tables, "id", "left").join(said, "id", "left").select("id", F.concat("own", F.lit(".md")).alias("filename"), whole.alias("markdown"))

@@ -97,11 +97,17 @@ def described(conversations: DataFrame, messages: DataFrame, n: int = 3) -> Data
 
 
 def neighbours(rows: DataFrame, reach: int = 25) -> DataFrame:
-    """Pairs (source, target) of rows at most ``reach`` places apart by creation."""
+    """Pairs (source, target) of rows at most ``reach`` places apart by creation.
+
+    Places are cut in blocks of twice the reach; a row is a source in its own block
+    and a target in that and the two beside it, so that it is sent four times in all.
+    """
     placed = materialize(global_index(rows, [F.coalesce("at", F.lit(0.0)), F.col("id")]), "placed")
-    steps = F.array(*(F.lit(k) for k in range(-reach, reach + 1) if k))
-    left = placed.select(F.struct(*rows.columns).alias("source"), F.explode(F.transform(steps, lambda k: F.col("position") + k)).alias("position"))
-    return left.join(placed.select(F.struct(*rows.columns).alias("target"), "position"), "position").drop("position")
+    block = F.floor(F.col("position") / (2 * reach))
+    left = placed.select(F.struct(*rows.columns).alias("source"), F.col("position").alias("at_source"), block.alias("block"))
+    right = placed.select(F.struct(*rows.columns).alias("target"), F.col("position").alias("at_target"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    apart = F.abs(F.col("at_source") - F.col("at_target"))
+    return left.join(right, "block").filter(apart.between(1, reach)).select("source", "target")
 
 
 def newest_others(rows: DataFrame, sources: DataFrame, most: int = 50) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from convlake import testbed as B
 from convlake.operators import federated, similarity
 from convlake.plans.registry import query
-from convlake.schemas import LINEAGE_STOPWORDS, QUESTION_STOPWORDS, THREAD_STOPWORDS, TOPIC_STOPWORDS
+from convlake.schemas import CONTINUATION_PHRASES, LINEAGE_STOPWORDS, QUESTION_STOPWORDS, THREAD_STOPWORDS, TOPIC_STOPWORDS
 
 
 def _listed(words: tuple[str, ...]) -> str:
@@ -111,19 +111,30 @@ def threads(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.threads(B.conversations(spark, sf), B.messages(spark, sf)).select("thread", "label", "size", "total_messages")
 
 
-@query(rf"""
-WITH p AS (SELECT conversation_id AS id, string_agg(content, ' ' ORDER BY sequence_index) FILTER (WHERE sequence_index < 3) AS txt, lower(string_agg(content, ' ' ORDER BY sequence_index) FILTER (WHERE sequence_index < 2)) AS early FROM msg GROUP BY 1),
-d AS (SELECT conv.id, title, created_at_unix AS t, row_number() OVER (ORDER BY coalesce(created_at_unix, 0), conv.id) AS pos,
+def _continued(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages, of which the second of every ninth conversation takes up an earlier one."""
+    m = B.messages(spark, sf)
+    again = (F.col("conversation_id") % 9 == 2) & (F.col("sequence_index") == 1)
+    return m.withColumn("content", F.when(again, F.concat(F.lit(f"{CONTINUATION_PHRASES[0].capitalize()} it. "), "content")).otherwise(F.col("content")))
+
+
+_LINEAGE_SQL = rf"""
+WITH m AS (SELECT conversation_id, sequence_index, CASE WHEN conversation_id % 9 = 2 AND sequence_index = 1 THEN '{CONTINUATION_PHRASES[0].capitalize()} it. ' || content ELSE content END AS content FROM msg),
+p AS (SELECT conversation_id AS id, string_agg(content, ' ' ORDER BY sequence_index) FILTER (WHERE sequence_index < 3) AS txt, lower(string_agg(content, ' ' ORDER BY sequence_index) FILTER (WHERE sequence_index < 2)) AS early FROM m GROUP BY 1),
+d AS (SELECT conv.id, title, created_at_unix AS t, list_filter({_listed(CONTINUATION_PHRASES)}, lambda x: contains(early, x))[1] AS phrase, row_number() OVER (ORDER BY coalesce(created_at_unix, 0), conv.id) AS pos,
   list_filter(list_distinct(regexp_extract_all(lower(title), '[a-zA-Z]{{3,}}')), lambda x: NOT list_contains({_listed(LINEAGE_STOPWORDS)}, x)) AS tw,
   list_filter(list_distinct(regexp_extract_all(lower(txt), '[a-zA-Z]{{3,}}')), lambda x: NOT list_contains({_listed(LINEAGE_STOPWORDS)}, x)) AS cw FROM conv LEFT JOIN p ON p.id = conv.id),
-j AS (SELECT a.id AS s, b.id AS g, b.title, a.t AS st, b.t AS gt, len(list_intersect(a.tw, b.tw)) / len(list_distinct(a.tw || b.tw)) AS tj, len(list_intersect(a.cw, b.cw)) / len(list_distinct(a.cw || b.cw)) AS cj, len(a.tw) * len(b.tw) AS tn, len(a.cw) * len(b.cw) AS cn, abs(a.t - b.t) / 3600 AS hours
+j AS (SELECT a.id AS s, a.phrase, b.id AS g, b.title, a.t AS st, b.t AS gt, len(list_intersect(a.tw, b.tw)) / len(list_distinct(a.tw || b.tw)) AS tj, len(list_intersect(a.cw, b.cw)) / len(list_distinct(a.cw || b.cw)) AS cj, len(a.tw) * len(b.tw) AS tn, len(a.cw) * len(b.cw) AS cn, abs(a.t - b.t) / 3600 AS hours
   FROM d a JOIN d b ON a.id <> b.id AND abs(a.pos - b.pos) <= 25),
-k AS (SELECT *, CASE WHEN tn > 0 AND tj >= 0.1 THEN tj ELSE 0 END AS ts, CASE WHEN hours <= 48 THEN 1.0::DOUBLE WHEN hours <= 168 THEN 0.5 WHEN hours <= 720 THEN 0.2 ELSE 0 END AS hs, CASE WHEN cn > 0 AND cj >= 0.05 THEN least(cj * 1.5::DOUBLE, 1) ELSE 0 END AS cs FROM j),
-f AS (SELECT *, round(ts * 0.4::DOUBLE + hs * 0.2::DOUBLE + cs * 0.3::DOUBLE, 3) AS confidence FROM k WHERE ts * 0.4::DOUBLE + hs * 0.2::DOUBLE + cs * 0.3::DOUBLE >= 0.15)
-SELECT s AS source_conversation_id, g AS target_conversation_id, CASE WHEN hs >= 1 AND ts >= 0.2 THEN 'continues' WHEN ts >= 0.5 AND gt > st THEN 'supersedes' WHEN ts >= 0.2 AND hs <= 0.2 THEN 'revisits' ELSE 'forks_from' END AS relation_type, confidence
+k AS (SELECT *, CASE WHEN tn > 0 AND tj >= 0.1 THEN tj ELSE 0 END AS ts, CASE WHEN hours <= 48 THEN 1.0::DOUBLE WHEN hours <= 168 THEN 0.5 WHEN hours <= 720 THEN 0.2 ELSE 0 END AS hs, CASE WHEN cn > 0 AND cj >= 0.05 THEN least(cj * 1.5::DOUBLE, 1) ELSE 0 END AS cs, CASE WHEN phrase IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END AS ps FROM j),
+f AS (SELECT *, round(ts * 0.4::DOUBLE + hs * 0.2::DOUBLE + cs * 0.3::DOUBLE + ps * 0.1::DOUBLE, 3) AS confidence FROM k WHERE ts * 0.4::DOUBLE + hs * 0.2::DOUBLE + cs * 0.3::DOUBLE + ps * 0.1::DOUBLE >= 0.15)
+"""
+
+
+@query(_LINEAGE_SQL + """SELECT s AS source_conversation_id, g AS target_conversation_id, CASE WHEN ps > 0 OR (hs >= 1 AND ts >= 0.2) THEN 'continues' WHEN ts >= 0.5 AND gt > st THEN 'supersedes' WHEN ts >= 0.2 AND hs <= 0.2 THEN 'revisits' ELSE 'forks_from' END AS relation_type, confidence
 FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY confidence DESC, g) AS n FROM f) WHERE n <= 3""")
 def lineage_links(spark: SparkSession, sf: str) -> DataFrame:
-    rows = similarity.described(B.conversations(spark, sf), B.messages(spark, sf))
+    rows = similarity.described(B.conversations(spark, sf), _continued(spark, sf))
     return similarity.lineage(similarity.neighbours(rows)).drop("target_title", "signals")
 
 

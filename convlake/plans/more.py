@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from convlake import testbed as B
 from convlake.functions import text as T
 from convlake.operators import assets, browse, capture, context, notes, package, similarity
-from convlake.plans.records import _HASH, _artifacts, _commands, _imported
+from convlake.plans.records import _BRIDGE_SQL, _HASH, _artifacts, _commands, _imported
 from convlake.plans.registry import query
+from convlake.schemas import TOPIC_STOPWORDS
 from convlake.shared import materialize
 from convlake.sources import exports, writers
 
@@ -58,7 +59,11 @@ def attachment_lists(spark: SparkSession, sf: str) -> DataFrame:
     return listed.select("conversation_id", F.substring_index(F.col("assets")[0]["stable_id"], ":", -1).cast("long").alias("first_asset"), F.size("assets").cast("long").alias("n"))
 
 
-@query()
+@query("""
+WITH l AS (SELECT doc_id % 50 AS conversation_id, doc_id AS asset_id, source || '-' || doc_id || '.txt' AS name FROM documents WHERE doc_id % 50 IN (SELECT id FROM conv)),
+x AS (SELECT conversation_id, 0 AS tier, -1 AS seq, asset_id, name FROM l WHERE asset_id % 3 = 0
+  UNION ALL SELECT l.conversation_id, 1, sequence_index, asset_id, name FROM l JOIN msg ON msg.id = l.conversation_id * 1000 WHERE asset_id % 3 = 1)
+SELECT conversation_id, '[' || string_agg('{"stable_id":"asset:' || asset_id || '","file":"' || name || '","scope":"' || CASE WHEN tier = 0 THEN 'conversation' ELSE 'message' END || '"}', ',' ORDER BY tier, seq, asset_id) || ']' AS manifest FROM x GROUP BY conversation_id""")
 def attachment_bundles(spark: SparkSession, sf: str) -> DataFrame:
     links = _attached(spark, sf)
     store = links.select(F.col("asset_id").alias("id"), F.concat(F.lit("asset:"), F.col("asset_id").cast("string")).alias("stable_id"), F.col("name").alias("original_filename")).dropDuplicates(["id"])
@@ -67,9 +72,24 @@ def attachment_bundles(spark: SparkSession, sf: str) -> DataFrame:
     return assets.bundle_manifest(links.filter("asset_id % 3 = 0").select("conversation_id", "asset_id", "attached_at_unix"), by_message, m, store)
 
 
-@query()
+_STAMP = "strftime(make_timestamp(CAST({} AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
+
+
+@query(rf"""
+WITH f AS (SELECT doc_id % 50 AS conversation_id, doc_id AS asset_id, source || '-' || doc_id || '.txt' AS name, sha256(text) AS h FROM documents WHERE doc_id % 50 IN (SELECT id FROM conv)),
+s AS (SELECT id, coalesce(nullif(title, ''), 'Untitled conversation') AS title, coalesce(nullif(trim(left(regexp_replace(coalesce(nullif(title, ''), 'Untitled conversation'), '[^0-9A-Za-z \-_.]', '', 'g'), 60)), ''), 'conversation') AS stem FROM conv),
+t AS (SELECT conversation_id AS id, '## Attachments' || chr(10) || chr(10) || '| File | Type | SHA256 | Placement |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| [[' || stem || '.assets/' || left(h, 12) || '-' || name || ']] | text/plain | ' || h || ' | conversation |', chr(10) ORDER BY asset_id) || chr(10) || chr(10) AS tab
+  FROM f JOIN s ON s.id = conversation_id WHERE asset_id % 3 = 0 GROUP BY 1),
+a AS (SELECT msg.id, '#### Attachments' || chr(10) || chr(10) || string_agg('- [[' || stem || '.assets/msg-' || lpad(CAST(sequence_index AS VARCHAR), 3, '0') || '-' || left(h, 12) || '-' || name || ']] · application/octet-stream · ' || h, chr(10) ORDER BY asset_id) || chr(10) || chr(10) AS files
+  FROM f JOIN msg ON msg.id = f.conversation_id * 1000 JOIN s ON s.id = f.conversation_id WHERE asset_id % 3 = 1 GROUP BY 1),
+p AS (SELECT conversation_id AS id, count(*) AS n, string_agg('### ' || upper(left(role, 1)) || lower(substr(role, 2)) || chr(10) || coalesce('*' || {_STAMP.format('created_at_unix')} || '*' || chr(10), '') || chr(10) || content || chr(10) || chr(10) || coalesce(files, '') || '---' || chr(10), chr(10) ORDER BY sequence_index) AS parts FROM msg LEFT JOIN a USING (id) GROUP BY 1)
+SELECT conv.id, stem || '.md' AS filename, '# ' || s.title || chr(10) || chr(10) || '**Provider:** ' || source || chr(10) || '**Created:** ' || coalesce({_STAMP.format('created_at_unix')}, 'N/A') || chr(10) || '**Updated:** ' || coalesce({_STAMP.format('updated_at_unix')}, 'N/A') || chr(10) || '**Messages:** ' || n || chr(10) || '**Exported from:** convlake' || chr(10) || chr(10)
+  || coalesce(tab, '') || '---' || chr(10) || chr(10) || parts AS markdown FROM conv JOIN s ON s.id = conv.id JOIN p ON p.id = conv.id LEFT JOIN t ON t.id = conv.id""")
 def markdown_download(spark: SparkSession, sf: str) -> DataFrame:
-    return package.download_markdown(B.conversations(spark, sf), B.messages(spark, sf), _attached(spark, sf))
+    own = B.table(spark, sf, "documents").select(F.col("doc_id").alias("asset_id"), F.sha2("text", 256).alias("sha256"))
+    files = _attached(spark, sf).join(own, "asset_id").withColumnRenamed("name", "original_filename")
+    by_message = files.filter("asset_id % 3 = 1").select((F.col("conversation_id") * 1000).alias("message_id"), "asset_id", "original_filename", "sha256", F.lit(None).cast("string").alias("mime_type"), "attached_at_unix")
+    return package.download_markdown(B.conversations(spark, sf), B.messages(spark, sf), files.filter("asset_id % 3 = 0").withColumn("mime_type", F.lit("text/plain")), by_message)
 
 
 @query("SELECT 'providers/' || source || '.md' AS path, count(*) AS n FROM conv GROUP BY source")
@@ -78,21 +98,39 @@ def provider_notes(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("path", F.regexp_extract("content", r"\n\n(\d+) conversations", 1).cast("long").alias("n"))
 
 
-@query()
+def _topic_sql(conversations: str) -> str:
+    """Topics (t: topic, rank, ids) of a table of conversations, in SQL."""
+    return rf"""
+WITH w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(coalesce(nullif(title, ''), 'Untitled')), '[a-zA-Z]{{3,}}')) AS word FROM {conversations}),
+c AS (SELECT word, count(*) AS n FROM w WHERE NOT list_contains({list(TOPIC_STOPWORDS)}, word) GROUP BY word HAVING count(*) >= 2 ORDER BY n DESC, word LIMIT 5),
+r AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM c),
+m AS (SELECT id, word, rank, n, min(rank) OVER (PARTITION BY id) AS first FROM w JOIN r USING (word)),
+t AS (SELECT upper(left(word, 1)) || substr(word, 2) AS topic, rank, list(id ORDER BY id) AS ids FROM m GROUP BY word, rank, n HAVING bool_or(first = rank))
+"""
+
+
+_NEWEST = "(SELECT * FROM conv ORDER BY id DESC LIMIT 50)"
+
+
+@query(_topic_sql("conv") + """SELECT 'themes/' || lower(topic) || '.md' AS path, '# ' || topic || chr(10) || chr(10) || len(any_value(ids)) || ' conversations' || chr(10) || chr(10) || string_agg('- [[' || source || '--' || id || '|' || title || ']]', chr(10) ORDER BY id) || chr(10) AS content
+FROM t JOIN conv ON list_contains(ids, id) GROUP BY topic""")
 def theme_notes(spark: SparkSession, sf: str) -> DataFrame:
     c = B.conversations(spark, sf)
     themes = similarity.topics(c).select(F.col("topic").alias("label"), F.explode("members").alias("id"))
     return notes.theme_notes(themes, c)
 
 
-@query()
+@query(_topic_sql(_NEWEST) + "SELECT 'digest:topic_scan:1:' || topic AS digest_id, topic AS topic_label, array_to_string(list_transform(ids, lambda x: 'imported_conversation:' || x), ',') AS ids FROM t")
 def topic_digests(spark: SparkSession, sf: str) -> DataFrame:
     c = B.conversations(spark, sf)
     scan = similarity.topic_scan(c, "topic_scan:1", "2024-06-01T00:00:00Z")
     return context.digests(scan, c, B.messages(spark, sf), "2024-06-01T00:00:00Z").select("digest_id", "topic_label", F.array_join("source_conversation_ids", ",").alias("ids"))
 
 
-@query()
+@query(_BRIDGE_SQL + r"""
+, s AS (SELECT conversation_id, t, trim(regexp_extract(t, '(?s)\n## Prior Objective\n(.*?)(\n## |$)', 1), e' \n') AS o, trim(regexp_extract(t, '(?s)\n## Key Decisions\n(.*?)(\n## |$)', 1), e' \n') AS d,
+  trim(regexp_extract(t, '(?s)\n## Open Loops\n(.*?)(\n## |$)', 1), e' \n') AS l, trim(regexp_extract(t, '(?s)\n## Suggested Next Step\n(.*?)(\n## |$)', 1), e' \n') AS n FROM cut)
+SELECT conversation_id, nullif(o, '') AS objective, nullif(d, '') AS decisions, coalesce(nullif(l, ''), nullif(n, '')) AS open_loops, CASE WHEN o = '' AND d = '' AND l = '' AND n = '' THEN trim(t, e' \n') END AS full FROM s""")
 def handoff_briefings(spark: SparkSession, sf: str) -> DataFrame:
     titles = B.conversations(spark, sf).select(F.col("id").alias("conversation_id"), "title")
     bridges = context.bridges(_artifacts(spark, sf), titles)

@@ -135,13 +135,18 @@ def transcript_budget(spark: SparkSession, sf: str) -> DataFrame:
     return context.transcript(B.messages(spark, sf), 600)
 
 
-@query("""
+def _multi_sql(budget: int) -> str:
+    """Transcripts of groups of conversations under a budget in SQL, up to the kept ones (f)."""
+    return f"""
 WITH b AS (SELECT conv.id, conv.id % 7 AS group_id, coalesce(created_at_unix, 0) AS t, '=== Conversation: ' || title || ' (provider: ' || source || ') ===' || chr(10) || lines AS block
   FROM conv JOIN (SELECT conversation_id, string_agg('[' || role || ']: ' || content, chr(10) ORDER BY sequence_index) AS lines FROM msg GROUP BY 1) ON conversation_id = conv.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY t DESC, id) AS k FROM b),
-u AS (SELECT *, sum(CASE WHEN k = 1 THEN least(length(block), 9000) ELSE length(block) + 2 END) OVER (PARTITION BY group_id ORDER BY k) AS upto FROM k),
-f AS (SELECT *, min(CASE WHEN k > 1 AND upto > 9000 THEN k END) OVER (PARTITION BY group_id) AS stop FROM u)
-SELECT group_id, string_agg(CASE WHEN k = 1 THEN left(block, 9000) ELSE block END, chr(10) || chr(10) ORDER BY k) FILTER (WHERE stop IS NULL OR k < stop) AS transcript,
+u AS (SELECT *, sum(CASE WHEN k = 1 THEN least(length(block), {budget}) ELSE length(block) + 2 END) OVER (PARTITION BY group_id ORDER BY k) AS upto FROM k),
+f AS (SELECT *, min(CASE WHEN k > 1 AND upto > {budget} THEN k END) OVER (PARTITION BY group_id) AS stop FROM u)
+"""
+
+
+@query(_multi_sql(9000) + """SELECT group_id, string_agg(CASE WHEN k = 1 THEN left(block, 9000) ELSE block END, chr(10) || chr(10) ORDER BY k) FILTER (WHERE stop IS NULL OR k < stop) AS transcript,
   bool_or((stop IS NOT NULL AND k >= stop) OR (k = 1 AND length(block) > 9000)) AS truncated, count(*) AS n_conversations, count(*) FILTER (WHERE stop IS NULL OR k < stop) AS n_kept FROM f GROUP BY group_id""")
 def multi_transcript(spark: SparkSession, sf: str) -> DataFrame:
     c, m = _tables(spark, sf)
@@ -172,11 +177,25 @@ def continuity_packets(spark: SparkSession, sf: str) -> DataFrame:
     return _artifacts(spark, sf).select("conversation_id", "artifact_type", "content_text")
 
 
-@query(_ARTIFACT_SQL + r""", p AS (SELECT conversation_id, max(content_text) FILTER (WHERE artifact_type = 'summary') AS s, max(content_text) FILTER (WHERE artifact_type = 'decisions') AS d, max(content_text) FILTER (WHERE artifact_type = 'open_loops') AS o, max(items) FILTER (WHERE artifact_type = 'open_loops') AS li FROM a GROUP BY 1),
-b AS (SELECT conversation_id, '# Continuity Bridge: ' || title || chr(10) || '*Derived handoff — not canonical.*' || chr(10)
-  || coalesce(chr(10) || '## Prior Objective' || chr(10) || nullif(trim(s), '') || chr(10), '') || coalesce(chr(10) || '## Key Decisions' || chr(10) || nullif(trim(d), '') || chr(10), '') || coalesce(chr(10) || '## Open Loops' || chr(10) || nullif(trim(o), '') || chr(10), '')
-  || coalesce(chr(10) || '## Suggested Next Step' || chr(10) || 'Continue from these open threads:' || chr(10) || trim(array_to_string(list_transform(li[1:5], lambda z: '- ' || z), chr(10))) || chr(10), '') AS t FROM p JOIN conv ON id = conversation_id)
-SELECT conversation_id, CASE WHEN length(t) <= 12000 THEN t ELSE 'long' END AS bridge_text FROM b""")
+def _bridge_sql(parents: bool) -> str:
+    """Bridges in SQL: ``cut`` has conversation_id and t, cut at a line where it is longer than the budget."""
+    prior = "nullif(concat_ws(chr(10) || chr(10), nullif(trim(q.s), ''), nullif(trim(q.d), '')), '')" if parents else "NULL"
+    return _ARTIFACT_SQL + rf""", p AS (SELECT conversation_id, max(content_text) FILTER (WHERE artifact_type = 'summary') AS s, max(content_text) FILTER (WHERE artifact_type = 'decisions') AS d, max(content_text) FILTER (WHERE artifact_type = 'open_loops') AS o, max(items) FILTER (WHERE artifact_type = 'open_loops') AS li, count(*) AS n_artifacts FROM a GROUP BY 1),
+b AS (SELECT p.conversation_id, '# Continuity Bridge: ' || title || chr(10) || '*Derived handoff — not canonical.*' || chr(10)
+  || coalesce(chr(10) || '## Prior Objective' || chr(10) || nullif(trim(p.s), '') || chr(10), '') || coalesce(chr(10) || '## Prior Context (from parent)' || chr(10) || {prior} || chr(10), '')
+  || coalesce(chr(10) || '## Key Decisions' || chr(10) || nullif(trim(p.d), '') || chr(10), '') || coalesce(chr(10) || '## Open Loops' || chr(10) || nullif(trim(p.o), '') || chr(10), '')
+  || coalesce(chr(10) || '## Suggested Next Step' || chr(10) || 'Continue from these open threads:' || chr(10) || trim(array_to_string(list_transform(p.li[1:5], lambda z: '- ' || z), chr(10))) || chr(10), '') AS t, coalesce(q.n_artifacts, 0) AS n_parents, CASE WHEN q.conversation_id IS NULL THEN 1 ELSE 2 END AS n_sources
+  FROM p JOIN conv ON id = p.conversation_id LEFT JOIN p q ON q.conversation_id = p.conversation_id - 1),
+h AS (SELECT *, left(t, 11988) AS head FROM b),
+k AS (SELECT *, strpos(reverse(head), chr(10)) AS after FROM h),
+cut AS (SELECT conversation_id, n_parents, n_sources, CASE WHEN length(t) <= 12000 THEN t ELSE regexp_replace(CASE WHEN after > 0 AND 11988 - after > 5994 THEN left(head, 11988 - after) ELSE head END, '\s+$', '') || chr(10) || '[truncated]' END AS t FROM k)
+"""
+
+
+_BRIDGE_SQL = _bridge_sql(False)
+
+
+@query(_BRIDGE_SQL + "SELECT conversation_id, t AS bridge_text FROM cut")
 def bridge_text(spark: SparkSession, sf: str) -> DataFrame:
     titles = B.conversations(spark, sf).select(F.col("id").alias("conversation_id"), "title")
     return context.bridges(_artifacts(spark, sf), titles).select("conversation_id", "bridge_text")
@@ -187,17 +206,19 @@ def open_loops(spark: SparkSession, sf: str) -> DataFrame:
     return context.open_loops(_artifacts(spark, sf), B.conversations(spark, sf)).select("stable_id", "title", "loop", F.col("nth").cast("long").alias("nth"))
 
 
-@query()
+@query(_bridge_sql(True) + "SELECT conversation_id, length(t) AS size, n_sources AS sources, n_parents AS parents FROM cut")
 def bridge_with_parents(spark: SparkSession, sf: str) -> DataFrame:
     c = B.conversations(spark, sf)
     parents = c.filter("id > 0").select(F.col("id").alias("conversation_id"), (F.col("id") - 1).alias("parent_id"))
     return context.bridges(_artifacts(spark, sf), c.select(F.col("id").alias("conversation_id"), "title"), parents).select("conversation_id", F.length("bridge_text").alias("size"), F.size("source_conversation_ids").alias("sources"), F.size("parent_packet_ids").alias("parents"))
 
 
-@query()
+@query(_multi_sql(180000) + """, g AS (SELECT group_id, bool_or((stop IS NOT NULL AND k >= stop) OR (k = 1 AND length(block) > 180000)) AS input_truncated, count(*) AS conversation_count FROM f GROUP BY group_id),
+o AS (SELECT id % 7 AS group_id, source, min(id) AS first FROM conv GROUP BY ALL)
+SELECT 'distillation:' || group_id AS distillation_id, conversation_count, (SELECT count(*) FROM msg WHERE conversation_id % 7 = group_id) AS message_count, input_truncated, (SELECT string_agg(source, ',' ORDER BY first) FROM o WHERE o.group_id = g.group_id) AS providers FROM g""")
 def distillations(spark: SparkSession, sf: str) -> DataFrame:
     c, m = _tables(spark, sf)
-    return context.distillation(c.select((F.col("id") % 7).alias("group_id"), "id"), c, m, NOW).select("distillation_id", "conversation_count", "message_count", "input_truncated", F.array_join("providers", ",").alias("providers"))
+    return context.distillation(c.select((F.col("id") % 7).alias("group_id"), "id"), c, m, NOW).select("distillation_id", F.col("conversation_count").cast("long").alias("conversation_count"), "message_count", "input_truncated", F.array_join("providers", ",").alias("providers"))
 
 
 @query("SELECT 'summary:' || conversation_id AS summary_id, title, length(t) AS size FROM (SELECT conversation_id, string_agg('[' || role || ']: ' || content, chr(10) ORDER BY sequence_index) AS t FROM msg GROUP BY 1) JOIN conv ON id = conversation_id")
@@ -206,10 +227,11 @@ def summaries(spark: SparkSession, sf: str) -> DataFrame:
     return context.summaries(c, m, NOW).select("summary_id", "title", F.regexp_extract("summary_text", r"reply to (\d+)", 1).cast("long").alias("size"))
 
 
-@query()
+@query(_ARTIFACT_SQL + f"""SELECT 'continuity_artifact:' || sha256('imported_conversation:' || conversation_id || '|' || artifact_type || '|{NOW}') AS artifact_id,
+  concat_ws('; ', CASE WHEN conversation_id % 7 = 0 THEN 'artifact_type must be one of the known types' END, CASE WHEN conversation_id % 5 = 0 THEN 'content_text is required' END) AS problems FROM a WHERE conversation_id % 7 = 0 OR conversation_id % 5 = 0""")
 def artifact_problems(spark: SparkSession, sf: str) -> DataFrame:
     bad = _artifacts(spark, sf).withColumn("content_text", F.when(F.col("conversation_id") % 5 == 0, "").otherwise(F.col("content_text"))).withColumn("artifact_type", F.when(F.col("conversation_id") % 7 == 0, "other").otherwise(F.col("artifact_type")))
-    return context.artifact_problems(bad).filter(F.size("problems") > 0)
+    return context.artifact_problems(bad).filter(F.size("problems") > 0).select("artifact_id", F.array_join("problems", "; ").alias("problems"))
 
 
 # --- ledger changes ---------------------------------------------------------------
@@ -387,16 +409,20 @@ def _commands(spark: SparkSession, sf: str) -> DataFrame:
 _STEP = "CASE s || '>' || a WHEN 'pending>triage' THEN 'triaged' WHEN 'pending>promote' THEN 'promoted' WHEN 'pending>reject' THEN 'rejected' WHEN 'pending>quarantine' THEN 'quarantined' WHEN 'triaged>promote' THEN 'promoted' WHEN 'triaged>reject' THEN 'rejected' WHEN 'triaged>quarantine' THEN 'quarantined' WHEN 'quarantined>triage' THEN 'triaged' WHEN 'quarantined>reject' THEN 'rejected' END"
 
 
-@query(f"""
+_LIFE_SQL = f"""
 WITH c AS (SELECT user_id AS capture_id, (['triage', 'promote', 'reject', 'quarantine', 'triage', 'reject', 'promote', 'triage'])[event_id % 8 + 1] AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 r(capture_id, k, status, n) AS (SELECT DISTINCT capture_id, 0::BIGINT, 'pending', 0::BIGINT FROM c
-  UNION ALL SELECT capture_id, k, coalesce(t, s), n + CASE WHEN t IS NULL THEN 0 ELSE 1 END FROM (SELECT r.capture_id, c.k, r.status AS s, r.n, {_STEP.replace("s ||", "r.status ||")} AS t FROM r JOIN c ON c.capture_id = r.capture_id AND c.k = r.k + 1))
-SELECT capture_id, arg_max(status, k) AS status, arg_max(n, k) AS n_applied, max(k) - arg_max(n, k) AS n_rejected FROM r GROUP BY capture_id""")
+  UNION ALL SELECT capture_id, k, coalesce(t, s), n + CASE WHEN t IS NULL THEN 0 ELSE 1 END FROM (SELECT r.capture_id, c.k, r.status AS s, r.n, {_STEP.replace("s ||", "r.status ||")} AS t FROM r JOIN c ON c.capture_id = r.capture_id AND c.k = r.k + 1)),
+life AS (SELECT capture_id, arg_max(status, k) AS status, arg_max(n, k) AS n_applied, max(k) - arg_max(n, k) AS n_rejected FROM r GROUP BY capture_id)
+"""
+
+
+@query(_LIFE_SQL + "SELECT * FROM life")
 def capture_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     return capture.replay(_commands(spark, sf)).select("capture_id", "status", "n_applied", "n_rejected")
 
 
-@query()
+@query(_LIFE_SQL + "SELECT id AS captured_via_id, length(body_text) AS size, 'captured' AS tags FROM captures JOIN life ON capture_id = id WHERE status = 'promoted'")
 def capture_promoted_notes(spark: SparkSession, sf: str) -> DataFrame:
     return capture.promoted_notes(B.captures(spark, sf), capture.replay(_commands(spark, sf))).select("captured_via_id", F.length("content").alias("size"), "tags")
 

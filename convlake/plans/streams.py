@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlake import testbed as B
-from convlake.plans.records import _commands
+from convlake.plans.records import _LIFE_SQL, _commands
 from convlake.plans.registry import query
 from convlake.shared import folder
 from convlake.streaming import capture as S
@@ -26,7 +26,7 @@ def stream_capture_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return S.run_now(kept, f"{home}/out", f"{home}/state").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_LIFE_SQL + "SELECT * FROM life")
 def stream_capture_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     home = _home(spark)
     _commands(spark, sf).repartition(4, "capture_id").write.json(f"{home}/commands")
@@ -34,7 +34,11 @@ def stream_capture_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     return S.run_now(steps, f"{home}/out", f"{home}/state").groupBy("capture_id").agg(F.max_by("to_status", F.struct("at_unix", "command_id")).alias("status"), F.count_if("legal").alias("n_applied"), F.count_if(~F.col("legal")).alias("n_rejected"))
 
 
-@query()
+@query("""
+WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) >= 1800000000 THEN 1 ELSE 0 END AS o FROM e),
+s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, count(*) AS n, min(t) AS first_us, max(t) AS last_us FROM s GROUP BY user_id, session HAVING max(t) + 1800000000 <= (SELECT max(t) // 1000 * 1000 - 3600000000 FROM e)""")
 def stream_activity_sessions(spark: SparkSession, sf: str) -> DataFrame:
     home = _home(spark)
     events = B.table(spark, sf, "events").select("user_id", "ts")
