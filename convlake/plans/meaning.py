@@ -43,7 +43,7 @@ WITH q0 AS (
   SELECT conversation_id * 2 AS question_id, regexp_extract_all(lower(arg_min(content, sequence_index)), '[a-z0-9]{{4,}}')[1] AS question FROM msg WHERE role = 'user' GROUP BY conversation_id
   UNION ALL SELECT item_id * 2 + 1, array_to_string(string_split(text, ' ')[1:8], ' ') FROM benchmark
 ),
-q AS (SELECT question_id, list_filter(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda w: length(w) >= 4 AND NOT list_contains({_listed(QUESTION_STOPWORDS)}, w)) AS terms FROM q0 WHERE question IS NOT NULL),
+q AS (SELECT question_id, trim(question) AS question, list_filter(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda w: length(w) >= 4 AND NOT list_contains({_listed(QUESTION_STOPWORDS)}, w)) AS terms FROM q0 WHERE question IS NOT NULL),
 a AS (SELECT DISTINCT question_id, unnest(terms) AS term FROM q),
 mw AS (SELECT conversation_id, sequence_index, unnest(list_distinct(regexp_extract_all(strip_accents(lower(content)), '[\p{{L}}\p{{N}}]+'))) AS term FROM msg),
 nw AS (SELECT id, timestamp_unix, unnest(list_distinct(regexp_extract_all(strip_accents(lower(content)), '[\p{{L}}\p{{N}}]+'))) AS term FROM notes),
@@ -69,25 +69,40 @@ def answer_citations(spark: SparkSession, sf: str) -> DataFrame:
     return _answers(spark, sf).select("question_id", F.explode("citations").alias("c")).select("question_id", F.col("c.nth").cast("long").alias("nth"), "c.source_lane", "c.stable_id", F.col("c.overlap").cast("long").alias("overlap"))
 
 
-@query()
+@query(_ANSWER_SQL + """, g AS (SELECT q.question_id, any_value(question) AS question, list_filter(any_value(terms), lambda w, i: list_position(any_value(terms), w) = i) AS terms, coalesce(max(overlap) FILTER (WHERE nth = 1), 0) AS best, coalesce(max(overlap) FILTER (WHERE nth = 2), 0) AS second,
+  string_agg(DISTINCT lane, ',' ORDER BY lane) FILTER (WHERE nth <= 3) AS lanes FROM q LEFT JOIN b ON b.question_id = q.question_id GROUP BY q.question_id),
+s AS (SELECT *, CASE WHEN best = 0 OR len(terms) = 0 THEN 'insufficient_evidence' WHEN second > 0 AND (best = second OR (best - second = 1 AND best < greatest(3, len(terms)))) THEN 'ambiguous' ELSE 'grounded' END AS status FROM g)
+SELECT 'answer_trace:' || left(sha256(question || '|2024-06-01T00:00:00Z'), 32) AS trace_id, question, array_to_string(terms, ' ') AS retrieval_terms, status, coalesce(lanes, '') AS source_lanes, CASE WHEN status <> 'grounded' THEN status END AS fallback_reason FROM s""")
 def answer_traces(spark: SparkSession, sf: str) -> DataFrame:
-    return federated.traces(_answers(spark, sf), "2024-06-01T00:00:00Z").drop("citations")
+    made = federated.traces(_answers(spark, sf), "2024-06-01T00:00:00Z")
+    return made.select("trace_id", "question", "retrieval_terms", "status", F.array_join("source_lanes", ",").alias("source_lanes"), "fallback_reason")
 
 
-@query(rf"""
-WITH w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(coalesce(nullif(title, ''), 'Untitled')), '[a-zA-Z]{{3,}}')) AS word FROM conv),
+def _topic_sql(conversations: str) -> str:
+    """Topics (t: topic, rank, ids) of a table of conversations, in SQL."""
+    return rf"""
+WITH w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(coalesce(nullif(title, ''), 'Untitled')), '[a-zA-Z]{{3,}}')) AS word FROM {conversations}),
 c AS (SELECT word, count(*) AS n FROM w WHERE NOT list_contains({_listed(TOPIC_STOPWORDS)}, word) GROUP BY word HAVING count(*) >= 2 ORDER BY n DESC, word LIMIT 5),
 r AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM c),
-m AS (SELECT id, word, rank, n, min(rank) OVER (PARTITION BY id) AS first FROM w JOIN r USING (word))
-SELECT upper(left(word, 1)) || substr(word, 2) AS topic, rank, n, string_agg(id, ',' ORDER BY id) AS members FROM m GROUP BY word, rank, n HAVING bool_or(first = rank)""")
+m AS (SELECT id, word, rank, n, min(rank) OVER (PARTITION BY id) AS first FROM w JOIN r USING (word)),
+t AS (SELECT upper(left(word, 1)) || substr(word, 2) AS topic, rank, n, list(id ORDER BY id) AS ids FROM m GROUP BY word, rank, n HAVING bool_or(first = rank))
+"""
+
+
+#: The conversations that a topic scan looks at.
+_NEWEST = "(SELECT * FROM conv ORDER BY id DESC LIMIT 50)"
+
+
+@query(_topic_sql("conv") + "SELECT topic, rank, n, array_to_string(ids, ',') AS members FROM t")
 def topic_keywords(spark: SparkSession, sf: str) -> DataFrame:
     t = similarity.topics(B.conversations(spark, sf))
     return t.select("topic", F.col("rank").cast("long").alias("rank"), "n", F.array_join("members", ",").alias("members"))
 
 
-@query()
+@query(_topic_sql(_NEWEST) + "SELECT 'topic_scan:1' AS scan_id, topic, rank, 'low' AS confidence, array_to_string(list_transform(ids, lambda x: 'imported_conversation:' || x), ',') AS ids FROM t")
 def topic_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.topic_scan(B.conversations(spark, sf), "topic_scan:1", "2024-06-01T00:00:00Z")
+    scan = similarity.topic_scan(B.conversations(spark, sf), "topic_scan:1", "2024-06-01T00:00:00Z").select("scan_id", F.explode("clusters").alias("c"))
+    return scan.select("scan_id", "c.topic", F.col("c.rank").cast("long").alias("rank"), "c.confidence", F.array_join("c.ids", ",").alias("ids"))
 
 
 _THREADS = rf"""
@@ -118,27 +133,34 @@ def _continued(spark: SparkSession, sf: str) -> DataFrame:
     return m.withColumn("content", F.when(again, F.concat(F.lit(f"{CONTINUATION_PHRASES[0].capitalize()} it. "), "content")).otherwise(F.col("content")))
 
 
-_LINEAGE_SQL = rf"""
+def _lineage_sql(pairs: str) -> str:
+    """Scored pairs of conversations (f) in SQL; ``pairs`` says which of a and b meet."""
+    return rf"""
 WITH m AS (SELECT conversation_id, sequence_index, CASE WHEN conversation_id % 9 = 2 AND sequence_index = 1 THEN '{CONTINUATION_PHRASES[0].capitalize()} it. ' || content ELSE content END AS content FROM msg),
 p AS (SELECT conversation_id AS id, string_agg(content, ' ' ORDER BY sequence_index) FILTER (WHERE sequence_index < 3) AS txt, lower(string_agg(content, ' ' ORDER BY sequence_index) FILTER (WHERE sequence_index < 2)) AS early FROM m GROUP BY 1),
-d AS (SELECT conv.id, title, created_at_unix AS t, list_filter({_listed(CONTINUATION_PHRASES)}, lambda x: contains(early, x))[1] AS phrase, row_number() OVER (ORDER BY coalesce(created_at_unix, 0), conv.id) AS pos,
+d AS (SELECT conv.id, row_number() OVER (ORDER BY conv.id DESC) AS newest, title, created_at_unix AS t, list_filter({_listed(CONTINUATION_PHRASES)}, lambda x: contains(early, x))[1] AS phrase, row_number() OVER (ORDER BY coalesce(created_at_unix, 0), conv.id) AS pos,
   list_filter(list_distinct(regexp_extract_all(lower(title), '[a-zA-Z]{{3,}}')), lambda x: NOT list_contains({_listed(LINEAGE_STOPWORDS)}, x)) AS tw,
   list_filter(list_distinct(regexp_extract_all(lower(txt), '[a-zA-Z]{{3,}}')), lambda x: NOT list_contains({_listed(LINEAGE_STOPWORDS)}, x)) AS cw FROM conv LEFT JOIN p ON p.id = conv.id),
-j AS (SELECT a.id AS s, a.phrase, b.id AS g, b.title, a.t AS st, b.t AS gt, len(list_intersect(a.tw, b.tw)) / len(list_distinct(a.tw || b.tw)) AS tj, len(list_intersect(a.cw, b.cw)) / len(list_distinct(a.cw || b.cw)) AS cj, len(a.tw) * len(b.tw) AS tn, len(a.cw) * len(b.cw) AS cn, abs(a.t - b.t) / 3600 AS hours
-  FROM d a JOIN d b ON a.id <> b.id AND abs(a.pos - b.pos) <= 25),
+j AS (SELECT a.id AS s, a.phrase, list_sort(list_intersect(a.tw, b.tw)) AS both_words, len(list_intersect(a.cw, b.cw)) AS n_both, b.id AS g, b.title, a.t AS st, b.t AS gt, len(list_intersect(a.tw, b.tw)) / len(list_distinct(a.tw || b.tw)) AS tj, len(list_intersect(a.cw, b.cw)) / len(list_distinct(a.cw || b.cw)) AS cj, len(a.tw) * len(b.tw) AS tn, len(a.cw) * len(b.cw) AS cn, abs(a.t - b.t) / 3600 AS hours
+  FROM d a JOIN d b ON a.id <> b.id AND {pairs}),
 k AS (SELECT *, CASE WHEN tn > 0 AND tj >= 0.1 THEN tj ELSE 0 END AS ts, CASE WHEN hours <= 48 THEN 1.0::DOUBLE WHEN hours <= 168 THEN 0.5 WHEN hours <= 720 THEN 0.2 ELSE 0 END AS hs, CASE WHEN cn > 0 AND cj >= 0.05 THEN least(cj * 1.5::DOUBLE, 1) ELSE 0 END AS cs, CASE WHEN phrase IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END AS ps FROM j),
 f AS (SELECT *, round(ts * 0.4::DOUBLE + hs * 0.2::DOUBLE + cs * 0.3::DOUBLE + ps * 0.1::DOUBLE, 3) AS confidence FROM k WHERE ts * 0.4::DOUBLE + hs * 0.2::DOUBLE + cs * 0.3::DOUBLE + ps * 0.1::DOUBLE >= 0.15)
 """
 
 
-@query(_LINEAGE_SQL + """SELECT s AS source_conversation_id, g AS target_conversation_id, CASE WHEN ps > 0 OR (hs >= 1 AND ts >= 0.2) THEN 'continues' WHEN ts >= 0.5 AND gt > st THEN 'supersedes' WHEN ts >= 0.2 AND hs <= 0.2 THEN 'revisits' ELSE 'forks_from' END AS relation_type, confidence
-FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY confidence DESC, g) AS n FROM f) WHERE n <= 3""")
+_LINKS = """SELECT s AS source_conversation_id, g AS target_conversation_id, CASE WHEN ps > 0 OR (hs >= 1 AND ts >= 0.2) THEN 'continues' WHEN ts >= 0.5 AND gt > st THEN 'supersedes' WHEN ts >= 0.2 AND hs <= 0.2 THEN 'revisits' ELSE 'forks_from' END AS relation_type, confidence
+FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY confidence DESC, g) AS n FROM f) WHERE n <= 3"""
+
+
+@query(_lineage_sql("abs(a.pos - b.pos) <= 25") + _LINKS)
 def lineage_links(spark: SparkSession, sf: str) -> DataFrame:
     rows = similarity.described(B.conversations(spark, sf), _continued(spark, sf))
     return similarity.lineage(similarity.neighbours(rows)).drop("target_title", "signals")
 
 
-@query()
+@query(_lineage_sql("b.newest <= 51 AND b.newest <= CASE WHEN a.newest <= 50 THEN 51 ELSE 50 END") + _LINKS.replace("confidence\n", """confidence, concat_ws('; ', CASE WHEN ts > 0 THEN 'title overlap (' || array_to_string(both_words[1:5], ', ') || ')' END,
+  CASE WHEN hours <= 48 THEN 'within 48 hours' WHEN hours <= 168 THEN 'within 7 days' WHEN hours <= 720 THEN 'within 30 days' END, CASE WHEN cs > 0 THEN n_both || ' shared content keywords' END, 'continuation phrase: "' || phrase || '"') AS signals
+"""))
 def lineage_signals(spark: SparkSession, sf: str) -> DataFrame:
-    rows = similarity.described(B.conversations(spark, sf), B.messages(spark, sf))
+    rows = similarity.described(B.conversations(spark, sf), _continued(spark, sf))
     return similarity.lineage(similarity.newest_others(rows, rows)).select("source_conversation_id", "target_conversation_id", "relation_type", "confidence", F.array_join("signals", "; ").alias("signals"))

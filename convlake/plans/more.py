@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from convlake import testbed as B
 from convlake.functions import text as T
 from convlake.operators import assets, browse, capture, context, notes, package, similarity
+from convlake.plans.meaning import _NEWEST, _topic_sql
 from convlake.plans.records import _BRIDGE_SQL, _HASH, _artifacts, _commands, _imported
 from convlake.plans.registry import query
-from convlake.schemas import TOPIC_STOPWORDS
 from convlake.shared import materialize
 from convlake.sources import exports, writers
 
@@ -98,20 +98,6 @@ def provider_notes(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("path", F.regexp_extract("content", r"\n\n(\d+) conversations", 1).cast("long").alias("n"))
 
 
-def _topic_sql(conversations: str) -> str:
-    """Topics (t: topic, rank, ids) of a table of conversations, in SQL."""
-    return rf"""
-WITH w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(coalesce(nullif(title, ''), 'Untitled')), '[a-zA-Z]{{3,}}')) AS word FROM {conversations}),
-c AS (SELECT word, count(*) AS n FROM w WHERE NOT list_contains({list(TOPIC_STOPWORDS)}, word) GROUP BY word HAVING count(*) >= 2 ORDER BY n DESC, word LIMIT 5),
-r AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM c),
-m AS (SELECT id, word, rank, n, min(rank) OVER (PARTITION BY id) AS first FROM w JOIN r USING (word)),
-t AS (SELECT upper(left(word, 1)) || substr(word, 2) AS topic, rank, list(id ORDER BY id) AS ids FROM m GROUP BY word, rank, n HAVING bool_or(first = rank))
-"""
-
-
-_NEWEST = "(SELECT * FROM conv ORDER BY id DESC LIMIT 50)"
-
-
 @query(_topic_sql("conv") + """SELECT 'themes/' || lower(topic) || '.md' AS path, '# ' || topic || chr(10) || chr(10) || len(any_value(ids)) || ' conversations' || chr(10) || chr(10) || string_agg('- [[' || source || '--' || id || '|' || title || ']]', chr(10) ORDER BY id) || chr(10) AS content
 FROM t JOIN conv ON list_contains(ids, id) GROUP BY topic""")
 def theme_notes(spark: SparkSession, sf: str) -> DataFrame:
