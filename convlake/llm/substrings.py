@@ -14,8 +14,8 @@ bucket.  Neighbouring windows with the same q-gram form one span, a row.
    before and leaving buckets of one suffix alone.
 4. A bucket with more different spans than a task should hold is refined in the
    same way by the cluster: its windows become rows with the identifiers of their
-   q-grams, and each round makes the identifier of twice the depth from those of a
-   window's two halves and leaves buckets of one window alone.
+   q-grams, and each round makes the identifier of a greater depth from those of
+   later offsets and leaves buckets of one window alone.
 
 All keys are hashed; minima are pre-aggregated and joined back, both sides as
 plain exchanges, so that the rows of a hot key may be split.
@@ -231,14 +231,14 @@ def gram_offsets(length: int, q: int) -> list[int]:
 def refined_rows(windows: DataFrame, grams: int) -> DataFrame:
     """Windows of hot buckets (rows with the identifiers ``g`` of their q-grams) that are equal to others: bucket and same name each kind.
 
-    Depth doubles from round to round: an identifier is made from those of the two
-    halves, and only windows that share theirs with another go on.
+    Depth is up to three times that of the round before: an identifier is made from
+    those of neighbouring parts, and only windows that share theirs with another go on.
     """
     made = [windows]
     while grams > 1:
-        halves = [f"xxhash64(g[{k}], g[{k + 1}])" if k + 1 < grams else f"g[{k}]" for k in range(0, grams, 2)]
-        grams = len(halves)
-        deeper = windows.withColumn("g", F.expr(f"array({', '.join(halves)})")).withColumn("bucket", F.xxhash64("bucket", "g")).withColumn("same", F.xxhash64("same", F.reverse("g")))
+        parts = [f"xxhash64({', '.join(f'g[{i}]' for i in range(k, min(k + 3, grams)))})" for k in range(0, grams, 3)]
+        grams = len(parts)
+        deeper = windows.withColumn("g", F.expr(f"array({', '.join(parts)})")).withColumn("bucket", F.xxhash64("bucket", "g")).withColumn("same", F.xxhash64("same", F.reverse("g")))
         many = deeper.groupBy("bucket", "same").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", "same")
         windows = materialize(deeper.join(many, ["bucket", "same"]), "windows")
         release(made.pop())
