@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from convlake.shared import materialize
 
 #: Labelled findings that the forest is trained from, trees, depth and seed.
-FINDINGS, TREES, DEPTH, SEED = 4000, 20, 6, 11
+FINDINGS, TREES, DEPTH, SEED = 5800, 24, 7, 11
 MASK = "[SECRET]"
 #: Characters of context before and after a candidate.
 BEFORE, AFTER = 48, 24
@@ -37,8 +37,10 @@ _BLOCK = rf"-----BEGIN {_LINE}(?:(?:[^-]++|-(?!----(?:BEGIN|END) {_LINE}))*+----
 _VALUE = r"[^\s\"'`<>,;(){}\[\]|]{8,}+"
 # a digit or sign anywhere in the value
 _SIGN = r"(?=[^\s\"'`<>,;(){}\[\]|0-9!@#$%^&*]*+[0-9!@#$%^&*])"
+# where the sign of assignment or a quote leaves no doubt, a value may be letters alone
+_LOOSE = rf"(?=[kstpcbKSTPCB])(?i:(?:{_NAME})[\"']?\s{{0,4}}(?:(?::=|=>|=)\s{{0,4}}[\"']?|:\s{{0,4}}[\"']))"
 _BARE = r"(?<![0-9A-Za-z+/_.-])(?=[A-Za-z+/_.-]*+[0-9])[0-9A-Za-z+/_.-]{16,}+={0,2}"
-CANDIDATE = rf"{_BLOCK}|(?:{_ASSIGN})(?:{_BLOCK}|{_SIGN}{_VALUE})|(?<![0-9A-Za-z])(?:{_KNOWN})|{_BARE}"
+CANDIDATE = rf"{_BLOCK}|(?:{_ASSIGN})(?:{_BLOCK}|{_SIGN}{_VALUE})|{_LOOSE}{_VALUE}|(?<![0-9A-Za-z])(?:{_KNOWN})|{_BARE}"
 #: Strings of which every candidate holds one (or a digit): tried before the expression, which costs more.
 HINTS = ("=", ":", "bearer", "-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "k_live_", "k_test_", "AIza", "eyJ")
 LEAD = rf"^(?:{_ASSIGN})(?=[^\s\"'`]{{8}})"
@@ -75,6 +77,10 @@ def features(v: str, before: str, after: str) -> list[str]:
         f"cast({v} rlike {literal('^(?:' + _KNOWN + '|-----BEGIN )')} as int)",
         f"cast({before} rlike {literal('[=:]' + chr(92) + 's{0,4}[' + chr(34) + chr(39) + ']?$')} as int)",
         f"cast({after} rlike {literal('^[' + chr(34) + chr(39) + ']')} as int)",
+        f"cast({v} rlike {literal('^[A-Za-z]+$')} as int)",
+        f"cast({v} rlike {literal('[A-Z]')} as int)",
+        f"cast({v} rlike {literal('^[A-Za-z_]+(?:[._:][A-Za-z_]+)+$|^[a-z]+(?:[A-Z][a-z]+)+$')} as int)",
+        f"cast({after} rlike {literal('^[(.]')} as int)",
         f"cast({v} rlike {literal('^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$')} as int)",
     ]
 
@@ -82,8 +88,9 @@ def features(v: str, before: str, after: str) -> list[str]:
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     """(value, before, after, label): labelled findings, made from hashes of their number.
 
-    Two fifths are secrets of eight kinds; the others are what a scanner mistakes
-    for them: digests, uuids, numbers, paths, placeholders, identifiers, versions.
+    Two fifths are secrets of twelve kinds; the others are what a scanner mistakes
+    for them: digests, uuids, numbers, paths, placeholders, identifiers, versions,
+    long words.
     """
     hexa = "concat(sha2(concat('a', id), 256), sha2(concat('b', id), 256))"
     mixed = f"translate(translate(base64(unhex({hexa})), '+/=', 'xYz'), '\r\n', '')"
@@ -118,8 +125,22 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (f"concat({word(18)}, '-', {word(19)}, '-1.', cast(pmod(id, 30) as string), '.0-', {word(20)})", bare, 0),
         (f"concat('2024-01-', lpad(cast(pmod(id, 28) + 1 as string), 2, '0'), 'T10:00:', lpad(cast(pmod(id, 60) as string), 2, '0'))", bare, 0),
     ]
+    letters = f"translate({mixed}, '0123456789', 'ghijklmnop')"
+    ends = lambda k: f"element_at(array('ation', 'ing', 'ness', 'ment', 'ability', 'ized', 'ary'), cast(pmod(xxhash64(id, {k}), 7) as int) + 1)"
+    kinds += [
+        (f"substr({letters}, 1, 18 + cast(pmod(id, 24) as int))", given, 1),
+        (f"lower(substr({letters}, 1, 18 + cast(pmod(id, 24) as int)))", given, 1),
+        (f"concat({word(22)}, {word(23)}, {word(24)}, {word(25)}, {word(26)})", given, 1),
+        (f"concat({word(39)}, cast(pmod(id, 10) as string), substr('!@#$%&', cast(pmod(id, 6) as int) + 1, 1), substr({mixed}, 1, 2 + cast(pmod(id, 5) as int)))", given, 1),
+        (f"concat({word(27)}, {ends(28)})", given, 0),
+        (f"concat('re', {word(29)}, {ends(30)})", given, 0),
+        (f"concat({word(31)}, initcap({word(32)}), initcap({word(33)}))", given, 0),
+        (f"concat({word(34)}, '_', {word(35)}, '_', {word(36)})", given, 0),
+        (f"concat({word(37)}, '.', {word(38)})", given, 0),
+    ]
+    after = f"CASE WHEN pmod(xxhash64(id, 'c'), 4) = 0 AND pmod(id, {len(kinds)}) >= {len(kinds) - 3} THEN '(' ELSE {quote} END"
     table = spark.createDataFrame([(DICTIONARY,)], "words array<string>").select("words", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("id"))
-    parts = [table.filter(F.pmod("id", F.lit(len(kinds))) == k).selectExpr(f"{v} AS value", f"right({b}, {BEFORE}) AS before", f"concat({quote}, ' ', {word(21)}) AS after", f"{y} AS label") for k, (v, b, y) in enumerate(kinds)]
+    parts = [table.filter(F.pmod("id", F.lit(len(kinds))) == k).selectExpr(f"{v} AS value", f"right({b}, {BEFORE}) AS before", f"concat({after}, ' ', {word(21)}) AS after", f"{y} AS label") for k, (v, b, y) in enumerate(kinds)]
     return materialize(reduce(DataFrame.union, parts).coalesce(2), "findings")
 
 
