@@ -118,7 +118,8 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, share: float = SHAR
     """
     rows = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
     counts = materialize(rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), per_language / F.col("count")).alias("rate")), "languages")
-    if counts.count() <= LANGUAGES:
+    few = counts.count() <= LANGUAGES
+    if few:
         counts = F.broadcast(counts)  # beyond that both sides are plain exchanges, of which Spark splits the large partitions
     sample = rows.join(counts, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)).select("lang", "text")
 
@@ -146,7 +147,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, share: float = SHAR
 
     found = materialize(sample.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     least = found.filter("gram is null").select("lang", F.when(F.col("n") < FEW, 1.0).otherwise(F.greatest(F.lit(2.0), F.col("n") * share)).alias("least"))
-    kept = found.filter("gram is not null").join(F.broadcast(least), "lang").filter("n >= least").select("lang", "gram").toPandas()
+    kept = found.filter("gram is not null").join(F.broadcast(least) if few else least, "lang").filter("n >= least").select("lang", "gram").toPandas()
     languages = tuple(sorted(r["lang"] for r in least.select("lang").collect()))
     table = np.zeros((1 << BITS, -(-len(languages) // 8)), np.uint8)
     for k, lang in enumerate(languages):
@@ -175,9 +176,10 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs`` (doc_id, text, lang).
 
     Learns from the rows that are not held out; their lang, the source and the
-    doc_id are no inputs of a prediction.  Null doc_ids are not held out; repeated
-    rows are rows like others; no rows: no rows.  Other columns are ignored,
-    whatever their names.
+    doc_id are no inputs of a prediction.  Texts of any length are judged whole.
+    Of languages that score alike the first by name is taken.  Null doc_ids are not
+    held out; repeated rows are rows like others; no rows: no rows.  Other columns
+    are ignored, whatever their names.
     """
     model = learn(docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"))))
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
