@@ -105,6 +105,16 @@ def records_of_conversation(records: DataFrame, ids: str, conversation: str) ->
     return records.filter(F.array_contains(ids, conversation))
 
 
+def record_by_id(records: DataFrame, key: str, value: str) -> DataFrame:
+    """The newest derived record with an id."""
+    return newest_records(records.filter(F.col(key) == value), "generation_timestamp", key, 1)
+
+
+def records_of_type(records: DataFrame, kind: str, column: str = "artifact_type") -> DataFrame:
+    """Derived records of one type."""
+    return records.filter(F.col(column) == kind)
+
+
 def resolve_first(owners: DataFrame, key: str, ids: str, conversations: DataFrame) -> DataFrame:
     """For each owner, the first stable id of an array that names a conversation."""
     named = owners.select(key, F.posexplode(ids).alias("pos", "stable_id")).withColumn("id", T.stable_number(F.col("stable_id"), "imported_conversation"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,6 +36,33 @@ def contract_problems(envelopes: DataFrame, dimension: DataFrame) -> DataFrame:
     return rows.withColumn("problem", problem).drop("latest_version", "kinds", "body_limit")
 
 
+def read_bodies(bodies: DataFrame, dimension: DataFrame) -> DataFrame:
+    """R2: request bodies (id, body) with the envelope's fields and ``error``, the first check that fails, or null.
+
+    In order: the body is a JSON object, its adapter is known, its fields have
+    their types, the adapter takes the payload kind, the text is not too large.
+    """
+    # The codes of the errors.
+    v = F.try_parse_json("body")
+    rows = bodies.withColumn("v", v).withColumn("adapter_id", F.try_variant_get("v", "$.adapter_id", "string"))
+    kind = lambda name: F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
+    of = lambda name, *kinds: F.coalesce(kind(name).rlike(f"^(?:{'|'.join(kinds)})"), F.lit(False))
+    absent = lambda name: F.coalesce(kind(name), F.lit("VOID")) == "VOID"
+    typed = [of(name, "STRING") for name in ("adapter_id", "adapter_version", "payload_kind", "body_text")] + [of("captured_at_unix", "BIGINT", "DECIMAL", "DOUBLE")]
+    typed += [absent(name) | of(name, "STRING") for name in ("body_html", "source_url", "source_title")] + [absent(name) | of(name, "OBJECT") for name in ("metadata", "hints")]
+    text = lambda name: F.try_variant_get("v", f"$.{name}", "string")
+    known = rows.join(F.broadcast(dimension), "adapter_id", "left")  # one row for each adapter
+    error = (
+        F.when(~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), "invalid_json")
+        .when(F.col("body_limit").isNull() | ~of("adapter_id", "STRING"), "unknown_adapter")
+        .when(~reduce(lambda a, b: a & b, typed), "invalid_envelope")
+        .when(~F.coalesce(F.array_contains("kinds", text("payload_kind")), F.lit(False)), "invalid_payload_kind")
+        .when(F.octet_length(text("body_text")) > F.col("body_limit"), "body_too_large")
+    )
+    fields = [text(c).alias(c) for c in ("adapter_version", "payload_kind", "body_text", "source_url")]
+    return known.select("id", "adapter_id", *fields, F.try_variant_get("v", "$.captured_at_unix", "double").alias("captured_at_unix"), error.alias("error"))
+
+
 @F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))

@@ -83,6 +83,20 @@ def provider_notes(conversations: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("providers/"), "source", F.lit(".md")).alias("path"), F.concat(F.lit("# "), display(F.col("source")), F.lit("\n\n"), F.col("n").cast("string"), F.lit(" conversations, "), T.date_range(F.col("first"), F.col("last")), F.lit("\n")).alias("content"))
 
 
+def category_notes(categories: DataFrame) -> DataFrame:
+    """A note for each category (name, folder, fields, sort_field) with a table query over its folder."""
+    lines = F.concat_ws("\n", F.lit("```dataview"), F.concat(F.lit("TABLE "), F.array_join("fields", ", ")), F.concat(F.lit('FROM "'), "folder", F.lit('"')), F.concat(F.lit("SORT "), "sort_field", F.lit(" DESC")), F.lit("```\n"))
+    content = F.concat(F.lit('---\ntype: "category"\n---\n# '), "name", F.lit("\n\n"), lines)
+    return categories.select(F.concat(F.lit("categories/"), "name", F.lit(".md")).alias("path"), content.alias("content"))
+
+
+def vault_export(files: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """X11: the files (path, content) that a vault (path) lacks, and for each folder how many are written and skipped."""
+    there = listing.select("path", F.lit(True).alias("there")).distinct()
+    rows = files.select("path").join(there, "path", "left").groupBy(F.substring_index("path", "/", 1).alias("folder"))
+    return missing_files(files, listing), rows.agg(F.count_if(F.col("there").isNull()).alias("written"), F.count("there").alias("skipped"))
+
+
 def missing_files(files: DataFrame, listing: DataFrame) -> DataFrame:
     """X11: files (path, content) that a vault's listing (path) lacks."""
     return files.join(listing.select("path").distinct(), "path", "left_anti")

@@ -96,3 +96,9 @@ def workspace(conversations: DataFrame, messages: DataFrame, notes: DataFrame) -
     recent = conversations.select(F.lit("conversation").alias("kind"), "id", "title", at.alias("at")).orderBy(F.desc("at"), F.desc("id")).limit(6)
     noted = notes.select(F.lit("note").alias("kind"), "id", T.cut(T.squeeze(F.col("content")), 80).alias("title"), F.col("timestamp").cast("double").alias("at")).orderBy(F.desc("at"), F.desc("id")).limit(5)
     return recent.unionByName(noted)
+
+
+def topic_highlights(scans: DataFrame, most: int = 5) -> DataFrame:
+    """Nth and topic of the first clusters of the latest topic scan."""
+    last = scans.agg(F.max_by("clusters", F.struct("generation_timestamp", "scan_id")).alias("c"))
+    return last.select(F.posexplode(F.slice("c", 1, most)).alias("nth", "c")).select((F.col("nth") + 1).alias("nth"), "c.topic")

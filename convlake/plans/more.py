@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from convlake import testbed as B
 from convlake.functions import text as T
-from convlake.operators import assets, browse, capture, context, notes, package, similarity
+from convlake.operators import assets, browse, capture, context, notes, package, rollups, similarity
 from convlake.plans.meaning import _NEWEST, _topic_sql
-from convlake.plans.records import _BRIDGE_SQL, _HASH, _artifacts, _commands, _imported
+from convlake.plans.records import _ARTIFACT_SQL, _BRIDGE_SQL, _HASH, NOW, _artifacts, _commands, _imported
 from convlake.plans.registry import query
 from convlake.shared import materialize
 from convlake.sources import exports, writers
@@ -128,3 +128,57 @@ def handoff_briefings(spark: SparkSession, sf: str) -> DataFrame:
 def provider_hints(spark: SparkSession, sf: str) -> DataFrame:
     c = B.conversations(spark, sf).select(F.concat(F.lit("  "), F.upper("source"), F.lit(" ")).alias("x")).union(B.table(spark, sf, "documents").select("source"))
     return c.select(exports.valid_hint(F.col("x")).alias("hint")).filter("hint is not null").distinct()
+
+
+@query("""
+WITH e AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'other' ELSE adapter_id END AS a, payload_kind AS k, body_text AS b FROM captures)
+SELECT id, CASE WHEN id % 13 = 1 THEN 'invalid_json' WHEN a = 'other' THEN 'unknown_adapter' WHEN id % 17 = 2 OR id % 19 = 3 OR id % 23 = 4 THEN 'invalid_envelope' WHEN id % 29 = 5 THEN 'invalid_payload_kind' WHEN strlen(b) > CASE a WHEN 'cli' THEN 262144 ELSE 65536 END THEN 'body_too_large' END AS error FROM e""")
+def capture_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Captures as request bodies, some of them broken: no object, a time that is a truth value, no version, a list as metadata."""
+    i = F.col("id")
+    e = B.captures(spark, sf).withColumns({"adapter_id": F.when(i % 11 == 0, "other").otherwise(F.col("adapter_id")), "payload_kind": F.when(i % 29 == 5, "video").otherwise(F.col("payload_kind"))})
+    time = F.when(i % 17 == 2, "true").otherwise(F.col("captured_at_unix").cast("string"))
+    version = F.when(i % 19 == 3, "").otherwise(F.concat(F.lit('"adapter_version":'), capture.json_string(F.col("adapter_version")), F.lit(",")))
+    fields = [F.concat(F.lit(f'"{c}":'), capture.json_string(F.col(c)), F.lit(",")) for c in ("adapter_id", "payload_kind", "body_text")]
+    body = F.concat(F.lit("{"), *fields, version, F.lit('"captured_at_unix":'), time, F.when(i % 23 == 4, ',"metadata":[]').otherwise(',"metadata":{}'), F.lit("}"))
+    bodies = e.select("id", F.when(i % 13 == 1, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body).alias("body"))
+    return capture.read_bodies(bodies, capture.adapters(spark)).select("id", "error")
+
+
+@query(_topic_sql(_NEWEST) + "SELECT CAST(row_number() OVER (ORDER BY rank) AS INTEGER) AS nth, topic FROM t")
+def topic_highlights(spark: SparkSession, sf: str) -> DataFrame:
+    c = B.conversations(spark, sf)
+    older = similarity.topic_scan(c.filter("id < 20"), "topic_scan:0", "2024-05-01T00:00:00Z")
+    return rollups.topic_highlights(older.unionByName(similarity.topic_scan(c, "topic_scan:1", NOW)))
+
+
+@query(_ARTIFACT_SQL + f"SELECT 'continuity_artifact:' || sha256('imported_conversation:' || conversation_id || '|' || artifact_type || '|{NOW}') AS artifact_id, conversation_id, content_text FROM a WHERE artifact_type = 'decisions' ORDER BY artifact_id DESC LIMIT 10")
+def artifact_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten newest decisions."""
+    found = browse.records_of_type(_artifacts(spark, sf), "decisions")
+    return browse.newest_records(found, "generation_timestamp", "artifact_id", 10).select("artifact_id", "conversation_id", "content_text")
+
+
+@query(_ARTIFACT_SQL + "SELECT artifact_type, count(*) AS n FROM a WHERE conversation_id = 3 GROUP BY artifact_type")
+def artifacts_of_conversation(spark: SparkSession, sf: str) -> DataFrame:
+    return browse.records_of_conversation(_artifacts(spark, sf), "source_conversation_ids", "imported_conversation:3").groupBy("artifact_type").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH f AS (SELECT 'chats' AS folder, id % 3 = 0 AS there FROM conv UNION ALL SELECT DISTINCT 'providers', false FROM (SELECT source FROM conv) UNION ALL
+  SELECT 'daily', true FROM (SELECT DISTINCT strftime(make_timestamp(CAST(created_at_unix AS BIGINT) * 1000000), '%Y-%m-%d') FROM conv WHERE created_at_unix IS NOT NULL) UNION ALL SELECT 'categories', false)
+SELECT folder, count(*) FILTER (WHERE NOT there) AS written, count(*) FILTER (WHERE there) AS skipped FROM f WHERE folder <> 'providers' GROUP BY folder
+UNION ALL SELECT 'providers', count(DISTINCT source), 0 FROM conv""")
+def vault_export(spark: SparkSession, sf: str) -> DataFrame:
+    """What an export writes into a vault that has every third chat and all days."""
+    c = B.conversations(spark, sf)
+    chats, days = notes.chat_notes(c, browse.message_counts(B.messages(spark, sf))), notes.daily_notes(c)
+    category = notes.category_notes(c.limit(1).select(F.lit("Chat").alias("name"), F.lit("chats").alias("folder"), F.array(F.lit("provider"), F.lit("created")).alias("fields"), F.lit("created").alias("sort_field")))
+    files = chats.drop("id").unionByName(days).unionByName(notes.provider_notes(c)).unionByName(category)
+    return notes.vault_export(files, chats.filter("id % 3 = 0").select("path").union(days.select("path")))[1]
+
+
+@query(r"""SELECT 'categories/' || source || '.md' AS path, '---' || chr(10) || 'type: "category"' || chr(10) || '---' || chr(10) || '# ' || source || chr(10) || chr(10) || '```dataview' || chr(10) || 'TABLE provider, created' || chr(10) || 'FROM "chats/' || source || '"' || chr(10) || 'SORT created DESC' || chr(10) || '```' || chr(10) AS content FROM (SELECT DISTINCT source FROM conv)""")
+def category_notes(spark: SparkSession, sf: str) -> DataFrame:
+    names = B.conversations(spark, sf).select("source").distinct()
+    return notes.category_notes(names.select(F.col("source").alias("name"), F.concat(F.lit("chats/"), "source").alias("folder"), F.array(F.lit("provider"), F.lit("created")).alias("fields"), F.lit("created").alias("sort_field")))

@@ -22,7 +22,7 @@ def folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return base.rstrip("/") + "/convlake"
+    return base.rstrip("/") + "/convlake/" + spark.sparkContext.applicationId
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -51,3 +51,9 @@ def put_bytes(spark: SparkSession, name: str, data: bytes) -> str:
     finally:
         out.close()
     return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; to be called when its results are written."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
