@@ -126,14 +126,14 @@ def threads(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.threads(B.conversations(spark, sf), B.messages(spark, sf)).select("thread", "label", "size", "total_messages")
 
 
-def _continued(spark: SparkSession, sf: str) -> DataFrame:
+def continued(spark: SparkSession, sf: str) -> DataFrame:
     """Messages, of which the second of every ninth conversation takes up an earlier one."""
     m = B.messages(spark, sf)
     again = (F.col("conversation_id") % 9 == 2) & (F.col("sequence_index") == 1)
     return m.withColumn("content", F.when(again, F.concat(F.lit(f"{CONTINUATION_PHRASES[0].capitalize()} it. "), "content")).otherwise(F.col("content")))
 
 
-def _lineage_sql(pairs: str) -> str:
+def lineage_sql(pairs: str) -> str:
     """Scored pairs of conversations (f) in SQL; ``pairs`` says which of a and b meet."""
     return rf"""
 WITH m AS (SELECT conversation_id, sequence_index, CASE WHEN conversation_id % 9 = 2 AND sequence_index = 1 THEN '{CONTINUATION_PHRASES[0].capitalize()} it. ' || content ELSE content END AS content FROM msg),
@@ -148,19 +148,19 @@ f AS (SELECT *, round(ts * 0.4::DOUBLE + hs * 0.2::DOUBLE + cs * 0.3::DOUBLE + p
 """
 
 
-_LINKS = """SELECT s AS source_conversation_id, g AS target_conversation_id, CASE WHEN ps > 0 OR (hs >= 1 AND ts >= 0.2) THEN 'continues' WHEN ts >= 0.5 AND gt > st THEN 'supersedes' WHEN ts >= 0.2 AND hs <= 0.2 THEN 'revisits' ELSE 'forks_from' END AS relation_type, confidence
+LINKS = """SELECT s AS source_conversation_id, g AS target_conversation_id, CASE WHEN ps > 0 OR (hs >= 1 AND ts >= 0.2) THEN 'continues' WHEN ts >= 0.5 AND gt > st THEN 'supersedes' WHEN ts >= 0.2 AND hs <= 0.2 THEN 'revisits' ELSE 'forks_from' END AS relation_type, confidence
 FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY confidence DESC, g) AS n FROM f) WHERE n <= 3"""
 
 
-@query(_lineage_sql("abs(a.pos - b.pos) <= 25") + _LINKS)
+@query(lineage_sql("abs(a.pos - b.pos) <= 25") + LINKS)
 def lineage_links(spark: SparkSession, sf: str) -> DataFrame:
-    rows = similarity.described(B.conversations(spark, sf), _continued(spark, sf))
+    rows = similarity.described(B.conversations(spark, sf), continued(spark, sf))
     return similarity.lineage(similarity.neighbours(rows)).drop("target_title", "signals")
 
 
-@query(_lineage_sql("b.newest <= 51 AND b.newest <= CASE WHEN a.newest <= 50 THEN 51 ELSE 50 END") + _LINKS.replace("confidence\n", """confidence, concat_ws('; ', CASE WHEN ts > 0 THEN 'title overlap (' || array_to_string(both_words[1:5], ', ') || ')' END,
+@query(lineage_sql("b.newest <= 51 AND b.newest <= CASE WHEN a.newest <= 50 THEN 51 ELSE 50 END") + LINKS.replace("confidence\n", """confidence, concat_ws('; ', CASE WHEN ts > 0 THEN 'title overlap (' || array_to_string(both_words[1:5], ', ') || ')' END,
   CASE WHEN hours <= 48 THEN 'within 48 hours' WHEN hours <= 168 THEN 'within 7 days' WHEN hours <= 720 THEN 'within 30 days' END, CASE WHEN cs > 0 THEN n_both || ' shared content keywords' END, 'continuation phrase: "' || phrase || '"') AS signals
 """))
 def lineage_signals(spark: SparkSession, sf: str) -> DataFrame:
-    rows = similarity.described(B.conversations(spark, sf), _continued(spark, sf))
+    rows = similarity.described(B.conversations(spark, sf), continued(spark, sf))
     return similarity.lineage(similarity.newest_others(rows, rows)).select("source_conversation_id", "target_conversation_id", "relation_type", "confidence", F.array_join("signals", "; ").alias("signals"))

@@ -9,7 +9,9 @@ from convlake import testbed as B
 from convlake.functions import text as T
 from convlake.operators import assets, browse, capture, chunks, context, health, ledger, notes, package, rollups
 from convlake.operators.similarity import described, lineage, neighbours
+from convlake.plans.meaning import LINKS, continued, lineage_sql
 from convlake.plans.registry import query
+from convlake.schemas import PROVIDERS
 from convlake.shared import materialize
 from convlake.sources import exports, writers
 
@@ -348,10 +350,30 @@ def markdown_notes(spark: SparkSession, sf: str) -> DataFrame:
     return package.note_markdown(B.notes(spark, sf))
 
 
-@query()
+_SHOWN = "CASE source " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PROVIDERS.items()) + " ELSE source END"
+
+
+def _chat_sql(links: str) -> str:
+    """Chat notes with summaries in SQL; ``links`` gives l (id, links)."""
+    return rf"""
+WITH {links},
+tr AS (SELECT conversation_id AS id, count(*) AS n, string_agg('[' || role || ']: ' || content, chr(10) ORDER BY sequence_index) AS t FROM msg GROUP BY 1),
+c AS (SELECT conv.*, {_SHOWN} AS shown, coalesce('[[' || strftime(make_timestamp(CAST(created_at_unix AS BIGINT) * 1000000), '%Y-%m-%d') || ']]', 'unknown') AS created, strftime(make_timestamp(CAST(updated_at_unix AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS updated,
+  replace(replace(title, '\', '\\'), '"', '\"') AS quoted, n, '[stub reply to ' || length(t) || ' characters] ' || left(trim(regexp_replace(t, '\s+', ' ', 'g')), 120) AS summary, links FROM conv JOIN tr ON tr.id = conv.id LEFT JOIN l ON l.id = conv.id)
+SELECT id, 'chats/' || source || '--' || id || '.md' AS path, concat_ws(chr(10), '---', 'type: "chat"', 'stable_id: "imported_conversation:' || id || '"', 'provider: "[[' || shown || ']]"', 'lane: "imported"', 'title: "' || quoted || '"', 'created: "' || created || '"', 'updated: "' || updated || '"',
+  'categories:' || chr(10) || '  - "[[Chat]]"', 'tags:' || chr(10) || '  - "chat"' || chr(10) || '  - "imported"' || chr(10) || '  - "' || source || '"', '---' || chr(10)) || '# ' || title || chr(10) || '> **Provider:** [[' || shown || ']] · **Messages:** ' || n || ' · **Created:** ' || created || chr(10)
+  || '<!-- AUTO:BEGIN -->' || chr(10) || chr(10) || concat_ws(chr(10) || chr(10), '## Summary' || chr(10) || chr(10) || summary, '## Related Conversations' || chr(10) || chr(10) || links) || chr(10) || chr(10) || '<!-- AUTO:END -->' || chr(10) AS content FROM c"""
+
+
+_LINK_LINES = lineage_sql("abs(a.pos - b.pos) <= 25").split("WITH ", 1)[1].strip() + f""",
+k3 AS ({LINKS}),
+l AS (SELECT k3.source_conversation_id AS id, string_agg('- [[' || source || '--' || conv.id || ']] — ' || relation_type || ' (' || title || ')', chr(10) ORDER BY confidence DESC, conv.id) AS links FROM k3 JOIN conv ON conv.id = target_conversation_id GROUP BY 1)"""
+
+
+@query(_chat_sql(_LINK_LINES))
 def chat_notes(spark: SparkSession, sf: str) -> DataFrame:
     c, m = _tables(spark, sf)
-    links = lineage(neighbours(described(c, m))).join(c.select(F.col("id").alias("target_conversation_id"), F.col("source").alias("target_source")), "target_conversation_id")
+    links = lineage(neighbours(described(c, continued(spark, sf)))).join(c.select(F.col("id").alias("target_conversation_id"), F.col("source").alias("target_source")), "target_conversation_id")
     made = context.summaries(c, m, NOW).select(T.stable_number(F.col("source_conversation_id"), "imported_conversation").alias("id"), F.col("summary_text").alias("summary"))
     return notes.chat_notes(c, browse.message_counts(m), made, links)
 
@@ -369,7 +391,7 @@ def unique_names(spark: SparkSession, sf: str) -> DataFrame:
     return notes.unique_names(B.conversations(spark, sf).select((F.col("id") % 3).alias("batch_id"), "id", F.substring("title", 1, 4).alias("title")))
 
 
-@query()
+@query("SELECT path, content FROM (" + _chat_sql("l AS (SELECT NULL::BIGINT AS id, NULL::VARCHAR AS links)") + ")")
 def vault_refresh(spark: SparkSession, sf: str) -> DataFrame:
     c, m = _tables(spark, sf)
     n = browse.message_counts(m)
