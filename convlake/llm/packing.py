@@ -15,6 +15,7 @@ one-by-one best fit would.
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -38,8 +39,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 REMEMBERED = 150_000
 #: Bytes of text that are encoded at once.
 SLICE = 2 << 20
-#: Pieces of one length are numbered in independent cells of about so many.
-CELL = 50_000
+#: Pieces of one length are numbered in independent cells of about so many, or of the square root of their number.
+CELL = 1000
 #: Cells (length, cell, first rank: 20 bytes) that are broadcast; more are joined by a shuffle.
 BROADCAST_CELLS = 200_000
 
@@ -292,6 +293,11 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
     return docs.mapInArrow(lambda batches: cut_pieces(batches, tokenizer, capacity, end_id), T.StructType([docs.schema["doc_id"], *PIECE_FIELDS]))
 
 
+def cells(n: int) -> int:
+    """Cells for n pieces: their number and the pieces of each grow as the square root at most."""
+    return -(-n // max(CELL, math.isqrt(n)))
+
+
 def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
     """``pieces`` with their rank among those of their length, from 0, by cell, doc_id, piece and crc.
 
@@ -299,11 +305,11 @@ def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
     length whole; only the cells' own counts are added up in order.
     """
     spark = pieces.sparkSession
-    fan = spark.createDataFrame([(n, -(-c // CELL)) for n, c in counts.items()], "length long, cells long")  # one row for each length
+    fan = spark.createDataFrame([(n, cells(c)) for n, c in counts.items()], "length long, cells long")  # one row for each length
     pieces = pieces.join(F.broadcast(fan), "length").withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("cells"))).drop("cells")
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     firsts = pieces.groupBy("length", "cell").count().select("length", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    if sum(-(-c // CELL) for c in counts.values()) <= BROADCAST_CELLS:
+    if sum(map(cells, counts.values())) <= BROADCAST_CELLS:
         firsts = F.broadcast(firsts)
     inside = Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32")
     return pieces.withColumn("n", F.row_number().over(inside) - 1).join(firsts, ["length", "cell"]).withColumn("rank", F.col("first") + F.col("n")).drop("cell", "n", "first")

@@ -12,6 +12,7 @@ join.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import or_
 
@@ -23,8 +24,8 @@ from convlake.shared import materialize
 
 #: Bits of the hash that a step of splitting takes; the driver gathers at most 2**BITS sizes for each bundle that is split.
 BITS = 16
-#: Rows of a shard are numbered in independent cells of about so many.
-CELL = 50_000
+#: Rows of a shard are numbered in independent cells of about so many, or of the square root of their number.
+CELL = 1000
 #: Cells (shard, cell, first slot: 16 bytes) that are broadcast; more are joined by a shuffle.
 BROADCAST_CELLS = 200_000
 
@@ -139,12 +140,13 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     slim = materialize(slim, "shard-rows")
     shard = sum(((F.col("h") >= h).cast("int") for h in hash_cuts(slim, shards)), F.lit(0)).cast("int")
     total = slim.count()
-    cell = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(-(-total // (CELL * shards)) or 1))
+    cells = total // (shards * max(CELL, math.isqrt(total // shards))) + 1
+    cell = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(cells))
     rows = slim.select("doc_id", "size", "text_crc32", shard.alias("shard"), cell.alias("cell"))
     # only the cells' counts are added up in order
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "cell").count().select("shard", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    if total // CELL + shards <= BROADCAST_CELLS:
+    if cells * shards <= BROADCAST_CELLS:
         starts = F.broadcast(starts)
     inside = Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32")
     numbered = rows.withColumn("n", F.row_number().over(inside) - 1).join(starts, ["shard", "cell"])
