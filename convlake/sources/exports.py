@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -38,7 +39,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def zip_members(files: DataFrame) -> DataFrame:
-    """Path, member, content of every ``.json`` in zip files (path, content binary); broken archives have none."""
+    """Path, member, content of every ``.json`` in zip files (path, content binary); an archive without one has a row with an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -46,19 +47,31 @@ def zip_members(files: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows += [(path, n, z.read(n).decode("utf-8", "replace")) for n in sorted(z.namelist()) if n.lower().endswith(".json")]
-                except zipfile.BadZipFile:
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "member", "content"])
+                        found = [(path, n, z.read(n).decode("utf-8", "replace"), None) for n in sorted(z.namelist()) if n.lower().endswith(".json")]
+                    rows += found or [(path, None, None, "no .json file in the archive")]
+                except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError) as e:
+                    rows.append((path, None, None, f"broken archive: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "member", "content", "error"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, member string, content string")
+    return files.select("path", "content").mapInPandas(run, "path string, member string, content string, error string")
+
+
+def member_order() -> Column:
+    """``conversations.json`` before the others, those in path order."""
+    return F.struct((F.substring_index("member", "/", -1) != "conversations.json").alias("late"), "member")
 
 
 def chosen_member(members: DataFrame) -> DataFrame:
-    """The first member that is some provider's export, ``conversations.json`` before the others in path order."""
-    known = detect(members).filter("provider is not null")
-    order = F.struct((F.substring_index("member", "/", -1) != "conversations.json").alias("late"), "member")
-    return known.groupBy("path").agg(F.min_by("content", order).alias("content"))
+    """Path and content of the first member that is some provider's export."""
+    known = detect(members.filter("member is not null")).filter("provider is not null")
+    return known.groupBy("path").agg(F.min_by("content", member_order()).alias("content"))
+
+
+def zip_rejects(members: DataFrame) -> DataFrame:
+    """Archives (path, problem) of which no member is an export, with the problem of the member that was tried last."""
+    tried = detect(members.filter("member is not null")).groupBy("path").agg(F.max(F.col("provider").isNotNull()).alias("known"), F.max_by("problem", member_order()).alias("last"))
+    broken = members.filter("error is not null").select("path", F.col("error").alias("problem"))
+    return tried.filter("not known").select("path", F.col("last").alias("problem")).unionByName(broken)
 
 
 def keys(c: Column) -> Column:

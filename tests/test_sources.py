@@ -82,3 +82,23 @@ def test_sessions_keep_exact_gaps_together(spark):
 def test_hints(spark):
     df = spark.createDataFrame([(" Claude ",), ("grok",), ("x",), (None,)], "h string")
     assert [r[0] for r in df.select(X.valid_hint(F.col("h"))).collect()] == ["claude", "grok", None, None]
+
+
+def test_files_of_a_folder_and_archives_without_an_export(spark, tmp_path):
+    export = json.dumps([{"uuid": "u1", "name": "n", "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-01T00:00:00Z", "chat_messages": [{"uuid": "m1", "sender": "human", "text": "hello", "created_at": "2024-01-01T00:00:00Z"}]}])
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.json").write_text(export)
+    (tmp_path / "notes.txt").write_text("not read")
+    for name, members in (("good", {"x/other.json": export, "x/readme.md": "no"}), ("odd", {"a.json": "{}", "b.json": "[1"}), ("none", {"x.txt": "y"})):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            for member, content in members.items():
+                z.writestr(member, content)
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    files = X.read_files(spark, str(tmp_path))
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in files.collect()) == ["good.zip", "one.json"]
+    got = X.import_files(files)[0].collect()
+    assert [(r["provider"], r["source_conversation_id"], r["messages"][0]["content"]) for r in got] == [("claude", "u1", "hello")] * 2
+    raw = spark.read.format("binaryFile").load(f"{tmp_path}/*.zip")
+    rejects = {r["path"].rsplit("/", 1)[1]: r["problem"] for r in X.zip_rejects(X.zip_members(raw)).collect()}
+    assert set(rejects) == {"odd.zip", "none.zip", "bad.zip"} and all(rejects.values())
+    assert rejects["bad.zip"].startswith("broken archive") and rejects["none.zip"] == "no .json file in the archive"
