@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from convlake import testbed as B
 from convlake.functions import text as T
-from convlake.operators import assets, browse, capture, context, notes, package, rollups, similarity
+from convlake.operators import assets, browse, capture, context, health, notes, package, rollups, similarity
 from convlake.plans.meaning import _NEWEST, _topic_sql
 from convlake.plans.records import _ARTIFACT_SQL, _BRIDGE_SQL, _HASH, NOW, _artifacts, _commands, _imported
 from convlake.plans.registry import query
@@ -182,3 +182,30 @@ def vault_export(spark: SparkSession, sf: str) -> DataFrame:
 def category_notes(spark: SparkSession, sf: str) -> DataFrame:
     names = B.conversations(spark, sf).select("source").distinct()
     return notes.category_notes(names.select(F.col("source").alias("name"), F.concat(F.lit("chats/"), "source").alias("folder"), F.array(F.lit("provider"), F.lit("created")).alias("fields"), F.lit("created").alias("sort_field")))
+
+
+@query("""
+WITH c AS (SELECT id, source, source_conversation_id FROM conv WHERE id % 10 <> 7 UNION ALL SELECT id, source, source_conversation_id FROM conv WHERE id % 15 = 3),
+m AS (SELECT id, conversation_id, sequence_index FROM msg WHERE conversation_id % 6 <> 4 AND id % 97 <> 5 UNION ALL SELECT id, conversation_id, sequence_index FROM msg WHERE id % 40 = 11),
+g AS (SELECT DISTINCT conversation_id FROM (SELECT conversation_id, sequence_index, row_number() OVER (PARTITION BY conversation_id ORDER BY sequence_index, id) - 1 AS k FROM m) WHERE k <> sequence_index),
+x AS (SELECT 'conversations' AS name, count(*) AS n, true AS ok FROM c UNION ALL SELECT 'messages', count(*), true FROM m UNION ALL SELECT 'notes', count(*), true FROM notes
+  UNION ALL SELECT 'orphan_messages', count(*), count(*) = 0 FROM m WHERE conversation_id NOT IN (SELECT id FROM c)
+  UNION ALL SELECT 'repeated_conversation_ids', count(*), count(*) = 0 FROM (SELECT id FROM c GROUP BY id HAVING count(*) > 1)
+  UNION ALL SELECT 'repeated_message_ids', count(*), count(*) = 0 FROM (SELECT id FROM m GROUP BY id HAVING count(*) > 1)
+  UNION ALL SELECT 'repeated_source_keys', count(*), count(*) = 0 FROM (SELECT source FROM c GROUP BY source, source_conversation_id HAVING count(*) > 1)
+  UNION ALL SELECT 'broken_sequences', count(*), count(*) = 0 FROM g
+  UNION ALL SELECT 'empty_conversations', count(*), count(*) = 0 FROM c WHERE id NOT IN (SELECT conversation_id FROM m))
+SELECT * FROM x""")
+def health_of_a_damaged_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    c, m = B.conversations(spark, sf), B.messages(spark, sf)
+    c = c.filter("id % 10 <> 7").unionByName(c.filter("id % 15 = 3"))
+    m = m.filter("conversation_id % 6 <> 4 and id % 97 <> 5").unionByName(m.filter("id % 40 = 11"))
+    return health.checks(c, m, B.notes(spark, sf))
+
+
+@query(_ARTIFACT_SQL + """, o AS (SELECT DISTINCT conversation_id AS id FROM a WHERE artifact_type = 'open_loops'), z AS (SELECT conversation_id AS id, arg_max(role, sequence_index) AS role FROM msg GROUP BY 1),
+u AS (SELECT CASE WHEN o.id IS NOT NULL THEN 1 ELSE 2 END AS tier, conv.id, title, coalesce(updated_at_unix, created_at_unix, 0) AS "at" FROM conv LEFT JOIN o ON o.id = conv.id LEFT JOIN z ON z.id = conv.id WHERE o.id IS NOT NULL OR z.role = 'user')
+SELECT * FROM u ORDER BY tier, "at" DESC, id DESC LIMIT 1000""")
+def unfinished_with_loops(spark: SparkSession, sf: str) -> DataFrame:
+    loops = _artifacts(spark, sf).filter("artifact_type = 'open_loops'").select("conversation_id", F.col("content_text").alias("text"))
+    return rollups.unfinished(B.conversations(spark, sf), B.messages(spark, sf), loops, most=1000)

@@ -5,11 +5,12 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from convlake.functions import text as T
-from convlake.operators import capture, chunks, components, context, ledger, notes, package, ranking, search, similarity
+from convlake.operators import browse, capture, chunks, components, context, ledger, notes, package, ranking, rollups, search, similarity
 from convlake.plans import records
 from convlake.plans.catalog import QUERIES
 from convlake.schemas import THREAD_STOPWORDS
 from convlake.shared import materialize
+from convlake.sources import exports
 
 
 def one(spark, column, **values):
@@ -227,3 +228,43 @@ def test_every_rule_of_a_package_fires(spark):
     assert codes(man.limit(0)) == {"manifest_missing"}
     assert codes(one_row(package_version="'0'", message_count="cast(-1 as long)", source_lanes="array('x')", source_providers="array('claude', ' ')", min_unix="1e9d", max_unix="1d")) == {"unsupported_package_version", "manifest_invalid_count", "manifest_count_mismatch", "manifest_source_lanes_mismatch", "manifest_source_providers_mismatch", "manifest_invalid_list_value", "manifest_invalid_time_range", "manifest_min_time_range_mismatch", "manifest_max_time_range_mismatch"}
     assert codes(one_row(native_count="cast(null as long)", includes_markdown="cast(null as boolean)", min_unix="cast(null as double)")) == {"manifest_missing_count", "manifest_missing_field", "manifest_time_range_missing"}
+
+
+def test_logs_grow_and_stores_get_versions(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, "x")], "id long, t string"), spark.createDataFrame([(2, "y")], "id long, t string")
+    ledger.append(a, f"{tmp_path}/log")
+    ledger.append(b, f"{tmp_path}/log")
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/log").collect()) == [1, 2]
+    old, new = ledger.rewrite(a, f"{tmp_path}/store", "1"), ledger.rewrite(b, f"{tmp_path}/store", "2")
+    assert [r["id"] for p in (old, new) for r in spark.read.json(p).collect()] == [1, 2]
+
+
+def test_lookups_take_the_newest(spark):
+    s = spark.createDataFrame([("c:1", "s:1", "old", "2024-01"), ("c:1", "s:2", "new", "2024-02"), ("c:2", "s:3", "only", "2024-01")], "source_conversation_id string, summary_id string, summary_text string, generation_timestamp string")
+    scans = spark.createDataFrame([("t:1", "2024-01", [("Old", ["c:1"])]), ("t:2", "2024-03", [("B", ["c:1", "c:2"]), ("A", ["c:1"])])], "scan_id string, generation_timestamp string, clusters array<struct<topic:string,ids:array<string>>>")
+    d = spark.createDataFrame([("A", "d:1", "first", "2024-01"), ("A", "d:2", "second", "2024-02")], "topic_label string, digest_id string, digest_text string, generation_timestamp string")
+    got = [sorted(tuple(r) for r in x.collect()) for x in notes.lookups(s, scans, d)]
+    assert got == [[("c:1", "new"), ("c:2", "only")], [("c:1", ["A", "B"]), ("c:2", ["B"])], [("A", "second")]]
+    assert [tuple(r) for r in rollups.topic_highlights(scans).orderBy("nth").collect()] == [(1, "B"), (2, "A")]
+    assert [r["summary_text"] for r in browse.record_by_id(s, "summary_id", "s:2").collect()] == ["new"]
+
+
+def test_marks_go_and_sources_can_be_added(spark):
+    assert one(spark, search.strip_marks(F.col("c")), c="a <mark>b</mark> c") == "a b c"
+    exports.register_source("plain", lambda c: c.startswith("PLAIN"), exports.PARSERS["grok"])
+    try:
+        files = spark.createDataFrame([("p", "PLAIN text"), ("q", "other")], "path string, content string")
+        assert {r["path"]: r["provider"] for r in exports.detect(files).collect()} == {"p": "plain", "q": None}
+    finally:
+        del exports.DETECTORS["plain"], exports.PARSERS["plain"]
+
+
+def test_sweep_deletes_the_tables_of_this_application(spark, monkeypatch):
+    from convlake import shared
+
+    home = shared.folder(spark) + "-swept"
+    monkeypatch.setattr(shared, "folder", lambda _: home)
+    assert shared.materialize(spark.range(3), "three").count() == 3
+    shared.sweep(spark)
+    p = spark._jvm.org.apache.hadoop.fs.Path(home)
+    assert not p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
