@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlake.llm import covertree, decontaminate, langid, licenses, packing, secrets, sharding, simhash, substrings, urlfilter
+from convlake.llm import bpe, covertree, decontaminate, langid, licenses, merkle, packing, secrets, sharding, simhash, substrings, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,10 +59,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents")).drop("proof")
+
+
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run, "op1_decontamination": op1_decontamination, "op2_secret_scan": op2_secret_scan, "op3_url_filter": op3_url_filter, "op4_exact_top_k": op4_exact_top_k, "op5_best_fit_packing": op5_best_fit_packing, "op6_simhash": op6_simhash, "op7_license_scan": op7_license_scan, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_sharding": op10_sharding}
+    return {"pipeline": corpus_pipeline.run, "op1_decontamination": op1_decontamination, "op2_secret_scan": op2_secret_scan, "op3_url_filter": op3_url_filter, "op4_exact_top_k": op4_exact_top_k, "op5_best_fit_packing": op5_best_fit_packing, "op6_simhash": op6_simhash, "op7_license_scan": op7_license_scan, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_sharding": op10_sharding, "op11_merkle_manifest": op11_merkle_manifest, "op13_bpe_codec": op13_bpe_codec}
 
 
 OP1_SQL = r"""
@@ -110,6 +119,47 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 """
 
 
+#: crc32 of a decimal, bit by bit.
+_CRC32 = """xor(list_reduce(range(8 * length({s})), lambda c, j:
+    xor((CASE WHEN j % 8 = 0 THEN xor(c, ascii({s}[j // 8 + 1])) ELSE c END) >> 1, CASE WHEN (CASE WHEN j % 8 = 0 THEN xor(c, ascii({s}[j // 8 + 1])) ELSE c END) & 1 = 1 THEN 3988292384 ELSE 0 END),
+    4294967295), 4294967295)"""
+
+OP11_SQL = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS k, (n_chars IS NOT NULL AND CRC % 7 = 0) AS hit,
+    concat_ws('', FIELD(CAST(doc_id AS VARCHAR)), FIELD(source), FIELD(lang)) AS a,
+    FIELD(CAST(n_chars AS VARCHAR)) AS n, FIELD(CAST(CAST(n_chars AS HUGEINT) + 1 AS VARCHAR)) AS n1, FIELD(text) AS t FROM documents
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM (SELECT doc_id, k, sha256(a || n || t) AS leaf, CASE WHEN hit THEN sha256(a || n1 || t) ELSE sha256(a || n || t) END AS shown FROM f)
+), t(k, lvl, pos, digest, n) AS (
+  SELECT k, 0, pos, leaf, count(*) OVER (PARTITION BY k) FROM p
+  UNION ALL
+  SELECT k, lvl + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY k, lvl, pos // 2, n
+), g AS (SELECT k, lvl AS height, digest, row_number() OVER (ORDER BY k) - 1 AS pos FROM t WHERE n = 1
+), u(lvl, pos, digest, n) AS (
+  SELECT 0, pos, digest, count(*) OVER () FROM g
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY lvl, pos // 2, n
+), s AS (
+  SELECT p.k, p.pos, v.lvl AS step, (p.pos >> v.lvl) % 2 = 1 AS odd, coalesce(w.digest, '') AS sib
+  FROM p JOIN (SELECT DISTINCT k, lvl FROM t WHERE n > 1) v ON p.k = v.k LEFT JOIN t w ON w.k = p.k AND w.lvl = v.lvl AND w.pos = xor(p.pos >> v.lvl, 1)
+  UNION ALL
+  SELECT p.k, p.pos, g.height + v.lvl, (g.pos >> v.lvl) % 2 = 1, coalesce(w.digest, '')
+  FROM p JOIN g ON p.k = g.k CROSS JOIN (SELECT DISTINCT lvl FROM u WHERE n > 1) v LEFT JOIN u w ON w.lvl = v.lvl AND w.pos = xor(g.pos >> v.lvl, 1)
+), e(k, pos, step, done) AS (
+  SELECT k, pos, 0, shown FROM p
+  UNION ALL
+  SELECT e.k, e.pos, e.step + 1, sha256(CASE WHEN odd THEN sib || done ELSE done || sib END) FROM e JOIN s ON e.k = s.k AND e.pos = s.pos AND e.step = s.step
+), x AS (SELECT k, pos, arg_max(done, step) AS folded FROM e GROUP BY k, pos
+), y AS (SELECT k, pos, string_agg(sib, '' ORDER BY step) AS sibs FROM s GROUP BY k, pos
+)
+SELECT p.doc_id, p.leaf, g.digest AS subroot, r.digest AS root, sha256(coalesce(y.sibs, '')) AS proof_sha256, x.folded AS folded_root, x.folded = r.digest AS verified
+FROM p JOIN g ON p.k = g.k JOIN x ON p.k = x.k AND p.pos = x.pos LEFT JOIN y ON p.k = y.k AND p.pos = y.pos CROSS JOIN (SELECT digest FROM u WHERE n = 1) r
+"""
+OP11_SQL = re.sub(r"FIELD\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)", r"coalesce(strlen(\1) || ':' || \1, '-')", OP11_SQL).replace("CRC", _CRC32.format(s="CAST(doc_id AS VARCHAR)"))
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the others are tested against brute force."""
-    return {"op1_decontamination": OP1_SQL, "op3_url_filter": OP3_SQL, "op4_exact_top_k": OP4_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_url_filter": OP3_SQL, "op4_exact_top_k": OP4_SQL, "op11_merkle_manifest": OP11_SQL}
