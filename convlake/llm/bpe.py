@@ -24,8 +24,10 @@ from pyspark.sql import types as T
 from convlake.llm.texts import ragged, slices
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 19
 #: Distinct words whose ids a Python worker remembers; others are merged again when they are met.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Characters after which a long text is cut at the next ASCII blank; no word or composed character crosses one.
 PIECE = 1 << 19
 NONE = np.iinfo(np.int32).max
@@ -230,7 +232,7 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 flat, at = codec_of(tokenizer).encode(part.column("text").to_pylist())
                 ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
@@ -257,18 +259,23 @@ def decode(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return encoded.mapInArrow(run, T.StructType([encoded.schema["doc_id"], T.StructField("text", T.StringType())]))
 
 
-def digests(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256 of ``encoded``."""
+def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256 of ``docs``.
+
+    Texts are encoded and decoded in one pass, so that a task has one codec in its
+    memory; rows as in :func:`encode`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(tokenizer)
         for batch in batches:
-            ids, at = id_rows(batch.column("ids"))
-            own = ids.astype("<u4").tobytes()
-            ends = at.tolist()
-            of_ids = [hashlib.sha256(own[4 * a : 4 * b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
-            of_text = [hashlib.sha256(x).hexdigest() for x in codec_of(tokenizer).decode(ids, at)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part in slices(batch, most=SLICE):
+                ids, at = codec.encode(part.column("text").to_pylist())
+                own, ends = ids.astype("<u4"), at.tolist()
+                of_ids = [hashlib.sha256(own[a:b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+                of_text = [hashlib.sha256(x).hexdigest() for x in codec.decode(ids, at)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    encoded = encoded.select("doc_id", "ids")
+    docs = docs.select("doc_id", "text")
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return encoded.mapInArrow(run, T.StructType([encoded.schema["doc_id"], *fields]))
+    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *fields]))
