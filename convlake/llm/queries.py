@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlake.llm import bpe, covertree, decontaminate, langid, licenses, merkle, packing, secrets, sharding, simhash, substrings, urlfilter
+from convlake.llm import bpe, covertree, decontaminate, langid, licenses, merkle, packing, secrets, sharding, simhash, substrings, trie, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,14 +63,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents")).drop("proof")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run, "op1_decontamination": op1_decontamination, "op2_secret_scan": op2_secret_scan, "op3_url_filter": op3_url_filter, "op4_exact_top_k": op4_exact_top_k, "op5_best_fit_packing": op5_best_fit_packing, "op6_simhash": op6_simhash, "op7_license_scan": op7_license_scan, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_sharding": op10_sharding, "op11_merkle_manifest": op11_merkle_manifest, "op13_bpe_codec": op13_bpe_codec}
+    return {"pipeline": corpus_pipeline.run, "op1_decontamination": op1_decontamination, "op2_secret_scan": op2_secret_scan, "op3_url_filter": op3_url_filter, "op4_exact_top_k": op4_exact_top_k, "op5_best_fit_packing": op5_best_fit_packing, "op6_simhash": op6_simhash, "op7_license_scan": op7_license_scan, "op8_language_id": op8_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_sharding": op10_sharding, "op11_merkle_manifest": op11_merkle_manifest, "op12_conversation_trie": op12_conversation_trie, "op13_bpe_codec": op13_bpe_codec}
 
 
 OP1_SQL = r"""
@@ -159,7 +163,38 @@ FROM p JOIN g ON p.k = g.k JOIN x ON p.k = x.k AND p.pos = x.pos LEFT JOIN y ON
 """
 OP11_SQL = re.sub(r"FIELD\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)", r"coalesce(strlen(\1) || ':' || \1, '-')", OP11_SQL).replace("CRC", _CRC32.format(s="CAST(doc_id AS VARCHAR)"))
 
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(sha256(strlen(role) || ':' || role || text), 32)) - 1 AS pos FROM t
+), c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, CRC % 9 AS h FROM (SELECT DISTINCT conv_id FROM o)
+), b AS (SELECT c.conv_id, o.pos + 1 AS depth, o.role, o.text FROM c JOIN o ON o.conv_id = c.base AND o.pos < c.h
+), k AS (SELECT conv_id, count(*) AS taken FROM b GROUP BY conv_id
+), r AS (
+  SELECT * FROM b
+  UNION ALL
+  SELECT c.conv_id, o.pos - c.h + coalesce(k.taken, 0) + 1, o.role, o.text FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos >= c.h LEFT JOIN k ON k.conv_id = c.conv_id
+), m AS (
+  SELECT conv_id, 0 AS depth, '' AS path, 0 AS bytes FROM c
+  UNION ALL
+  SELECT conv_id, depth, string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth), strlen(text) FROM r
+), l AS (SELECT conv_id, max(depth) AS depth FROM m GROUP BY conv_id
+), n AS (SELECT path, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, min(bytes) AS bytes FROM m GROUP BY path
+), u AS (SELECT n.path, p.path AS above FROM n JOIN m p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1
+), d AS (SELECT above AS path, count(*) AS n_children FROM u GROUP BY above
+), s AS (
+  SELECT v.path, sum(CASE WHEN d.path IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved_tokens
+  FROM n LEFT JOIN d ON d.path = n.path JOIN m v ON v.conv_id = n.conv_id AND v.depth <= n.depth GROUP BY v.path
+), e AS (SELECT m.path, string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id) AS ids FROM m JOIN l ON l.conv_id = m.conv_id AND l.depth = m.depth GROUP BY m.path
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, a.conv_id AS parent_conv_id, n.n_convs, coalesce(d.n_children, 0) AS n_children,
+  CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM n JOIN s ON s.path = n.path LEFT JOIN d ON d.path = n.path LEFT JOIN u ON u.path = n.path LEFT JOIN n a ON a.path = u.above LEFT JOIN e ON e.path = n.path
+"""
+OP12_SQL = OP12_SQL.replace("CRC", _CRC32.format(s="CAST(conv_id AS VARCHAR)"))
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the others are tested against brute force."""
-    return {"op1_decontamination": OP1_SQL, "op3_url_filter": OP3_SQL, "op4_exact_top_k": OP4_SQL, "op11_merkle_manifest": OP11_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_url_filter": OP3_SQL, "op4_exact_top_k": OP4_SQL, "op11_merkle_manifest": OP11_SQL, "op12_conversation_trie": OP12_SQL}
