@@ -1,6 +1,7 @@
 """A query's rows against those of its SQL."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -8,7 +9,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def shown(v):
     if hasattr(v, "tolist") and getattr(v, "ndim", 0):
         return repr(v.tolist())
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "~"
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 
