@@ -1,136 +1,119 @@
-"""Texts to chunks along structure, sentences and words.
+"""Texts to chunks along structure, sentences and words, in DataFrame functions.
 
-The packing of sentences is sequential within a document, so it runs over Arrow
-batches of documents; documents are independent.
+A text's lines become rows; running sums over them give offsets, the fences that
+are open and the blocks.  A long block is cut by regular expressions and a fold.
+One exchange, by document, serves all windows.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from typing import NamedTuple
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Largest chunk, size at which sentences are flushed, largest first chunk.
 MOST, TARGET, FIRST = 1600, 1000, 400
-_END = re.compile(r"(?<=[.!?])\s+")
-SCHEMA = "doc_id long, chunk_id string, index int, kind string, text string, char_start int, char_end int"
-
-
-class Chunk(NamedTuple):
-    kind: str
-    text: str
-    start: int
-
-    @property
-    def end(self) -> int:
-        return self.start + len(self.text)
-
-
-def blocks(text: str) -> Iterator[Chunk]:
-    """B1: fenced code, headings and paragraphs with their offsets."""
-    at, kept, fence = 0, [], None
-    for line in [*text.split("\n"), None]:
-        closing = line is None
-        if fence is not None:
-            if closing or (line.startswith("```") and at > fence):
-                end = len(text) if closing else at + len(line)
-                yield Chunk("code", text[fence:end].rstrip("\n"), fence)
-                fence = None
-        elif closing or not line.strip() or line.startswith("```") or line.lstrip().startswith("#"):
-            if kept:
-                body = text[kept[0] : kept[1]]
-                yield Chunk("paragraph", body.strip(), kept[0] + len(body) - len(body.lstrip()))
-                kept = []
-            if not closing and line.startswith("```"):
-                fence = at
-            elif not closing and line.strip():
-                yield Chunk("heading", line.rstrip(), at)
-        else:
-            kept = [kept[0] if kept else at, at + len(line)]
-        at += 0 if closing else len(line) + 1
-
-
-def sliced(text: str, most: int) -> list[str]:
+#: Blanks: what Unicode calls white space, and the four separators before it.
+WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+\z", "")
+
+
+def lead(c: Column) -> Column:
+    """Number of blanks at the start."""
+    return F.length(F.regexp_extract(c, rf"^[{WS}]*", 0))
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """B1: row (a number for each document), doc_id, block, kind, text, start: fenced code, headings and paragraphs.
+
+    A fence is open after an odd number of fence lines, and a closing line belongs to
+    its block.  Other lines are headings, blank ones, or paragraphs with the lines
+    beside them.
+    """
+    lines = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
+    by = Window.partitionBy("row").orderBy("k")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    fence = F.col("line").startswith("```")
+    lines = lines.select("*", (F.sum(F.length("line") + 1).over(upto) - F.length("line") - 1).alias("start"), fence.alias("fence"), F.sum(fence.cast("int")).over(upto).alias("fences"))
+    kind = F.when(F.col("fence") | (F.col("fences") % 2 == 1), "code").when(F.col("line").rlike(rf"^[{WS}]*#"), "heading").when(~F.col("line").rlike(rf"^[{WS}]*\z"), "paragraph")
+    lines = lines.withColumn("kind", kind)
+    opens = F.when(F.col("kind") == "code", F.col("fence") & (F.col("fences") % 2 == 1)).when(F.col("kind") == "paragraph", ~F.lag("kind").over(by).eqNullSafe("paragraph")).otherwise(F.col("kind").isNotNull())
+    lines = lines.withColumn("opens", opens).withColumn("block", F.sum(F.col("opens").cast("int")).over(upto))
+    found = lines.filter("kind is not null").groupBy("row", "block").agg(F.first("doc_id").alias("doc_id"), F.min("kind").alias("kind"), F.min("start").alias("start"), F.array_sort(F.collect_list(F.struct("k", "line"))).alias("lines"))
+    whole = F.array_join("lines.line", "\n")
+    text = F.when(F.col("kind") == "code", F.regexp_replace(whole, r"\n+\z", "")).otherwise(F.regexp_replace(whole, rf"[{WS}]+\z", ""))
+    return found.select("row", "doc_id", "block", "kind", text.alias("text"), "start")
+
+
+def sliced(text: Column, most: int) -> Column:
     """Pieces of at most ``most`` characters, cut at the last space where there is one."""
-    out = []
-    while text:
-        end = len(text)
-        if end > most:
-            space = text.rfind(" ", 0, most)
-            end = space if space > 0 else most
-        if text[:end].strip():
-            out.append(text[:end].strip())
-        text = text[end:].lstrip(" ")
-    return out
-
-
-def placed(kind: str, pieces: list[str], start: int) -> list[Chunk]:
-    out = []
-    for p in pieces:
-        out.append(Chunk(kind, p, start))
-        start += len(p) + 1
-    return out
-
-
-def grouped(chunk: Chunk, most: int, target: int) -> list[Chunk]:
-    """B2: a long paragraph as groups of sentences; a sentence that is too long is sliced."""
-    pieces: list[str] = []
-    have: list[str] = []
-    for s in filter(None, (x.strip() for x in _END.split(chunk.text.strip()))):
-        size = len(" ".join(have))
-        if have and (len(s) > most or size + 1 + len(s) > most):
-            pieces.append(" ".join(have))
-            have = []
-        if len(s) > most:
-            pieces += sliced(s, most)
-            continue
-        have.append(s)
-        if len(" ".join(have)) >= target:
-            pieces.append(" ".join(have))
-            have = []
-    if have:
-        pieces.append(" ".join(have))
-    return placed("sentence_group", pieces, chunk.start) or [chunk]
-
-
-def fitted(chunk: Chunk, most: int, target: int) -> list[Chunk]:
-    if len(chunk.text) <= most:
-        return [chunk]
-    return grouped(chunk, most, target) if chunk.kind == "paragraph" else placed(chunk.kind, sliced(chunk.text, most), chunk.start)
-
-
-def short_first(chunk: Chunk, first: int, most: int, target: int) -> list[Chunk]:
-    """A chunk as a short head, cut at the last sentence end, space or character in reach, and the rest."""
-    ends = [m.end() for m in _END.finditer(chunk.text) if m.end() <= first]
-    space = chunk.text.rfind(" ", 0, first)
-    cut = ends[-1] if ends else space + 1 if space > 0 else first
-    head, tail = chunk.text[:cut], chunk.text[cut:]
-    out = [Chunk(chunk.kind, head.strip(), chunk.start + len(head) - len(head.lstrip()))]
-    if tail.strip():
-        out += fitted(Chunk(chunk.kind, tail.strip(), chunk.start + cut + len(tail) - len(tail.lstrip())), most, target)
-    return out
-
-
-def chunks_of(text: str | None, most: int = MOST, target: int = TARGET, first: int = FIRST) -> list[Chunk]:
-    out = [c for b in blocks(text or "") if b.text for c in fitted(b, most, target)]
-    if out and out[0].kind != "code" and 0 < first < len(out[0].text):
-        out = short_first(out[0], first, most, target) + out[1:]
-    return out
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(.{{1,{most}}}\z|.{{1,{most - 1}}}(?= )|.{{{most}}}) *"), 1)
+    return F.filter(F.transform(pieces, stripped), lambda p: p != "")
 
 
-def chunk(docs: DataFrame, most: int = MOST, target: int = TARGET, first: int = FIRST) -> DataFrame:
-    """The chunks of every document (doc_id, text)."""
+def grouped(text: Column, most: int, target: int) -> Column:
+    """B2: a long paragraph as groups of sentences; a sentence that is too long is sliced.
+
+    The fold goes over the sentences' lengths and keeps where each group begins: a
+    group is closed when the next sentence does not fit or the target is reached.
+    """
+    parts = F.filter(F.transform(F.split(stripped(text), rf"(?<=[.!?])[{WS}]+", -1), stripped), lambda s: s != "")
+    pieces = F.flatten(F.transform(parts, lambda s: F.when(F.length(s) <= most, F.array(F.struct(s.alias("t"), F.lit(False).alias("alone")))).otherwise(F.transform(sliced(s, most), lambda p: F.struct(p.alias("t"), F.lit(True).alias("alone"))))))
+    kind = "struct<i: int, size: int, begins: array<int>>"  # size 0: no group is open
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"), F.expr("cast(array() as array<int>)").alias("begins")).cast(kind)
+
+    def step(done: Column, piece: Column) -> Column:
+        n = F.length(piece["t"])
+        fits = (done["size"] > 0) & ~piece["alone"] & (done["size"] + 1 + n <= most)
+        size = F.when(fits, done["size"] + 1 + n).otherwise(n)
+        begins = F.when(fits, done["begins"]).otherwise(F.concat(done["begins"], F.array(done["i"])))
+        return F.struct((done["i"] + 1).alias("i"), F.when(piece["alone"] | (size >= target), 0).otherwise(size).alias("size"), begins.alias("begins")).cast(kind)
+
+    def groups(found: Column) -> Column:
+        begins = F.aggregate(found, start, step)["begins"]
+        ends = F.concat(F.slice(begins, 2, F.greatest(F.size(begins) - 1, F.lit(0))), F.array(F.size(found)))
+        return F.zip_with(begins, ends, lambda a, b: F.array_join(F.transform(F.slice(found, a + 1, b - a), lambda p: p["t"]), " "))
+
+    return F.transform(F.array(pieces), groups)[0]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(d, f"c{i + 1:03d}", i, c.kind, c.text, c.start, c.end) for d, t in zip(b["doc_id"], b["text"], strict=True) for i, c in enumerate(chunks_of(t, most, target, first))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "index", "kind", "text", "char_start", "char_end"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+def fitted(found: DataFrame, most: int, target: int) -> DataFrame:
+    """Blocks as pieces that fit, with the place and start of each; a piece starts one character after the one before."""
+    long = F.length("text") > most
+    texts = F.when(~long, F.array("text")).when(F.col("kind") == "paragraph", grouped(F.col("text"), most, target)).otherwise(sliced(F.col("text"), most))
+    kind = F.when(long & (F.col("kind") == "paragraph"), "sentence_group").otherwise(F.col("kind"))
+    pieces = found.select("row", "doc_id", "block", kind.alias("kind"), "start", F.posexplode(texts).alias("piece", "text"))
+    before = Window.partitionBy("row", "block").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.withColumn("start", F.col("start") + F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
+
+
+def short_first(first: Column, most: int) -> Column:
+    """A chunk (text, start) as a short head, cut at the last sentence end, space or character in reach, and the rest."""
+    text, start = first["text"], first["start"]
+    sentence = F.length(F.regexp_extract(F.substring(text, 1, most + 1), rf"(?s)^(.*[.!?][{WS}]+)(?=[^{WS}])", 1))
+    space = F.length(F.regexp_extract(F.substring(text, 1, most), r"(?s)^(.+ )", 1))
+    cut = F.when(sentence > 0, sentence).when(space > 0, space).otherwise(most)
+    parts = F.array(F.struct(F.substr(text, F.lit(1), cut).alias("t"), start.alias("s")), F.struct(F.substr(text, cut + 1).alias("t"), (start + cut).alias("s")))
+    kept = F.transform(parts, lambda p: F.struct(stripped(p["t"]).alias("text"), (p["s"] + lead(p["t"])).alias("start")))
+    return F.filter(kept, lambda p: p["text"] != "")
+
+
+def chunk(docs: DataFrame, most: int = MOST, target: int = TARGET, first: int = FIRST) -> DataFrame:
+    """The chunks of every document (doc_id, text), in order.  Null and blank texts have none."""
+    pieces = fitted(blocks(docs.select("doc_id", "text")), most, target)
+    order = Window.partitionBy("row").orderBy("block", "piece")
+    one = F.struct("text", F.col("start").cast("long").alias("start"))
+    shrink = (F.row_number().over(order) == 1) & (F.col("kind") != "code") & (F.length("text") > first) & (F.lit(first) > 0)
+    parts = pieces.select("row", "doc_id", "block", "piece", "kind", one.alias("one"), shrink.alias("shrink"))
+    parts = parts.select("*", F.posexplode(F.when(F.col("shrink"), short_first(F.col("one"), first)).otherwise(F.array("one"))).alias("part", "c"))
+    index = F.row_number().over(Window.partitionBy("row").orderBy("block", "piece", "part")) - 1
+    start = F.col("c.start").cast("int")
+    chunks = parts.select("doc_id", index.alias("index"), "kind", F.col("c.text").alias("text"), start.alias("char_start"))
+    number = (F.col("index") + 1).cast("string")
+    name = F.concat(F.lit("c"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))
+    return chunks.select("doc_id", name.alias("chunk_id"), "index", "kind", "text", "char_start", (F.col("char_start") + F.length("text")).alias("char_end"))
 
 
 def chunk_stats(chunked: DataFrame) -> DataFrame:

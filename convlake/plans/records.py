@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -474,11 +476,60 @@ def asset_store(spark: SparkSession, sf: str) -> DataFrame:
     return assets.asset_rows(files).select("stable_id", "storage_path", "size_bytes", "n_copies")
 
 
-@query()
+_WS = chunks.WS
+_CHUNKS_SQL = rf"""
+WITH lines AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS k, unnest(string_split(text, chr(10))) AS line FROM documents),
+marked AS (SELECT *, sum(length(line) + 1) OVER w - length(line) - 1 AS st, starts_with(line, '```') AS fence, sum(CAST(starts_with(line, '```') AS INT)) OVER w AS fences FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+kinds AS (SELECT *, CASE WHEN fence OR fences % 2 = 1 THEN 'code' WHEN regexp_matches(line, '^[{_WS}]*#') THEN 'heading' WHEN NOT regexp_matches(line, '^[{_WS}]*\z') THEN 'paragraph' END AS kind FROM marked),
+opened AS (SELECT *, CASE WHEN kind = 'code' THEN fence AND fences % 2 = 1 WHEN kind = 'paragraph' THEN lag(kind) OVER (PARTITION BY doc_id ORDER BY k) IS DISTINCT FROM 'paragraph' ELSE kind IS NOT NULL END AS opens FROM kinds),
+numbered AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY k) AS block FROM opened),
+joined AS (SELECT doc_id, block, min(kind) AS kind, min(st) AS st, string_agg(line, chr(10) ORDER BY k) AS whole FROM numbered WHERE kind IS NOT NULL GROUP BY doc_id, block),
+found AS (SELECT doc_id, block, kind, st, CASE kind WHEN 'code' THEN rtrim(whole, chr(10)) ELSE regexp_replace(whole, '[{_WS}]+\z', '') END AS text FROM joined),
+sentences AS (
+  SELECT doc_id, block, i, STRIP(t) AS t FROM (
+    SELECT doc_id, block, unnest(string_split(regexp_replace(STRIP(text), '([.!?])[{_WS}]+', '\1' || chr(1), 'g'), chr(1))) AS t,
+      unnest(range(len(string_split(regexp_replace(STRIP(text), '([.!?])[{_WS}]+', '\1' || chr(1), 'g'), chr(1))))) AS i FROM found WHERE kind = 'paragraph' AND length(text) > 1600)
+  WHERE STRIP(t) <> ''),
+cuts(doc_id, block, i, k, piece, rest) AS (
+  SELECT doc_id, block, i, 0, '', t FROM sentences WHERE length(t) > 1600 UNION ALL SELECT doc_id, block, -1, 0, '', text FROM found WHERE kind <> 'paragraph' AND length(text) > 1600
+  UNION ALL
+  SELECT doc_id, block, i, k + 1, substr(rest, 1, n), ltrim(substr(rest, n + 1), ' ') FROM (
+    SELECT *, CASE WHEN length(rest) <= 1600 THEN length(rest) WHEN length(regexp_extract(substr(rest, 1, 1600), '(?s)^(.*) ', 1)) > 0 THEN length(regexp_extract(substr(rest, 1, 1600), '(?s)^(.*) ', 1)) ELSE 1600 END AS n FROM cuts WHERE rest <> '')),
+units AS (
+  SELECT doc_id, block, t, alone, row_number() OVER (PARTITION BY doc_id, block ORDER BY i, k) AS u FROM (
+    SELECT doc_id, block, i, 0 AS k, t, false AS alone FROM sentences WHERE length(t) <= 1600 UNION ALL SELECT doc_id, block, i, k, STRIP(piece), true FROM cuts WHERE i >= 0 AND STRIP(piece) <> '')),
+fold(doc_id, block, u, size, g) AS (
+  SELECT DISTINCT doc_id, block, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM units
+  UNION ALL
+  SELECT doc_id, block, u, CASE WHEN alone OR n >= 1000 THEN 0 ELSE n END, g FROM (
+    SELECT f.doc_id, f.block, p.u, p.alone, length(p.t) + CASE WHEN f.size > 0 AND NOT p.alone AND f.size + 1 + length(p.t) <= 1600 THEN f.size + 1 ELSE 0 END AS n,
+      f.g + CASE WHEN f.size > 0 AND NOT p.alone AND f.size + 1 + length(p.t) <= 1600 THEN 0 ELSE 1 END AS g
+    FROM fold f JOIN units p ON p.doc_id = f.doc_id AND p.block = f.block AND p.u = f.u + 1)),
+pieces AS (
+  SELECT doc_id, block, 0 AS piece, kind, text AS t FROM found WHERE length(text) <= 1600
+  UNION ALL SELECT doc_id, block, k, (SELECT kind FROM found x WHERE x.doc_id = cuts.doc_id AND x.block = cuts.block), STRIP(piece) FROM cuts WHERE i = -1 AND STRIP(piece) <> ''
+  UNION ALL SELECT doc_id, block, g, 'sentence_group', string_agg(t, ' ' ORDER BY u) FROM fold JOIN units USING (doc_id, block, u) GROUP BY doc_id, block, g),
+placed AS (
+  SELECT p.*, f.st + coalesce(sum(length(t) + 1) OVER (PARTITION BY p.doc_id, p.block ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st,
+    row_number() OVER (PARTITION BY p.doc_id ORDER BY p.block, piece) = 1 AND p.kind <> 'code' AND length(t) > 400 AS shrink FROM pieces p JOIN found f USING (doc_id, block)),
+parts AS (
+  SELECT doc_id, block, piece, 0 AS part, kind, t, st FROM placed WHERE NOT shrink
+  UNION ALL
+  SELECT doc_id, block, piece, part, kind, STRIP(x), st + CASE part WHEN 0 THEN 0 ELSE cut END + length(x) - length(regexp_replace(x, '^[{_WS}]+', '')) FROM (
+    SELECT *, unnest([0, 1]) AS part, unnest([substr(t, 1, cut), substr(t, cut + 1)]) AS x FROM (
+      SELECT *, CASE WHEN length(regexp_extract(substr(t, 1, 401), '(?s)^(.*[.!?][{_WS}]+)[^{_WS}]', 1)) > 0 THEN length(regexp_extract(substr(t, 1, 401), '(?s)^(.*[.!?][{_WS}]+)[^{_WS}]', 1))
+        WHEN length(regexp_extract(substr(t, 1, 400), '(?s)^(.+ )', 1)) > 0 THEN length(regexp_extract(substr(t, 1, 400), '(?s)^(.+ )', 1)) ELSE 400 END AS cut FROM placed WHERE shrink))
+  WHERE STRIP(x) <> ''),
+chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block, piece, part) - 1 AS INT) AS index, kind, t AS text, CAST(st AS INT) AS char_start FROM parts)
+"""
+_CHUNKS_SQL = re.sub(r"STRIP\((\w+)\)", lambda m: rf"regexp_replace({m[1]}, '^[{_WS}]+|[{_WS}]+\z', '', 'g')", _CHUNKS_SQL)
+
+
+@query(_CHUNKS_SQL + "SELECT doc_id, 'c' || CASE WHEN index < 999 THEN right('00' || (index + 1), 3) ELSE CAST(index + 1 AS VARCHAR) END AS chunk_id, index, kind, text, char_start, CAST(char_start + length(text) AS INT) AS char_end FROM chunks")
 def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.chunk(B.table(spark, sf, "documents"))
 
 
-@query()
+@query(_CHUNKS_SQL + "SELECT kind, count(*) AS n, round(avg(length(text)), 1) AS mean_chars, max(length(text)) AS max_chars FROM chunks GROUP BY kind")
 def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.chunk_stats(chunks.chunk(B.table(spark, sf, "documents")))

@@ -5,7 +5,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from convlake.functions import text as T
-from convlake.operators import browse, capture, chunks, components, context, ledger, notes, package, ranking, rollups, search, similarity
+from convlake.operators import browse, capture, components, context, ledger, notes, package, ranking, rollups, search, similarity
 from convlake.plans import records
 from convlake.plans.catalog import QUERIES
 from convlake.schemas import THREAD_STOPWORDS
@@ -111,24 +111,6 @@ def test_text_functions(spark):
     assert one(spark, T.stable_number(c, "memory"), c="memory:12") == 12 and one(spark, T.stable_number(c, "memory"), c="memory:x") is None
 
 
-def test_chunks_cover_their_text():
-    r = random.Random(0)
-    for _ in range(60):
-        parts = []
-        for _ in range(r.randint(1, 8)):
-            kind = r.choice("phc")
-            words = " ".join("w" * r.randint(1, 9) + r.choice(["", ".", "!"]) for _ in range(r.choice([3, 60, 700])))
-            parts.append({"p": words, "h": "# " + words[:50], "c": "```\n" + words + "\n```"}[kind])
-        text = "\n\n".join(parts)
-        got = chunks.chunks_of(text)
-        assert all(0 < len(c.text) <= chunks.MOST for c in got)
-        assert re.sub(r"\s", "", "".join(c.text for c in got)) == re.sub(r"\s", "", text)
-        if got[0].kind != "code":
-            assert len(got[0].text) <= chunks.FIRST
-    assert chunks.chunks_of("") == [] == chunks.chunks_of(None)
-    assert [(c.kind, c.text, c.start) for c in chunks.chunks_of("# T\n\na\nb\n```\nx\n```\ny")] == [("heading", "# T", 0), ("paragraph", "a\nb", 5), ("code", "```\nx\n```", 9), ("paragraph", "y", 19)]
-
-
 def test_capture_hash_and_life_cycle(spark):
     rows = [(1, "browser", "1", "selection", "é x \n", None, 61.0, 5.0), (2, "browser", "1", "selection", "é x", "", 119.0, 4.0), (3, "browser", "1", "selection", "other", "u", 61.0, 1.0)]
     df = spark.createDataFrame(rows, "id long, adapter_id string, adapter_version string, payload_kind string, body_text string, source_url string, captured_at_unix double, received_at_unix double")

@@ -1,5 +1,3 @@
-import re
-
 import pytest
 from compare import assert_equal
 
@@ -22,15 +20,5 @@ def test_query_equals_its_sql(spark, sf, name):
     assert_equal(spark, sf, QUERIES[name], SQL[name])
 
 
-def test_only_chunks_have_no_sql():
-    assert set(QUERIES) - set(SQL) == {"text_chunks", "chunk_stats"}
-
-
-def test_chunks_hold_the_words_of_their_documents(spark, sf):
-    words = lambda text: re.findall(r"\w+", text)
-    rows = QUERIES["text_chunks"](spark, sf).toPandas().sort_values(["doc_id", "index"])
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
-    got = rows.groupby("doc_id")["text"].agg(" ".join).to_dict()
-    assert {d: words(t) for d, t in got.items()} == {d: words(t) for d, t in texts.items() if words(t)}
-    stats = QUERIES["chunk_stats"](spark, sf).toPandas()
-    assert len(rows) > len(got) and len(stats) > 0
+def test_all_queries_have_sql():
+    assert set(QUERIES) == set(SQL)
