@@ -7,11 +7,13 @@ from collections.abc import Iterable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from convlake.operators.ranking import positions
 from convlake.schemas import CAPTURE_EDGES
+from convlake.shared import materialize
 
 #: Adapters: version, allowed payload kinds, largest UTF-8 body.
 ADAPTERS = (("browser", "1", ("selection",), 64 * 1024), ("cli", "1", ("text", "markdown", "paste"), 256 * 1024), ("mail", "1", ("message",), 64 * 1024))
@@ -122,23 +124,75 @@ def legal_step(status: Column, action: Column) -> Column:
     return F.try_element_at(table, F.concat(status, F.lit(">"), action))
 
 
-def replay(commands: DataFrame) -> DataFrame:
-    """capture_id, status, n_applied, n_rejected, decided_at_unix, decided_by, reason after all commands, in order of time and command_id.
+STATES = ("pending", "triaged", "promoted", "rejected", "quarantined")
+#: What a run of commands makes of each state: the end state, the legal ones, and the last values that legal ones wrote.
+_EFFECT = "struct<status: string, applied: long, triaged: double, decided: struct<at: double, by: string>, rejected: struct<reason: string>, quarantined: struct<reason: string>>"
+_MAP = f"array<{_EFFECT}>"
 
-    Commands: capture_id, command_id, action, at_unix, decided_by, reason.  All
-    captures begin as pending; an illegal command changes nothing and is counted.
+
+def _effect(status: Column, applied: Column, *written: Column) -> Column:
+    names = ("triaged", "decided", "rejected", "quarantined")
+    return F.struct(status.alias("status"), applied.cast("long").alias("applied"), *(w.alias(n) for w, n in zip(written, names, strict=True))).cast(_EFFECT)
+
+
+def state_map(action: Column, at: Column, by: Column, reason: Column) -> Column:
+    """A command as a map of the five states, in the order of STATES.
+
+    A legal triage writes its time; the other legal commands write who decided and
+    when, and a rejection or quarantine its reason.  An illegal one writes nothing.
     """
-    ordered = commands.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("at_unix", "command_id", "action", "decided_by", "reason"))).alias("c"))
-    kind = "struct<status:string,n_applied:long,n_rejected:long,decided_at_unix:double,decided_by:string,reason:string>"
-    start = F.struct(F.lit("pending").alias("status"), F.lit(0).cast("long").alias("n_applied"), F.lit(0).cast("long").alias("n_rejected"), F.lit(None).cast("double").alias("decided_at_unix"), F.lit(None).cast("string").alias("decided_by"), F.lit(None).cast("string").alias("reason")).cast(kind)
+    none = F.lit(None)
+    out = []
+    for state in STATES:
+        to = legal_step(F.lit(state), action)
+        decided = F.when(to.isNotNull() & (to != "triaged"), F.struct(at.alias("at"), by.alias("by")))
+        why = [F.when(to == end, F.struct(reason.alias("reason"))) for end in ("rejected", "quarantined")]
+        out.append(_effect(F.coalesce(to, F.lit(state)), to.isNotNull(), F.when(to == "triaged", at), F.coalesce(decided, none), *why))
+    return F.array(*out)
+
+
+def composed(maps: Column) -> Column:
+    """The map of a list of maps, one after the other."""
+    index = F.create_map(*(F.lit(x) for i, s in enumerate(STATES) for x in (s, i)))
+    none = [F.lit(None)] * 4
+    start = F.array(*(_effect(F.lit(s), F.lit(0), *none) for s in STATES)).cast(_MAP)
 
-    def step(acc: Column, c: Column) -> Column:
-        to = legal_step(acc["status"], c["action"])
-        ok = to.isNotNull()
-        pick = lambda yes, no: F.when(ok, yes).otherwise(no)
-        return F.struct(pick(to, acc["status"]).alias("status"), pick(acc["n_applied"] + 1, acc["n_applied"]).alias("n_applied"), pick(acc["n_rejected"], acc["n_rejected"] + 1).alias("n_rejected"), pick(c["at_unix"], acc["decided_at_unix"]).alias("decided_at_unix"), pick(c["decided_by"], acc["decided_by"]).alias("decided_by"), pick(c["reason"], acc["reason"]).alias("reason")).cast(kind)
+    def then(done: Column, m: Column) -> Column:
+        after = F.element_at(m, F.element_at(index, done["status"]) + 1)
+        return _effect(after["status"], done["applied"] + after["applied"], *(F.coalesce(after[c], done[c]) for c in ("triaged", "decided", "rejected", "quarantined")))
 
-    return ordered.select("capture_id", F.aggregate("c", start, step).alias("s")).select("capture_id", "s.*")
+    return F.aggregate(maps, start, lambda done, m: F.transform(done, lambda e: then(e, m)).cast(_MAP))
+
+
+def replay(commands: DataFrame, cell: int = 256) -> DataFrame:
+    """Every capture after all its commands, in order of time and command_id; all begin as pending.
+
+    capture_id, status, n_applied, n_rejected (illegal commands), triaged_at_unix,
+    decided_at_unix, decided_by, reject_reason, quarantine_reason.  Commands:
+    capture_id, command_id, action, at_unix, decided_by, reason; without a capture_id
+    they are ignored.
+
+    Maps compose whatever the grouping, so that a capture's commands are folded in
+    cells of ``cell`` places, the cells' maps in cells again, until one is left: no
+    task sees a hot capture whole.
+    """
+    columns = ["capture_id", "at_unix", "command_id", "action", "decided_by", "reason"]
+    placed = positions(commands.filter("capture_id is not null").select(*columns), ["capture_id"], ["at_unix", "command_id", "action"])
+    one = state_map(F.col("action"), F.col("at_unix"), F.col("decided_by"), F.col("reason"))
+    maps = placed.select("capture_id", "position", one.alias("map"), F.lit(1).cast("long").alias("n"))
+    while True:
+        item = F.struct("position", "map")
+        cells = maps.groupBy("capture_id", F.floor(F.col("position") / cell).alias("position")).agg(F.array_sort(F.collect_list(item)).alias("items"), F.sum("n").alias("n"))
+        maps = materialize(cells.select("capture_id", "position", composed(F.col("items.map")).alias("map"), "n"), "state-maps")
+        if not maps.agg(F.max("position")).first()[0]:
+            break
+    e = F.col("map")[0]
+    return maps.select("capture_id", e["status"].alias("status"), e["applied"].alias("n_applied"), (F.col("n") - e["applied"]).alias("n_rejected"), e["triaged"].alias("triaged_at_unix"), e["decided"]["at"].alias("decided_at_unix"), e["decided"]["by"].alias("decided_by"), e["rejected"]["reason"].alias("reject_reason"), e["quarantined"]["reason"].alias("quarantine_reason"))
+
+
+def note_id(capture_id: Column) -> Column:
+    """The id of the note that a capture becomes: the same whenever it is promoted."""
+    return F.xxhash64(F.lit("note of a capture"), capture_id)
 
 
 def promoted_notes(captures: DataFrame, states: DataFrame) -> DataFrame:

@@ -427,23 +427,29 @@ _ACTIONS = ("triage", "promote", "reject", "quarantine", "triage", "reject", "pr
 
 def _commands(spark: SparkSession, sf: str) -> DataFrame:
     e = B.table(spark, sf, "events")
-    return e.select(F.col("user_id").alias("capture_id"), F.col("event_id").alias("command_id"), F.element_at(F.array(*(F.lit(a) for a in _ACTIONS)), (F.col("event_id") % 8 + 1).cast("int")).alias("action"), F.lit("me").alias("decided_by"), F.lit(None).cast("string").alias("reason"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at_unix"))
+    return e.select(F.col("user_id").alias("capture_id"), F.col("event_id").alias("command_id"), F.element_at(F.array(*(F.lit(a) for a in _ACTIONS)), (F.col("event_id") % 8 + 1).cast("int")).alias("action"), F.concat(F.lit("user"), F.col("event_id") % 3).alias("decided_by"), F.when(F.col("event_id") % 5 > 0, F.concat(F.lit("because "), F.col("event_id"))).alias("reason"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at_unix"))
 
 
 _STEP = "CASE s || '>' || a WHEN 'pending>triage' THEN 'triaged' WHEN 'pending>promote' THEN 'promoted' WHEN 'pending>reject' THEN 'rejected' WHEN 'pending>quarantine' THEN 'quarantined' WHEN 'triaged>promote' THEN 'promoted' WHEN 'triaged>reject' THEN 'rejected' WHEN 'triaged>quarantine' THEN 'quarantined' WHEN 'quarantined>triage' THEN 'triaged' WHEN 'quarantined>reject' THEN 'rejected' END"
 
 
 _LIFE_SQL = f"""
-WITH c AS (SELECT user_id AS capture_id, (['triage', 'promote', 'reject', 'quarantine', 'triage', 'reject', 'promote', 'triage'])[event_id % 8 + 1] AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-r(capture_id, k, status, n) AS (SELECT DISTINCT capture_id, 0::BIGINT, 'pending', 0::BIGINT FROM c
-  UNION ALL SELECT capture_id, k, coalesce(t, s), n + CASE WHEN t IS NULL THEN 0 ELSE 1 END FROM (SELECT r.capture_id, c.k, r.status AS s, r.n, {_STEP.replace("s ||", "r.status ||")} AS t FROM r JOIN c ON c.capture_id = r.capture_id AND c.k = r.k + 1)),
-life AS (SELECT capture_id, arg_max(status, k) AS status, arg_max(n, k) AS n_applied, max(k) - arg_max(n, k) AS n_rejected FROM r GROUP BY capture_id)
+WITH c AS (SELECT user_id AS capture_id, (['triage', 'promote', 'reject', 'quarantine', 'triage', 'reject', 'promote', 'triage'])[event_id % 8 + 1] AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k,
+  epoch_us(ts) / 1e6 AS t, 'user' || event_id % 3 AS who, CASE WHEN event_id % 5 > 0 THEN 'because ' || event_id END AS why FROM events),
+r(capture_id, k, status, n, triaged_at_unix, decided_at_unix, decided_by, reject_reason, quarantine_reason) AS (
+  SELECT DISTINCT capture_id, 0::BIGINT, 'pending', 0::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM c
+  UNION ALL
+  SELECT capture_id, k, coalesce(z, status), n + CASE WHEN z IS NULL THEN 0 ELSE 1 END, CASE WHEN z = 'triaged' THEN t ELSE triaged_at_unix END,
+    CASE WHEN z <> 'triaged' THEN t ELSE decided_at_unix END, CASE WHEN z <> 'triaged' THEN who ELSE decided_by END,
+    CASE WHEN z = 'rejected' THEN why ELSE reject_reason END, CASE WHEN z = 'quarantined' THEN why ELSE quarantine_reason END
+  FROM (SELECT r.* EXCLUDE (k), c.k, c.t, c.who, c.why, {_STEP.replace("s ||", "r.status ||")} AS z FROM r JOIN c ON c.capture_id = r.capture_id AND c.k = r.k + 1)),
+life AS (SELECT * EXCLUDE (k, n), n AS n_applied, k AS n FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY k DESC) AS last FROM r) WHERE last = 1)
 """
 
 
-@query(_LIFE_SQL + "SELECT * FROM life")
+@query(_LIFE_SQL + "SELECT * EXCLUDE (n, last), n - n_applied AS n_rejected FROM life")
 def capture_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
-    return capture.replay(_commands(spark, sf)).select("capture_id", "status", "n_applied", "n_rejected")
+    return capture.replay(_commands(spark, sf))
 
 
 @query(_LIFE_SQL + "SELECT id AS captured_via_id, length(body_text) AS size, 'captured' AS tags FROM captures JOIN life ON capture_id = id WHERE status = 'promoted'")

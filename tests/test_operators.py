@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from convlake.functions import text as T
 from convlake.operators import browse, capture, components, context, ledger, notes, package, ranking, rollups, search, similarity
 from convlake.plans import records
-from convlake.plans.catalog import QUERIES
 from convlake.schemas import THREAD_STOPWORDS
 from convlake.shared import materialize
 from convlake.sources import exports
@@ -122,14 +121,6 @@ def test_capture_hash_and_life_cycle(spark):
     assert sorted((r["capture_id"], r["status"], r["n_applied"], r["n_rejected"]) for r in got.collect()) == [(1, "promoted", 2, 2), (2, "triaged", 2, 1)]
 
 
-def test_streams_agree_with_batch(spark, sf):
-    stream = {tuple(r) for r in QUERIES["stream_capture_lifecycle"](spark, sf).collect()}
-    batch = {tuple(r) for r in QUERIES["capture_lifecycle"](spark, sf).collect()}
-    assert {(a, b, int(c), int(d)) for a, b, c, d in stream} == {(a, b, int(c), int(d)) for a, b, c, d in batch}
-    closed = {(r["user_id"], r["n"]) for r in QUERIES["stream_activity_sessions"](spark, sf).select("user_id", "n").collect()}
-    assert closed and closed <= {(r["user_id"], r["n"]) for r in QUERIES["activity_sessions"](spark, sf).collect()}
-
-
 def test_topic_replies_and_model_hook(spark):
     known = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     reply = "noise\nTOPIC: Cars\nIDS: 1, 2, 99\nCONFIDENCE: High\nTOPIC: Lone\nIDS: 3\nCONFIDENCE: low"
