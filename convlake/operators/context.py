@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlake.functions import text as T
+from convlake.operators.ranking import positions
 from convlake.schemas import ARTIFACT_TYPES, BRIDGE_BUDGET, DISTILL_BUDGET, PACKET_BUDGET
+from convlake.shared import materialize
 
 
 def line_of(role: str = "role", content: str = "content") -> Column:
@@ -42,21 +44,46 @@ def blocks(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     return conversations.join(lines, "id", "left").withColumn("block", F.concat(head, F.lit("\n"), F.coalesce("lines", F.lit("")))).drop("lines")
 
 
+def newest_that_fit(rows: DataFrame, budget: int, cell: int = 1000) -> DataFrame:
+    """``rows`` (group_id, id, newest, size) with their place ``k`` in the group, from 1: the newest, and those after it while they fit.
+
+    Sizes are added up in cells of ``cell`` places; of the cells only those that
+    begin within the budget are looked into.
+    """
+    placed = positions(materialize(rows.withColumn("older", -F.col("newest")), "sizes"), ["group_id"], ["older", "id"])
+    placed = placed.withColumn("cell", F.floor(F.col("position") / cell)).withColumn("used", F.when(F.col("position") == 0, F.least("size", F.lit(budget))).otherwise(F.col("size") + 2))
+    before = Window.partitionBy("group_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell
+    cells = placed.groupBy("group_id", "cell").agg(F.sum("used").alias("sum")).withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0)))
+    within = placed.join(cells.filter((F.col("before") <= budget) | (F.col("cell") == 0)).select("group_id", "cell", "before"), ["group_id", "cell"])
+    inside = Window.partitionBy("group_id", "cell").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = within.withColumn("upto", F.col("before") + F.sum("used").over(inside)).filter((F.col("position") == 0) | (F.col("upto") <= budget))
+    return fits.select("group_id", "id", "size", (F.col("position") + 1).alias("k"))
+
+
 def multi_transcript(groups: DataFrame, conversations: DataFrame, messages: DataFrame, budget: int = DISTILL_BUDGET) -> DataFrame:
     """For each group (group_id, id) the blocks of its conversations, newest first, until one does not fit.
 
-    The newest is always there, cut if need be. A group is a set chosen by a user,
-    so its blocks fit a task.
+    The newest is always there, cut if need be.  Which ones fit is found from their
+    sizes alone, so that a group may be of any size; texts are read for those only,
+    and of a conversation no line that begins beyond the budget.
     """
-    rows = groups.join(blocks(conversations, messages), "id")
-    order = Window.partitionBy("group_id").orderBy(F.coalesce("created_at_unix", F.lit(0.0)).desc(), "id")
-    rows = rows.withColumn("k", F.row_number().over(order)).withColumn("size", F.when(F.col("k") == 1, F.least(F.length("block"), F.lit(budget))).otherwise(F.length("block") + 2))
-    rows = rows.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    over = (F.col("k") > 1) & (F.col("upto") > budget)
-    rows = rows.withColumn("kept", F.max(over.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 0)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("k", F.when(F.col("k") == 1, F.substring("block", 1, budget)).otherwise(F.col("block")).alias("block"))))), lambda x: x["block"]), "\n\n")
-    cut = F.max((~F.col("kept") | ((F.col("k") == 1) & (F.length("block") > budget))).cast("int")) > 0
-    return rows.groupBy("group_id").agg(text.alias("transcript"), cut.alias("truncated"), F.count("*").alias("n_conversations"), F.count_if("kept").alias("n_kept"))
+    head = F.concat(F.lit("=== Conversation: "), F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("Untitled")), F.lit(" (provider: "), "source", F.lit(") ==="))
+    said = messages.groupBy(F.col("conversation_id").alias("id")).agg(F.sum(F.length(line_of()) + 1).alias("said"))
+    talks = conversations.select("id", head.alias("head"), F.coalesce("created_at_unix", F.lit(0.0)).alias("newest"))
+    sized = groups.filter("group_id is not null").join(talks, "id").join(said, "id", "left").withColumn("size", F.length("head") + 1 + F.coalesce(F.col("said") - 1, F.lit(0)))
+    rows = materialize(sized.select("group_id", "id", "newest", "size"), "transcript-sizes")
+    kept = materialize(newest_that_fit(rows, budget), "transcript-kept")
+    lines = messages.join(kept.select("id").distinct().withColumnRenamed("id", "conversation_id"), "conversation_id")
+    before = Window.partitionBy("conversation_id").orderBy("sequence_index", "id").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("at", F.coalesce(F.sum(F.length(line_of()) + 1).over(before), F.lit(0))).filter(F.col("at") <= budget)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence_index", F.col("id").alias("m"), line_of().alias("line")))), lambda x: x["line"]), "\n")
+    texts = lines.groupBy(F.col("conversation_id").alias("id")).agg(joined.alias("lines"))
+    blocks_ = kept.join(talks.select("id", "head"), "id").join(texts, "id", "left")
+    block = F.concat("head", F.lit("\n"), F.coalesce("lines", F.lit("")))
+    shown = F.array_sort(F.collect_list(F.struct("k", F.when(F.col("k") == 1, F.substring(block, 1, budget)).otherwise(block).alias("block"))))
+    out = blocks_.groupBy("group_id").agg(F.array_join(F.transform(shown, lambda x: x["block"]), "\n\n").alias("transcript"), F.max(F.when(F.col("k") == 1, F.col("size") > budget)).alias("cut"), F.count("*").alias("n_kept"))
+    counts = rows.groupBy("group_id").agg(F.count("*").alias("n_conversations"))
+    return out.join(counts, "group_id").select("group_id", "transcript", (F.col("cut") | (F.col("n_kept") < F.col("n_conversations"))).alias("truncated"), "n_conversations", "n_kept")
 
 
 def distillation(groups: DataFrame, conversations: DataFrame, messages: DataFrame, now: str, model: Callable[[list[str]], list[str]] | None = None) -> DataFrame:

@@ -209,3 +209,21 @@ SELECT * FROM u ORDER BY tier, "at" DESC, id DESC LIMIT 1000""")
 def unfinished_with_loops(spark: SparkSession, sf: str) -> DataFrame:
     loops = _artifacts(spark, sf).filter("artifact_type = 'open_loops'").select("conversation_id", F.col("content_text").alias("text"))
     return rollups.unfinished(B.conversations(spark, sf), B.messages(spark, sf), loops, most=1000)
+
+
+#: Lists of content blocks inside each other; each holds a word of the message before the next and a mark after it.
+_DEEP = 12
+
+
+@query(f"""
+SELECT id, array_to_string(list_concat(list_filter(list_transform(string_split(content, ' ')[1:{_DEEP}], lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> ''), {[f"end {k}" for k in range(_DEEP, 0, -1)]}), chr(10) || chr(10)) AS content FROM msg""")
+def import_nested_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    m = B.messages(spark, sf)
+    word = lambda k: F.substring(F.to_json(F.array(F.coalesce(F.get(F.split("content", " "), k - 1), F.lit("")))), 2, 1 << 30)
+    inner = F.lit("null")
+    for k in range(_DEEP, 0, -1):
+        said = F.concat(F.lit('{"type":"text","text":'), F.regexp_replace(word(k), r"\]$", ""), F.lit("}"))
+        inner = F.concat(F.lit('{"type":"tool_result","content":[' if k % 2 else '{"type":"tool_use","input":[['), said, F.lit(","), inner, F.lit(f',"end {k}"' + ("]}" if k % 2 else "]]}")))
+    files = m.select("id", F.concat(F.lit('[{"uuid":"'), "id", F.lit('","name":"n","chat_messages":[{"uuid":"m","sender":"human","text":" ","content":'), inner, F.lit("}]}]")).alias("content"))
+    parsed = exports.parse_claude(files.select(F.col("id").cast("string").alias("path"), "content"))
+    return parsed.select(F.col("source_conversation_id").cast("long").alias("id"), F.get("messages", F.lit(0))["content"].alias("content"))

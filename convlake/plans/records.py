@@ -139,10 +139,10 @@ def transcript_budget(spark: SparkSession, sf: str) -> DataFrame:
     return context.transcript(B.messages(spark, sf), 600)
 
 
-def _multi_sql(budget: int) -> str:
+def _multi_sql(budget: int, group: str = "conv.id % 7") -> str:
     """Transcripts of groups of conversations under a budget in SQL, up to the kept ones (f)."""
     return f"""
-WITH b AS (SELECT conv.id, conv.id % 7 AS group_id, coalesce(created_at_unix, 0) AS t, '=== Conversation: ' || title || ' (provider: ' || source || ') ===' || chr(10) || lines AS block
+WITH b AS (SELECT conv.id, {group} AS group_id, coalesce(created_at_unix, 0) AS t, '=== Conversation: ' || title || ' (provider: ' || source || ') ===' || chr(10) || lines AS block
   FROM conv JOIN (SELECT conversation_id, string_agg('[' || role || ']: ' || content, chr(10) ORDER BY sequence_index) AS lines FROM msg GROUP BY 1) ON conversation_id = conv.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY t DESC, id) AS k FROM b),
 u AS (SELECT *, sum(CASE WHEN k = 1 THEN least(length(block), {budget}) ELSE length(block) + 2 END) OVER (PARTITION BY group_id ORDER BY k) AS upto FROM k),
@@ -150,13 +150,22 @@ f AS (SELECT *, min(CASE WHEN k > 1 AND upto > {budget} THEN k END) OVER (PARTIT
 """
 
 
-@query(_multi_sql(9000) + """SELECT group_id, string_agg(CASE WHEN k = 1 THEN left(block, 9000) ELSE block END, chr(10) || chr(10) ORDER BY k) FILTER (WHERE stop IS NULL OR k < stop) AS transcript,
-  bool_or((stop IS NOT NULL AND k >= stop) OR (k = 1 AND length(block) > 9000)) AS truncated, count(*) AS n_conversations, count(*) FILTER (WHERE stop IS NULL OR k < stop) AS n_kept FROM f GROUP BY group_id""")
+_MULTI_COLUMNS = """SELECT group_id, string_agg(CASE WHEN k = 1 THEN left(block, 9000) ELSE block END, chr(10) || chr(10) ORDER BY k) FILTER (WHERE stop IS NULL OR k < stop) AS transcript,
+  bool_or((stop IS NOT NULL AND k >= stop) OR (k = 1 AND length(block) > 9000)) AS truncated, count(*) AS n_conversations, count(*) FILTER (WHERE stop IS NULL OR k < stop) AS n_kept FROM f GROUP BY group_id"""
+
+
+@query(_multi_sql(9000) + _MULTI_COLUMNS)
 def multi_transcript(spark: SparkSession, sf: str) -> DataFrame:
     c, m = _tables(spark, sf)
     return context.multi_transcript(c.select((F.col("id") % 7).alias("group_id"), "id"), c, m, 9000)
 
 
+@query(_multi_sql(9000, "'all'") + _MULTI_COLUMNS)
+def transcript_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    c, m = _tables(spark, sf)
+    return context.multi_transcript(c.select(F.lit("all").alias("group_id"), "id"), c, m, 9000)
+
+
 def _replies(spark: SparkSession, sf: str) -> DataFrame:
     text = T.squeeze(F.col("content"))
     m = B.messages(spark, sf).groupBy("conversation_id").agg(F.min_by(text, "sequence_index").alias("summary"), F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("sequence_index", text.alias("t"))))), lambda x: x["t"]).alias("decisions"), F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("sequence_index", text.alias("t"))))), lambda x: x["t"]).alias("open_loops"))

@@ -244,21 +244,47 @@ def parse_chatgpt(files: DataFrame) -> DataFrame:
     return rows.select(*conversation("chatgpt", key, title_of(raw, "title"), field(raw, "create_time").try_cast("double"), field(raw, "update_time").try_cast("double"), numbered(F.transform("walked", message))))
 
 
-def claude_text(message: Column, depth: int = 3) -> Column:
-    """The text, else the texts of the content blocks, nested up to ``depth`` lists."""
+def nesting(json: Column) -> Column:
+    """The depth of lists and objects in a JSON text, by a running sum over its brackets."""
+    plain = F.regexp_replace(F.regexp_replace(json, r"(?s)\\.", ""), '"[^"]*"', "")
+    shape = F.split(F.regexp_replace(plain, r"[^\[\]{}]+", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
-    def pieces(value: Column, left: int) -> Column:
-        kind = field(value, "type")
-        none = F.array().cast(LIST)
-        inner = none if left == 0 else F.when(kind == "tool_result", F.flatten(F.transform(as_items(field(value, "content")), lambda v: pieces(v, left - 1)))).when(kind == "tool_use", F.flatten(F.transform(as_items(field(value, "input")), lambda v: pieces(v, left - 1)))).otherwise(none)
-        own = F.when(kind.isin("text", "voice_note"), F.array(text_field(value, "text"))).when(kind == "thinking", F.array(text_field(value, "thinking")))
-        loose = F.array(text_field(value, "text"), text_field(value, "thinking"), F.when(~is_list(field(value, "content")) & ~is_object(field(value, "content")), field(value, "content")))
-        return F.when(is_object(value), F.when(kind.isin("tool_result", "tool_use"), inner).otherwise(F.coalesce(own, loose))).otherwise(F.array(value))
+    def step(done: Column, c: Column) -> Column:
+        now = done["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(done["most"], now).alias("most"))
 
-    def as_items(value: Column) -> Column:
-        return F.when(is_list(value), items_of(value)).when(value.isNotNull(), F.array(value)).otherwise(F.array().cast(LIST))
+    return F.coalesce(F.aggregate(shape, start, step)["most"], F.lit(0))
 
-    blocks = F.flatten(F.transform(as_items(field(message, "content")), lambda v: pieces(v, 1)))
+
+def block_texts(content: Column, depth: Column) -> Column:
+    """The texts of nested content blocks (a VARIANT), in order, whatever their depth.
+
+    A frontier of blocks is expanded in place, so that the order is that of the
+    blocks: a list to its items, a block to what its type holds.  After as many rounds
+    as there are levels, only texts are left.
+    """
+    item = "struct<block: variant, text: string>"
+    nothing = F.expr(f"cast(array() as array<{item}>)")
+    text = lambda t: F.struct(F.lit(None).cast("variant").alias("block"), t.alias("text")).cast(item)
+    block = lambda v: F.struct(v.alias("block"), F.lit(None).cast("string").alias("text")).cast(item)
+
+    def expanded(one: Column) -> Column:
+        v = one["block"]
+        kind = F.schema_of_variant(v)
+        inner = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+        string = lambda name: F.when(F.schema_of_variant(inner(name)) == "STRING", F.array(text(F.try_variant_get(v, f"$.{name}", "string")))).otherwise(nothing)
+        of = F.when(F.schema_of_variant(inner("type")) == "STRING", F.try_variant_get(v, "$.type", "string"))
+        held = F.when(of.isin("text", "voice_note"), string("text")).when(of == "thinking", string("thinking")).when(of == "tool_result", F.array(block(inner("content")))).when(of == "tool_use", F.array(block(inner("input")))).otherwise(F.array(*(block(inner(c)) for c in ("text", "thinking", "content"))))
+        return F.when(one["text"].isNotNull(), F.array(one)).when(v.isNull(), nothing).when(kind == "STRING", F.array(text(v.cast("string")))).when(kind.startswith("ARRAY"), F.transform(v.try_cast("array<variant>"), block)).when(kind.startswith("OBJECT"), held).otherwise(nothing)
+
+    rounds = F.sequence(F.lit(0), depth)
+    return F.aggregate(rounds, F.array(block(content)), lambda done, _: F.flatten(F.transform(done, expanded)))["text"]
+
+
+def claude_text(message: Column) -> Column:
+    """The text, else the texts of the content blocks, however deep they lie."""
+    blocks = block_texts(F.try_variant_get(F.try_parse_json(message), "$.content", "variant"), nesting(message))
     joined = F.array_join(F.filter(F.transform(blocks, T.strip), lambda t: F.coalesce(t, F.lit("")) != ""), "\n\n")
     return F.coalesce(F.nullif(T.strip(text_field(message, "text")), F.lit("")), joined)
 

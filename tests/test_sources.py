@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -102,3 +103,40 @@ def test_files_of_a_folder_and_archives_without_an_export(spark, tmp_path):
     rejects = {r["path"].rsplit("/", 1)[1]: r["problem"] for r in X.zip_rejects(X.zip_members(raw)).collect()}
     assert set(rejects) == {"odd.zip", "none.zip", "bad.zip"} and all(rejects.values())
     assert rejects["bad.zip"].startswith("broken archive") and rejects["none.zip"] == "no .json file in the archive"
+
+
+def fragments(v):
+    if isinstance(v, str):
+        return [v]
+    if isinstance(v, list):
+        return [t for x in v for t in fragments(x)]
+    if not isinstance(v, dict):
+        return []
+    kind = v.get("type")
+    if kind in ("text", "voice_note", "thinking"):
+        t = v.get("thinking" if kind == "thinking" else "text")
+        return [t] if isinstance(t, str) else []
+    if kind in ("tool_result", "tool_use"):
+        return fragments(v.get("content" if kind == "tool_result" else "input"))
+    return [t for k in ("text", "thinking", "content") for t in fragments(v.get(k))]
+
+
+def test_content_blocks_of_any_depth(spark):
+    rng = random.Random(5)
+
+    def block(left):
+        if not left or rng.random() < 0.2:
+            return rng.choice(["plain", '{"type": "text", "text": "no block"}', "[1]", ' "q\\" [{', "", 7, None, True, {"type": "text", "text": "t\n\\{"}, {"type": "thinking", "thinking": "h"}, {"type": "text", "text": 5}, {"type": 3, "text": "x"}])
+        kind = rng.choice(["list", "tool_result", "tool_use", "image", None, "text"])
+        if kind == "list":
+            return [block(left - 1) for _ in range(rng.randrange(4))]
+        inner = {"content": block(left - 1), "input": block(left - 1), "text": block(left - 1), "thinking": "th"}
+        return {k: v for k, v in inner.items() if rng.random() < 0.8} | ({"type": kind} if kind else {})
+
+    contents = [block(rng.randrange(1, 16)) for _ in range(200)] + [None, [], {}]
+    files = {f"{i:03d}.json": [{"uuid": "u", "name": "n", "chat_messages": [{"uuid": "m", "sender": "human", "content": c}, {"uuid": "e", "sender": "human", "text": "last one"}]}] for i, c in enumerate(contents)}
+    rows, bad = load(spark, files)
+    assert not bad
+    for i, c in enumerate(contents):
+        want = "\n\n".join(t.strip() for t in fragments(c) if t.strip())
+        assert [x for x in said(rows[f"{i:03d}.json", "u"]) if x[1] != "last one"] == ([("user", want, 0)] if want else []), c
