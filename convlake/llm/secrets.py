@@ -27,20 +27,25 @@ MASK = "[SECRET]"
 BEFORE, AFTER = 48, 24
 
 # Names of secrets, shapes of known tokens.
-_NAME = r"key|secret|token|p(?:assw(?:or)?d|assphrase|wd)|credentials?|bearer"
-_ASSIGN = rf"(?=[kstpcbKSTPCB])(?i:(?:{_NAME})[\"']?\s{{0,4}}(?::=|=>|=|:)|bearer\s)\s{{0,4}}[\"']?"
+_NAME = r"key|secret|token|p(?:assw(?:or)?d|assphrase|ass|wd|w)|credentials?|auth|bearer"
+_ASSIGN = rf"(?=[akstpcbAKSTPCB])(?i:(?:{_NAME})[\"']?\s{{0,4}}(?::=|=>|=|:)|bearer\s)\s{{0,4}}[\"']?"
 # an eyJ soon behind another in one run of characters can only fail as that one did
 _KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}+|xox[abprs]-[0-9A-Za-z-]{10,}+|[srp]k_(?:live|test)_[0-9A-Za-z]{16,}+|AIza[0-9A-Za-z_-]{35}|(?=eyJ)(?<!(?<![0-9A-Za-z])eyJ[0-9A-Za-z_-]{0,200})eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+"
-_LINE = r"[A-Z ]{0,24}PRIVATE KEY-----"
+_LINE = r"[A-Z ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
 # to the END line, over whatever is no other BEGIN line
 _BLOCK = rf"-----BEGIN {_LINE}(?:(?:[^-]++|-(?!----(?:BEGIN|END) {_LINE}))*+-----END {_LINE})?"
 _VALUE = r"[^\s\"'`<>,;(){}\[\]|]{8,}+"
+# in quotes a value runs to the closing quote, whatever signs are in it
+_QUOTED = r"(?<=[\"'])(?=[^\s\"'`]*+[\"'])[^\s\"'`]{8,}+"
+_QUOTED_SIGN = r"(?=[^\s\"'`0-9!@#$%^&*]*+[0-9!@#$%^&*])"
+# a password in an address
+_LOGIN = r"(?<=://[^\s:/@]{0,64}:)[^\s:/@]{4,}+(?=@)"
 # a digit or sign anywhere in the value
 _SIGN = r"(?=[^\s\"'`<>,;(){}\[\]|0-9!@#$%^&*]*+[0-9!@#$%^&*])"
 # where the sign of assignment or a quote leaves no doubt, a value may be letters alone
-_LOOSE = rf"(?=[kstpcbKSTPCB])(?i:(?:{_NAME})[\"']?\s{{0,4}}(?:(?::=|=>|=)\s{{0,4}}[\"']?|:\s{{0,4}}[\"']))"
+_LOOSE = rf"(?=[akstpcbAKSTPCB])(?i:(?:{_NAME})[\"']?\s{{0,4}}(?:(?::=|=>|=)\s{{0,4}}[\"']?|:\s{{0,4}}[\"']))"
 _BARE = r"(?<![0-9A-Za-z+/_.-])(?=[A-Za-z+/_.-]*+[0-9])[0-9A-Za-z+/_.-]{16,}+={0,2}"
-CANDIDATE = rf"{_BLOCK}|(?:{_ASSIGN})(?:{_BLOCK}|{_SIGN}{_VALUE})|{_LOOSE}{_VALUE}|(?<![0-9A-Za-z])(?:{_KNOWN})|{_BARE}"
+CANDIDATE = rf"{_BLOCK}|(?:{_ASSIGN})(?:{_BLOCK}|{_QUOTED_SIGN}{_QUOTED}|{_SIGN}{_VALUE})|{_LOOSE}(?:{_QUOTED}|{_VALUE})|{_LOGIN}|(?<![0-9A-Za-z])(?:{_KNOWN})|{_BARE}"
 #: Strings of which every candidate holds one (or a digit): tried before the expression, which costs more.
 HINTS = ("=", ":", "bearer", "-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "k_live_", "k_test_", "AIza", "eyJ")
 LEAD = rf"^(?:{_ASSIGN})(?=[^\s\"'`]{{8}})"
@@ -128,6 +133,9 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     letters = f"translate({mixed}, '0123456789', 'ghijklmnop')"
     ends = lambda k: f"element_at(array('ation', 'ing', 'ness', 'ment', 'ability', 'ized', 'ary'), cast(pmod(xxhash64(id, {k}), 7) as int) + 1)"
     kinds += [
+        (f"substr({mixed}, 1, 6 + cast(pmod(id, 20) as int))", f"concat({prose}, 'db://', {word(40)}, ':')", 1),
+        (f"concat(substr({mixed}, 1, 5 + cast(pmod(id, 7) as int)), substr(',;(){{}}[]<>|', cast(pmod(id, 11) as int) + 1, 1), substr({mixed}, 20, 4 + cast(pmod(id, 9) as int)))", f"concat({prose}, {name}, {sign}, '\"')", 1),
+        (f"concat({word(41)}, '(', {word(42)}, ',', {word(43)}, ')')", f"concat({prose}, {name}, {sign}, '\"')", 0),
         (f"substr({letters}, 1, 18 + cast(pmod(id, 24) as int))", given, 1),
         (f"lower(substr({letters}, 1, 18 + cast(pmod(id, 24) as int)))", given, 1),
         (f"concat({word(22)}, {word(23)}, {word(24)}, {word(25)}, {word(26)})", given, 1),
