@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlake.functions import text as T
 from convlake.schemas import IMPORTED_LANE, NATIVE, NATIVE_LANE
 from convlake.shared import materialize
+from convlake.sources.files import listing, texts, within, write_files
 
 VERSION = "1"
 
@@ -65,15 +67,46 @@ def manifest(conversations: DataFrame, messages: DataFrame, notes: DataFrame, ma
     return row.select(F.lit(VERSION).alias("package_version"), "conversation_count", "message_count", "native_count", "provenance_count", lanes.alias("source_lanes"), providers.alias("source_providers"), F.least("c_min", "m_min", "n_min").alias("min_unix"), F.greatest("c_max", "m_max", "n_max").alias("max_unix"), F.lit(markdown).alias("includes_markdown"))
 
 
-def write_package(path: str, conversations: DataFrame, messages: DataFrame, notes: DataFrame, markdown: bool = True) -> None:
-    """JSON lines, one folder for each provider, rows of a conversation together and in order."""
-    conversation_records(conversations).withColumn("provider", F.col("source_provider")).repartition("provider", "stable_id").sortWithinPartitions("provider", "stable_id").write.partitionBy("provider").json(f"{path}/conversations")
-    message_records(conversations, messages).withColumn("provider", F.col("source_provider")).repartition("provider", "conversation_stable_id").sortWithinPartitions("provider", "conversation_stable_id", "sequence_index").write.partitionBy("provider").json(f"{path}/messages")
-    note_records(notes).write.json(f"{path}/native")
-    provenance(conversations, messages, notes, markdown).write.json(f"{path}/provenance")
-    manifest(conversations, messages, notes, markdown).write.json(f"{path}/manifest")
+#: Required fields of a manifest file and the kinds of value that each may have.
+MANIFEST_FIELDS = {"package_version": ("STRING",), "created_at": ("STRING",), "export_version": ("STRING",), "source_lanes": ("ARRAY",), "counts": ("OBJECT",), "source_providers": ("ARRAY",), "provenance": ("OBJECT",), "integrity_notes": ("STRING", "ARRAY")}
+COUNTS = ("conversation_count", "message_count", "native_count", "provenance_count")
+INDEX_FILE = "provenance/index.jsonl"
+
+
+def manifest_text(manifest_: DataFrame, now: str) -> DataFrame:
+    """The manifest (one row) as a file: path and content."""
+    notes = F.array(F.lit("Records are canonical; Markdown is derived from them."))
+    content = F.to_json(F.struct("package_version", F.lit(now).alias("created_at"), F.lit(VERSION).alias("export_version"), "source_lanes", F.struct(*COUNTS).alias("counts"), "source_providers", F.struct(F.lit(INDEX_FILE).alias("index_file")).alias("provenance"), notes.alias("integrity_notes"), F.col("includes_markdown").alias("markdown_included"), F.struct("min_unix", "max_unix").alias("time_range")))
+    return manifest_.select(F.lit("manifest.json").alias("path"), content.alias("content"))
+
+
+def write_package(path: str, conversations: DataFrame, messages: DataFrame, notes: DataFrame, markdown: bool = True, now: str = "") -> None:
+    """A package in ``path``: JSON lines as the provenance index names them, Markdown files, manifest.json.
+
+    A record file is a folder of parts, so that it may be of any size; rows of a
+    conversation are together and in order.  The manifest is written last.
+    """
+    spark = conversations.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    c = conversation_records(conversations).withColumn("provider", F.col("source_provider")).repartition("provider", "stable_id").sortWithinPartitions("provider", "stable_id")
+    m = message_records(conversations, messages).withColumn("provider", F.col("source_provider")).repartition("provider", "conversation_stable_id").sortWithinPartitions("provider", "conversation_stable_id", "sequence_index")
+    for name, rows in (("conversations", c), ("messages", m)):
+        rows.write.partitionBy("provider").json(f"{path}/_{name}")
+        # one folder for each provider
+        for part in fs.listStatus(fs_path(f"{path}/_{name}")):
+            if part.isDirectory():
+                to = f"{path}/providers/{part.getPath().getName().split('=', 1)[1]}"
+                fs.mkdirs(fs_path(to))
+                fs.rename(part.getPath(), fs_path(f"{to}/{name}.jsonl"))
+        fs.delete(fs_path(f"{path}/_{name}"), True)
+    note_records(notes).write.json(f"{path}/native/memory_entries.jsonl")
+    provenance(conversations, messages, notes, markdown).write.json(f"{path}/{INDEX_FILE}")
     if markdown:
-        conversation_markdown(conversations, messages).select(F.concat(F.lit("markdown/conversations/"), T.stable_id("imported_conversation", F.col("id")), F.lit(".md")).alias("path"), F.col("markdown").alias("content")).unionByName(note_markdown(notes).select(F.concat(F.lit("markdown/native/"), T.stable_id("memory", F.col("id")), F.lit(".md")).alias("path"), F.col("markdown").alias("content"))).write.json(f"{path}/markdown")
+        talks = conversation_markdown(conversations, messages).select(F.concat(F.lit("markdown/conversations/"), T.stable_id("imported_conversation", F.col("id")), F.lit(".md")).alias("path"), F.col("markdown").alias("content"))
+        own = note_markdown(notes).select(F.concat(F.lit("markdown/native/"), T.stable_id("memory", F.col("id")), F.lit(".md")).alias("path"), F.col("markdown").alias("content"))
+        write_files(talks.unionByName(own), path, True)
+    write_files(manifest_text(manifest(conversations, messages, notes, markdown), now), path, True)
 
 
 def conversation_markdown(conversations: DataFrame, messages: DataFrame) -> DataFrame:
@@ -254,15 +287,99 @@ def status(findings: DataFrame) -> DataFrame:
     return n.withColumn("status", F.when(F.col("errors") > 0, "invalid").when(F.col("warnings") > 0, "valid_with_warnings").otherwise("valid"))
 
 
-def read_lines(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
-    """JSON lines (path, line) of a package read back: records with their path, and findings on lines that are none."""
+def read_lines(lines: DataFrame, schema: str, file: str = "path") -> tuple[DataFrame, DataFrame]:
+    """JSON lines (``file``, line) of a package read back: records with their path, and findings on lines that are none."""
     rows = lines.filter(~blank("line")).withColumn("j", F.try_parse_json("line"))
     record = F.col("line").rlike(r"^\s*\{")
-    bad = broken(rows, [(F.col("j").isNull(), "jsonl_parse_error", "E"), (F.col("j").isNotNull() & ~record, "jsonl_record_invalid_type", "E")], "path")
-    good = rows.filter(F.col("j").isNotNull() & record).select("path", F.from_json("line", schema).alias("r")).select("path", "r.*")
+    bad = broken(rows, [(F.col("j").isNull(), "jsonl_parse_error", "E"), (F.col("j").isNotNull() & ~record, "jsonl_record_invalid_type", "E")], file)
+    good = rows.filter(F.col("j").isNotNull() & record).select(file, F.from_json("line", schema).alias("r")).select(file, "r.*")
     return good, bad
 
 
+def manifest_file_findings(manifests: DataFrame) -> DataFrame:
+    """Broken rules of manifest files (package, content; null if there is no such file), as code, severity, package."""
+    # The codes of the rules.
+    v, whole = F.col("v"), F.col("kind").startswith("OBJECT")
+    rows = manifests.withColumn("v", F.try_parse_json("content")).withColumn("kind", F.coalesce(F.schema_of_variant("v"), F.lit("")))
+    get = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+    kind = lambda name: F.coalesce(F.schema_of_variant(get(name)), F.lit("VOID"))
+    of = lambda name, *kinds: kind(name).rlike(f"^(?:{'|'.join(kinds)})")
+    text = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+    odd = lambda name: F.exists(get(name).try_cast("array<variant>"), lambda x: (F.coalesce(F.schema_of_variant(x), F.lit("")) != "STRING") | blank(x.try_cast("string")))
+    there = F.col("content").isNotNull()
+    absent = lambda name: kind(name) == "VOID"
+    counts = [f"counts.{c}" for c in COUNTS]
+    return broken(rows, [
+        (~there, "manifest_missing", "E"),
+        (there & v.isNull(), "json_parse_error", "E"),
+        (v.isNotNull() & ~whole, "manifest_invalid_type", "E"),
+        *((whole & absent(f), "manifest_missing_field", "E") for f in MANIFEST_FIELDS),
+        *((whole & ~absent(f) & ~of(f, *kinds), "manifest_invalid_field_type", "E") for f, kinds in MANIFEST_FIELDS.items()),
+        (whole & of("integrity_notes", "ARRAY") & odd("integrity_notes"), "manifest_invalid_integrity_notes", "E"),
+        (whole & (kind("package_version") == "STRING") & (text("package_version") != VERSION), "unsupported_package_version", "E"),
+        *((whole & of(f, "ARRAY") & odd(f), "manifest_invalid_list_value", "E") for f in ("source_lanes", "source_providers")),
+        *((whole & of("counts", "OBJECT") & absent(c), "manifest_missing_count", "E") for c in counts),
+        *((whole & ~absent(c) & (~of(c, "BIGINT") | (F.try_variant_get(v, f"$.{c}", "long") < 0)), "manifest_invalid_count", "E") for c in counts),
+        (whole & of("provenance", "OBJECT") & ((kind("provenance.index_file") != "STRING") | blank(text("provenance.index_file"))), "manifest_missing_provenance_index", "E"),
+        (whole & ~absent("markdown_included") & (kind("markdown_included") != "BOOLEAN"), "manifest_invalid_markdown_flag", "E"),
+        (whole & ~absent("time_range") & ~of("time_range", "OBJECT"), "manifest_invalid_time_range", "E"),
+    ], "package")
+
+
+_RECORD = "stable_id string, source_lane string, source_provider string, source_record_id string, source_metadata map<string, string>"
+RECORD_FILES = {
+    "conversations": (r"^providers/[^/]+/conversations\.jsonl$", f"{_RECORD}, title string, created_at_unix double, updated_at_unix double"),
+    "messages": (r"^providers/[^/]+/messages\.jsonl$", f"{_RECORD}, conversation_stable_id string, role string, content string, sequence_index int, created_at_unix double"),
+    "notes": (r"^native/memory_entries\.jsonl$", f"{_RECORD}, timestamp_unix double, role string, content string, tags string"),
+    "provenance": (rf"^{re.escape(INDEX_FILE)}$", f"unit_type string, {_RECORD}, timestamp_unix double, path string"),
+}
+
+
+def read_package(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The record tables of a package in ``folder``, its manifest (a row, or none), and the findings on its files.
+
+    A file that is listed but cannot be read is a finding, and so is a line that is
+    no JSON or no object; what can be read is read.
+    """
+    files = listing(spark, folder).withColumn("file", F.regexp_replace("path", r"/part-[^/]*$", ""))
+    lines = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("pathGlobFilter", "part-*").text(folder)
+    lines = materialize(lines.select(within(F.col("_metadata.file_path"), folder).alias("part"), F.col("value").alias("line")), "package-lines")
+    lines = lines.withColumn("path", F.regexp_replace("part", r"/part-[^/]*$", ""))
+    parts, found = {}, []
+    for name, (pattern, schema) in RECORD_FILES.items():
+        # units name paths of their own
+        own = "file" if name == "provenance" else "path"
+        good, bad = read_lines(lines.filter(F.col("path").rlike(pattern)).select(F.col("path").alias(own), "line"), schema, own)
+        parts[name] = materialize(good.drop("file"), f"package-{name}")
+        found.append(bad)
+    is_record = reduce(lambda a, b: a | b, [F.col("file").rlike(pattern) for pattern, _ in RECORD_FILES.values()])
+    unread = files.filter(is_record & (F.col("size") > 0)).join(lines.select(F.col("part").alias("path")).distinct(), "path", "left_anti")
+    found.append(unread.select(F.lit("file_read_error").alias("code"), F.lit("E").alias("severity"), F.col("path").alias("stable_id")))
+    one = spark.range(1).select(F.lit(folder).alias("package"))
+    head = materialize(one.join(texts(spark, folder, "manifest.json").filter("path = 'manifest.json'").select("content"), F.lit(True), "left"), "manifest-file")  # one row
+    found.append(manifest_file_findings(head).withColumn("stable_id", F.lit(None).cast("string")))
+    kinds = "package_version string, source_lanes array<string>, source_providers array<string>, markdown_included boolean, counts struct<{}>, time_range struct<min_unix: double, max_unix: double>".format(", ".join(f"{c}: long" for c in COUNTS))
+    row = head.filter(F.try_parse_json("content").isNotNull() & F.col("content").rlike(r"^\s*\{")).select(F.from_json("content", kinds).alias("m"))
+    parts["manifest"] = row.select("m.package_version", "m.counts.*", "m.source_lanes", "m.source_providers", "m.time_range.*", F.col("m.markdown_included").alias("includes_markdown"))
+    return parts, materialize(reduce(DataFrame.unionByName, found), "file-findings")
+
+
+def validate_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """All findings on a package in ``folder``: of its files and of its records.  Without a manifest that can be read there are no others."""
+    parts, found = read_package(spark, folder)
+    stop = found.agg(F.max(F.col("code").isin("manifest_missing", "json_parse_error", "manifest_invalid_type")).alias("stop"))
+    rules = validate(*(parts[k] for k in ("conversations", "messages", "notes", "provenance", "manifest")))
+    # a field of the manifest that its file's rules found missing or odd is not told again
+    rules = rules.join(F.broadcast(found.filter(F.col("code").startswith("manifest_")).select("code").distinct()), "code", "left_anti")  # a few codes
+    return found.unionByName(rules.join(F.broadcast(stop), F.lit(True)).filter(~F.coalesce("stop", F.lit(False))).drop("stop"))  # one row
+
+
+def provider_counts(parts: dict[str, DataFrame]) -> DataFrame:
+    """How many records of each kind a package has of each provider."""
+    kinds = [parts[k].groupBy(F.col("source_provider").alias("provider")).agg(F.count("*").alias("n")).withColumn("kind", F.lit(k)) for k in ("conversations", "messages", "notes")]
+    return reduce(DataFrame.unionByName, kinds).groupBy("provider").pivot("kind", ["conversations", "messages", "notes"]).agg(F.sum("n")).na.fill(0)
+
+
 def marker_name(c: Column) -> Column:
     """the last part of a file's name for a link: other characters than letters, digits, - _ . as one underscore, 80 at most."""
     bare = F.regexp_replace(F.substring_index(c, "/", -1), r"[^\p{L}\p{N}_.-]|_+", "_")

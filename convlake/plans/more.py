@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +12,10 @@ from convlake import testbed as B
 from convlake.functions import text as T
 from convlake.operators import assets, browse, capture, context, health, notes, package, rollups, similarity
 from convlake.plans.meaning import _NEWEST, _topic_sql
-from convlake.plans.records import _ARTIFACT_SQL, _BRIDGE_SQL, _HASH, NOW, _artifacts, _commands, _imported
+from convlake.plans.records import _ARTIFACT_SQL, _BRIDGE_SQL, _HASH, NOW, _artifacts, _chat_sql, _commands, _imported
 from convlake.plans.registry import query
-from convlake.shared import materialize
-from convlake.sources import exports, writers
+from convlake.shared import folder, materialize
+from convlake.sources import exports, files, writers
 
 
 @query("SELECT id, 'pending' AS status, received_at_unix FROM captures WHERE id NOT IN (SELECT user_id FROM events)")
@@ -227,3 +230,75 @@ def import_nested_blocks(spark: SparkSession, sf: str) -> DataFrame:
     files = m.select("id", F.concat(F.lit('[{"uuid":"'), "id", F.lit('","name":"n","chat_messages":[{"uuid":"m","sender":"human","text":" ","content":'), inner, F.lit("}]}]")).alias("content"))
     parsed = exports.parse_claude(files.select(F.col("id").cast("string").alias("path"), "content"))
     return parsed.select(F.col("source_conversation_id").cast("long").alias("id"), F.get("messages", F.lit(0))["content"].alias("content"))
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("SELECT path, content, strlen(content) AS size, CASE WHEN id % 3 = 0 THEN 'present' WHEN id % 3 = 1 THEN 'kept' ELSE 'written' END AS status, 'present' AS again FROM (" + _chat_sql("l AS (SELECT NULL::BIGINT AS id, NULL::VARCHAR AS links)") + ")")
+def vault_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of the chats in a folder that has two thirds of them, every other one with other words; and a second run."""
+    c, m = B.conversations(spark, sf), B.messages(spark, sf)
+    made = context.summaries(c, m, NOW).select(T.stable_number(F.col("source_conversation_id"), "imported_conversation").alias("id"), F.col("summary_text").alias("summary"))
+    chats = materialize(notes.chat_notes(c, browse.message_counts(m), made), "chats")
+    home = _folder(spark)
+    old = F.when(F.col("id") % 3 == 1, F.concat(F.lit("own words of "), F.col("path"))).otherwise(F.col("content"))
+    files.write_files(chats.filter("id % 3 < 2").select("path", old.alias("content")), home)
+    first = files.write_files(chats, home)
+    kept = files.texts(spark, home).filter(F.col("content").startswith("own words of "))
+    files.write_files(chats.join(kept.select("path"), "path", "left_semi"), home, True)
+    again = files.write_files(chats, home).select("path", F.col("status").alias("again"))
+    return files.texts(spark, home).join(files.listing(spark, home), "path").join(first, "path").join(again, "path")
+
+
+#: Manifest files, each with another fault: what stands in place of fields of a right one, and the rules that it breaks.
+_FAULTS = [
+    ({}, []), (None, ["json_parse_error"]), ([], ["manifest_invalid_type"]), ({"created_at": None}, ["manifest_missing_field"]), ({"source_lanes": "x"}, ["manifest_invalid_field_type"]), ({"integrity_notes": ["ok", " "]}, ["manifest_invalid_integrity_notes"]),
+    ({"package_version": "9"}, ["unsupported_package_version"]), ({"source_providers": ["a", 3]}, ["manifest_invalid_list_value"]), ({"counts": {"conversation_count": 1, "native_count": 0, "provenance_count": 2}}, ["manifest_missing_count"]),
+    ({"counts": {"conversation_count": -1, "message_count": 1.5, "native_count": 0, "provenance_count": 2}}, ["manifest_invalid_count"] * 2), ({"provenance": {"index_file": " "}}, ["manifest_missing_provenance_index"]),
+    ({"markdown_included": "yes"}, ["manifest_invalid_markdown_flag"]), ({"time_range": []}, ["manifest_invalid_time_range"]), ({"counts": None, "integrity_notes": 7}, ["manifest_missing_field", "manifest_invalid_field_type"]), (0, ["manifest_missing"]),
+]
+_RIGHT = {"package_version": "1", "created_at": NOW, "export_version": "1", "source_lanes": ["native_memory"], "counts": {"conversation_count": 1, "message_count": 2, "native_count": 0, "provenance_count": 3}, "source_providers": ["grok"], "provenance": {"index_file": "provenance/index.jsonl"}, "integrity_notes": "none", "markdown_included": True}
+
+
+@query("SELECT id AS package, code, 'E' AS severity FROM conv JOIN (VALUES " + ", ".join(f"({i}, '{code}')" for i, (_, codes) in enumerate(_FAULTS) for code in codes) + f") v(k, code) ON id % {len(_FAULTS)} = k")
+def manifest_file_rules(spark: SparkSession, sf: str) -> DataFrame:
+    shown = [None if fault == 0 else '{"cut' if fault is None else json.dumps([1] if fault == [] else {**_RIGHT, **fault}) for fault, _ in _FAULTS]
+    content = F.element_at(F.array(*(F.lit(x).cast("string") for x in shown)), (F.col("id") % len(_FAULTS) + 1).cast("int"))
+    found = package.manifest_file_findings(B.conversations(spark, sf).select(F.col("id").alias("package"), content.alias("content")))
+    return found.select(F.col("stable_id").cast("long").alias("package"), "code", "severity")
+
+
+def _package_folder(spark: SparkSession, sf: str) -> str:
+    home = _folder(spark)
+    package.write_package(home, B.conversations(spark, sf), B.messages(spark, sf), B.notes(spark, sf), False, NOW)
+    return home
+
+
+@query("""
+SELECT 'conversation_timestamp_missing' AS code, 'W' AS severity, count(*) + count(*) FILTER (WHERE id % 5 = 2) AS n FROM conv WHERE created_at_unix IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'conversation_updated_timestamp_missing', 'W', count(*) + count(*) FILTER (WHERE id % 5 = 2) FROM conv WHERE updated_at_unix IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'message_timestamp_missing', 'W', count(*) FROM msg WHERE created_at_unix IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'jsonl_parse_error', 'E', count(*) FROM conv WHERE id % 5 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'jsonl_record_invalid_type', 'E', count(*) FROM conv WHERE id % 5 = 1 HAVING count(*) > 0
+UNION ALL SELECT 'canonical_stable_id_duplicate', 'E', count(*) FROM conv WHERE id % 5 = 2 HAVING count(*) > 0
+UNION ALL SELECT 'conversation_provider_path_mismatch', 'E', count(*) FROM conv WHERE id % 5 = 2 AND source <> 'grok' HAVING count(*) > 0
+UNION ALL SELECT 'manifest_count_mismatch', 'E', 1 WHERE EXISTS (SELECT 1 FROM conv WHERE id % 5 = 2)
+UNION ALL SELECT 'file_read_error', 'E', count(DISTINCT source) FROM conv""")
+def package_folder_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """A package with more parts in it: lines that are no records, records of other providers again, parts that are no text."""
+    home = _package_folder(spark, sf)
+    c = B.conversations(spark, sf)
+    again = F.to_json(F.struct([F.col(x) for x in package.conversation_records(c.limit(0)).columns]))
+    bad = c.select("id", "source").join(package.conversation_records(c).select(F.substring_index("stable_id", ":", -1).cast("long").alias("id"), again.alias("record")), "id")
+    line = F.when(F.col("id") % 5 == 0, F.concat(F.lit('{"stable_id": "'), "id")).when(F.col("id") % 5 == 1, F.concat(F.lit("["), "id", F.lit("]"))).when(F.col("id") % 5 == 2, F.col("record"))
+    bad.select(line.alias("value")).filter("value is not null").write.mode("append").text(f"{home}/providers/grok/conversations.jsonl")
+    torn = c.select(F.concat(F.lit("providers/"), "source", F.lit("/messages.jsonl/part-torn.gz")).alias("path"), F.lit("no gzip").alias("content")).distinct()
+    files.write_files(torn, home)
+    return package.validate_folder(spark, home).groupBy("code", "severity").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source AS provider, count(*) AS conversations, sum(n) AS messages, 0 AS notes FROM conv JOIN (SELECT conversation_id, count(*) AS n FROM msg GROUP BY 1) ON conversation_id = id GROUP BY source UNION ALL SELECT 'native', 0, 0, count(*) FROM notes")
+def package_provider_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return package.provider_counts(package.read_package(spark, _package_folder(spark, sf))[0])

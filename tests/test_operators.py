@@ -141,10 +141,9 @@ def test_package_round_trip(spark, sf, tmp_path):
     from convlake import testbed as B
 
     c, m, n = B.conversations(spark, sf), B.messages(spark, sf), B.notes(spark, sf)
-    package.write_package(str(tmp_path), c, m, n)
-    lines = spark.read.text(f"{tmp_path}/messages").select(F.col("provider"), F.lit("x").alias("path"), F.col("value").alias("line"))
-    back, bad = package.read_lines(lines, "stable_id string, content string")
-    assert back.count() == m.count() and bad.count() == 0
+    package.write_package(f"file://{tmp_path}/p", c, m, n)
+    parts, bad = package.read_package(spark, f"file://{tmp_path}/p")
+    assert [parts[k].count() for k in ("conversations", "messages", "notes", "manifest")] == [c.count(), m.count(), n.count(), 1] and bad.count() == 0
     assert package.read_lines(spark.createDataFrame([("p", "{"), ("p", "[1]"), ("p", " ")], "path string, line string"), "a string")[1].count() == 2
 
 
