@@ -119,8 +119,8 @@ def stems_of(terms: DataFrame) -> DataFrame:
     return terms.select("term").distinct().mapInPandas(run, "term string, stem string")
 
 
-def index(docs: DataFrame, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, kind, id, tf, positions) and lengths (kind, id, length) of docs (kind, id, content).
+def index_tables(docs: DataFrame, stemmed: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings (term, kind, id, tf, positions), lengths (kind, id, length) and forms (stem, term) of docs (kind, id, content).
 
     Terms are stems, or words as they are.  The texts are read once: the postings of
     words are written to the shared folder, lengths and stems are made from them.
@@ -130,21 +130,16 @@ def index(docs: DataFrame, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
     rows = materialize(words.groupBy("term", "kind", "id").agg(F.count("at").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions")), "postings")
     lengths = rows.groupBy("kind", "id").agg(F.sum("tf").cast("int").alias("length"))
     postings = rows.filter("term is not null")
-    if stemmed:
-        joined = postings.join(stems_of(postings), "term").drop("term").withColumnRenamed("stem", "term")
-        postings = joined.groupBy("term", "kind", "id").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
-    return postings, lengths
-
+    if not stemmed:
+        return postings, lengths, postings.select(F.col("term").alias("stem"), "term").distinct()
+    forms = materialize(stems_of(postings).select("stem", "term"), "forms")
+    joined = postings.join(forms, "term").drop("term").withColumnRenamed("stem", "term")
+    return joined.groupBy("term", "kind", "id").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")), lengths, forms
 
-def add_to_index(postings: DataFrame, lengths: DataFrame, docs: DataFrame, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """T4: the index with the documents that it lacks."""
-    more = index(docs.join(lengths.select("kind", "id"), ["kind", "id"], "left_anti"), stemmed)
-    return postings.unionByName(more[0]), lengths.unionByName(more[1])
 
-
-def remove_from_index(postings: DataFrame, lengths: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """T4: the index without the documents of ``gone`` (kind, id)."""
-    return postings.join(gone, ["kind", "id"], "left_anti"), lengths.join(gone, ["kind", "id"], "left_anti")
+def index(docs: DataFrame, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of :func:`index_tables`, for one query."""
+    return index_tables(docs, stemmed)[:2]
 
 
 def matches(postings: DataFrame, phrases: list[list[str]]) -> DataFrame:
@@ -189,13 +184,6 @@ def ranked(hits: DataFrame, docs: DataFrame, sort: str = "relevance", limit: int
     return best.orderBy(order, "kind", "id").limit(limit)
 
 
-def word_forms(docs: DataFrame, text: str) -> list[str]:
-    """The words of docs (content) whose stems a query has; as many as it has forms in use."""
-    wanted = sorted({w for p in query_terms(text, stemmed=True) for w in p})
-    terms = docs.select(F.explode(tokens(F.col("content"))).alias("term"))
-    return sorted(r["term"] for r in stems_of(terms).filter(F.col("stem").isin(wanted)).select("term").collect())
-
-
 def snippet(content: Column, words: list[str], most: int = 40) -> Column:
     """A stretch of at most ``most`` tokens around the first of the words, these marked, with ellipses where it is cut."""
     pieces = F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(rf"{TOKEN}[^\p{{L}}\p{{N}}]*"), F.lit(0))
@@ -211,16 +199,86 @@ def strip_marks(c: Column) -> Column:
     return F.regexp_replace(c, r"</?mark>", "")
 
 
-def save_index(postings: DataFrame, lengths: DataFrame, path: str, parts: int = 64) -> None:
-    """Postings clustered by a hash of the term, so that a query reads only its terms' parts."""
-    postings.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).repartition("part").sortWithinPartitions("term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+# --- an index in storage ---------------------------------------------------------
+#
+# A folder of Parquet tables; each change is a segment with a number of its own:
+# postings (by a hash of the term), lengths and the forms of stems for added
+# documents, ids for removed ones.  A document of segment n is there unless a later
+# segment removes it.  Nothing that is written is changed.
+
+BUCKETS = 64
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def segments(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the segments of an index; those that are not whole have no mark and do not count."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()) if fs.exists(p) else []
+
+
+def _finish(spark: SparkSession, path: str, n: int) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done/{n}")
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(p, True).close()
 
 
-def load_index(spark: SparkSession, path: str, text: str, parts: int = 64, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The part of a saved index that a query needs."""
+_TABLES = {"postings": "term string, kind string, id long, tf long, positions array<int>, bucket int", "lengths": "kind string, id long, length int", "forms": "stem string, term string, bucket int", "gone": "kind string, id long"}
+
+
+def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of an index, over its whole segments, with their number."""
+    parts = [f"{path}/{name}/segment={n}" for n in segments(spark, path)]
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    parts = [p for p in parts if fs_path(p).getFileSystem(conf).exists(fs_path(p))]
+    if not parts:
+        return spark.createDataFrame([], f"{_TABLES[name]}, segment int")
+    return spark.read.schema(f"{_TABLES[name]}, segment int").option("basePath", f"{path}/{name}").parquet(*parts)
+
+
+def _alive(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """Rows of documents that no later segment removed."""
+    gone = _table(spark, path, "gone").groupBy("kind", "id").agg(F.max("segment").alias("removed"))
+    return rows.join(gone, ["kind", "id"], "left").filter(F.col("removed").isNull() | (F.col("removed") < F.col("segment"))).drop("removed", "segment")
+
+
+def add_documents(docs: DataFrame, path: str, stemmed: bool = True) -> int:
+    """A segment with the documents (kind, id, content) that the index in ``path`` lacks; its number."""
+    spark = docs.sparkSession
+    n = max(segments(spark, path), default=-1) + 1
+    if n:
+        docs = docs.join(_alive(_table(spark, path, "lengths"), spark, path).select("kind", "id"), ["kind", "id"], "left_anti")
+    postings, lengths, forms = index_tables(docs, stemmed)
+    postings.withColumn("bucket", bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={n}")
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths/segment={n}")
+    forms.withColumn("bucket", bucket(F.col("stem"))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/forms/segment={n}")
+    _finish(spark, path, n)
+    return n
+
+
+def remove_documents(gone: DataFrame, path: str) -> int:
+    """T4: a segment that removes documents (kind, id); its number."""
+    spark = gone.sparkSession
+    n = max(segments(spark, path), default=-1) + 1
+    gone.select("kind", "id").distinct().write.mode("overwrite").parquet(f"{path}/gone/segment={n}")
+    _finish(spark, path, n)
+    return n
+
+
+def read_index(spark: SparkSession, path: str, text: str, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """T4: what a query needs of a saved index: postings of its terms, from their buckets alone, and the lengths."""
     words = sorted({w for p in query_terms(text, stemmed) for w in p})
-    hashed = spark.createDataFrame([(w,) for w in words] or [("",)], "term string").select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part"))
-    chosen = [r["part"] for r in hashed.distinct().collect()]  # as many as the query has words
-    postings = spark.read.parquet(f"{path}/postings").filter(F.col("part").isin(chosen) & F.col("term").isin(words)).drop("part")
-    return postings, spark.read.parquet(f"{path}/lengths")
+    hashed = spark.createDataFrame([(w,) for w in words] or [("",)], "term string").select(bucket(F.col("term")).alias("b"))
+    chosen = [r["b"] for r in hashed.distinct().collect()]  # as many as the query has words
+    postings = _table(spark, path, "postings").filter(F.col("bucket").isin(chosen) & F.col("term").isin(words)).drop("bucket")
+    return _alive(postings, spark, path), _alive(_table(spark, path, "lengths"), spark, path)
+
+
+def saved_forms(spark: SparkSession, path: str, text: str) -> list[str]:
+    """The words in use whose stems a query has, from a saved index; as many as it has forms."""
+    words = sorted({w for p in query_terms(text, stemmed=True) for w in p})
+    rows = _table(spark, path, "forms").filter(F.col("stem").isin(words)).select("term").distinct()
+    return sorted(r["term"] for r in rows.collect())

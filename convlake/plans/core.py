@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from convlake import testbed as B
 from convlake.functions import text as T
 from convlake.operators import browse, rollups, search
 from convlake.plans.registry import query
+from convlake.shared import folder
 
 SEARCH = "than and"
 #: The words that share a stem with those of the queries, by the published steps of the stemmer.
@@ -38,9 +41,21 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return search.documents_of(B.messages(spark, sf), B.notes(spark, sf))
 
 
+#: Saved indexes of this process, by application and tables.
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def _saved(spark: SparkSession, sf: str) -> str:
+    """The saved index of all messages and notes: built once in an application, for all queries."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SAVED or not search.segments(spark, _SAVED[key]):
+        _SAVED[key] = f"{folder(spark)}/index-{uuid.uuid4().hex}"
+        search.add_documents(_documents(spark, sf), _SAVED[key])
+    return _SAVED[key]
+
+
 def _hits(spark: SparkSession, sf: str, text: str = SEARCH) -> tuple[DataFrame, DataFrame]:
-    docs = _documents(spark, sf)
-    return search.search(*search.index(docs), text), docs
+    return search.search(*search.read_index(spark, _saved(spark, sf), text), text), _documents(spark, sf)
 
 
 @query(_SEARCH_SQL + "SELECT kind, id, round(score, 6) AS score FROM h ORDER BY round(score, 9) DESC, kind, id LIMIT 50")
@@ -90,7 +105,21 @@ SELECT kind, id, CASE WHEN start > 1 THEN '…' ELSE '' END || rtrim(array_to_st
 def snippets(spark: SparkSession, sf: str) -> DataFrame:
     hits, docs = _hits(spark, sf)
     best = search.ranked(hits, docs).join(docs.select("kind", "id", "content"), ["kind", "id"])
-    return best.select("kind", "id", search.snippet(F.col("content"), search.word_forms(best, SEARCH)).alias("snippet"))
+    return best.select("kind", "id", search.snippet(F.col("content"), search.saved_forms(spark, _saved(spark, sf), SEARCH)).alias("snippet"))
+
+
+_LIVE = "id % 7 <> 3 OR id % 14 = 3"
+
+
+@query(_SEARCH_SQL.replace("FROM msg UNION ALL", f"FROM msg WHERE {_LIVE} UNION ALL").replace("timestamp_unix FROM notes)", f"timestamp_unix FROM notes WHERE {_LIVE})") + "SELECT kind, id, round(score, 6) AS score FROM h ORDER BY round(score, 9) DESC, kind, id LIMIT 50")
+def search_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Search over a saved index to which documents were added (some of them twice), from which some were removed, and to which half of those came back."""
+    docs, path = _documents(spark, sf), f"{folder(spark)}/index-{uuid.uuid4().hex}"
+    search.add_documents(docs.filter("id % 4 <> 0"), path)
+    search.add_documents(docs.filter("id % 4 < 2"), path)
+    search.remove_documents(docs.filter("id % 7 = 3"), path)
+    search.add_documents(docs.filter("id % 14 = 3"), path)
+    return search.ranked(search.search(*search.read_index(spark, path, SEARCH), SEARCH), docs).select("kind", "id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT id, source, title FROM conv WHERE contains(lower(title), 'than') OR id IN (SELECT conversation_id FROM msg WHERE contains(lower(content), 'than'))")

@@ -69,22 +69,33 @@ def test_search_phrases_stems_and_incremental_index(spark):
     assert sorted(r["id"] for r in search.search(plain, lengths, "running", stemmed=False).collect()) == [3]
     assert search.search(plain, lengths, "runs", stemmed=False).count() == 0
     assert {r["id"]: r["length"] for r in lengths.collect()} == {1: 4, 2: 4, 3: 2, 4: 0}
-    assert search.word_forms(docs, "runs foxes") == ["fox", "running"]
-    more = spark.createDataFrame([("n", 1, "again"), ("n", 9, "fox")], "kind string, id long, content string")
-    p2, l2 = search.add_to_index(postings, lengths, more)
-    assert l2.count() == 5 and p2.filter("term = 'again'").count() == 0 and p2.filter("id = 9").collect()[0]["term"] == "fox"
-    p3, _ = search.remove_from_index(p2, l2, spark.createDataFrame([("n", 9)], "kind string, id long"))
-    assert p3.filter("id = 9").count() == 0
     mark = one(spark, search.snippet(F.col("c"), ["fox"], 3), c="one two three fox, four five")
     assert mark == "…three <mark>fox</mark>, four…"
 
 
-def test_saved_index_reads_the_terms_parts(spark, tmp_path):
-    docs = spark.createDataFrame([("n", i, f"word{i} common") for i in range(30)], "kind string, id long, content string")
-    search.save_index(*search.index(docs), str(tmp_path))
-    postings, lengths = search.load_index(spark, str(tmp_path), "word7 common")
-    assert {r["term"] for r in postings.collect()} == {"word7", "common"}
-    assert [r["id"] for r in search.search(postings, lengths, "word7 common").collect()] == [7]
+def test_saved_index_is_added_to_and_removed_from(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    table = lambda rows: spark.createDataFrame(rows, "kind string, id long, content string")
+    ids = lambda text: sorted(r["id"] for r in search.search(*search.read_index(spark, path, text), text).collect())
+    assert search.add_documents(table([("n", i, f"word{i} common running") for i in range(30)]), path) == 0
+    assert {r["term"] for r in search.read_index(spark, path, "word7 common")[0].collect()} == {"word7", "common"}
+    scans = search.read_index(spark, path, "word7")[0]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in scans and "bucket" in scans.split("PartitionFilters", 1)[1].split("PushedFilters")[0]
+    # 5 is there, 40 is new
+    search.add_documents(table([("n", 5, "other words"), ("n", 40, "runs word7")]), path)
+    assert ids("word7") == [7, 40] and ids("other") == [] and ids("run") == [*range(30), 40]
+    assert search.saved_forms(spark, path, "run") == ["running", "runs"]
+    search.remove_documents(table([("n", 7, ""), ("n", 40, ""), ("n", 99, "")]).select("kind", "id"), path)
+    assert ids("word7") == [] and search.read_index(spark, path, "x")[1].count() == 29
+    search.add_documents(table([("n", 7, "new text"), ("n", 40, "word7")]), path)
+    assert ids("word7") == [40] and ids("new") == [7] and ids("common") == [i for i in range(30) if i != 7]
+    fresh = [("n", i, f"word{i} common running") for i in range(30) if i != 7] + [("n", 7, "new text"), ("n", 40, "word7")]
+    scores = lambda p, n: sorted((r["id"], round(r["score"], 9)) for r in search.search(p, n, "common").collect())
+    assert scores(*search.read_index(spark, path, "common")) == scores(*search.index(table(fresh)))
+    # a segment that was begun and not finished does not count
+    (tmp_path / "index" / "done" / "3").unlink()
+    assert ids("word7") == [] and search.segments(spark, path) == [0, 1, 2]
+    assert search.add_documents(table([("n", 40, "word7 again")]), path) == 3 and ids("word7") == [40]
 
 
 def test_global_index(spark):
