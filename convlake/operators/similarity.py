@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from convlake.functions import text as T
 from convlake.operators.components import components
-from convlake.operators.ranking import global_index
+from convlake.operators.ranking import global_index, positions
 from convlake.schemas import CONTINUATION_PHRASES, LINEAGE_STOPWORDS, THREAD_STOPWORDS, TOPIC_STOPWORDS
 from convlake.shared import materialize
 
@@ -20,21 +20,25 @@ def thread_words(title: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda w: (F.length(w) >= 2) & ~w.isin(*THREAD_STOPWORDS)))
 
 
-def topics(conversations: DataFrame, most: int = 5) -> DataFrame:
-    """Topic, rank, n, members: words that most titles share (ties by word), unless earlier topics hold all their members."""
+def topic_members(conversations: DataFrame, most: int = 5) -> DataFrame:
+    """Topic, rank, n and id, a row for each member: words that most titles share (ties by word), unless earlier topics hold all their members."""
     worded = conversations.select("id", F.explode(T.words_of(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("Untitled")), "[a-zA-Z]{3,}", TOPIC_STOPWORDS)).alias("word"))
     counts = worded.groupBy("word").agg(F.count("*").alias("n")).filter("n >= 2")
-    top = counts.orderBy(F.desc("n"), "word").limit(most)
     order = Window.orderBy(F.desc("n"), "word")  # over ``most`` rows
-    top = F.broadcast(top.withColumn("rank", F.row_number().over(order)))
-    members = worded.join(top, "word").withColumn("first", F.min("rank").over(Window.partitionBy("id")))
-    return members.groupBy("word", "rank", "n").agg(F.array_sort(F.collect_list("id")).alias("members"), F.max(F.col("first") == F.col("rank")).alias("kept")).filter("kept").select(T.capitalized(F.col("word")).alias("topic"), "rank", "n", "members")
+    top = materialize(counts.orderBy(F.desc("n"), "word").limit(most).withColumn("rank", F.row_number().over(order)), "topic-words")
+    # a conversation has at most ``most`` of the words
+    members = worded.join(F.broadcast(top), "word").groupBy("id").agg(F.collect_list(F.struct("rank", "word", "n")).alias("t"), F.min("rank").alias("first"))
+    members = materialize(members.select("id", "first", F.explode("t").alias("t")).select("id", "first", "t.*"), "topic-members")
+    kept = members.filter("first = rank").select("rank").distinct()  # at most ``most`` rows
+    return members.join(F.broadcast(kept), "rank").select(T.capitalized(F.col("word")).alias("topic"), "rank", "n", "id")
 
 
 def topic_scan(conversations: DataFrame, scan_id: str, created_at: str, newest: int = 50) -> DataFrame:
     """One record with the topics of the newest conversations."""
     recent = conversations.orderBy(F.desc("id")).limit(newest)
-    clusters = topics(recent).select(F.struct("topic", F.transform("members", lambda m: T.stable_id("imported_conversation", m)).alias("ids"), F.lit("low").alias("confidence"), "rank").alias("c"))
+    # at most ``newest`` members
+    found = topic_members(recent).groupBy("topic", "rank").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    clusters = found.select(F.struct("topic", F.transform("members", lambda m: T.stable_id("imported_conversation", m)).alias("ids"), F.lit("low").alias("confidence"), "rank").alias("c"))
     return clusters.agg(F.array_sort(F.collect_list("c"), lambda a, b: a["rank"] - b["rank"]).alias("clusters")).select(F.lit(scan_id).alias("scan_id"), F.lit(created_at).alias("generation_timestamp"), F.lit("keyword").alias("llm_provider_used"), "clusters", F.lit("canonical_conversations").alias("derived_from"), F.lit("topic_scan_v1").alias("artifact_kind"))
 
 
@@ -63,23 +67,33 @@ def thread_members(conversations: DataFrame) -> DataFrame:
     return components(thread_edges(conversations)).select(F.col("node").alias("id"), F.col("component").alias("thread"))
 
 
-def threads(conversations: DataFrame, messages: DataFrame, most: int | None = 5) -> DataFrame:
-    """Thread, label, size, date_range, total_messages, members (newest first), the largest first."""
-    member = materialize(thread_members(conversations), "thread-members")
+def threads(conversations: DataFrame, messages: DataFrame, most: int | None = 5, member: DataFrame | None = None) -> DataFrame:
+    """Thread, label, size, first_unix, last_unix, date_range and total_messages, the largest first.
+
+    The members are the rows of :func:`thread_members` (``member``, if it is there
+    already), in the order of :func:`thread_places`: a thread may have any number.
+    """
+    member = materialize(thread_members(conversations), "thread-members") if member is None else member
     rows = conversations.join(member, "id")
     counts = messages.groupBy(F.col("conversation_id").alias("id")).agg(F.count("*").alias("messages"))
     rows = rows.join(counts, "id", "left")
     at = F.coalesce(F.nullif(F.col("created_at_unix"), F.lit(0.0)), F.nullif(F.col("updated_at_unix"), F.lit(0.0)))
-    newest = F.array_sort(F.collect_list(F.struct((-F.coalesce("created_at_unix", F.lit(0.0))).alias("late"), "id")))
-    facts = rows.groupBy("thread").agg(F.count("*").alias("size"), F.min(at).alias("first"), F.max(at).alias("last"), F.coalesce(F.sum("messages"), F.lit(0)).alias("total_messages"), newest.alias("m"))
+    facts = rows.groupBy("thread").agg(F.count("*").alias("size"), F.min(at).alias("first_unix"), F.max(at).alias("last_unix"), F.coalesce(F.sum("messages"), F.lit(0)).alias("total_messages"))
     shared = rows.select("thread", F.explode(thread_words(F.col("title"))).alias("word")).groupBy("thread", "word").agg(F.count("*").alias("n")).filter("n >= 2")
     order = Window.partitionBy("thread").orderBy(F.desc("n"), "word")
+    # the filter on the row's number lets each task keep three words of a thread before they are dealt out
     best = shared.withColumn("k", F.row_number().over(order)).filter("k <= 3").groupBy("thread").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ").alias("words"))
     label = F.coalesce(F.concat(F.upper(F.substring("words", 1, 1)), F.substring("words", 2, 1 << 30)), F.lit("Related conversations"))
-    out = facts.join(best, "thread", "left").select("thread", label.alias("label"), "size", T.date_range(F.col("first"), F.col("last")).alias("date_range"), "total_messages", F.transform("m", lambda x: x["id"]).alias("members"))
+    out = facts.join(best, "thread", "left").select("thread", label.alias("label"), "size", "first_unix", "last_unix", T.date_range(F.col("first_unix"), F.col("last_unix")).alias("date_range"), "total_messages")
     return out if most is None else out.orderBy(F.desc("size"), "label", "thread").limit(most)
 
 
+def thread_places(conversations: DataFrame, member: DataFrame) -> DataFrame:
+    """Thread, id and place (from 0) of every member, the newest first."""
+    rows = member.join(conversations.select("id", (-F.coalesce("created_at_unix", F.lit(0.0))).alias("late")), "id")
+    return positions(materialize(rows.select("thread", "id", "late"), "thread-times"), ["thread"], ["late", "id"], "place").drop("late")
+
+
 def previews(messages: DataFrame, n: int) -> DataFrame:
     """conversation_id and its first n message texts."""
     order = Window.partitionBy("conversation_id").orderBy("sequence_index", "id")

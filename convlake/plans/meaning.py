@@ -93,10 +93,9 @@ t AS (SELECT upper(left(word, 1)) || substr(word, 2) AS topic, rank, n, list(id
 _NEWEST = "(SELECT * FROM conv ORDER BY id DESC LIMIT 50)"
 
 
-@query(_topic_sql("conv") + "SELECT topic, rank, n, array_to_string(ids, ',') AS members FROM t")
+@query(_topic_sql("conv") + "SELECT topic, rank, n, unnest(ids) AS id FROM t")
 def topic_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    t = similarity.topics(B.conversations(spark, sf))
-    return t.select("topic", F.col("rank").cast("long").alias("rank"), "n", F.array_join("members", ",").alias("members"))
+    return similarity.topic_members(B.conversations(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(_topic_sql(_NEWEST) + "SELECT 'topic_scan:1' AS scan_id, topic, rank, 'low' AS confidence, array_to_string(list_transform(ids, lambda x: 'imported_conversation:' || x), ',') AS ids FROM t")
@@ -118,12 +117,29 @@ def thread_members(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.thread_members(B.conversations(spark, sf))
 
 
-@query(_THREADS + """, mc AS (SELECT conversation_id AS id, count(*) AS n FROM msg GROUP BY 1), c AS (SELECT thread, count(*) AS size, CAST(sum(n) AS BIGINT) AS total_messages FROM member JOIN mc USING (id) GROUP BY thread),
+_DAY = "strftime(make_timestamp(CAST({} AS BIGINT) * 1000000), '%b %-d{}')"
+
+
+def _range_sql(first: str, last: str) -> str:
+    """F12 in SQL."""
+    whole = [_DAY.format(c, ", %Y") for c in (first, last)]
+    year = [f"year(make_timestamp(CAST({c} AS BIGINT) * 1000000))" for c in (first, last)]
+    return f"coalesce(CASE WHEN {whole[0]} = {whole[1]} THEN {whole[0]} WHEN {year[0]} = {year[1]} THEN {_DAY.format(first, '')} || ' — ' || {whole[1]} ELSE {whole[0]} || ' — ' || {whole[1]} END, '')"
+
+
+@query(_THREADS + """, mc AS (SELECT conversation_id AS id, count(*) AS n FROM msg GROUP BY 1),
+c AS (SELECT thread, count(*) AS size, CAST(sum(n) AS BIGINT) AS total_messages, min(stamp) AS first_unix, max(stamp) AS last_unix FROM member JOIN mc USING (id) JOIN (SELECT id, coalesce(nullif(created_at_unix, 0), nullif(updated_at_unix, 0)) AS stamp FROM conv) USING (id) GROUP BY thread),
 s AS (SELECT thread, word, count(*) AS n FROM (SELECT thread, unnest(w) AS word FROM member JOIN w USING (id)) GROUP BY ALL HAVING count(*) >= 2),
 l AS (SELECT thread, string_agg(word, ' ' ORDER BY k) AS words FROM (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY n DESC, word) AS k FROM s) WHERE k <= 3 GROUP BY thread)
-SELECT thread, coalesce(upper(left(words, 1)) || substr(words, 2), 'Related conversations') AS label, size, total_messages FROM c LEFT JOIN l USING (thread) ORDER BY size DESC, label, thread LIMIT 5""")
+SELECT thread, coalesce(upper(left(words, 1)) || substr(words, 2), 'Related conversations') AS label, size, first_unix, last_unix, """ + _range_sql("first_unix", "last_unix") + """ AS date_range, total_messages FROM c LEFT JOIN l USING (thread) ORDER BY size DESC, label, thread LIMIT 5""")
 def threads(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.threads(B.conversations(spark, sf), B.messages(spark, sf)).select("thread", "label", "size", "total_messages")
+    return similarity.threads(B.conversations(spark, sf), B.messages(spark, sf))
+
+
+@query(_THREADS + "SELECT thread, id, row_number() OVER (PARTITION BY thread ORDER BY coalesce(created_at_unix, 0) DESC, id) - 1 AS place FROM member JOIN conv USING (id)")
+def thread_places(spark: SparkSession, sf: str) -> DataFrame:
+    c = B.conversations(spark, sf)
+    return similarity.thread_places(c, similarity.thread_members(c))
 
 
 def continued(spark: SparkSession, sf: str) -> DataFrame:

@@ -105,7 +105,7 @@ def provider_notes(spark: SparkSession, sf: str) -> DataFrame:
 FROM t JOIN conv ON list_contains(ids, id) GROUP BY topic""")
 def theme_notes(spark: SparkSession, sf: str) -> DataFrame:
     c = B.conversations(spark, sf)
-    themes = similarity.topics(c).select(F.col("topic").alias("label"), F.explode("members").alias("id"))
+    themes = similarity.topic_members(c).select(F.col("topic").alias("label"), "id")
     return notes.theme_notes(themes, c)
 
 

@@ -17,11 +17,12 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convlake.functions import text as T
 from convlake.schemas import PROVIDERS
+from convlake.shared import materialize
 
 UNTITLED = "Untitled Conversation"
 GAP_SECONDS = 1800
@@ -319,14 +320,26 @@ def parse_grok(files: DataFrame) -> DataFrame:
 def sessions(entries: DataFrame, account: str, at: str, gap: float = GAP_SECONDS, tie: str | None = None) -> DataFrame:
     """Entries with ``session`` (from 0 in an account): a gap of more than ``gap`` seconds begins a new one.
 
-    Entries without a time stay with the first of their account.
+    Entries without a time stay with the first of their account.  Sessions are found
+    inside ranges of (account, time); an account's ranges are stitched by their
+    first and last times and the sessions that begin in them, so that an account
+    with any number of entries is in many tasks.
     """
-    from pyspark.sql import Window
-
     order = [F.col(at).asc_nulls_first(), *([F.col(tie)] if tie else [])]
-    by = Window.partitionBy(account).orderBy(*order)
-    opens = F.coalesce((F.col(at) - F.lag(at).over(by) > gap).cast("int"), F.lit(0))
-    return entries.withColumn("session", F.sum(opens).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    ranged = materialize(entries.repartitionByRange(F.col(account), *order).withColumn("__range", F.spark_partition_id()), "session-ranges")
+    ends = ranged.groupBy(F.col(account).alias("__account"), F.col("__range").alias("__part")).agg(F.min(at).alias("low"), F.max(at).alias("high"), F.max(F.col(at).isNull()).alias("untimed"))
+    inside = Window.partitionBy(account, "__range").orderBy(*order)
+    opens = F.coalesce((F.col(at) - F.lag(at).over(inside) > gap).cast("int"), F.lit(0))
+    rows = ranged.withColumn("__in", F.sum(opens).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    begun = rows.groupBy(F.col(account).alias("__account"), F.col("__range").alias("__part")).agg(F.max("__in").alias("begun"))
+    both = ends.alias("e").join(begun.alias("b"), F.col("e.__account").eqNullSafe(F.col("b.__account")) & (F.col("e.__part") == F.col("b.__part"))).select("e.*", "begun")
+    by = Window.partitionBy("__account").orderBy("__part")  # a row for each range of an account
+    # the first of a range that has entries without a time is one of these
+    edge = F.coalesce((F.when(~F.col("untimed"), F.col("low")) - F.lag("high").over(by) > gap).cast("int"), F.lit(0))
+    both = both.withColumn("edge", edge).withColumn("before", F.sum("edge").over(by) + F.coalesce(F.sum("begun").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = both.select("__account", "__part", "before")
+    found = rows.join(starts, F.col(account).eqNullSafe(F.col("__account")) & (F.col("__range") == F.col("__part")))
+    return found.withColumn("session", F.col("before") + F.col("__in")).drop("__account", "__part", "__range", "__in", "before")
 
 
 def activity_conversations(entries: DataFrame, gap: float = GAP_SECONDS) -> DataFrame:

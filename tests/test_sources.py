@@ -140,3 +140,23 @@ def test_content_blocks_of_any_depth(spark):
     for i, c in enumerate(contents):
         want = "\n\n".join(t.strip() for t in fragments(c) if t.strip())
         assert [x for x in said(rows[f"{i:03d}.json", "u"]) if x[1] != "last one"] == ([("user", want, 0)] if want else []), c
+
+
+def test_sessions_of_a_hot_account_over_many_ranges(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot"] * 8 + ["b", None]), i, None if rng.random() < 0.02 else float(rng.randrange(40_000))) for i in range(900)]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        df = spark.createDataFrame(rows, "account string, n long, at double")
+        got = {r["n"]: r["session"] for r in X.sessions(df, "account", "at", 60.0, "n").collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    for account in ("hot", "b", None):
+        last, session = None, 0
+        for _, n, at in sorted((r for r in rows if r[0] == account), key=lambda r: (r[2] is not None, r[2] or 0, r[1])):
+            session += last is not None and at is not None and at - last > 60
+            last = at
+            assert got[n] == session
