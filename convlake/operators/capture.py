@@ -79,8 +79,21 @@ def nfc(envelopes: DataFrame, column: str = "body_text") -> DataFrame:
 
 
 def json_string(c: Column) -> Column:
-    """A JSON string as a canonical writer makes it: non-ASCII kept, control characters escaped."""
-    return F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    """A JSON string as a canonical writer makes it: non-ASCII kept, control characters as short escapes or four small hex digits."""
+    out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for sign, short in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        out = F.replace(out, F.lit(sign), F.lit(short))
+    rare = out
+    for i in range(32):
+        if chr(i) not in "\n\r\t\b\f":
+            rare = F.replace(rare, F.lit(chr(i)), F.lit(f"\\u{i:04x}"))
+    return F.concat(F.lit('"'), F.when(c.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), rare).otherwise(out), F.lit('"'))
+
+
+def json_number(c: Column) -> Column:
+    """A double as its shortest decimal with a point, as it is written between 0.0001 and 1e16."""
+    exact = F.regexp_replace(c.cast("string").cast("decimal(38,20)").cast("string"), "0+$", "")
+    return F.concat(exact, F.when(exact.endswith("."), "0").otherwise(""))
 
 
 def content_hash(adapter: Column, kind: Column, body: Column, url: Column, captured: Column) -> Column:
@@ -91,15 +104,25 @@ def content_hash(adapter: Column, kind: Column, body: Column, url: Column, captu
     return F.sha2(F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")), 256)
 
 
-def canonical_json(columns: dict[str, Column]) -> Column:
-    """an object with sorted keys, compact, nulls kept."""
-    return F.to_json(F.struct(*(columns[k].alias(k) for k in sorted(columns))), {"ignoreNullFields": "false"})
+#: The fields of an envelope, in the order of canonical JSON.
+FIELDS = ("adapter_id", "adapter_version", "body_html", "body_text", "captured_at_unix", "hints", "metadata", "payload_kind", "source_title", "source_url")
+
+
+def canonical_json(envelopes: DataFrame) -> Column:
+    """an envelope as one object: keys sorted, compact, absent fields null; hints and metadata are JSON objects with sorted keys."""
+    parts = []
+    for name in FIELDS:
+        value = F.lit(None).cast("string")
+        if name in envelopes.columns:
+            c = F.col(name)
+            value = json_number(c) if name == "captured_at_unix" else F.to_json(F.try_parse_json(c)) if name in ("hints", "metadata") else json_string(c)
+        parts.append(F.concat(F.lit(f'"{name}":'), F.coalesce(value, F.lit("null"))))
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
 def hashed(envelopes: DataFrame) -> DataFrame:
     """Envelopes with content_hash and raw_payload_hash."""
-    raw = F.sha2(canonical_json({c: F.col(c) for c in ("adapter_id", "adapter_version", "payload_kind", "body_text", "source_url", "captured_at_unix")}), 256)
-    rows = nfc(envelopes.withColumn("raw_payload_hash", raw))
+    rows = nfc(envelopes.withColumn("raw_payload_hash", F.sha2(canonical_json(envelopes), 256)))
     return rows.withColumn("content_hash", content_hash(*(F.col(c) for c in ("adapter_id", "payload_kind", "body_text", "source_url", "captured_at_unix"))))
 
 

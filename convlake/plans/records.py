@@ -421,6 +421,13 @@ def capture_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return capture.first_of_each(capture.hashed(B.captures(spark, sf)).select("id", "content_hash", "received_at_unix")).drop("received_at_unix")
 
 
+@query(r"""SELECT id, sha256('{"adapter_id":' || to_json(adapter_id) || ',"adapter_version":' || to_json(adapter_version) || ',"body_html":null,"body_text":' || to_json(body_text) || ',"captured_at_unix":' || CAST(CAST(captured_at_unix AS BIGINT) AS VARCHAR) || '.5,"hints":{"a":[1,"x"],"b":' || id || '},"metadata":null,"payload_kind":' || to_json(payload_kind) || ',"source_title":' || to_json(source_url || ' "t"') || ',"source_url":' || coalesce(CAST(to_json(source_url) AS VARCHAR), 'null') || '}') AS raw_payload_hash FROM captures WHERE source_url IS NOT NULL""")
+def capture_raw_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    e = B.captures(spark, sf).filter("source_url is not null").withColumn("captured_at_unix", F.col("captured_at_unix") + 0.5)
+    e = e.withColumns({"hints": F.concat(F.lit('{ "b": '), "id", F.lit(', "a": [1, "x"]}')), "source_title": F.concat("source_url", F.lit(' "t"'))})
+    return capture.hashed(e).select("id", "raw_payload_hash")
+
+
 @query("""
 WITH e AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'other' ELSE adapter_id END AS a, CASE WHEN id % 13 = 0 THEN 'video' ELSE payload_kind END AS k, CASE WHEN id % 17 = 0 THEN NULL ELSE body_text END AS b, CASE WHEN id % 19 = 0 THEN -1 ELSE captured_at_unix END AS t FROM captures)
 SELECT id, CASE WHEN b IS NULL THEN 'missing_body' WHEN t < 0 THEN 'invalid_time' WHEN a = 'other' THEN 'unknown_adapter' WHEN k = 'video' THEN 'kind_not_allowed' WHEN strlen(b) > CASE a WHEN 'cli' THEN 262144 ELSE 65536 END THEN 'body_too_large' END AS problem FROM e""")

@@ -1,5 +1,8 @@
+import hashlib
+import json
 import random
 import time
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -106,3 +109,15 @@ def test_streams_agree_with_batch(spark, sf):
     assert stream == batch
     closed = {(r["user_id"], r["n"]) for r in QUERIES["stream_activity_sessions"](spark, sf).select("user_id", "n").collect()}
     assert closed and closed <= {(r["user_id"], r["n"]) for r in QUERIES["activity_sessions"](spark, sf).collect()}
+
+
+def test_hashes_equal_those_of_a_canonical_writer(spark):
+    bodies = ["plain", 'q " \\ / \n\r\t\b\f', "".join(map(chr, range(32))) + "\x7f", "é 😀 \\u001f", "", "é \x1f\x85　"]
+    times = [0.0, 61.0, 1704067200.5, 1704067200.123456, 1e15, 119.25]
+    rows = [(i, "cli", "1", "text", b, [None, "u"][i % 2], t, "h" if i % 2 else None, [None, '{"b": 1, "a": {"z": "é", "c": [true, null]}}'][i % 2]) for i, (b, t) in enumerate(zip(bodies, times, strict=True))]
+    df = spark.createDataFrame(rows, "id long, adapter_id string, adapter_version string, payload_kind string, body_text string, source_url string, captured_at_unix double, body_html string, metadata string")
+    dump = lambda x: hashlib.sha256(json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    for r, (i, a, v, k, b, u, t, h, m) in zip(capture.hashed(df).orderBy("id").collect(), rows, strict=True):
+        whole = {"adapter_id": a, "adapter_version": v, "payload_kind": k, "body_text": b, "body_html": h, "source_url": u, "source_title": None, "metadata": json.loads(m) if m else None, "hints": None, "captured_at_unix": t}
+        assert r["raw_payload_hash"] == dump(whole), i
+        assert r["content_hash"] == dump([a, k, unicodedata.normalize("NFC", b).rstrip(), u or "", str(int(t) // 60 * 60)]), i
