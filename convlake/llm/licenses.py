@@ -46,7 +46,7 @@ class Rule(NamedTuple):
 FAMILIES = (
     ("apache", "apache", r"apache(?: software)?(?: foundation)?", ("1 0", "1 1", "2 0", "2"), False),
     ("apache", "apache", r"apache", ("2 0",), True),
-    ("apache", "asl", r"asl", ("1 1", "2 0"), True),
+    ("apache", "asl", r"asl", ("1 1", "2 0"), False),
     ("lgpl", "lgpl", r"(?:gnu )?lgpl", ("2", "2 0", "2 1", "3", "3 0"), True),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public", ("2", "2 0", "2 1", "3", "3 0"), False),
     ("lgpl", "library", r"(?:gnu )?library general public", ("2", "2 0", "2 1", "3", "3 0"), False),
@@ -70,7 +70,7 @@ FAMILIES = (
     ("fdl", "free documentation", r"(?:gnu )?free documentation", ("1 1", "1 2", "1 3"), False),
     ("fdl", "gfdl", r"gfdl", ("1 1", "1 2", "1 3"), True),
     ("bsl", "boost", r"boost(?: software)?", ("1 0",), False),
-    ("bsl", "bsl", r"bsl", ("1 0",), True),
+    ("bsl", "bsl", r"bsl", ("1 0",), False),
     ("zpl", "zope", r"zope public", ("1 1", "2 0", "2 1"), False),
     ("php", "php", r"php", ("3 0", "3 01"), False),
     ("psf", "python", r"python(?: software foundation)?", ("2", "2 0"), False),
@@ -129,15 +129,15 @@ SIGNATURES = (
     ("unicode", "data files", r"unicode inc licen[cs]e agreement data files and software", 1.0),
     ("upl-1.0", "following condition", r"subject to the following condition the above copyright notice and either this complete permission notice", 0.9),
     # copyleft notices
-    ("gpl-1-or-later", "general public license", r"gnu general public license as published by the free software foundation either version 1", 1.0),
-    ("gpl-2-or-later", "general public license", r"gnu general public license as published by the free software foundation either version 2", 1.0),
-    ("gpl-3-or-later", "general public license", r"gnu general public license as published by the free software foundation either version 3", 1.0),
-    ("gpl-2", "general public license", r"gnu general public license version 2 as published by the free software foundation", 1.0),
-    ("gpl-3", "general public license", r"gnu general public license version 3 as published by the free software foundation", 1.0),
-    ("lgpl-2-or-later", "library general public", r"gnu library general public license as published by the free software foundation either version 2", 1.0),
+    ("gpl-1.0-or-later", "general public license", r"gnu general public license as published by the free software foundation either version 1", 1.0),
+    ("gpl-2.0-or-later", "general public license", r"gnu general public license as published by the free software foundation either version 2", 1.0),
+    ("gpl-3.0-or-later", "general public license", r"gnu general public license as published by the free software foundation either version 3", 1.0),
+    ("gpl-2.0", "general public license", r"gnu general public license version 2 as published by the free software foundation", 1.0),
+    ("gpl-3.0", "general public license", r"gnu general public license version 3 as published by the free software foundation", 1.0),
+    ("lgpl-2.0-or-later", "library general public", r"gnu library general public license as published by the free software foundation either version 2", 1.0),
     ("lgpl-2.1-or-later", "lesser general public", r"gnu lesser general public license as published by the free software foundation either version 2 1", 1.0),
-    ("lgpl-3-or-later", "lesser general public", r"gnu lesser general public license as published by the free software foundation either version 3", 1.0),
-    ("agpl-3-or-later", "affero general public", r"gnu affero general public license as published by the free software foundation either version 3", 1.0),
+    ("lgpl-3.0-or-later", "lesser general public", r"gnu lesser general public license as published by the free software foundation either version 3", 1.0),
+    ("agpl-3.0-or-later", "affero general public", r"gnu affero general public license as published by the free software foundation either version 3", 1.0),
     ("gpl", "see the gnu", r"see the gnu general public license for more details", 0.9),
     ("lgpl", "see the gnu", r"see the gnu lesser general public license for more details", 0.9),
     ("agpl", "see the gnu", r"see the gnu affero general public license for more details", 0.9),
@@ -241,6 +241,12 @@ SIGNATURES = (
     ("copyleft", "copyleft", r"copyleft", 0.5),
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}", 0.5),
 )
+#: Licenses without versions, and their identifiers as words.
+IDENTIFIERS = (
+    ("mit", "mit(?! 0 )"), ("mit-0", "mit 0"), ("isc", "isc"), ("zlib", "zlib"), ("zlib", "libpng 2 0"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"), ("bsd-0-clause", "0bsd"), ("bsd-1-clause", "bsd 1 clause"), ("bsd-2-clause", "bsd 2 clause"),
+    ("bsd-3-clause", "bsd 3 clause"), ("bsd-4-clause", "bsd 4 clause"), ("x11", "x11"), ("ncsa", "ncsa"), ("postgresql", "postgresql"), ("curl", "curl"), ("icu", "icu"), ("hpnd", "hpnd"), ("ftl", "ftl"), ("upl", "upl 1 0"), ("ms-pl", "ms pl"),
+    ("ms-rl", "ms rl"), ("blueoak", "blueoak 1 0 0"), ("ecl", "ecl 2 0"), ("ipl", "ipl 1 0"), ("npl", "npl 1 [01]"), ("qpl", "qpl 1 0"), ("sleepycat", "sleepycat"), ("cc0", "cc0 1 0"), ("imagemagick", "imagemagick"),
+)
 _UNDER = r"(?:licen[cs]ed|released|distributed|available|published|provided|offered|made available) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
 _VERSION = r"(?: version| ver| v)? "
 #: No further number may follow that would make it another version.
@@ -253,12 +259,14 @@ def rules() -> list[Rule]:
     for label, keyword, name, versions, plain in FAMILIES:
         before = rf"{name}(?: licen[cs]e)?" if plain else rf"{name} licen[cs]e"
         for v in sorted(versions, key=lambda v: (-len(v), v)):
-            full = f"{label}-{v.replace(' ', '.')}"
+            # one label for a version, with or without its zero
+            full = f"{label}-{v.replace(' ', '.')}" + (".0" if len(v) == 1 else "")
             number = rf"{before}(?: agreement)?{_VERSION}{'?' if plain else ''}v?{v}{_END}"
             versioned.append(Rule(f"{full}-or-later", keyword, rf"(?:{_UNDER})?{number} or (?:at your option )?(?:any )?later(?: version)?", 1.0))
             versioned.append(Rule(full, keyword, rf"{_UNDER}{number}", 1.0))
             versioned.append(Rule(full, keyword, number, 0.9))
             if not plain:
+                versioned.append(Rule(full, keyword, rf"{_UNDER}{name}{_VERSION}?v?{v}{_END}", 1.0))
                 versioned.append(Rule(full, "spdx", rf"spdx licen[cs]e identifier {name} {v}", 1.0))
         named.append(Rule(label, keyword, rf"{_UNDER}{before}", 0.8))
         named.append(Rule(label, keyword, rf"{name} licen[cs]e", 0.7))
@@ -268,7 +276,8 @@ def rules() -> list[Rule]:
         for v in CREATIVE_VERSIONS:
             creative += [Rule(f"{label}-{v.replace(' ', '.')}", k, rf"{p} {v}", 1.0) for k, p in (("cc", f"cc {short}"), ("creative commons", rf"creative commons {long}(?: international| unported| generic)?(?: public)?(?: licen[cs]e)?"))]
     creative += [Rule(label, k, p, 0.8) for label, short, long in CREATIVE for k, p in (("cc", f"cc {short}"), ("creative commons", f"creative commons {long}"))]
-    telling = [Rule(*s) for s in SIGNATURES if s[3] == 1.0]
+    telling = [Rule(label, "spdx", rf"spdx licen[cs]e identifier {words}", 1.0) for label, words in IDENTIFIERS]
+    telling += [Rule(*s) for s in SIGNATURES if s[3] == 1.0]
     return [*versioned, *creative, *telling, *named, *(Rule(*s) for s in SIGNATURES if s[3] < 1.0)]
 
 

@@ -36,7 +36,7 @@ def test_base_columns_match_brute_force(spark):
 def test_rules_and_suppression(spark):
     want = {
         "Licensed under the Apache License, Version 2.0.": "apache-2.0",
-        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
         "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0",
         "Released under the MIT License.": "mit",
         "GNU Lesser General Public License version 2.1 or any later version": "gpl,lgpl-2.1-or-later",
@@ -45,7 +45,7 @@ def test_rules_and_suppression(spark):
         "boost 1.0 and artistic 2.0, licensed": "",
         "PHP License, version 3.01": "php-3.01",
         "SPDX-License-Identifier: Python-2.0": "psf-2.0",
-        "under the GPLv2 or the LGPL v2.1": "gpl-2,lgpl-2.1",
+        "under the GPLv2 or the LGPL v2.1": "gpl-2.0,lgpl-2.1",
         "SPDX-License-Identifier: Apache-2.0": "apache-2.0",
         "Redistribution and use in source and binary forms, with or without modification": "bsd",
         "dedicated to the public domain": "public-domain",
@@ -115,10 +115,22 @@ def samples(tree, pick):
 
 def test_each_rule_alone_in_a_text(spark):
     r = random.Random(7)
-    texts = ["BSD 3-Clause", "Apache 2.0", "MPL 2.0", "under the same terms as Perl itself", "The Software shall be used for Good, not Evil", "ASL 2.0", "GNU Library General Public License"]
+    texts = ["BSD 3-Clause", "Apache 2.0", "MPL 2.0", "under the same terms as Perl itself", "The Software shall be used for Good, not Evil", "ASL license 2.0", "GNU Library General Public License"]
     for rule in licenses.rules():
         made = {samples(_parser.parse(rule.regex), pick) for pick in (lambda x: x[0], lambda x: x[-1], r.choice, r.choice)}
         assert all(re.fullmatch(rule.regex, t) and rule.keyword in t for t in made)
         texts += sorted(made)
     assert all(brute_rules(t)[0] for t in texts)
     assert_rules(spark, texts)
+
+
+def test_identifiers_and_abbreviations_with_other_meanings(spark):
+    cases = {
+        "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: MIT-0": "mit-0", "// SPDX-License-Identifier: ISC": "isc", "SPDX-License-Identifier: Zlib": "zlib", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause",
+        "SPDX-License-Identifier: BSL-1.0": "bsl-1.0", "SPDX-License-Identifier: 0BSD": "bsd-0-clause",
+        "the student learned ASL 2.0 today": "", "she speaks BSL 1.0 well": "", "licensed under ASL 2.0": "apache-2.0", "the ASL license 2.0": "apache-2.0",
+        "GNU GPLv3": "gpl-3.0", "gpl 3.0": "gpl-3.0", "GPL 3": "gpl-3.0", "GPL version 2 or later": "gpl-2.0-or-later",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(docs).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases
