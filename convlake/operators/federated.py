@@ -9,6 +9,7 @@ from convlake.functions import text as T
 from convlake.operators.browse import has, keyword_search, newest_imported
 from convlake.operators.search import tokens
 from convlake.schemas import IMPORTED_LANE, NATIVE_LANE, QUESTION_STOPWORDS
+from convlake.shared import materialize
 
 HIT = ("source_lane", "stable_id", "title", "timestamp_unix", "source_metadata", "evidence_text", "starred")
 
@@ -61,7 +62,7 @@ def batch_hits(questions: DataFrame, conversations: DataFrame, messages: DataFra
     The newest hits are found once for each term in use; those of a question are
     among the newest of its terms, so that a common word asked often costs no more.
     """
-    asked = questions.select("question_id", F.explode(question_terms(F.col("question"))).alias("term"))
+    asked = materialize(questions.select("question_id", F.explode(question_terms(F.col("question"))).alias("term")), "asked-terms")
     used = asked.select("term").distinct()
 
     def worded(df: DataFrame, *keep: str) -> DataFrame:
@@ -81,7 +82,7 @@ def batch_hits(questions: DataFrame, conversations: DataFrame, messages: DataFra
     noted = asked.join(noted.withColumn("__nth", F.row_number().over(newest)).filter(F.col("__nth") <= per_lane), "term").select("question_id", "id", "timestamp").distinct()
     newest = Window.partitionBy("question_id").orderBy(F.desc("timestamp"), F.desc("id"))
     noted = noted.withColumn("__nth", F.row_number().over(newest)).filter(F.col("__nth") <= per_lane).select("question_id", T.stable_id("memory", F.col("id")).alias("stable_id"))
-    return first_lane.unionByName(noted.join(note_hits(notes), "stable_id").select("question_id", *HIT))
+    return materialize(first_lane.unionByName(noted.join(note_hits(notes), "stable_id").select("question_id", *HIT)), "batch-hits")
 
 
 def conversation_columns() -> list[Column]:
@@ -113,6 +114,7 @@ def answers(questions: DataFrame, hits: DataFrame, top: int = 3) -> DataFrame:
     marks = F.array_join(F.transform("c", lambda x: F.concat(F.lit("["), x["nth"].cast("string"), F.lit("] "), x["stable_id"], F.lit(" ("), x["source_lane"], F.lit(")"))), "; ")
     shown = F.array_join(F.transform("c", lambda x: x["summary"]), " | ")
     q = F.col("question")
+    # The sentences of answers and notes.
     text = (
         F.when(F.size("c") == 0, F.concat(F.lit("I could not find grounded evidence for '"), q, F.lit("' in canonical records. Try different keywords.")))
         .when(F.col("status") == "ambiguous", F.concat(F.lit("I found multiple plausible interpretations for '"), q, F.lit("'. Competing evidence: "), shown, F.lit(". Sources: "), marks, F.lit(".")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,14 +52,32 @@ nw AS (SELECT id, timestamp_unix, unnest(list_distinct(regexp_extract_all(strip_
 ic AS (SELECT question_id, conversation_id, min(sequence_index) AS s FROM a JOIN mw USING (term) GROUP BY ALL),
 ir AS (SELECT question_id, conv.id, s, title, source, source_conversation_id, coalesce(nullif(updated_at_unix, 0), created_at_unix) AS t,
   row_number() OVER (PARTITION BY question_id ORDER BY coalesce(updated_at_unix, created_at_unix, 0) DESC, coalesce(created_at_unix, 0) DESC, conv.id DESC) AS k FROM ic JOIN conv ON conv.id = conversation_id),
-ih AS (SELECT question_id, 'imported_conversation' AS lane, 'imported_conversation:' || ir.id AS sid, t, lower(content) AS ev FROM ir JOIN msg ON conversation_id = ir.id AND sequence_index = s WHERE k <= 10),
+ih AS (SELECT question_id, 'imported_conversation' AS lane, 'imported_conversation:' || ir.id AS sid, t, lower(content) AS ev,
+  '"' || CASE WHEN length(STRIP(content)) <= 200 THEN STRIP(content) ELSE left(STRIP(content), 200) || '…' END || '" — from "' || STRIP(title) || '" (' || source || ')' AS summary FROM ir JOIN msg ON conversation_id = ir.id AND sequence_index = s WHERE k <= 10),
 nr AS (SELECT question_id, id, timestamp_unix, row_number() OVER (PARTITION BY question_id ORDER BY timestamp_unix DESC, id DESC) AS k FROM (SELECT DISTINCT question_id, id, timestamp_unix FROM a JOIN nw USING (term))),
-nh AS (SELECT question_id, 'native_memory' AS lane, 'memory:' || notes.id AS sid, nr.timestamp_unix AS t, lower(regexp_replace(content, '^\s+|\s+$', '', 'g') || ' ' || tags || ' user') AS ev FROM nr JOIN notes ON notes.id = nr.id WHERE k <= 10),
+nh AS (SELECT question_id, 'native_memory' AS lane, 'memory:' || notes.id AS sid, nr.timestamp_unix AS t, lower(regexp_replace(content, '^\s+|\s+$', '', 'g') || ' ' || tags || ' user') AS ev,
+  STRIP(content) || ' (tags: ' || tags || ')' AS summary FROM nr JOIN notes ON notes.id = nr.id WHERE k <= 10),
 h AS (SELECT h.*, len(list_filter(list_distinct(terms), lambda w: contains(ev, w))) AS overlap FROM (SELECT * FROM ih UNION ALL SELECT * FROM nh) h JOIN q USING (question_id)),
 b AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, t DESC NULLS LAST, lane, sid) AS nth FROM h)
 """
 
 
+_ANSWER_SQL = re.sub(r"STRIP\((\w+)\)", r"regexp_replace(\1, '^\\s+|\\s+$', '', 'g')", _ANSWER_SQL)
+
+
+@query(_ANSWER_SQL + """, g AS (SELECT q.question_id, any_value(question) AS question, len(list_distinct(any_value(terms))) AS n, coalesce(max(overlap) FILTER (WHERE nth = 1), 0) AS best, coalesce(max(overlap) FILTER (WHERE nth = 2), 0) AS second,
+  count(nth) AS hits, string_agg(summary, ' | ' ORDER BY nth) FILTER (WHERE nth <= 3) AS shown, string_agg('[' || nth || '] ' || sid || ' (' || lane || ')', '; ' ORDER BY nth) FILTER (WHERE nth <= 3) AS marks FROM q LEFT JOIN b ON b.question_id = q.question_id GROUP BY q.question_id),
+s AS (SELECT *, second > 0 AND (best = second OR (best - second = 1 AND best < greatest(3, n))) AS doubt, chr(39) || question || chr(39) AS named FROM g)
+SELECT question_id, CASE WHEN hits = 0 THEN 'I could not find grounded evidence for ' || named || ' in canonical records. Try different keywords.'
+    WHEN best = 0 OR n = 0 THEN 'I found limited evidence for ' || named || '. Evidence snippets: ' || shown || '. Most relevant records: ' || marks || '. Please refine the question for a stronger grounded answer.'
+    WHEN doubt THEN 'I found multiple plausible interpretations for ' || named || '. Competing evidence: ' || shown || '. Sources: ' || marks || '.'
+    ELSE 'Grounded evidence for ' || named || ': ' || shown || '. Sources: ' || marks || '.' END AS answer_text,
+  CASE WHEN hits = 0 THEN 'No matching records were found yet. Try different keywords or add more context.' WHEN n = 0 THEN 'Try a more specific question with a few distinctive keywords.'
+    WHEN best = 0 THEN 'The closest records did not clearly match your wording. Try rephrasing with different terms.' WHEN doubt THEN 'Multiple top hits plausibly match; clarify the intended interpretation.' END AS note FROM s""")
+def answer_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return _answers(spark, sf).select("question_id", "answer_text", "note")
+
+
 @query(_ANSWER_SQL + """, g AS (SELECT q.question_id, len(list_distinct(any_value(terms))) AS n_terms, coalesce(max(overlap) FILTER (WHERE nth = 1), 0) AS best, coalesce(max(overlap) FILTER (WHERE nth = 2), 0) AS second FROM q LEFT JOIN b ON b.question_id = q.question_id GROUP BY q.question_id)
 SELECT question_id, n_terms, best, second, CASE WHEN best = 0 OR n_terms = 0 THEN 'insufficient_evidence' WHEN second > 0 AND (best = second OR (best - second = 1 AND best < greatest(3, n_terms))) THEN 'ambiguous' ELSE 'grounded' END AS status FROM g""")
 def answer_status(spark: SparkSession, sf: str) -> DataFrame:
