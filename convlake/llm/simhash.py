@@ -148,20 +148,30 @@ def groups_of(counts: dict[int, int], size: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, size: int | None = None) -> DataFrame:
-    """Edges (src, dst) whose components are those of all links between the distinct ``fp`` of ``nodes``."""
-    spark = nodes.sparkSession
+def meetings(nodes: DataFrame, radius: int = RADIUS, size: int | None = None) -> DataFrame:
+    """fp, own (its group), g and h for every pair of groups (g <= h) that the group of ``fp`` is compared in.
+
+    Groups of one range of population counts are numbered in a row, so that the
+    partners of a group are a few ranges of numbers: the driver holds the ranges
+    (65 at most, however many the groups), never the groups or their pairs.
+    """
     bits = F.bit_count("fp")
     counts = {r["bits"]: r["count"] for r in nodes.groupBy(bits.alias("bits")).count().collect()}  # 65 rows at most
     size = size or min(MOST, max(LEAST, sum(counts.values()) // GROUPS))
-    parts = [(low, high, p, k) for low, high, k in groups_of(counts, size) for p in range(k)]
-    # the group of a fingerprint, and the pairs of groups that it takes part in
-    ids = {(low, p): g for g, (low, _, p, _) in enumerate(parts)}
-    rows = [(ids[low, p], c, p, k, [(min(g, h), max(g, h)) for g in [ids[low, p]] for h, (l2, h2, _, _) in enumerate(parts) if l2 - high <= radius and low - h2 <= radius]) for low, high, p, k in parts for c in range(low, high + 1)]
-    plan = spark.createDataFrame(rows, "own int, bits int, part int, parts int, pairs array<struct<g:int,h:int>>")
-    fan = spark.createDataFrame([(c, k) for low, high, k in groups_of(counts, size) for c in range(low, high + 1)], "bits int, parts int")
-    placed = nodes.select("fp", bits.alias("bits")).join(F.broadcast(fan), "bits").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    dealt = placed.join(plan.drop("parts"), ["bits", "part"]).select("fp", "own", F.explode("pairs").alias("pair")).select("fp", "own", "pair.g", "pair.h")
+    ranges, first = [], 0
+    for low, high, parts in groups_of(counts, size):
+        ranges.append((low, high, first, parts))
+        first += parts
+    near = lambda low, high: [(first, first + parts - 1) for other, top, first, parts in ranges if other - high <= radius and low - top <= radius]
+    plan = nodes.sparkSession.createDataFrame([(c, first, parts, near(low, high)) for low, high, first, parts in ranges for c in range(low, high + 1)], "bits int, first int, parts int, near array<struct<a:int,b:int>>")
+    own = (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).cast("int")
+    placed = nodes.select("fp", bits.alias("bits")).join(F.broadcast(plan), "bits").select("fp", own.alias("own"), F.explode("near").alias("near"))
+    dealt = placed.select("fp", "own", F.explode(F.sequence("near.a", "near.b")).alias("other"))
+    return dealt.select("fp", "own", F.least("own", "other").alias("g"), F.greatest("own", "other").alias("h"))
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, size: int | None = None) -> DataFrame:
+    """Edges (src, dst) whose components are those of all links between the distinct ``fp`` of ``nodes``."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         g, h = key
@@ -169,7 +179,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, size: int | None = None) -> Da
         child, root = forest(fp, None, radius) if g == h else forest(fp[own == g], fp[own == h], radius)
         return pd.DataFrame({"src": child.view(np.int64), "dst": root.view(np.int64)})
 
-    return dealt.groupBy("g", "h").applyInPandas(run, "src long, dst long")
+    return meetings(nodes, radius, size).groupBy("g", "h").applyInPandas(run, "src long, dst long")
 
 
 def roots_of(table: DataFrame, radius: int = RADIUS) -> DataFrame:

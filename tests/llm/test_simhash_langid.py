@@ -48,6 +48,36 @@ def test_near_duplicates_match_brute_force(spark):
     assert run(spark, []) == []
 
 
+def test_links_over_many_groups_match_brute_force(spark):
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 63, 60).astype(np.uint64)
+    base[:5] = [0, 1, (1 << 64) - 1, 0xFFFF, 0xFF]
+    flips = [x ^ np.uint64(sum(1 << int(b) for b in r.choice(64, k, replace=False))) for x in base for k in (2, 4, 5)]
+    fps = np.unique(np.concatenate([base, np.array(flips, np.uint64)]))
+    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= simhash.RADIUS
+    want = np.arange(len(fps))
+    while True:
+        new = np.where(near, want[None], len(fps)).min(1)
+        if (new == want).all():
+            break
+        want = new
+    place = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    for size in (6, 40, None):
+        got = np.arange(len(fps))
+        for edge in simhash.links(nodes, size=size).collect():
+            a, b = got[place[edge["src"]]], got[place[edge["dst"]]]
+            got[got == max(a, b)] = min(a, b)
+        assert (got == want).all()
+    # each fingerprint meets every group within reach once, its own too
+    rows = simhash.meetings(nodes, size=6).collect()
+    own = {row["fp"]: row["own"] for row in rows}
+    met = {(row["own"], row["h"] if row["own"] == row["g"] else row["g"]) for row in rows}
+    assert len(set(own.values())) > 20 and len({tuple(row) for row in rows}) == len(rows)
+    for i, j in zip(*np.nonzero(near)):
+        assert (own[int(fps.view(np.int64)[i])], own[int(fps.view(np.int64)[j])]) in met
+
+
 def test_forest_finds_all_links_and_no_more():
     r = np.random.default_rng(1)
     for right in (False, True):
