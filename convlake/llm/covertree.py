@@ -319,32 +319,81 @@ def with_trees(points: DataFrame) -> DataFrame:
     return points.groupBy("dims", "block").applyInPandas(run, BLOCK)
 
 
-def block_bounds(left: DataFrame, right: DataFrame) -> DataFrame:
-    """q_block, block, bound, n of every query block and data block of one length, from their summaries alone."""
+class Heads:
+    """Summaries of query blocks of one length, and for each the ``worst`` of the k-th scores found so far."""
+
+    def __init__(self, rows: pd.DataFrame, dims: int):
+        self.names = rows["block"].to_numpy()
+        self.middle = np.stack(rows["middle"].to_numpy()).astype(np.float64).reshape(len(rows), dims)
+        self.length = np.sqrt((self.middle**2).sum(1))
+        self.reach, self.long = rows["reach"].to_numpy(), rows["long"].to_numpy()
+        self.worst = rows["worst"].to_numpy() if "worst" in rows else None
+
+    def bounds(self, row: dict[str, object]) -> np.ndarray:
+        """Largest inner product of each query block with a data block."""
+        own = np.array(row["middle"], np.float64)
+        return bound(self.middle @ own, (self.length, self.reach, self.long), (np.sqrt((own**2).sum()), row["reach"], row["long"]))
+
+
+class Best:
+    """The ``n`` data blocks that promise most to each query block, of those seen."""
+
+    def __init__(self, heads: Heads, n: int):
+        self.heads, self.values, self.which, self.names = heads, np.full((len(heads.names), n), -np.inf), np.full((len(heads.names), n), -1), []
+
+    def see(self, row: dict[str, object]) -> None:
+        values, least = self.heads.bounds(row), self.values.argmin(1)
+        more = np.flatnonzero((values > self.values[np.arange(len(values)), least]) | (self.which[np.arange(len(values)), least] < 0))
+        self.values[more, least[more]], self.which[more, least[more]] = values[more], len(self.names)
+        self.names.append(row["block"])
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, nth = np.nonzero(self.which >= 0)
+        return self.heads.names[q], np.array(self.names, object)[self.which[q, nth]], self.values[q, nth]
+
+
+def block_pairs(left: DataFrame, right: DataFrame, first: int | None = None) -> DataFrame:
+    """q_block, block and bound of pairs of a query block and a data block of one length, from their summaries alone.
+
+    With ``first``, each task gives the ``first`` data blocks of its own that
+    promise most to each query block.  Without, ``left`` has ``worst``, and only
+    pairs whose bound reaches it are given.  The pairs of all blocks with all are
+    never rows: bounds are computed where the data blocks' summaries are read.
+    """
     spark = left.sparkSession
-    heads = left.select("dims", "block", "middle", "reach", "long")
-    total = heads.agg(F.sum(F.col("dims") * 8 + 64)).first()[0] or 0
+    heads = left.select("dims", "block", "middle", "reach", "long", *([] if first else ["worst"]))
+    total = heads.agg(F.sum(F.col("dims") * 8 + 72)).first()[0] or 0
     passes, out = max(1, -(-total // PASS_BYTES)), None
     for p in range(passes):
-        some = heads.filter(F.pmod(F.xxhash64("block"), F.lit(passes)) == p).toPandas()
-        by_dims = {int(n): (g["block"].to_numpy(), np.stack(g["middle"].to_numpy()).reshape(len(g), n), g["reach"].to_numpy(), g["long"].to_numpy()) for n, g in some.groupby("dims")}
-        sent = spark.sparkContext.broadcast(by_dims)
+        some = heads.filter(F.pmod(F.xxhash64("block"), F.lit(passes)) == p).toPandas()  # PASS_BYTES, about
+        sent = spark.sparkContext.broadcast({int(n): Heads(g, int(n)) for n, g in some.groupby("dims")})
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            best: dict[int, Best] = {}
             for batch in batches:
                 for row in batch.to_pylist():
-                    if row["dims"] not in sent.value:
+                    heads = sent.value.get(row["dims"])
+                    if heads is None:
                         continue
-                    names, middle, reach, long = sent.value[row["dims"]]
-                    own = np.array(row["middle"], np.float64)
-                    values = bound(middle @ own, (np.sqrt((middle**2).sum(1)), reach, long), (np.sqrt((own**2).sum()), row["reach"], row["long"]))
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([row["block"]] * len(names)), pa.array(values), pa.array([row["n"]] * len(names), pa.int32())], names=["q_block", "block", "bound", "n"])
-
-        part = right.select("dims", "block", "middle", "reach", "long", "n").mapInArrow(run, "q_block string, block string, bound double, n int")
+                    if first:
+                        best.setdefault(row["dims"], Best(heads, first)).see(row)
+                        continue
+                    values = heads.bounds(row)
+                    fit = np.flatnonzero(values >= heads.worst)
+                    if len(fit):
+                        yield pairs_batch(heads.names[fit], np.full(len(fit), row["block"], object), values[fit])
+            for found in best.values():
+                yield pairs_batch(*found.pairs())
+
+        part = right.select("dims", "block", "middle", "reach", "long").mapInArrow(run, "q_block string, block string, bound double")
         out = part if out is None else out.union(part)
     return out
 
 
+def pairs_batch(q_block: np.ndarray, block: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(q_block, pa.string()), pa.array(block, pa.string()), pa.array(values, pa.float64())], names=["q_block", "block", "bound"])
+
+
 HITS = "q_block string, at int, query_id long, vec_id long, score long"
 
 
@@ -378,7 +427,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, id_col: str = "vec
     no rows.  Other columns are ignored, whatever their names.
 
     Blocks are cut by the nearest of at most ``CELLS`` centres, and below that by
-    a hash.  The bounds of all pairs of blocks are a table of their own.
+    a hash.  Pairs of blocks are rows only if they are among a query block's first
+    or their bound reaches its worst k-th score so far.
     """
     asked = scaled(queries, id_col, vector_col).distinct().select("dims", "vector", F.array(F.struct("vec_id", F.lit(1).cast("long").alias("n"))).alias("ids"))
     points = materialize(distinct_points(scaled(vectors, id_col, vector_col), k), "points")
@@ -392,15 +442,18 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, id_col: str = "vec
     release(points)
 
     nth = Window.partitionBy("q_block").orderBy(F.desc("bound"), "block")
-    pairs = materialize(block_bounds(left, right).withColumn("nth", F.row_number().over(nth)), "block-pairs")
-    first = materialize(meet(pairs.filter(F.col("nth") <= FIRST).select("q_block", "block", F.lit(None).cast("array<double>").alias("known")), left, right, k), "first-hits")
+    opening = block_pairs(left, right, FIRST).withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") <= FIRST)
+    opening = materialize(opening.select("q_block", "block"), "first-pairs")
+    first = materialize(meet(opening.withColumn("known", F.lit(None).cast("array<double>")), left, right, k), "first-hits")
     # the k-th score of each query so far: of different queries in one place none is lost
     best = Window.partitionBy("q_block", "at").orderBy(F.desc("score"), "vec_id")
     kth = first.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") == k).select("q_block", "at", F.col("score").cast("double").alias("score"))
     known = kth.groupBy("q_block").agg(F.map_from_entries(F.collect_list(F.struct("at", "score"))).alias("by"))
     known = left.select(F.col("block").alias("q_block"), "n").join(known, "q_block", "left").select("q_block", F.expr("transform(sequence(0, n - 1), i -> by[i])").alias("known"))
     known = known.withColumn("worst", F.when(F.exists("known", lambda s: s.isNull()), float("-inf")).otherwise(F.array_min("known")))
-    rest = pairs.filter(F.col("nth") > FIRST).join(known, "q_block").filter(F.col("bound") >= F.col("worst")).select("q_block", "block", "known")
+    known = materialize(known, "known")
+    heads = left.join(known.select(F.col("q_block").alias("block"), "worst"), "block")
+    rest = block_pairs(heads, right).join(opening, ["q_block", "block"], "left_anti").join(known.drop("worst"), "q_block").select("q_block", "block", "known")
     hits = first.union(meet(rest, left, right, k)).select("query_id", "vec_id", "score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -87,3 +87,34 @@ def test_pruning_saves_products_on_clustered_data():
     # with k-th scores known beforehand even less is computed
     again = covertree.Search(rows_of(asked), rows_of(data), 10, exact[:, 10].astype(float))
     assert again.products < search.products
+
+
+def test_pairs_of_blocks_are_few_on_clustered_data_and_none_is_missing(spark):
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(60, 16))
+    centres *= 1024 / np.sqrt((centres**2).sum(1, keepdims=True))
+    data = np.floor(np.repeat(centres, 40, 0) + r.normal(size=(2400, 16)) * 8).astype(np.int64)
+    frame = lambda picked: spark.createDataFrame([(16, data[i].tolist(), [(i, 1)]) for i in picked], "dims int, vector array<long>, ids array<struct<vec_id:long,n:long>>")
+    cells = {16: covertree.far_apart(data.astype(float), 60)}
+    asked = range(0, 2400, 10)
+    left = covertree.materialize(covertree.with_trees(covertree.in_blocks(frame(asked), cells, 4)), "left")
+    right = covertree.materialize(covertree.with_trees(covertree.in_blocks(frame(range(2400)), cells, 40)), "right")
+    block_of = lambda df: {int(i): row["block"] for row in df.collect() for i in covertree.unpack(row.asDict())["ids"]}
+    q_block, d_block = block_of(left), block_of(right)
+    best = {i: sorted((j for j in range(2400) if j != i), key=lambda j: (-int(data[i] @ data[j]), j))[:10] for i in asked}
+    worst = {}
+    for i in asked:
+        worst[q_block[i]] = min(worst.get(q_block[i], float("inf")), float(data[i] @ data[best[i][-1]]))
+    heads = left.join(spark.createDataFrame(list(worst.items()), "block string, worst double"), "block")
+    pairs = {(row["q_block"], row["block"]) for row in covertree.block_pairs(heads, right).collect()}
+    assert {(q_block[i], d_block[j]) for i in asked for j in best[i]} <= pairs
+    assert len(pairs) < left.count() * right.count() / 5
+    opening = covertree.block_pairs(left, right, 2).collect()
+    by_query = {}
+    for row in opening:
+        by_query.setdefault(row["q_block"], []).append((row["bound"], row["block"]))
+    everything = {}
+    for row in covertree.block_pairs(left.withColumn("worst", covertree.F.lit(float("-inf"))), right).collect():
+        everything.setdefault(row["q_block"], []).append((row["bound"], row["block"]))
+    assert all(len(rows) == right.count() for rows in everything.values())
+    assert all(sorted(by_query[q])[-2:] == sorted(rows)[-2:] for q, rows in everything.items())
