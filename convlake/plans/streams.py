@@ -19,7 +19,12 @@ def _home(spark: SparkSession) -> str:
     return f"{folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-@query("SELECT count(DISTINCT (adapter_id, payload_kind, regexp_replace(body_text, '\\s+$', ''), coalesce(source_url, ''), floor(captured_at_unix / 60))) AS n FROM captures")
+#: Blanks at the end of a body, which its hash leaves out.
+_BLANKS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
+
+
+@query(f"""SELECT count(DISTINCT (adapter_id, payload_kind, regexp_replace(nfc_normalize(body_text), '{_BLANKS}', ''), coalesce(source_url, ''), floor(captured_at_unix / 60))) AS n FROM captures
+WHERE body_text IS NOT NULL AND strlen(body_text) <= CASE adapter_id WHEN 'cli' THEN 262144 ELSE 65536 END""")
 def stream_capture_dedup(spark: SparkSession, sf: str) -> DataFrame:
     home = _home(spark)
     B.captures(spark, sf).repartition(4, "id").write.json(f"{home}/inbox")
