@@ -1,0 +1,30 @@
+"""Steps whose shuffles, files and Python groups must not outgrow the input."""
+
+import re
+
+from pyspark.sql import functions as F
+
+from convlake.operators import search
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"\bExchange\b", plan.split("== Initial Plan ==")[0]))
+
+
+def test_an_index_is_made_where_the_texts_are(spark):
+    """No exchange of postings; documents that share kind and id are one, and nulls are ids too."""
+    table = lambda rows: spark.createDataFrame(rows, "kind string, id long, content string")
+    assert exchanges(search.index_rows(table([("n", 1, "runs running 7x"), ("n", 2, None)]))) == 0
+    postings, lengths, forms = search.index_tables(table([("n", 1, "a run"), ("n", 1, "runs"), ("m", 1, "run"), ("m", None, "run run"), ("m", None, "\u00c9x \u0411"), ("m", 2, "")]))
+    got = {(r["term"], r["kind"], r["id"]): (r["tf"], r["positions"]) for r in postings.collect()}
+    assert got == {("a", "n", 1): (1, [0]), ("run", "n", 1): (2, [0, 1]), ("run", "m", 1): (1, [0]), ("run", "m", None): (2, [0, 1]), ("ex", "m", None): (1, [0]), ("\u0431", "m", None): (1, [1])}
+    assert {(r["kind"], r["id"]): r["length"] for r in lengths.collect()} == {("n", 1): 3, ("m", 1): 1, ("m", None): 4, ("m", 2): 0}
+    assert {tuple(r) for r in forms.collect()} == {("a", "a"), ("run", "run"), ("run", "runs"), ("ex", "ex"), ("\u0431", "\u0431")}
+
+
+def test_a_large_document_has_the_postings_of_its_words(spark):
+    docs = spark.range(300).select(F.lit("n").alias("kind"), "id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(F.lit("w"), i % (F.col("id") + 1))), " ").alias("content"))
+    got = search.index_rows(docs, stemmed=False).filter("part = 'postings'")
+    assert got.count() == sum(range(1, 301))
+    assert got.select(F.explode("positions").alias("p"), "id").groupBy("id").agg(F.count_distinct("p").alias("n")).filter("n <> 1000").count() == 0
