@@ -15,6 +15,11 @@ from convlake.shared import folder, materialize
 from convlake.streaming import capture as S
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over the tasks of an exchange, so that the files and their writers follow the cluster, and not a fixed four."""
+    return rows.repartition(max(4, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def _home(spark: SparkSession) -> str:
     return f"{folder(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -27,7 +32,7 @@ _BLANKS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 WHERE body_text IS NOT NULL AND strlen(body_text) <= CASE adapter_id WHEN 'cli' THEN 262144 ELSE 65536 END""")
 def stream_capture_dedup(spark: SparkSession, sf: str) -> DataFrame:
     home = _home(spark)
-    B.captures(spark, sf).repartition(4, "id").write.json(f"{home}/inbox")
+    _spread(B.captures(spark, sf)).write.json(f"{home}/inbox")
     kept = S.deduplicated(S.inbox(spark, f"{home}/inbox")).select("id", "content_hash")
     return S.run_now(kept, f"{home}/out", f"{home}/state").agg(F.count("*").alias("n"))
 
@@ -35,7 +40,7 @@ def stream_capture_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query(_LIFE_SQL + "SELECT capture_id, status, n_applied, n - n_applied AS n_rejected FROM life")
 def stream_capture_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     home = _home(spark)
-    _commands(spark, sf).repartition(4, "capture_id").write.json(f"{home}/commands")
+    _spread(_commands(spark, sf)).write.json(f"{home}/commands")
     steps = S.life_cycle(spark.readStream.schema(S.COMMAND).json(f"{home}/commands"))
     return S.run_now(steps, f"{home}/out", f"{home}/state").groupBy("capture_id").agg(F.max_by("to_status", F.struct("at_unix", "command_id")).alias("status"), F.count_if("legal").alias("n_applied"), F.count_if(~F.col("legal")).alias("n_rejected"))
 
@@ -78,7 +83,7 @@ def stream_capture_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     ledger = capture.hashed(capture.contract_problems(_arrivals(spark, sf), capture.adapters(spark)).filter("problem is null and id % 10 = 9"))
     known = materialize(ledger.select("content_hash", "id", "raw_payload_hash"), "known-captures")
     for n in range(_ROUNDS):
-        _arrivals(spark, sf).filter(F.col("round") == n).drop("round").repartition(4).write.json(f"{home}/inbox/round={n}")
+        _spread(_arrivals(spark, sf).filter(F.col("round") == n).drop("round")).write.json(f"{home}/inbox/round={n}")
         S.filed(S.judged(S.inbox(spark, f"{home}/inbox/*", None), known, f"{_LATE_S} seconds"), f"{home}/out", f"{home}/state")
     S.forget_last_batch(spark, f"{home}/state")
     S.filed(S.judged(S.inbox(spark, f"{home}/inbox/*", None), known, f"{_LATE_S} seconds"), f"{home}/out", f"{home}/state")
@@ -89,7 +94,7 @@ def stream_capture_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 def stream_promoted_notes(spark: SparkSession, sf: str) -> DataFrame:
     home = _home(spark)
     captures = B.captures(spark, sf).select("id", "body_text", F.col("adapter_id").alias("tags"))
-    _commands(spark, sf).repartition(4, "capture_id").write.json(f"{home}/commands")
+    _spread(_commands(spark, sf)).write.json(f"{home}/commands")
     steps = S.life_cycle(spark.readStream.schema(S.COMMAND).json(f"{home}/commands"))
     S.promoted(steps, captures, home, f"{home}/state")
     S.forget_last_batch(spark, f"{home}/state")

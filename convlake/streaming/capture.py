@@ -38,7 +38,7 @@ def deduplicated(envelopes: DataFrame, late: str = "1 day") -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def judged(envelopes: DataFrame, known: DataFrame | None = None, late: str = "1 day") -> DataFrame:
+def judged(envelopes: DataFrame, known: DataFrame | None = None, late: str = "1 day", digits: int = 3) -> DataFrame:
     """Every envelope with its ``outcome``, ``problem``, ``capture_id`` and both hashes.
 
     ``rejected``: it breaks the contract (problem names the rule).  ``existing``: a
@@ -48,8 +48,9 @@ def judged(envelopes: DataFrame, known: DataFrame | None = None, late: str = "1
     captured_at and its hash is unknown: for a dead-letter sink.  ``new``: a capture.
     So each row has one outcome, and none is lost.
 
-    State is kept by content hash and never dropped; use a state store on disk.  The
-    rows of a hash in one micro-batch are judged in order of time of receipt and id.
+    State is kept for each content hash and never dropped; use a state store on disk.
+    Hashes with the same first ``digits`` share a row of state, at 3 in 4,096 rows.
+    The rows of a hash in one micro-batch are judged in order of time of receipt and id.
     The operator drops no late rows, as it has no timeout.
     """
     rows = capture.hashed(capture.contract_problems(envelopes, capture.adapters(envelopes.sparkSession)))
@@ -61,41 +62,48 @@ def judged(envelopes: DataFrame, known: DataFrame | None = None, late: str = "1
         first = first.select("content_hash", F.col("k.id").alias("known_id"), F.col("k.raw_payload_hash").alias("known_raw"))
         rows = rows.join(first, "content_hash", "left")
     rows = rows.withColumn("captured_at", F.timestamp_seconds("captured_at_unix")).withWatermark("captured_at", late)
-    # rejected rows meet nobody: each is its own key
-    rows = rows.withColumn("key", F.coalesce("content_hash", F.concat(F.lit("rejected "), F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    # a Python group costs much more than its rows: hashes share one by their first digits
+    spread = F.coalesce("content_hash", F.sha2(F.coalesce(F.col("id").cast("string"), F.lit("")), 256))
+    rows = rows.withColumn("key", F.substring(spread, 1, digits))
+    names = [c.split()[0] for c in JUDGED.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mark = state.getCurrentWatermarkMs()
-        waiting = []
+        hashes, ids, raws = state.get if state.exists else ((), (), ())
+        seen = dict(zip(hashes, zip(ids, raws, strict=True), strict=True))
+        n_seen, waiting = len(seen), []
         for b in batches:
-            if state.exists or pd.notna(b["problem"].iloc[0]):
-                yield outcomes(b, state, mark)
-            else:
-                waiting.append(b)
-        if waiting:
-            yield outcomes(pd.concat(waiting).sort_values(["received_at_unix", "id"]), state, mark)
-
-    def outcomes(b: pd.DataFrame, state: GroupState, mark: int) -> pd.DataFrame:
+            answered = b["problem"].notna() | b["content_hash"].isin(seen.keys())
+            if answered.any():
+                yield outcomes(b[answered], seen, mark)
+            waiting.append(b[~answered])
+        b = pd.concat(waiting)
+        if len(b):
+            yield outcomes(b.sort_values(["received_at_unix", "id"]), seen, mark)
+        if len(seen) > n_seen:
+            state.update((list(seen), [k for k, _ in seen.values()], [r for _, r in seen.values()]))
+
+    def outcomes(b: pd.DataFrame, seen: dict, mark: int) -> pd.DataFrame:
         out = []
-        for r in b.itertuples():
-            if isinstance(r.problem, str):
-                out.append(("rejected", None, r.raw_payload_hash))
+        for problem, h, known_raw, known_id, at, own, raw in zip(*(b[c] for c in ("problem", "content_hash", "known_raw", "known_id", "captured_at_unix", "id", "raw_payload_hash")), strict=True):
+            if isinstance(problem, str):
+                out.append(("rejected", None, raw))
                 continue
-            if not state.exists and isinstance(r.known_raw, str):
-                state.update((int(r.known_id), r.known_raw))
-            if state.exists:
-                out.append(("existing", *state.get))
-            elif r.captured_at_unix * 1000 < mark:
-                out.append(("late", None, r.raw_payload_hash))
+            if h not in seen and isinstance(known_raw, str):
+                seen[h] = (int(known_id), known_raw)
+            if h in seen:
+                out.append(("existing", *seen[h]))
+            elif at * 1000 < mark:
+                out.append(("late", None, raw))
             else:
-                state.update((int(r.id), r.raw_payload_hash))
-                out.append(("new", int(r.id), r.raw_payload_hash))
+                seen[h] = (int(own), raw)
+                out.append(("new", int(own), raw))
         b = b.copy()
         b["outcome"], b["capture_id"], b["raw_payload_hash"] = zip(*out, strict=True)
         b["capture_id"] = b["capture_id"].astype("Int64")
-        return b[[c.split()[0] for c in JUDGED.split(", ")]]
+        return b[names]
 
-    return rows.groupBy("key").applyInPandasWithState(run, JUDGED, "capture_id long, raw_payload_hash string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(run, JUDGED, "hashes array<string>, capture_ids array<long>, raw_hashes array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def filed(judgements: DataFrame, home: str, checkpoint: str) -> None:

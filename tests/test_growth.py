@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from convlake.operators import search
+from convlake.streaming import capture as S
 
 
 def exchanges(df):
@@ -28,3 +29,15 @@ def test_a_large_document_has_the_postings_of_its_words(spark):
     got = search.index_rows(docs, stemmed=False).filter("part = 'postings'")
     assert got.count() == sum(range(1, 301))
     assert got.select(F.explode("positions").alias("p"), "id").groupBy("id").agg(F.count_distinct("p").alias("n")).filter("n <> 1000").count() == 0
+
+
+def test_hashes_share_rows_of_state(spark, tmp_path):
+    """Many hashes in few Python groups: each envelope still has its own outcome, in later batches too."""
+    home, n = str(tmp_path), 400
+    rows = spark.range(n).select("id", F.lit("cli").alias("adapter_id"), F.lit("1").alias("adapter_version"), F.lit("text").alias("payload_kind"), F.concat(F.lit("body "), F.col("id") % 150).alias("body_text"), F.lit(None).cast("string").alias("source_url"), F.lit(60.0).alias("captured_at_unix"), F.col("id").cast("double").alias("received_at_unix"))
+    for k, part in enumerate(("id < 100", "id >= 100")):
+        rows.filter(part).write.json(f"{home}/inbox/round={k}")
+        S.filed(S.judged(S.inbox(spark, f"{home}/inbox/*"), late="1 day", digits=1), f"{home}/out", f"{home}/state")
+    got = {r["id"]: (r["outcome"], r["capture_id"]) for r in spark.read.schema(S.JUDGED).parquet(f"{home}/out").collect()}
+    assert got == {i: ("new" if i < 150 else "existing", i % 150) for i in range(n)}
+    assert spark.read.format("statestore").load(f"{home}/state").count() <= 16
