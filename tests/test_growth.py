@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from convlake.operators import search
+from convlake.operators import package, search
 from convlake.streaming import capture as S
 
 
@@ -41,3 +41,32 @@ def test_hashes_share_rows_of_state(spark, tmp_path):
     got = {r["id"]: (r["outcome"], r["capture_id"]) for r in spark.read.schema(S.JUDGED).parquet(f"{home}/out").collect()}
     assert got == {i: ("new" if i < 150 else "existing", i % 150) for i in range(n)}
     assert spark.read.format("statestore").load(f"{home}/state").count() <= 16
+
+
+def test_lines_of_a_package_are_parsed_and_written_once(spark, tmp_path, monkeypatch):
+    """One table of all record files, findings among them; torn and blank parts, and lines that are no records."""
+    written, real = [], package.materialize
+    monkeypatch.setattr(package, "materialize", lambda df, name: written.append(name) or real(df, name))
+    own = '"source_lane": "l", "source_provider": "p", "source_record_id": "r", "source_metadata": {"k": "v"}'
+    shown = {
+        "providers/p/conversations.jsonl/part-0": '{"stable_id": "c1", %s, "title": "t", "created_at_unix": 1.5}\n\n \t\n{"stable_id"\n[1]\n' % own,
+        "providers/p/messages.jsonl/part-0": '{"stable_id": "m1", %s, "sequence_index": 3, "content": "{}"}\n  {"stable_id": "m2"}\n7\n' % own,
+        "native/memory_entries.jsonl/part-0": '{"stable_id": "n1", "tags": "a, b", "content": "x"}\n{"stable_id": "n2", "content": 5, "tags": ["q"]}\n',
+        "native/memory_entries.jsonl/part-1": " \n",
+        "native/memory_entries.jsonl/part-2.gz": "torn",
+        "provenance/index.jsonl/part-0": '{"unit_type": "canonical", "stable_id": "c1", "path": "elsewhere"}\n',
+        "other/part-0": "no record\n",
+    }
+    for name, text in shown.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    parts, found = package.read_package(spark, f"file://{tmp_path}")
+    assert written == ["package-lines", "manifest-file"]
+    assert sorted((r["code"], r["severity"], r["stable_id"]) for r in found.collect()) == [
+        ("file_read_error", "E", "native/memory_entries.jsonl/part-2.gz"), ("jsonl_parse_error", "E", "providers/p/conversations.jsonl"), ("jsonl_record_invalid_type", "E", "providers/p/conversations.jsonl"),
+        ("jsonl_record_invalid_type", "E", "providers/p/messages.jsonl"), ("manifest_missing", "E", None)]
+    got = lambda name, *c: sorted(tuple(r) for r in parts[name].select(*c).collect())
+    assert got("conversations", "path", "stable_id", "title", "created_at_unix", "source_metadata.k") == [("providers/p/conversations.jsonl", "c1", "t", 1.5, "v")]
+    assert got("messages", "stable_id", F.coalesce("sequence_index", F.lit(-1))) == [("m1", 3), ("m2", -1)]
+    assert got("notes", "path", "stable_id", "tags", "content") == [("native/memory_entries.jsonl", "n1", "a, b", "x"), ("native/memory_entries.jsonl", "n2", '["q"]', "5")]
+    assert got("provenance", "stable_id", "path") == [("c1", "elsewhere")]
