@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 MOST, TARGET, FIRST = 1600, 1000, 400
 #: Blanks: what Unicode calls white space, and the four separators before it.
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same ones as a string, for trims: they look at a text's ends only, and a regular expression at every character.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def lead(c: Column) -> Column:
@@ -37,13 +39,14 @@ def blocks(docs: DataFrame) -> DataFrame:
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
     fence = F.col("line").startswith("```")
     lines = lines.select("*", (F.sum(F.length("line") + 1).over(upto) - F.length("line") - 1).alias("start"), fence.alias("fence"), F.sum(fence.cast("int")).over(upto).alias("fences"))
-    kind = F.when(F.col("fence") | (F.col("fences") % 2 == 1), "code").when(F.col("line").rlike(rf"^[{WS}]*#"), "heading").when(~F.col("line").rlike(rf"^[{WS}]*\z"), "paragraph")
+    bare = F.ltrim("line", F.lit(BLANKS))
+    kind = F.when(F.col("fence") | (F.col("fences") % 2 == 1), "code").when(bare.startswith("#"), "heading").when(bare != "", "paragraph")
     lines = lines.withColumn("kind", kind)
     opens = F.when(F.col("kind") == "code", F.col("fence") & (F.col("fences") % 2 == 1)).when(F.col("kind") == "paragraph", ~F.lag("kind").over(by).eqNullSafe("paragraph")).otherwise(F.col("kind").isNotNull())
     lines = lines.withColumn("opens", opens).withColumn("block", F.sum(F.col("opens").cast("int")).over(upto))
     found = lines.filter("kind is not null").groupBy("row", "block").agg(F.first("doc_id").alias("doc_id"), F.min("kind").alias("kind"), F.min("start").alias("start"), F.array_sort(F.collect_list(F.struct("k", "line"))).alias("lines"))
     whole = F.array_join("lines.line", "\n")
-    text = F.when(F.col("kind") == "code", F.regexp_replace(whole, r"\n+\z", "")).otherwise(F.regexp_replace(whole, rf"[{WS}]+\z", ""))
+    text = F.when(F.col("kind") == "code", F.rtrim(whole, F.lit("\n"))).otherwise(F.rtrim(whole, F.lit(BLANKS)))
     return found.select("row", "doc_id", "block", "kind", text.alias("text"), "start")
 
 
@@ -59,13 +62,14 @@ def grouped(text: Column, most: int, target: int) -> Column:
     The fold goes over the sentences' lengths and keeps where each group begins: a
     group is closed when the next sentence does not fit or the target is reached.
     """
+    sized = lambda s, alone: F.struct(s.alias("t"), F.lit(alone).alias("alone"), F.length(s).alias("n"))
     parts = F.filter(F.transform(F.split(stripped(text), rf"(?<=[.!?])[{WS}]+", -1), stripped), lambda s: s != "")
-    pieces = F.flatten(F.transform(parts, lambda s: F.when(F.length(s) <= most, F.array(F.struct(s.alias("t"), F.lit(False).alias("alone")))).otherwise(F.transform(sliced(s, most), lambda p: F.struct(p.alias("t"), F.lit(True).alias("alone"))))))
+    pieces = F.flatten(F.transform(parts, lambda s: F.when(F.length(s) <= most, F.array(sized(s, False))).otherwise(F.transform(sliced(s, most), lambda p: sized(p, True)))))
     kind = "struct<i: int, size: int, begins: array<int>>"  # size 0: no group is open
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"), F.expr("cast(array() as array<int>)").alias("begins")).cast(kind)
 
     def step(done: Column, piece: Column) -> Column:
-        n = F.length(piece["t"])
+        n = piece["n"]
         fits = (done["size"] > 0) & ~piece["alone"] & (done["size"] + 1 + n <= most)
         size = F.when(fits, done["size"] + 1 + n).otherwise(n)
         begins = F.when(fits, done["begins"]).otherwise(F.concat(done["begins"], F.array(done["i"])))
@@ -81,7 +85,8 @@ def grouped(text: Column, most: int, target: int) -> Column:
 
 def fitted(found: DataFrame, most: int, target: int) -> DataFrame:
     """Blocks as pieces that fit, with the place and start of each; a piece starts one character after the one before."""
-    long = F.length("text") > most
+    found = found.withColumn("n", F.length("text"))
+    long = F.col("n") > most
     texts = F.when(~long, F.array("text")).when(F.col("kind") == "paragraph", grouped(F.col("text"), most, target)).otherwise(sliced(F.col("text"), most))
     kind = F.when(long & (F.col("kind") == "paragraph"), "sentence_group").otherwise(F.col("kind"))
     pieces = found.select("row", "doc_id", "block", kind.alias("kind"), "start", F.posexplode(texts).alias("piece", "text"))

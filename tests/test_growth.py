@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from convlake.operators import package, search
+from convlake.operators import chunks, package, search
 from convlake.streaming import capture as S
 
 
@@ -70,3 +70,12 @@ def test_lines_of_a_package_are_parsed_and_written_once(spark, tmp_path, monkeyp
     assert got("messages", "stable_id", F.coalesce("sequence_index", F.lit(-1))) == [("m1", 3), ("m2", -1)]
     assert got("notes", "path", "stable_id", "tags", "content") == [("native/memory_entries.jsonl", "n1", "a, b", "x"), ("native/memory_entries.jsonl", "n2", '["q"]', "5")]
     assert got("provenance", "stable_id", "path") == [("c1", "elsewhere")]
+
+
+def test_chunks_are_stripped_by_their_ends(spark):
+    """No regular expression goes over a whole text to find the blanks at its ends; blanks are the same characters as before."""
+    plan = chunks.chunk(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and "RLIKE" not in plan
+    every = spark.range(1, 0x10000).filter("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    blank = {r["c"] for r in every.filter(F.col("c").rlike(rf"^[{chunks.WS}]\z")).collect()}
+    assert blank == set(chunks.BLANKS) == {r["c"] for r in every.filter(chunks.stripped(F.concat("c", F.lit("x"), "c")) == "x").collect()}
