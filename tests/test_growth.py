@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from convlake.operators import chunks, package, search
+from convlake.operators import chunks, federated, package, search
 from convlake.streaming import capture as S
 
 
@@ -79,3 +79,25 @@ def test_chunks_are_stripped_by_their_ends(spark):
     every = spark.range(1, 0x10000).filter("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
     blank = {r["c"] for r in every.filter(F.col("c").rlike(rf"^[{chunks.WS}]\z")).collect()}
     assert blank == set(chunks.BLANKS) == {r["c"] for r in every.filter(chunks.stripped(F.concat("c", F.lit("x"), "c")) == "x").collect()}
+
+
+def test_a_question_asked_often_is_answered_once(spark, monkeypatch):
+    """Answers do not depend on how often a question is asked, no text is written beside a question, and traces read no summaries."""
+    written, real = {}, federated.materialize
+    monkeypatch.setattr(federated, "materialize", lambda df, name: written.setdefault(name, real(df, name)))
+    c = spark.createDataFrame([(1, "grok", "g1", "Red boats", 5.0, None, True), (2, "claude", "c2", " ", None, None, None)], "id long, source string, source_conversation_id string, title string, created_at_unix double, updated_at_unix double, is_starred boolean")
+    m = spark.createDataFrame([(10, 1, 0, "user", "the W\u00c4ter is warm"), (11, 1, 1, "user", "boats"), (20, 2, 0, "user", "water boats")], "id long, conversation_id long, sequence_index int, role string, content string")
+    n = spark.range(1, 13).selectExpr("id", "timestamp_seconds(id) AS timestamp", "'user' AS role", "concat(' water ', repeat('boats ', cast(id % 3 AS int)), id) AS content", "if(id % 2 = 0, 't', null) AS tags", "false AS is_starred")
+    asked = ["water boats", "water boats", " Water", "nothing there", "the", None, None, "warm water boats"]
+    q = spark.createDataFrame([(i, x) for i, x in enumerate(asked * 3)], "question_id long, question string")
+    made = federated.answered(q, c, m, n)
+    got = {r["question_id"]: tuple(r)[1:] for r in made.select("question_id", *[x for x in made.columns if x != "question_id"]).collect()}
+    assert written["questions"].count() == 6 and written["best-hits"].count() == 9 and len(got) == 24
+    assert not {"title", "content", "evidence", "summary", "evidence_text"} & set(written["best-hits"].columns) and all(got[i] == got[i % 8] for i in got)
+    assert got[3][got_at(made, "status")] == "insufficient_evidence" and got[0][got_at(made, "lanes")] == ["native_memory"] * 3
+    traced = federated.traces(made, "now").select("trace_id", "question", "status", "source_lanes")
+    assert "summary" not in traced._jdf.queryExecution().optimizedPlan().toString()
+
+
+def got_at(df, name):
+    return [x for x in df.columns if x != "question_id"].index(name)
