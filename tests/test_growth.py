@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from convlake.operators import chunks, federated, package, search
+from convlake.plans import more
 from convlake.streaming import capture as S
 
 
@@ -72,6 +73,45 @@ def test_lines_of_a_package_are_parsed_and_written_once(spark, tmp_path, monkeyp
     assert got("provenance", "stable_id", "path") == [("c1", "elsewhere")]
 
 
+def test_provider_counts_write_no_records_again(spark, sf, monkeypatch):
+    """Conversations are made once for a package, and its records are counted where their lines are read."""
+    written, real = [], package.materialize
+    monkeypatch.setattr(package, "materialize", lambda df, name: written.append(name) or real(df, name))
+    got = {r["provider"]: r["notes"] for r in more.package_provider_counts(spark, sf).collect()}
+    assert got.pop("native") > 0 and set(got.values()) == {0}
+    assert written == ["package-conversations"]
+
+
+def test_parts_of_a_package_are_told_by_the_listing(spark, tmp_path):
+    """No line's path is decoded or matched, for fewer kinds too; counts are those of the records read back, odd lines and parts among them."""
+    long = '{"source_provider": "p", "content": "%s"}' % ("x" * 70000)
+    shown = {
+        "providers/p q+%41/conversations.jsonl/part-0": '{"source_provider": "p q+%41"}\n{"source_provider": null}\n{"title": "t"}\n{"source_provider"\n[1]\n\n{"source_provider": "p", "created_at_unix": "x"}\n',
+        "providers/p/messages.jsonl/part-0": '{"source_provider": "p", "sequence_index": 99999999999999}\n%s\n{"source_provider": 7}\n' % long,
+        "providers/p/messages.jsonl/part-1.gz": "torn",
+        "providers/p/messages.jsonl/more/part-2": '{"source_provider": "deep"}\n',
+        "native/memory_entries.jsonl/part-0": '{"source_provider": "native"}\n \t{"source_provider": "native"}\n{}\n',
+        "native/memory_entries.jsonl/part-1": "",
+        "provenance/index.jsonl/part-0": '{"source_provider": "unit"}\n',
+        "other/part-0": '{"source_provider": "other"}\n',
+    }
+    for name, text in shown.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    home = f"file://{tmp_path}"
+    for kinds in (package.RECORD_FILES, package.COUNTED):
+        plan = package.record_lines(spark, home, kinds)._jdf.queryExecution().optimizedPlan().toString()
+        of_lines = plan[: plan.index("Relation [value")]
+        of_lines = of_lines[of_lines.index("Join") :]
+        assert not re.search("UrlCodec|regexp_replace|RLIKE", of_lines)
+    parts = package.read_package(spark, home)[0]
+    counted = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    got = counted(package.folder_provider_counts(spark, home))
+    assert got == counted(package.provider_counts(parts)) and ("p q+%41", 1, 0, 0) in got and ("native", 0, 0, 2) in got
+    assert sum(r[1] for r in got) == 4 and sum(r[2] for r in got) == 3 and sum(r[3] for r in got) == 3
+    assert {r["path"] for r in parts["conversations"].collect()} == {"providers/p q+%41/conversations.jsonl"}
+
+
 def test_chunks_are_stripped_by_their_ends(spark):
     """No regular expression goes over a whole text to find the blanks at its ends; blanks are the same characters as before."""
     plan = chunks.chunk(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
