@@ -6,8 +6,10 @@ cover tree is built over each block once.  The summaries of the blocks (centre,
 covering radius, longest vector) bound the inner products of every pair of blocks.
 Each query block first meets the blocks that promise most; the k-th scores found
 there are carried along, so that a pair of blocks whose bound is below the worst
-of them is pruned before anything of it is shuffled.  Inside a pair both trees are
-descended together, and a pair of nodes is pruned in the same way.
+of them is pruned before anything of it is shuffled.  The query blocks that are left
+for a data block travel to it in bundles.  Inside a pair both trees are descended
+together, and a pair of nodes is pruned in the same way; points are compared by a
+product of matrices where a node's children hold too few to be worth a bound.
 
 Equal vectors are one point; of their ids only the k + 1 smallest can be among the
 k best of a query.
@@ -37,8 +39,14 @@ FIRST = 2
 BASE, LEAF = 1.3, 8
 #: Bytes of query block summaries that one pass over the data block summaries takes along.
 PASS_BYTES = 64 << 20
-#: Points whose distances are computed at once while a tree grows; nodes that a query group opens at once.
-BATCH, OPEN = 64, 64
+#: Points whose distances are computed at once while a tree grows; inner products that are held at once.
+BATCH, AT_ONCE = 64, 1 << 18
+#: Points of a child, on average, that a bound is worth; below that all points of a node are compared at once.
+WORTH = 8
+#: Below this share of pairs that can help, query nodes descend apart.
+DENSE = 0.5
+#: Queries, about, that a data block meets in one row.
+BUNDLE = 4096
 
 LOWEST, NO_ID = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
@@ -132,14 +140,9 @@ def block_row(dims: int, name: str, points: np.ndarray, ids: list[list[int]], ti
 def unpack(row: dict[str, object]) -> dict[str, np.ndarray]:
     out = {f: np.frombuffer(row[f], np.float64 if f in FLOATS else np.int64) for f in FIELDS}
     flat = np.frombuffer(row["points"], f"i{row['width']}").astype(np.int64)
-    return {**out, "points": flat.reshape(len(out["at"]) - 1, row["dims"])}
-
-
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; by floating point where that can't round."""
-    if not a.size or not b.size or a.shape[1] * float(np.abs(a).max()) * float(np.abs(b).max()) < 2**52:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    points = flat.reshape(len(out["at"]) - 1, row["dims"])
+    real = points.astype(np.float64)
+    return {**out, "points": points, "real": real, "length": np.sqrt((real**2).sum(1)), "most": float(np.abs(real).max(initial=0))}
 
 
 def bound(dot: np.ndarray, q: tuple, d: tuple) -> np.ndarray:
@@ -157,88 +160,133 @@ def bound(dot: np.ndarray, q: tuple, d: tuple) -> np.ndarray:
 
 
 class Search:
-    """The k best of a data block for each query of a query block; ``products`` counts inner products, bounds included."""
+    """The k best of a data block for each query of a query block; ``products`` counts inner products, bounds included.
+
+    Sets of query nodes and of data nodes descend together.  Their bounds are one
+    product of matrices; where few pairs can help, each query node goes on alone.
+    """
 
     def __init__(self, q: dict[str, np.ndarray], d: dict[str, np.ndarray], k: int, known: np.ndarray | None = None):
-        self.q, self.d, self.k = q, d, k
+        self.q, self.d, self.k = q | single_leaves(q), d, k
+        q = self.q
         self.of = np.repeat(np.arange(len(q["at"]) - 1), np.diff(q["at"]))  # the point of each query
         n = len(q["ids"])
-        self.scores, self.found = np.full((n, k), LOWEST), np.full((n, k), NO_ID)
         self.worst = np.full(n, -np.inf) if known is None else known.astype(np.float64)
-        self.qf, self.df = q["points"].astype(np.float64), d["points"].astype(np.float64)
-        self.ql, self.dl = np.sqrt((self.qf**2).sum(1)), np.sqrt((self.df**2).sum(1))
-        self.inner = np.diff(d["upto"]) > 0
+        self.whole = q["points"].shape[1] * q["most"] * d["most"] < 2**52  # inner products by floating point can't round
+        # queries in the order of the tree, and the places of a node's queries there
+        self.line = spread(q["at"], q["order"])[0]
+        upto = np.concatenate([[0], np.cumsum(np.diff(q["at"])[q["order"]])])
+        self.begin, self.end = upto[q["first"]], upto[q["last"]]
+        self.leaf, self.size = np.diff(q["upto"]) == 0, d["last"] - d["first"]
+        kids = np.diff(d["upto"])
+        self.small = (kids == 0) | (self.size < WORTH * kids)
         self.products = 0
+        self.forget()
         if n and len(d["ids"]):
+            if not self.small[0] and np.isneginf(self.worst).any():
+                self.seed()
             self.descend()
 
-    def bounds(self, a: int, nodes: np.ndarray) -> np.ndarray:
-        c, m = self.q["centre"][a], self.d["centre"][nodes]
-        self.products += len(nodes)
-        return bound(self.df[m] @ self.qf[c], (self.ql[c], self.q["radius"][a], self.q["longest"][a]), (self.dl[m], self.d["radius"][nodes], self.d["longest"][nodes]))
-
-    def queries(self, a: int) -> np.ndarray:
-        """Queries of a node."""
-        points = self.q["order"][self.q["first"][a] : self.q["last"][a]]
-        return spread(self.q["at"], points)[0]
-
-    def kids(self, nodes: np.ndarray) -> np.ndarray:
-        return self.d["child"][spread(self.d["upto"], nodes)[0]]
+    def forget(self) -> None:
+        n = len(self.worst)
+        self.scores, self.found = np.full((n, self.k), LOWEST), np.full((n, self.k), NO_ID)
+
+    def bounds(self, a: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Bounds of query nodes (rows) and data nodes."""
+        q, d = self.q, self.d
+        c, m = q["centre"][a], d["centre"][nodes]
+        self.products += len(a) * len(nodes)
+        of_q = tuple(x[:, None] for x in (q["length"][c], q["radius"][a], q["longest"][a]))
+        return bound(q["real"][c] @ d["real"][m].T, of_q, (d["length"][m], d["radius"][nodes], d["longest"][nodes]))
+
+    def least(self, a: np.ndarray) -> np.ndarray:
+        """The worst k-th score of each query node."""
+        ends = np.stack([self.begin[a], self.end[a]], 1).ravel()
+        return np.minimum.reduceat(np.append(self.worst[self.line], np.inf), ends)[::2]
+
+    def queries(self, a: np.ndarray) -> np.ndarray:
+        return self.line[spread_ranges(self.begin[a], self.end[a])]
+
+    def points(self, nodes: np.ndarray) -> np.ndarray:
+        return self.d["order"][spread_ranges(self.d["first"][nodes], self.d["last"][nodes])]
+
+    def seed(self) -> None:
+        """First k-th scores, of the node that promises most to each query; what is found is found again later."""
+        leaves = np.flatnonzero(self.leaf)
+        groups = [(leaves[np.isneginf(self.least(leaves))], 0)]
+        while groups and len(groups[0][0]):
+            a, node = groups.pop()
+            best = np.zeros(len(a), np.int64)
+            if not self.small[node]:
+                opened = kids(self.d, np.array([node]))
+                best = opened[self.bounds(a, opened).argmax(1)]
+            on = (self.size[best] > self.k) & (best > 0)
+            if not on.all():
+                self.compare(self.queries(a[~on]), self.points(np.array([node]))[: WORTH * (self.k + 1)])
+            groups += [(a[on & (best == x)], int(x)) for x in np.unique(best[on])]
+        self.forget()
 
     def descend(self) -> None:
-        stack = [(0, np.array([0]))]
+        stack = [(np.array([0]), np.array([0]))]
         while stack:
             a, nodes = stack.pop()
-            rows = self.queries(a)
-            worst = self.worst[rows].min()
-            values = self.bounds(a, nodes)
-            nodes, values = nodes[values >= worst], values[values >= worst]
-            children = self.q["child"][self.q["upto"][a] : self.q["upto"][a + 1]]
-            if not len(children):
-                self.group(a, rows, nodes, values)
+            fits = self.bounds(a, nodes) >= self.least(a)[:, None]
+            some, near = fits.any(1), fits.any(0)
+            if not some.any():
                 continue
-            # the wider side is opened first, but nothing is as long as nothing could be pruned
-            while worst > -np.inf and len(wide := np.flatnonzero(self.inner[nodes] & (self.d["radius"][nodes] > self.q["radius"][a]))):
-                opened = self.kids(nodes[wide])
-                opened = opened[self.bounds(a, opened) >= worst]
-                nodes = np.concatenate([np.delete(nodes, wide), opened])
-            if len(nodes):
-                stack += [(int(c), nodes) for c in children]
-
-    def group(self, a: int, rows: np.ndarray, nodes: np.ndarray, values: np.ndarray) -> None:
-        """The most promising nodes first, until none can improve on the worst k-th score of the group."""
-        few = 1
-        while len(nodes):
-            fit = values >= self.worst[rows].min()
-            nodes, values = nodes[fit], values[fit]
-            few = min(2 * few, OPEN)
-            best = np.argsort(-values, kind="stable")[:few]
-            top = nodes[best]
-            nodes, values = np.delete(nodes, best), np.delete(values, best)
-            self.compare(rows, top[~self.inner[top]])
-            opened = self.kids(top[self.inner[top]])
-            nodes, values = np.concatenate([nodes, opened]), np.concatenate([values, self.bounds(a, opened)])
-
-    def compare(self, rows: np.ndarray, leaves: np.ndarray) -> None:
-        """All queries of a group against all points of leaves."""
-        points = self.d["order"][spread_ranges(self.d["first"][leaves], self.d["last"][leaves])]
-        if not len(points):
-            return
+            a, nodes, fits = a[some], nodes[near], fits[some][:, near]
+            if fits.mean() < DENSE:
+                for x, near in zip(a, fits, strict=True):
+                    stack += self.opened(np.array([x]), nodes[near])
+            else:
+                stack += self.opened(a, nodes)
+
+    def opened(self, a: np.ndarray, nodes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Compares leaves with nodes not worth opening; of the rest the wider side is opened."""
+        (leaf, inner), (small, wide) = (a[self.leaf[a]], a[~self.leaf[a]]), (nodes[self.small[nodes]], nodes[~self.small[nodes]])
+        if len(leaf) and len(small):
+            self.compare(self.queries(leaf), self.points(small))
+        out = [(leaf, kids(self.d, wide)), (kids(self.q, inner), small)]
+        if len(inner) and len(wide):
+            queries_first = self.q["radius"][inner].max() > self.d["radius"][wide].max()
+            out.append((kids(self.q, inner), wide) if queries_first else (inner, kids(self.d, wide)))
+        return [(x, y) for x, y in out if len(x) and len(y)]
+
+    def compare(self, rows: np.ndarray, points: np.ndarray) -> None:
+        """Queries against points, so many at a time."""
+        few = max(1, AT_ONCE // len(points))
+        theirs = (self.d["real"] if self.whole else self.d["points"])[points].T
+        mine = self.q["real"] if self.whole else self.q["points"]
+        # a point that has one id is none for a query of this id
+        single = np.where(np.diff(self.d["at"])[points] == 1, self.d["ids"][self.d["at"][points]], NO_ID)
+        for i in range(0, len(rows), few):
+            some = rows[i : i + few]
+            got = mine[self.of[some]] @ theirs
+            self.products += got.size
+            near = got >= self.worst[some, None]
+            many = np.flatnonzero(near.sum(1) > 4 * self.k)
+            if len(many):
+                other = np.where(single == self.q["ids"][some[many], None], -np.inf, got[many])
+                near[many] &= got[many] >= np.partition(other, -self.k, axis=1)[:, -self.k, None]
+            r, p = np.nonzero(near)
+            if len(r):
+                self.keep(some[r], points[p], got[r, p].astype(np.int64))
+
+    def keep(self, rows: np.ndarray, points: np.ndarray, score: np.ndarray) -> None:
+        """Joins scores of queries and points with the k best so far."""
         place, of = spread(self.d["at"], points)
-        ids, times = self.d["ids"][place], self.d["times"][place]
-        got = products(self.q["points"][self.of[rows]], self.d["points"][points])
-        self.products += got.size
-        for j, i in enumerate(rows.tolist()):
-            line = got[j][of]
-            fit = np.flatnonzero((line >= self.worst[i]) & (ids != self.q["ids"][i]))
-            if not len(fit):
-                continue
-            fit = np.repeat(fit, times[fit])
-            s, v = np.concatenate([self.scores[i], line[fit]]), np.concatenate([self.found[i], ids[fit]])
-            order = np.lexsort((v, ~s))[: self.k]
-            self.scores[i], self.found[i] = s[order], v[order]
-            if self.found[i, -1] != NO_ID:
-                self.worst[i] = max(self.worst[i], self.scores[i, -1])
+        ids, rows, score = self.d["ids"][place], rows[of], score[of]
+        times = np.where(ids == self.q["ids"][rows], 0, self.d["times"][place])
+        ids, rows, score = (np.repeat(x, times) for x in (ids, rows, score))
+        own = np.unique(rows)
+        rows = np.concatenate([rows, np.repeat(own, self.k)])
+        score, ids = np.concatenate([score, self.scores[own].ravel()]), np.concatenate([ids, self.found[own].ravel()])
+        order = np.lexsort((ids, ~score, rows))
+        first = np.searchsorted(rows[order], own)
+        best = order[first[:, None] + np.arange(self.k)]  # each has k at least, as empty places count
+        self.scores[own], self.found[own] = score[best], ids[best]
+        full = own[self.found[own, -1] != NO_ID]
+        self.worst[full] = np.maximum(self.worst[full], self.scores[full, -1])
 
     def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(place of the query in its block, query id, vector id, score) of what was found."""
@@ -246,6 +294,25 @@ class Search:
         return at, self.q["ids"][at], self.found[at, nth], self.scores[at, nth]
 
 
+def single_leaves(tree: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Fields of the tree with a node for each point of a leaf that has several."""
+    counts, size, n = np.diff(tree["upto"]), tree["last"] - tree["first"], len(tree["centre"])
+    several = (counts == 0) & (size > 1)
+    place = spread_ranges(tree["first"][several], tree["last"][several])
+    points = tree["order"][place]
+    more = {"centre": points, "radius": np.zeros(len(points)), "longest": tree["length"][points], "first": place, "last": place + 1}
+    upto = np.concatenate([[0], np.cumsum(np.where(several, size, counts)), np.zeros(len(points), np.int64)])
+    upto[n + 1 :] = upto[n]
+    child = np.empty(upto[-1], np.int64)
+    child[spread_ranges(upto[:n][~several], upto[1 : n + 1][~several])] = tree["child"]
+    child[spread_ranges(upto[:n][several], upto[1 : n + 1][several])] = n + np.arange(len(points))
+    return {f: np.concatenate([tree[f], x]) for f, x in more.items()} | {"upto": upto, "child": child}
+
+
+def kids(tree: dict[str, np.ndarray], nodes: np.ndarray) -> np.ndarray:
+    return tree["child"][spread(tree["upto"], nodes)[0]]
+
+
 def spread_ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     size = last - first
     return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
@@ -397,22 +464,37 @@ def pairs_batch(q_block: np.ndarray, block: np.ndarray, values: np.ndarray) -> p
 HITS = "q_block string, at int, query_id long, vec_id long, score long"
 
 
-def meet(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """Hits of the given pairs of blocks; ``known`` has the k-th score of each query of the block so far, or is null."""
+def bundles(pairs: DataFrame, left: DataFrame, right: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Data blocks, each with ``queries``: a bundle of the query blocks that it is paired with, about ``BUNDLE`` queries.
+
+    So a data block is sent once for a bundle and not for each pair.  ``known`` has
+    the k-th score of each query of a block so far.
+    """
     fields = [c for c in left.columns if c not in ("dims", "n", "middle", "reach", "long")]
-    mine = left.select(*(F.col(c).alias(f"q_{c}") for c in fields))
-    theirs = right.select("dims", *fields)
+    mine = left.select(F.col("block").alias("q_block"), F.struct(*fields).alias("asked"))
+    mine = mine.withColumn("known", F.lit(None).cast("array<double>")) if known is None else mine.join(known.select("q_block", "known"), "q_block")
+    # of one data block as many rows as query blocks are left for it, names and counts alone
+    before = Window.partitionBy("block").orderBy("q_block").rowsBetween(Window.unboundedPreceding, -1)
+    bundle = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / BUNDLE)
+    dealt = pairs.select("q_block", "block").join(left.select(F.col("block").alias("q_block"), "n"), "q_block").select("q_block", "block", bundle.alias("bundle"))
+    sent = dealt.join(mine, "q_block").groupBy("block", "bundle").agg(F.collect_list(F.struct("asked", "known")).alias("queries"))
+    return sent.drop("bundle").join(right.select("dims", *fields), "block")
+
+
+def meet(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int, known: DataFrame | None = None) -> DataFrame:
+    """Hits of the given pairs of blocks; ``known`` has the k-th score of each query of a block so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {name: batch.column(name)[r].as_py() for name in batch.schema.names}
-                q = unpack({"dims": row["dims"], **{c: row[f"q_{c}"] for c in fields}})
-                known = None if row["known"] is None else np.array([-np.inf if s is None else s for s in row["known"]])
-                at, *found = Search(q, unpack(row), k, known).hits()
-                yield pa.RecordBatch.from_arrays([pa.array([row["q_block"]] * len(at), pa.string()), pa.array(at, pa.int32()), *(pa.array(x) for x in found)], names=["q_block", "at", "query_id", "vec_id", "score"])
+                data = unpack(row)
+                for one in row["queries"]:
+                    known = None if one["known"] is None else np.array([-np.inf if s is None else s for s in one["known"]])
+                    at, *found = Search(unpack({"dims": row["dims"], **one["asked"]}), data, k, known).hits()
+                    yield pa.RecordBatch.from_arrays([pa.array([one["asked"]["block"]] * len(at), pa.string()), pa.array(at, pa.int32()), *(pa.array(x) for x in found)], names=["q_block", "at", "query_id", "vec_id", "score"])
 
-    return pairs.join(mine, "q_block").join(theirs, "block").mapInArrow(run, HITS)
+    return bundles(pairs, left, right, known).mapInArrow(run, HITS)
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -444,7 +526,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, id_col: str = "vec
     nth = Window.partitionBy("q_block").orderBy(F.desc("bound"), "block")
     opening = block_pairs(left, right, FIRST).withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") <= FIRST)
     opening = materialize(opening.select("q_block", "block"), "first-pairs")
-    first = materialize(meet(opening.withColumn("known", F.lit(None).cast("array<double>")), left, right, k), "first-hits")
+    first = materialize(meet(opening, left, right, k), "first-hits")
     # the k-th score of each query so far: of different queries in one place none is lost
     best = Window.partitionBy("q_block", "at").orderBy(F.desc("score"), "vec_id")
     kth = first.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") == k).select("q_block", "at", F.col("score").cast("double").alias("score"))
@@ -453,7 +535,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, id_col: str = "vec
     known = known.withColumn("worst", F.when(F.exists("known", lambda s: s.isNull()), float("-inf")).otherwise(F.array_min("known")))
     known = materialize(known, "known")
     heads = left.join(known.select(F.col("q_block").alias("block"), "worst"), "block")
-    rest = block_pairs(heads, right).join(opening, ["q_block", "block"], "left_anti").join(known.drop("worst"), "q_block").select("q_block", "block", "known")
-    hits = first.union(meet(rest, left, right, k)).select("query_id", "vec_id", "score")
+    rest = block_pairs(heads, right).join(opening, ["q_block", "block"], "left_anti")
+    hits = first.union(meet(rest, left, right, k, known)).select("query_id", "vec_id", "score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

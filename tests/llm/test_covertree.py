@@ -118,3 +118,42 @@ def test_pairs_of_blocks_are_few_on_clustered_data_and_none_is_missing(spark):
         everything.setdefault(row["q_block"], []).append((row["bound"], row["block"]))
     assert all(len(rows) == right.count() for rows in everything.values())
     assert all(sorted(by_query[q])[-2:] == sorted(rows)[-2:] for q, rows in everything.items())
+
+
+def test_vectors_that_prune_nothing_meet_in_few_steps(monkeypatch):
+    r = np.random.default_rng(3)
+    data = np.floor(r.normal(size=(2000, 64)) * 128).astype(np.int64)
+    asked, steps = data[::10], []
+    for name in ("bounds", "compare"):
+        own = getattr(covertree.Search, name)
+        monkeypatch.setattr(covertree.Search, name, lambda self, *a, own=own: steps.append(1) or own(self, *a))
+    search = covertree.Search(rows_of(asked), rows_of(data), 10)
+    # by matrices, not by a step for each query and a few nodes
+    assert len(steps) < len(asked) / 2
+    assert search.products < 1.2 * len(asked) * len(data)
+    at, _, found, score = search.hits()
+    for i in range(len(asked)):
+        got = asked[i] @ data.T
+        want = sorted((-int(got[j]), j) for j in range(len(data)) if j != i)[:10]
+        assert sorted(zip((-score[at == i]).tolist(), found[at == i].tolist(), strict=True)) == want
+
+
+def test_query_blocks_in_many_bundles_and_an_id_of_many_vectors(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "BUNDLE", 8)
+    r = np.random.default_rng(6)
+    vectors = [(i, r.normal(size=12).tolist()) for i in range(600)] + [(40, (np.array([3.0] * 12) + r.normal(size=12) * 0.01).tolist()) for _ in range(30)] + [(700 + i, [0.0] * 12) for i in range(5)]
+    queries = vectors[:600:20] + vectors[-5::5]
+    assert run(spark, queries, vectors, data_block=100, query_block=4) == brute(queries, vectors)
+
+
+def test_a_data_block_is_sent_once_for_all_query_blocks(spark):
+    r = np.random.default_rng(7)
+    frame = lambda rows, ids: spark.createDataFrame([(8, v, [(i, 1)]) for i, v in zip(ids, rows.tolist(), strict=True)], "dims int, vector array<long>, ids array<struct<vec_id:long,n:long>>")
+    data = np.floor(r.normal(size=(200, 8)) * 1024).astype(np.int64)
+    cells = {8: covertree.far_apart(data.astype(float), 4)}
+    left = covertree.materialize(covertree.with_trees(covertree.in_blocks(frame(data[::4], range(0, 200, 4)), cells, 2)), "left")
+    right = covertree.materialize(covertree.with_trees(covertree.in_blocks(frame(data, range(200)), cells, 80)), "right")
+    pairs = left.select(covertree.F.col("block").alias("q_block")).crossJoin(right.select("block"))
+    sent = covertree.bundles(pairs, left, right)
+    assert left.count() > 20 and sent.count() == right.count()
+    assert sent.agg(covertree.F.sum(covertree.F.size("queries"))).first()[0] == left.count() * right.count()
