@@ -43,7 +43,7 @@ PASS_BYTES = 64 << 20
 BATCH, AT_ONCE = 64, 1 << 18
 #: Points of a child, on average, that a bound is worth; below that all points of a node are compared at once.
 WORTH = 8
-#: Below this share of pairs that can help, query nodes descend apart.
+#: Below this share of pairs that can help, nodes descend apart.
 DENSE = 0.5
 #: Queries, about, that a data block meets in one row.
 BUNDLE = 4096
@@ -142,7 +142,17 @@ def unpack(row: dict[str, object]) -> dict[str, np.ndarray]:
     flat = np.frombuffer(row["points"], f"i{row['width']}").astype(np.int64)
     points = flat.reshape(len(out["at"]) - 1, row["dims"])
     real = points.astype(np.float64)
-    return {**out, "points": points, "real": real, "length": np.sqrt((real**2).sum(1)), "most": float(np.abs(real).max(initial=0))}
+    return {**out, "points": points, "real": real, "length": np.sqrt((real**2).sum(1)), "roots": np.array([0])}
+
+
+def joined(trees: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Trees of one length side by side."""
+    shift = lambda sizes: np.cumsum([0, *sizes[:-1]], dtype=np.int64)
+    node, point = shift([len(x["centre"]) for x in trees]), shift([len(x["order"]) for x in trees])
+    out = {f: np.concatenate([x[f] for x in trees]) for f in ("radius", "longest", "ids", "times", "points", "real", "length")}
+    out |= {f: np.concatenate([x[f] + p for x, p in zip(trees, point, strict=True)]) for f in ("order", "centre", "first", "last")}
+    out |= {f: np.concatenate([x[f] + n for x, n in zip(trees, node, strict=True)]) for f in ("child", "roots")}
+    return out | {f: np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[f]) for x in trees]))]) for f in ("at", "upto")}
 
 
 def bound(dot: np.ndarray, q: tuple, d: tuple) -> np.ndarray:
@@ -160,10 +170,11 @@ def bound(dot: np.ndarray, q: tuple, d: tuple) -> np.ndarray:
 
 
 class Search:
-    """The k best of a data block for each query of a query block; ``products`` counts inner products, bounds included.
+    """The k best of a data block for each query of joined query blocks; ``products`` counts inner products, bounds included.
 
     Sets of query nodes and of data nodes descend together.  Their bounds are one
-    product of matrices; where few pairs can help, each query node goes on alone.
+    product of matrices; where few pairs can help, the nodes of the side that has
+    fewer go on one by one, each with those of the other side that can.
     """
 
     def __init__(self, q: dict[str, np.ndarray], d: dict[str, np.ndarray], k: int, known: np.ndarray | None = None):
@@ -172,7 +183,10 @@ class Search:
         self.of = np.repeat(np.arange(len(q["at"]) - 1), np.diff(q["at"]))  # the point of each query
         n = len(q["ids"])
         self.worst = np.full(n, -np.inf) if known is None else known.astype(np.float64)
-        self.whole = q["points"].shape[1] * q["most"] * d["most"] < 2**52  # inner products by floating point can't round
+        # no partial sum of an inner product is above the product of the lengths; below these it can't round
+        most = q["length"].max(initial=0) * d["length"].max(initial=0)
+        self.number = np.float32 if most < 2**23 else np.float64 if most < 2**52 else np.int64
+        self.left, self.right = q["points"].astype(self.number), d["points"].astype(self.number)
         # queries in the order of the tree, and the places of a node's queries there
         self.line = spread(q["at"], q["order"])[0]
         upto = np.concatenate([[0], np.cumsum(np.diff(q["at"])[q["order"]])])
@@ -227,7 +241,7 @@ class Search:
         self.forget()
 
     def descend(self) -> None:
-        stack = [(np.array([0]), np.array([0]))]
+        stack = [(self.q["roots"], np.array([0]))]
         while stack:
             a, nodes = stack.pop()
             fits = self.bounds(a, nodes) >= self.least(a)[:, None]
@@ -235,11 +249,14 @@ class Search:
             if not some.any():
                 continue
             a, nodes, fits = a[some], nodes[near], fits[some][:, near]
-            if fits.mean() < DENSE:
+            if fits.mean() >= DENSE:
+                stack += self.opened(a, nodes)
+            elif len(a) < len(nodes):
                 for x, near in zip(a, fits, strict=True):
                     stack += self.opened(np.array([x]), nodes[near])
             else:
-                stack += self.opened(a, nodes)
+                for x, some in zip(nodes, fits.T, strict=True):
+                    stack += self.opened(a[some], np.array([x]))
 
     def opened(self, a: np.ndarray, nodes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Compares leaves with nodes not worth opening; of the rest the wider side is opened."""
@@ -255,15 +272,15 @@ class Search:
     def compare(self, rows: np.ndarray, points: np.ndarray) -> None:
         """Queries against points, so many at a time."""
         few = max(1, AT_ONCE // len(points))
-        theirs = (self.d["real"] if self.whole else self.d["points"])[points].T
-        mine = self.q["real"] if self.whole else self.q["points"]
+        theirs = self.right[points].T
         # a point that has one id is none for a query of this id
         single = np.where(np.diff(self.d["at"])[points] == 1, self.d["ids"][self.d["at"][points]], NO_ID)
         for i in range(0, len(rows), few):
             some = rows[i : i + few]
-            got = mine[self.of[some]] @ theirs
+            got = self.left[self.of[some]] @ theirs
             self.products += got.size
-            near = got >= self.worst[some, None]
+            # a score outside of what float32 counts exactly is rounded, but not to the other side of ``got``
+            near = got >= self.worst[some, None].astype(np.float32 if self.number == np.float32 else np.float64)
             many = np.flatnonzero(near.sum(1) > 4 * self.k)
             if len(many):
                 other = np.where(single == self.q["ids"][some[many], None], -np.inf, got[many])
@@ -488,11 +505,14 @@ def meet(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int, known: Dat
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {name: batch.column(name)[r].as_py() for name in batch.schema.names}
-                data = unpack(row)
-                for one in row["queries"]:
-                    known = None if one["known"] is None else np.array([-np.inf if s is None else s for s in one["known"]])
-                    at, *found = Search(unpack({"dims": row["dims"], **one["asked"]}), data, k, known).hits()
-                    yield pa.RecordBatch.from_arrays([pa.array([one["asked"]["block"]] * len(at), pa.string()), pa.array(at, pa.int32()), *(pa.array(x) for x in found)], names=["q_block", "at", "query_id", "vec_id", "score"])
+                asked = [one["asked"] for one in row["queries"]]
+                trees = [unpack({"dims": row["dims"], **x}) for x in asked]
+                known = np.concatenate([np.full(len(x["ids"]), -np.inf) if one["known"] is None else np.array([-np.inf if s is None else s for s in one["known"]]) for x, one in zip(trees, row["queries"], strict=True)])
+                at, *found = Search(joined(trees), unpack(row), k, known).hits()
+                begin = np.cumsum([0, *(len(x["ids"]) for x in trees)])
+                nth = np.searchsorted(begin, at, "right") - 1
+                names = np.array([x["block"] for x in asked], object)[nth]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(at - begin[nth], pa.int32()), *(pa.array(x) for x in found)], names=["q_block", "at", "query_id", "vec_id", "score"])
 
     return bundles(pairs, left, right, known).mapInArrow(run, HITS)
 
