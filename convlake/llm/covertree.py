@@ -281,11 +281,11 @@ class Search:
             self.products += got.size
             # a score outside of what float32 counts exactly is rounded, but not to the other side of ``got``
             near = got >= self.worst[some, None].astype(np.float32 if self.number == np.float32 else np.float64)
-            many = np.flatnonzero(near.sum(1) > 4 * self.k)
-            if len(many):
+            if np.count_nonzero(near) > 2 * self.k * len(some):
+                many = np.flatnonzero(np.count_nonzero(near, axis=1) > 2 * self.k)
                 other = np.where(single == self.q["ids"][some[many], None], -np.inf, got[many])
                 near[many] &= got[many] >= np.partition(other, -self.k, axis=1)[:, -self.k, None]
-            r, p = np.nonzero(near)
+            r, p = np.divmod(np.flatnonzero(near), len(points))
             if len(r):
                 self.keep(some[r], points[p], got[r, p].astype(np.int64))
 
