@@ -32,6 +32,52 @@ def test_a_large_document_has_the_postings_of_its_words(spark):
     assert got.select(F.explode("positions").alias("p"), "id").groupBy("id").agg(F.count_distinct("p").alias("n")).filter("n <> 1000").count() == 0
 
 
+def test_an_index_takes_few_words_at_a_time(spark, monkeypatch):
+    """What crosses to Python in a row, and what is inverted at once, has a bound that long documents do not lift."""
+    seen = []
+    docs = spark.range(1, 12).select(F.lit("n").alias("kind"), "id", F.array_join(F.transform(F.sequence(F.lit(1), 700 * F.col("id")), lambda i: F.concat(F.lit("w"), i % 500)), ", ").alias("content"))
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "mapInArrow", lambda self, run, schema: seen.append((self, run)) or self)
+        search._inverted(docs, False)
+    rows, run = seen[0]
+    rows = rows.coalesce(1).toArrow()
+    assert max(rows["words"].combine_chunks().value_lengths().to_pylist()) == search.PIECE
+    assert [len(w) for k, w in zip(rows["id"].to_pylist(), rows["words"].to_pylist(), strict=True) if k == 1] == [search.PIECE] * 5 + [60]
+    monkeypatch.setattr(search, "AT_ONCE", 1000)
+    made = [b for b in run(iter(rows.to_batches(max_chunksize=9))) if b["part"][0].as_py() == "postings"]
+    assert max(sum(b["tf"].to_pylist()) for b in made) < 1000 + 700 * 11
+    assert sum(sum(b["tf"].to_pylist()) for b in made) == 700 * 66
+
+
+def test_documents_go_on_from_batch_to_batch(spark):
+    """Postings, lengths and forms do not depend on where a batch ends; empty texts, nulls, marks and long documents among them."""
+    long = " ".join(f"Runs{i % 300}" for i in range(1000))
+    rows = [("n", 1, "a run"), ("n", 2, long), ("m", 3, ""), ("m", 4, None), (None, 5, " .. "), ("n", None, "\u00c9x run, " * 400), ("n", 6, "-".join("ab" for _ in range(128))), ("n", 7, "x" * 50_000), ("m", 8, "\u0391\u03a3.\u0392 \u0130x " * 130)]
+    docs = spark.createDataFrame(rows, "kind string, id long, content string").coalesce(1)
+    got = lambda: sorted((str(r) for r in search.index_rows(docs).distinct().collect()))
+    want = got()
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        assert got() == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    postings, lengths, _ = search.index_tables(docs)
+    assert {(r["kind"], r["id"]): r["length"] for r in lengths.collect()} == {("n", 1): 2, ("n", 2): 1000, ("m", 3): 0, ("m", 4): 0, (None, 5): 0, ("n", None): 800, ("n", 6): 128, ("n", 7): 1, ("m", 8): 520}
+    assert {(r["id"], r["tf"], tuple(r["positions"][:2])) for r in postings.filter("term in ('run', 'runs299')").collect()} == {(1, 1, (1,)), (2, 3, (299, 599)), (None, 400, (1, 3))}
+    assert postings.filter("size(positions) <> tf or array_sort(positions) <> positions").isEmpty()
+
+
+def test_a_task_writes_few_files_of_an_index(spark, tmp_path):
+    """A file of lengths and one of terms, in their order, however many terms there are."""
+    docs = spark.range(0, 400, 1, 2).select(F.lit("n").alias("kind"), "id", F.concat_ws(" ", *(F.concat(F.lit(f"t{i}x"), "id") for i in range(9))).alias("content"))
+    search.add_documents(docs, f"file://{tmp_path}/index")
+    files = sorted((tmp_path / "index" / "rows").rglob("*.parquet"))
+    assert len(files) == 4
+    for f in files:
+        terms = [r["term"] for r in spark.read.parquet(f"file://{f}").collect()]
+        assert terms == sorted(terms) if "bucket=0" in str(f) else set(terms) == {None}
+
+
 def test_hashes_share_rows_of_state(spark, tmp_path):
     """Many hashes in few Python groups: each envelope still has its own outcome, in later batches too."""
     home, n = str(tmp_path), 400
